@@ -333,3 +333,358 @@ def d6(p: Pipeline) -> DataFrame:
           f"WHERE {_D_RANGE} GROUP BY day, type")
 def d7(p: Pipeline) -> DataFrame:
     return reads.finance_ops_daily(p.stg_finance, _D_FROM, _D_TO)
+
+
+# ===================================================================== cards
+
+from vitrine.operators import cards, ops, quality, redaction, rules  # noqa: E402
+
+NOW = dt.datetime(2024, 1, 31, 3, 0, 0)  # evaluation time of checks and lags: as_of + 3 h
+
+
+def _api(p: Pipeline):
+    rng = reads.Page(_A_FROM, _A_TO)
+    return {"sales": reads.sales_daily(p.mrt_sales, rng, paged=False),
+            "ads": reads.ads_daily(p.mrt_ads, rng, paged=False),
+            "funnel": reads.funnel_daily(p.mrt_funnel, rng, paged=False),
+            "stocks": reads.stocks_current(p.mrt_stock, reads.Page(), paged=False),
+            "kpis": reads.kpis(p.mrt_sales, p.mrt_ads, p.as_of, reads.Page(), paged=False)}
+
+
+def _tot(c: str, t: str = "DOUBLE") -> str:
+    return f"CAST(COALESCE(SUM({c}), 0) AS {t}) AS {c}"
+
+
+def _mean_pct(c: str, alias: str) -> str:
+    return f"ROUND(ROUND(COALESCE(AVG(COALESCE({c}, 0.0)), 0.0), 9) * 100, 9) AS {alias}"
+
+
+@register("u6_sales_card",
+          "SELECT count(*) AS rows, CAST(COALESCE(SUM(revenue), 0) AS DOUBLE) AS revenue, "
+          "CAST(COALESCE(SUM(qty), 0) AS BIGINT) AS qty, CAST(COALESCE(SUM(returns_qty), 0) AS BIGINT) AS returns, "
+          "CAST(COALESCE(SUM(payout), 0) AS DOUBLE) AS payout FROM api_sales")
+def u6(p: Pipeline) -> DataFrame:
+    return cards.sales_card(_api(p)["sales"])
+
+
+@register("u3_revenue_series",
+          "SELECT COALESCE(CAST(day AS VARCHAR), '') AS label, CAST(COALESCE(SUM(revenue), 0) AS DOUBLE) AS value "
+          "FROM api_sales GROUP BY 1")
+def u3(p: Pipeline) -> DataFrame:
+    return cards.grouped_series(_api(p)["sales"], "day", "revenue")
+
+
+@register("u4_top10_sales_rows",
+          "SELECT day, marketplace, account_id, product_id, qty, CAST(revenue AS DOUBLE) AS revenue, returns_qty, "
+          "CAST(payout AS DOUBLE) AS payout FROM api_sales "
+          "ORDER BY revenue DESC, day, marketplace, account_id, product_id LIMIT 10")
+def u4(p: Pipeline) -> DataFrame:
+    return cards.top_rows(_api(p)["sales"], "revenue", 10, ("day", "marketplace", "account_id", "product_id"))
+
+
+@register("u5_overview",
+          "SELECT * FROM (SELECT CAST(COALESCE(SUM(revenue), 0) AS DOUBLE) AS revenue, "
+          "CAST(COALESCE(SUM(qty), 0) AS BIGINT) AS qty, count(*) AS sales_rows FROM api_sales) "
+          "CROSS JOIN (SELECT CAST(COALESCE(SUM(cost), 0) AS DOUBLE) AS ad_cost, count(*) AS ads_rows FROM api_ads) "
+          "CROSS JOIN (SELECT CAST(COALESCE(SUM(stock_end), 0) AS BIGINT) AS stock_units, count(*) AS stock_rows "
+          "FROM api_stocks)")
+def u5(p: Pipeline) -> DataFrame:
+    a = _api(p)
+    return cards.overview(a["sales"], a["ads"], a["stocks"])
+
+
+@register("u7_stock_card",
+          "SELECT count(*) AS rows, count(*) FILTER (WHERE COALESCE(stock_end, 0) <= 5) AS low_stock FROM api_stocks")
+def u7(p: Pipeline) -> DataFrame:
+    return cards.stock_card(_api(p)["stocks"])
+
+
+@register("u8_funnel_card",
+          f"SELECT count(*) AS rows, {_tot('views', 'BIGINT')}, {_tot('adds_to_cart', 'BIGINT')}, "
+          f"{_tot('orders', 'BIGINT')}, {_mean_pct('cr_order', 'avg_cr_order_pct')}, "
+          f"{_mean_pct('cr_cart', 'avg_cr_cart_pct')} FROM api_funnel")
+def u8(p: Pipeline) -> DataFrame:
+    return cards.funnel_card(_api(p)["funnel"])
+
+
+@register("u9_ads_card",
+          f"SELECT count(*) AS rows, {_tot('cost')}, {_tot('revenue')}, {_tot('clicks', 'BIGINT')}, "
+          f"{_tot('orders', 'BIGINT')}, {_mean_pct('acos', 'avg_acos_pct')} FROM api_ads")
+def u9(p: Pipeline) -> DataFrame:
+    return cards.ads_card(_api(p)["ads"])
+
+
+@register("u10_kpi_card",
+          f"SELECT count(*) AS rows, {_tot('revenue_30d')}, {_tot('qty_30d', 'BIGINT')}, "
+          f"{_tot('returns_30d', 'BIGINT')}, {_tot('cost_30d')} FROM api_kpis")
+def u10(p: Pipeline) -> DataFrame:
+    return cards.kpi_card(_api(p)["kpis"])
+
+
+@register("u11_watermark_card",
+          "SELECT count(*) AS rows, count(DISTINCT source) AS distinct_sources, "
+          "count(DISTINCT account_id) AS distinct_accounts FROM sys_watermarks")
+def u11(p: Pipeline) -> DataFrame:
+    return cards.watermark_card(p.watermarks)
+
+
+@register("u12_runs_card",
+          "SELECT count(*) AS rows, count(*) FILTER (WHERE lower(COALESCE(status, '')) = 'failed') AS failed, "
+          "count(*) FILTER (WHERE lower(COALESCE(status, '')) = 'success') AS success FROM sys_task_runs")
+def u12(p: Pipeline) -> DataFrame:
+    return cards.runs_card(p.task_runs)
+
+
+# =================================================================== quality
+
+def _marts(p: Pipeline) -> dict[str, DataFrame]:
+    return {"mrt_sales_daily": p.mrt_sales, "mrt_stock_daily": p.mrt_stock,
+            "mrt_funnel_daily": p.mrt_funnel, "mrt_ads_daily": p.mrt_ads}
+
+
+def _dup_tables(p: Pipeline):
+    frames = {"stg_sales": p.stg_sales, "stg_orders": p.stg_orders, "stg_stocks": p.stg_stocks,
+              "stg_funnel_daily": p.stg_funnel, "stg_ads_daily": p.stg_ads, "stg_finance_ops": p.stg_finance,
+              **_marts(p)}
+    t = {name: (frames[name], key) for name, key in quality.DUPLICATE_SPECS}
+    t["raw_wb_sales"] = (p.raw("raw_wb_sales"), ("account_id", "srid"))
+    return t
+
+
+def _violations(p: Pipeline) -> DataFrame:
+    return quality._union([
+        quality.stale_marts(p.task_runs, _marts(p), NOW, task_prefix="task_1"),
+        quality.watermark_monotonicity(p.watermarks),
+        quality.duplicate_grains(_dup_tables(p)),
+        quality.impossible_timestamps(p.raw("raw_wb_sales"), p.raw("raw_wb_orders"), p.raw("raw_ozon_postings"),
+                                      p.stg_sales, NOW),
+        quality.invalid_values(p.mrt_stock, p.mrt_ads, p.mrt_funnel)])
+
+
+@register("c1_stale_marts", "SELECT * FROM dq_c1")
+def c1(p: Pipeline) -> DataFrame:
+    return quality.stale_marts(p.task_runs, _marts(p), NOW, task_prefix="task_1")
+
+
+@register("c2_watermark_backward_steps", "SELECT * FROM wm_backward")
+def c2(p: Pipeline) -> DataFrame:
+    return quality.watermark_backward_steps(p.watermarks)
+
+
+@register("c3_duplicate_grains", "SELECT * FROM dq_c3")
+def c3(p: Pipeline) -> DataFrame:
+    return quality.duplicate_grains(_dup_tables(p))
+
+
+@register("c4_impossible_timestamps", "SELECT * FROM dq_c4")
+def c4(p: Pipeline) -> DataFrame:
+    return quality.impossible_timestamps(p.raw("raw_wb_sales"), p.raw("raw_wb_orders"),
+                                         p.raw("raw_ozon_postings"), p.stg_sales, NOW)
+
+
+@register("c5_invalid_values", "SELECT * FROM dq_c5")
+def c5(p: Pipeline) -> DataFrame:
+    return quality.invalid_values(p.mrt_stock, p.mrt_ads, p.mrt_funnel)
+
+
+@register("c6_quality_summary", "SELECT * FROM dq_summary")
+def c6(p: Pipeline) -> DataFrame:
+    return quality.summarize(_violations(p))
+
+
+@register("c6_quality_report",
+          "SELECT CASE WHEN count(*) > 0 THEN 'failed' ELSE 'success' END AS status, count(*) AS issues, "
+          "COALESCE(string_agg(\"check\" || '=' || CAST(failures AS VARCHAR), '; ' ORDER BY CASE \"check\" "
+          "WHEN 'stale_marts' THEN 0 WHEN 'watermark_monotonicity' THEN 1 WHEN 'duplicate_grains' THEN 2 "
+          "WHEN 'impossible_timestamps' THEN 3 ELSE 4 END), '') AS message FROM dq_summary")
+def c6_report(p: Pipeline) -> DataFrame:
+    return quality.report(quality.summarize(_violations(p)))
+
+
+# ===================================================================== rules
+
+def _rule_tables(p: Pipeline) -> dict[str, DataFrame]:
+    return {"mrt_ads_daily": p.mrt_ads, "mrt_stock_daily": p.mrt_stock, "mrt_sales_daily": p.mrt_sales}
+
+
+@register("r1_bad_acos_hits",
+          f"SELECT day, marketplace, account_id, campaign_id, acos, CAST(revenue AS DOUBLE) AS revenue, "
+          f"CAST(cost AS DOUBLE) AS cost FROM mrt_ads WHERE day = {_sqld(_d(1))} AND revenue > 0 AND acos > 0.3")
+def r1(p: Pipeline) -> DataFrame:
+    rule = rules.BUILTIN_RULES[0]
+    df = rules.rule_frame(p.spark, rule, _rule_tables(p), p.as_of)
+    return df.where(rules.compile_condition(rule.condition, df.schema, rule.params))
+
+
+@register("r2_low_stock_alerts",
+          f"SELECT 'low_stock' AS rule, 'telegram' AS action, m AS message, '[low_stock] ' || m AS text FROM ("
+          f"SELECT 'Low stock: ' || marketplace || '/' || account_id || '/' || product_id || ', stock=' || "
+          f"CAST(SUM(stock_end) AS VARCHAR) AS m, SUM(stock_end) AS s FROM mrt_stock WHERE day = {_sqld(_d(1))} "
+          f"GROUP BY marketplace, account_id, product_id) WHERE s < 5")
+def r2(p: Pipeline) -> DataFrame:
+    return rules.alerts(p.spark, [rules.BUILTIN_RULES[1]], _rule_tables(p), p.as_of)
+
+
+@register("r3_no_sales_alerts",
+          f"SELECT 'no_sales_7d' AS rule, 'telegram' AS action, m AS message, '[no_sales_7d] ' || m AS text FROM ("
+          f"SELECT 'No sales in 7d: ' || marketplace || '/' || account_id || '/' || product_id AS m, SUM(qty) AS q "
+          f"FROM mrt_sales WHERE day BETWEEN {_sqld(_d(7))} AND {_sqld(AS_OF)} "
+          f"GROUP BY marketplace, account_id, product_id) WHERE q <= 0")
+def r3(p: Pipeline) -> DataFrame:
+    return rules.alerts(p.spark, [rules.BUILTIN_RULES[2]], _rule_tables(p), p.as_of)
+
+
+@register("r5_rule_report",
+          f"SELECT 0 AS ord, 'bad_acos' AS name, count(*) AS rows, count(*) FILTER (WHERE revenue > 0 AND acos > 0.3) "
+          f"AS triggered FROM mrt_ads WHERE day = {_sqld(_d(1))} "
+          f"UNION ALL SELECT 1, 'low_stock', count(*), count(*) FILTER (WHERE s < 5) FROM (SELECT SUM(stock_end) AS s "
+          f"FROM mrt_stock WHERE day = {_sqld(_d(1))} GROUP BY marketplace, account_id, product_id) "
+          f"UNION ALL SELECT 2, 'no_sales_7d', count(*), count(*) FILTER (WHERE q <= 0) FROM (SELECT SUM(qty) AS q "
+          f"FROM mrt_sales WHERE day BETWEEN {_sqld(_d(7))} AND {_sqld(AS_OF)} GROUP BY marketplace, account_id, product_id)")
+def r5_report(p: Pipeline) -> DataFrame:
+    return rules.rule_report(p.spark, rules.BUILTIN_RULES, _rule_tables(p), p.as_of)
+
+
+@register("r5_r7_alerts", None, "messages render doubles with the JVM's formatting; rows-only check")
+def r5_alerts(p: Pipeline) -> DataFrame:
+    return rules.alerts(p.spark, rules.BUILTIN_RULES, _rule_tables(p), p.as_of)
+
+
+# ======================================================================= ops
+
+def _wstart(ts: str, minutes: int) -> str:
+    us = minutes * 60_000_000
+    return f"make_timestamp((epoch_us({ts}) // {us}) * {us})"
+
+
+_DUR = ("GREATEST(CAST(epoch_us(finished_at) - epoch_us(started_at) AS DOUBLE) / 1e6, 0.0)")
+
+
+@register("o1_failed_runs_15m",
+          "SELECT date_trunc('minute', finished_at) - to_minutes(k) AS window_start, "
+          "date_trunc('minute', finished_at) - to_minutes(k) + INTERVAL 15 MINUTE AS window_end, task_name, "
+          "count(*) FILTER (WHERE status = 'failed') AS failed_runs "
+          "FROM sys_task_runs, range(15) t(k) GROUP BY 1, 2, 3")
+def o1(p: Pipeline) -> DataFrame:
+    return ops.failed_runs(p.task_runs)
+
+
+@register("o2_cursor_lag",
+          "SELECT source, account_id, watermark_ts, "
+          "GREATEST(0, (epoch_us(TIMESTAMP '2024-01-31 03:00:00') - epoch_us(watermark_ts)) // 1000000) AS lag_seconds, "
+          "GREATEST(0, (epoch_us(TIMESTAMP '2024-01-31 03:00:00') - epoch_us(watermark_ts)) // 1000000) > 21600 AS stale "
+          "FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, account_id ORDER BY updated_at DESC, "
+          "watermark_ts DESC) AS rn FROM sys_watermarks) WHERE rn = 1")
+def o2(p: Pipeline) -> DataFrame:
+    return ops.cursor_lag(p.watermarks, NOW)
+
+
+@register("o3_empty_responses_1h",
+          f"SELECT {_wstart('finished_at', 5)} - to_minutes(5 * k) AS window_start, "
+          f"{_wstart('finished_at', 5)} - to_minutes(5 * k) + INTERVAL 1 HOUR AS window_end, task_name, "
+          f"count(*) AS empty_responses, count(*) > 20 AS anomaly "
+          f"FROM sys_task_runs, range(12) t(k) WHERE rows_ingested = 0 GROUP BY 1, 2, 3")
+def o3(p: Pipeline) -> DataFrame:
+    return ops.empty_responses(p.task_runs)
+
+
+@register("o4_runs_by_status_1h",
+          "SELECT date_trunc('hour', started_at) AS window_start, task_name, status, count(*) AS runs "
+          "FROM sys_task_runs GROUP BY 1, 2, 3")
+def o4(p: Pipeline) -> DataFrame:
+    return ops.runs_by_status(p.task_runs)
+
+
+def _pct_sql(group: str, src: str, pct: int) -> str:
+    return (f"SELECT {group}, min(duration) AS p{pct} FROM (SELECT {group}, duration, "
+            f"SUM(n) OVER (PARTITION BY {group} ORDER BY duration ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, "
+            f"SUM(n) OVER (PARTITION BY {group}) AS total FROM (SELECT {group}, duration, count(*) AS n FROM ({src}) "
+            f"GROUP BY {group}, duration)) WHERE cum >= (total * {pct} + 99) // 100 GROUP BY {group}")
+
+
+@register("o5_p95_duration_15m",
+          _pct_sql("window_start, task_name",
+                   f"SELECT {_wstart('finished_at', 15)} AS window_start, task_name, {_DUR} AS duration "
+                   f"FROM sys_task_runs", 95))
+def o5(p: Pipeline) -> DataFrame:
+    return ops.p95_duration(p.task_runs)
+
+
+_BOUNDS = "[0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.0, 120.0, 300.0, 600.0]"
+
+
+@register("o6_duration_histogram",
+          f"SELECT task_name, status, bucket, le, runs, CAST(SUM(runs) OVER (PARTITION BY task_name, status "
+          f"ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative FROM ("
+          f"SELECT task_name, status, CAST(len(list_filter({_BOUNDS}::DOUBLE[], lambda b: b < {_DUR})) AS INTEGER) AS bucket, "
+          f"CASE WHEN len(list_filter({_BOUNDS}::DOUBLE[], lambda b: b < {_DUR})) < 12 THEN CAST(({_BOUNDS}::DOUBLE[])"
+          f"[len(list_filter({_BOUNDS}::DOUBLE[], lambda b: b < {_DUR})) + 1] AS VARCHAR) ELSE '+Inf' END AS le, "
+          f"count(*) AS runs FROM sys_task_runs GROUP BY 1, 2, 3, 4)")
+def o6(p: Pipeline) -> DataFrame:
+    return ops.duration_histogram(p.task_runs)
+
+
+@register("o7_failure_alert_hold_5m",
+          "SELECT task_name, minute AS firing_at, since FROM (SELECT *, min(minute) OVER (PARTITION BY task_name, island) "
+          "AS since FROM (SELECT task_name, minute, minute - to_minutes(ROW_NUMBER() OVER (PARTITION BY task_name "
+          "ORDER BY minute)) AS island FROM (SELECT date_trunc('minute', finished_at) - to_minutes(k) + "
+          "INTERVAL 15 MINUTE AS minute, task_name, count(*) FILTER (WHERE status = 'failed') AS f "
+          "FROM sys_task_runs, range(15) t(k) GROUP BY 1, 2) WHERE f > 0)) WHERE minute >= since + INTERVAL 5 MINUTE")
+def o7(p: Pipeline) -> DataFrame:
+    return ops.failure_alert(p.task_runs, 5)
+
+
+@register("o8_rows_ingested",
+          "SELECT task_name, CAST(SUM(rows_ingested) AS BIGINT) AS rows_ingested FROM sys_task_runs GROUP BY 1")
+def o8(p: Pipeline) -> DataFrame:
+    return ops.rows_ingested(p.task_runs)
+
+
+@register("o9_latency_summary",
+          f"SELECT t.runs, a.p50, b.p95, t.max_duration, CASE WHEN t.secs > 0 THEN t.runs / t.secs ELSE 0.0 END "
+          f"AS runs_per_second FROM (SELECT 1 AS g, count(*) AS runs, max({_DUR}) AS max_duration, "
+          f"CAST(epoch_us(max(finished_at)) - epoch_us(min(started_at)) AS DOUBLE) / 1e6 AS secs FROM sys_task_runs) t "
+          f"JOIN ({_pct_sql('g', f'SELECT 1 AS g, {_DUR} AS duration FROM sys_task_runs', 50)}) a USING (g) "
+          f"JOIN ({_pct_sql('g', f'SELECT 1 AS g, {_DUR} AS duration FROM sys_task_runs', 95)}) b USING (g)")
+def o9(p: Pipeline) -> DataFrame:
+    return ops.latency_summary(p.task_runs)
+
+
+_RAW9 = ("raw_wb_sales", "raw_wb_orders", "raw_wb_stocks", "raw_wb_funnel_daily", "raw_ozon_postings",
+         "raw_ozon_posting_items", "raw_ozon_stocks", "raw_ozon_ads_daily", "raw_ozon_finance_ops")
+
+
+@register("o10_stored_rows",
+          "WITH per AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _RAW9)
+          + ") SELECT * FROM per UNION ALL SELECT '*', CAST(SUM(rows) AS BIGINT) FROM per")
+def o10(p: Pipeline) -> DataFrame:
+    return ops.stored_rows({t: p.raw(t) for t in _RAW9})
+
+
+# ============================================================ K9, W9
+
+_K9_KEYS = ("ref", "utm_source", "token", "api_key", "authorization", "password", "secret")
+
+
+@register("k9_redact_page_params",
+          "SELECT page_id, pos, CASE WHEN strpos(kv, '=') > 0 THEN split_part(kv, '=', 1) ELSE kv END AS key, "
+          "CASE WHEN " + " OR ".join(f"strpos(lower(CASE WHEN strpos(kv, '=') > 0 THEN split_part(kv, '=', 1) ELSE kv END), '{k}') > 0" for k in _K9_KEYS)
+          + " THEN (CASE WHEN v IS NULL OR length(v) = 0 THEN '' WHEN length(v) <= 8 THEN repeat('*', length(v)) "
+          "ELSE left(v, 4) || '***' || right(v, 4) END) ELSE v END AS value FROM ("
+          "SELECT page_id, pos, kv, CASE WHEN strpos(kv, '=') > 0 THEN substr(kv, strpos(kv, '=') + 1) END AS v FROM ("
+          "SELECT page_id, unnest(generate_series(1, len(parts))) AS pos, unnest(parts) AS kv FROM ("
+          "SELECT page_id, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') AS parts FROM pages "
+          "WHERE strpos(url, '?') > 0)) WHERE length(kv) > 0)")
+def k9(p: Pipeline) -> DataFrame:
+    return redaction.redact_page_params(p.table("pages"), _K9_KEYS)
+
+
+@register("w9_event_date_windows",
+          "SELECT DATE '2024-01-01' + 7 * CAST((CAST(ts AS DATE) - DATE '2024-01-01') // 7 AS INTEGER) AS window_start, "
+          "LEAST(DATE '2024-01-01' + 7 * CAST((CAST(ts AS DATE) - DATE '2024-01-01') // 7 AS INTEGER) + 6, DATE '2024-01-30') "
+          "AS window_end, count(*) AS events FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' "
+          "GROUP BY 1, 2")
+def w9(p: Pipeline) -> DataFrame:
+    ev = p.table("events").withColumn("day", F.to_date("ts"))
+    a = redaction.assign_date_window(ev, "day", dt.date(2024, 1, 1), dt.date(2024, 1, 30), 7)
+    return a.groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("events"))

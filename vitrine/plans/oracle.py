@@ -299,3 +299,124 @@ def sql(final: str) -> str:
     if final[:5].upper() == "WITH ":  # merge the final query's own CTEs
         return f"WITH {body},\n{final[5:]}"
     return f"WITH {body}\n{final}"
+
+
+# ------------------------------------------------------------- API results
+CTES["api_sales"] = f"""
+SELECT day, marketplace, account_id, product_id, CAST(SUM(qty) AS BIGINT) AS qty, SUM(revenue) AS revenue,
+       CAST(SUM(returns_qty) AS BIGINT) AS returns_qty, SUM(COALESCE(payout, 0)) AS payout
+FROM mrt_sales WHERE day BETWEEN {AS_OF} - 30 AND {AS_OF} GROUP BY day, marketplace, account_id, product_id"""
+
+CTES["api_ads"] = f"""
+SELECT *, {ratio('cost', 'revenue')} AS acos, {ratio('revenue - cost', 'cost')} AS romi FROM (
+  SELECT day, marketplace, account_id, campaign_id, CAST(SUM(impressions) AS BIGINT) AS impressions,
+         CAST(SUM(clicks) AS BIGINT) AS clicks, SUM(cost) AS cost, CAST(SUM(orders) AS BIGINT) AS orders,
+         SUM(revenue) AS revenue
+  FROM mrt_ads WHERE day BETWEEN {AS_OF} - 30 AND {AS_OF} GROUP BY day, marketplace, account_id, campaign_id)"""
+
+CTES["api_funnel"] = f"""
+SELECT *, {ratio('orders', 'views')} AS cr_order, {ratio('adds_to_cart', 'views')} AS cr_cart FROM (
+  SELECT day, marketplace, account_id, product_id, CAST(SUM(views) AS BIGINT) AS views,
+         CAST(SUM(adds_to_cart) AS BIGINT) AS adds_to_cart, CAST(SUM(orders) AS BIGINT) AS orders
+  FROM mrt_funnel WHERE day BETWEEN {AS_OF} - 30 AND {AS_OF} GROUP BY day, marketplace, account_id, product_id)"""
+
+CTES["api_stocks"] = """
+SELECT s.day, s.marketplace, s.account_id, s.product_id, s.warehouse_id, CAST(SUM(s.stock_end) AS BIGINT) AS stock_end
+FROM mrt_stock s WHERE s.day = (SELECT max(day) FROM mrt_stock)
+GROUP BY s.day, s.marketplace, s.account_id, s.product_id, s.warehouse_id"""
+
+CTES["api_kpis"] = """
+SELECT s.marketplace, s.account_id, s.revenue_30d, s.qty_30d, s.returns_30d,
+       COALESCE(a.cost_30d, 0) AS cost_30d, COALESCE(a.acos_30d, 0) AS acos_30d
+FROM kpi_sales_30d s LEFT JOIN kpi_ads_30d a USING (marketplace, account_id)"""
+
+# --------------------------------------------------------------- quality
+NOW = "TIMESTAMP '2024-01-31 03:00:00'"
+TSF = "'%Y-%m-%d %H:%M:%S.%f'"
+
+CTES["dq_c1"] = f"""
+SELECT 'stale_marts' AS "check", t AS table_name, CAST(NULL AS VARCHAR) AS account_id, t AS entity_id,
+       COALESCE(strftime(last_updated, {TSF}), 'empty') AS detail
+FROM (SELECT 'mrt_sales_daily' AS t, (SELECT max(updated_at) FROM mrt_sales) AS last_updated
+      UNION ALL SELECT 'mrt_stock_daily', (SELECT max(updated_at) FROM mrt_stock)
+      UNION ALL SELECT 'mrt_funnel_daily', (SELECT max(updated_at) FROM mrt_funnel)
+      UNION ALL SELECT 'mrt_ads_daily', (SELECT max(updated_at) FROM mrt_ads))
+WHERE (last_updated IS NULL OR last_updated < {NOW} - INTERVAL 2 HOUR)
+  AND EXISTS (SELECT 1 FROM sys_task_runs WHERE task_name LIKE 'task_1%' AND status = 'success')"""
+
+CTES["wm_backward"] = """
+SELECT source, account_id, prev AS previous_watermark, watermark_ts, updated_at FROM (
+  SELECT *, LAG(watermark_ts) OVER (PARTITION BY source, account_id ORDER BY updated_at, watermark_ts) AS prev
+  FROM sys_watermarks WHERE watermark_ts IS NOT NULL) WHERE watermark_ts < prev"""
+
+CTES["dq_c2"] = f"""
+SELECT 'watermark_monotonicity' AS "check", 'sys_watermarks' AS table_name, account_id, source AS entity_id,
+       strftime(watermark_ts, {TSF}) || ' < ' || strftime(previous_watermark, {TSF}) AS detail
+FROM wm_backward"""
+
+_DUP = (("stg_sales", "stg_sales", ("marketplace", "account_id", "order_id", "product_id", "event_ts")),
+        ("stg_orders", "stg_orders", ("marketplace", "account_id", "order_id", "event_ts")),
+        ("stg_stocks", "stg_stocks", ("marketplace", "account_id", "day", "product_id", "warehouse_id")),
+        ("stg_funnel_daily", "stg_funnel", ("marketplace", "account_id", "day", "product_id")),
+        ("stg_ads_daily", "stg_ads", ("marketplace", "account_id", "day", "campaign_id")),
+        ("stg_finance_ops", "stg_finance", ("marketplace", "account_id", "operation_id", "operation_ts")),
+        ("mrt_sales_daily", "mrt_sales", ("marketplace", "account_id", "day", "product_id")),
+        ("mrt_stock_daily", "mrt_stock", ("marketplace", "account_id", "day", "product_id", "warehouse_id")),
+        ("mrt_funnel_daily", "mrt_funnel", ("marketplace", "account_id", "day", "product_id")),
+        ("mrt_ads_daily", "mrt_ads", ("marketplace", "account_id", "day", "campaign_id")),
+        ("raw_wb_sales", "raw_wb_sales", ("account_id", "srid")))
+_TS_COLS = ("event_ts", "operation_ts")
+
+
+def _dup_sql(label: str, cte: str, key) -> str:
+    parts = ", ".join(f"COALESCE(strftime({k}, {TSF}), '')" if k in _TS_COLS else f"COALESCE(CAST({k} AS VARCHAR), '')"
+                      for k in key)
+    return (f"SELECT 'duplicate_grains' AS \"check\", '{label}' AS table_name, account_id, "
+            f"concat_ws('|', {parts}) AS entity_id, CAST(count(*) AS VARCHAR) AS detail "
+            f"FROM {cte} GROUP BY {', '.join(key)} HAVING count(*) > 1")
+
+
+CTES["dq_c3"] = "\nUNION ALL ".join(_dup_sql(*s) for s in _DUP)
+
+CTES["dq_c4"] = f"""
+SELECT 'impossible_timestamps' AS "check", 'raw_wb_sales' AS table_name, account_id, srid AS entity_id,
+       strftime(event_ts, {TSF}) AS detail FROM raw_wb_sales WHERE event_ts > {NOW} + INTERVAL 5 MINUTE
+UNION ALL
+SELECT 'impossible_timestamps', 'raw_wb_orders', account_id, srid, strftime(event_ts, {TSF})
+FROM raw_wb_orders WHERE event_ts > {NOW} + INTERVAL 5 MINUTE
+UNION ALL
+SELECT 'impossible_timestamps', 'raw_ozon_postings', account_id, posting_number, strftime(created_at, {TSF})
+FROM raw_ozon_postings WHERE created_at > {NOW} + INTERVAL 5 MINUTE
+   OR (delivered_at IS NOT NULL AND delivered_at < created_at) OR (canceled_at IS NOT NULL AND canceled_at < created_at)
+UNION ALL
+SELECT 'impossible_timestamps', 'stg_sales', account_id, order_id, strftime(event_ts, {TSF})
+FROM stg_sales WHERE event_ts > {NOW} + INTERVAL 5 MINUTE"""
+
+CTES["dq_c5"] = """
+SELECT 'invalid_values' AS "check", 'mrt_stock_daily_negative' AS table_name, account_id, product_id AS entity_id,
+       CAST(stock_end AS VARCHAR) AS detail FROM mrt_stock WHERE stock_end < 0
+UNION ALL
+SELECT 'invalid_values', 'mrt_ads_daily_negative_cost', account_id, campaign_id, CAST(cost AS VARCHAR)
+FROM mrt_ads WHERE cost < 0 OR revenue < 0
+UNION ALL
+SELECT 'invalid_values', 'mrt_funnel_daily_impossible_counts', account_id, product_id,
+       CAST(views AS VARCHAR) || '/' || CAST(adds_to_cart AS VARCHAR) || '/' || CAST(orders AS VARCHAR)
+FROM mrt_funnel WHERE adds_to_cart > views OR orders > adds_to_cart"""
+
+CTES["dq_all"] = """
+SELECT * FROM dq_c1 UNION ALL SELECT * FROM dq_c2 UNION ALL SELECT * FROM dq_c3
+UNION ALL SELECT * FROM dq_c4 UNION ALL SELECT * FROM dq_c5"""
+
+CTES["dq_summary"] = """
+SELECT c."check", CASE c."check"
+         WHEN 'stale_marts' THEN 'mart tables are stale or empty after successful marts runs'
+         WHEN 'watermark_monotonicity' THEN 'watermarks moved backwards for one or more source/account pairs'
+         WHEN 'duplicate_grains' THEN 'canonical stg/mrt tables contain duplicate rows on expected grain'
+         WHEN 'impossible_timestamps' THEN 'future or chronologically impossible timestamps were detected'
+         WHEN 'invalid_values' THEN 'negative or impossible aggregate values were detected' END AS summary,
+       c.failures, s.samples
+FROM (SELECT "check", count(*) AS failures FROM dq_all GROUP BY "check") c
+JOIN (SELECT "check", string_agg(sample, ';' ORDER BY rn) AS samples FROM (
+        SELECT "check", table_name || ':' || COALESCE(account_id, '') || ':' || entity_id AS sample,
+               ROW_NUMBER() OVER (PARTITION BY "check" ORDER BY table_name, account_id NULLS FIRST, entity_id, detail) AS rn
+        FROM dq_all) WHERE rn <= 3 GROUP BY "check") s USING ("check")"""
