@@ -688,3 +688,102 @@ def w9(p: Pipeline) -> DataFrame:
     ev = p.table("events").withColumn("day", F.to_date("ts"))
     a = redaction.assign_date_window(ev, "day", dt.date(2024, 1, 1), dt.date(2024, 1, 30), 7)
     return a.groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("events"))
+
+
+# ============================================================ JSON sources
+
+from vitrine.operators import normalize  # noqa: E402
+from vitrine.sources import feeds, landing  # noqa: E402
+
+_RUN, _ACC = "landing", "acc-landing"
+_LI_SHIFT = "l_shipdate + INTERVAL 8430 DAY"
+_META_SQL = f"'{_RUN}' AS run_id, '{_ACC}' AS account_id"
+
+
+def _recs(lines: DataFrame) -> DataFrame:
+    return feeds.unwrap(lines, keep=["ingested_at"])
+
+
+@register("p1_s9_wb_sales_from_json",
+          f"SELECT {_LI_SHIFT} AS ingested_at, {_META_SQL}, "
+          f"CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS srid, "
+          f"{_LI_SHIFT} AS last_change_ts, {_LI_SHIFT} AS event_ts, l_partkey AS nm_id, l_suppkey AS chrt_id, "
+          f"'bc-' || CAST(l_partkey AS VARCHAR) AS barcode, CAST(l_quantity AS INTEGER) AS quantity, "
+          f"CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price_rub, "
+          f"CASE WHEN l_linenumber <> 1 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) ELSE 0.0 END "
+          f"AS payout_rub, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_return FROM lineitem")
+def p1(p: Pipeline) -> DataFrame:
+    recs = _recs(landing.wb_sales_pages(p.table("lineitem")))
+    return normalize.wb_sales(recs, _RUN, _ACC).drop("payload")
+
+
+_POSTING_NO = ("CASE WHEN l_linenumber <> 6 OR l_returnflag <> 'N' THEN CAST(l_orderkey AS VARCHAR) || '-' || "
+               "CAST(l_linenumber AS VARCHAR) ELSE '' END")
+
+
+@register("p5_s9_ozon_postings_from_json",
+          f"SELECT {_LI_SHIFT} AS ingested_at, {_META_SQL}, {_POSTING_NO} AS posting_number, "
+          f"CASE WHEN l_linestatus = 'F' THEN 'delivered' ELSE 'awaiting_packaging' END AS status, "
+          f"{_LI_SHIFT} AS created_at, {_LI_SHIFT} + INTERVAL 1 HOUR AS in_process_at, "
+          f"CASE WHEN l_linenumber % 2 = 0 THEN {_LI_SHIFT} + INTERVAL 5 HOUR END AS shipped_at, "
+          f"CASE WHEN l_linestatus = 'F' THEN {_LI_SHIFT} + INTERVAL 2 DAY END AS delivered_at, "
+          f"CASE WHEN l_returnflag = 'R' THEN {_LI_SHIFT} + INTERVAL 1 DAY END AS canceled_at, "
+          f"NULLIF(l_suppkey % 4, 0) AS ozon_warehouse_id FROM lineitem")
+def p5(p: Pipeline) -> DataFrame:
+    recs = _recs(landing.ozon_posting_pages(p.table("lineitem")))
+    return normalize.ozon_postings(recs, _RUN, _ACC).drop("payload")
+
+
+@register("p6_ozon_items_from_json",
+          f"SELECT {_LI_SHIFT} AS ingested_at, {_META_SQL}, {_POSTING_NO} AS posting_number, "
+          f"l_partkey AS ozon_product_id, 'offer-' || CAST(l_partkey AS VARCHAR) AS offer_id, "
+          f"'item ' || CAST(l_partkey AS VARCHAR) AS name, GREATEST(1, CAST(l_quantity AS INTEGER)) AS quantity, "
+          f"CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price, "
+          f"CAST(CASE WHEN l_linenumber <> 3 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.9 AS DECIMAL(18,2)) "
+          f"ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS DOUBLE) AS payout FROM lineitem WHERE l_linenumber <> 7")
+def p6(p: Pipeline) -> DataFrame:
+    recs = _recs(landing.ozon_posting_pages(p.table("lineitem")))
+    return normalize.ozon_posting_items(recs, _RUN, _ACC).drop("payload")
+
+
+@register("p7_ozon_stocks_from_json",
+          f"SELECT ts AS ingested_at, {_META_SQL}, ts AS snapshot_ts, user_id AS ozon_product_id, "
+          f"'offer-' || CAST(user_id AS VARCHAR) AS offer_id, NULLIF(user_id % 3, 0) AS warehouse_id, "
+          f"CAST(FLOOR(value) AS INTEGER) AS present, CAST(event_id % 3 AS INTEGER) AS reserved "
+          f"FROM events WHERE user_id % 2 = 1")
+def p7(p: Pipeline) -> DataFrame:
+    recs = _recs(landing.ozon_stock_pages(p.table("events")))
+    return normalize.ozon_stocks(recs, _RUN, _ACC, F.col("ingested_at")).drop("payload")
+
+
+@register("p8_ozon_ads_from_json",
+          f"SELECT ingested_at, {_META_SQL}, day, campaign_id, impressions, clicks, CAST(cost AS DOUBLE) AS cost, "
+          f"orders, CAST(revenue AS DOUBLE) AS revenue FROM raw_ozon_ads_daily")
+def p8(p: Pipeline) -> DataFrame:
+    recs = _recs(landing.ozon_ads_pages(p.raw("raw_ozon_ads_daily")))
+    return normalize.ozon_ads(recs, _RUN, _ACC).drop("payload")
+
+
+@register("p9_finance_from_json",
+          f"SELECT o_orderdate + INTERVAL 8430 DAY AS ingested_at, {_META_SQL}, CAST(o_orderkey AS VARCHAR) AS operation_id, "
+          f"o_orderdate + INTERVAL 8430 DAY AS operation_ts, o_orderpriority AS type, "
+          f"CAST(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) "
+          f"ELSE -CAST(o_totalprice AS DECIMAL(18,2)) END AS DOUBLE) AS amount, 'RUB' AS currency FROM orders")
+def p9(p: Pipeline) -> DataFrame:
+    recs = _recs(landing.ozon_finance_pages(p.table("orders")).drop("account_id"))
+    return normalize.ozon_finance(recs, _RUN, _ACC).drop("payload")
+
+
+@register("s10_postings_schema_merge",
+          f"SELECT posting_key, CASE WHEN bool_or(s = 'fbo') THEN 'fbo' ELSE 'fbs' END AS schema FROM ("
+          f"SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS posting_key, 'fbs' AS s "
+          f"FROM lineitem WHERE l_linenumber <> 6 OR l_returnflag <> 'N' UNION ALL "
+          f"SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), 'fbo' FROM lineitem "
+          f"WHERE l_returnflag = 'A') GROUP BY posting_key "
+          f"UNION ALL SELECT NULL, 'fbs' FROM lineitem WHERE l_linenumber = 6 AND l_returnflag = 'N'")
+def s10(p: Pipeline) -> DataFrame:
+    li = p.table("lineitem")
+    fbs = _recs(landing.ozon_posting_pages(li))
+    fbo = _recs(landing.ozon_posting_pages(li.where(F.col("l_returnflag") == "A"), status="fbo_override"))
+    merged = feeds.merge_schemas([("fbs", fbs), ("fbo", fbo)], order_cols=("ingested_at", "pos", "payload"))
+    return merged.select("posting_key", "schema")
