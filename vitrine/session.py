@@ -56,3 +56,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="vitrine-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def spread(df):
+    """Round-robin a DataFrame over the cluster's cores when its source has
+    fewer splits than that (a small file of a few Parquet row groups) and the
+    work that follows is CPU-bound per row.  On a cluster reading thousands
+    of files the scan is already wider and this is a no-op (no shuffle)."""
+    try:
+        sc = df.sparkSession.sparkContext
+        want = sc.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            return df.repartition(want)
+    except Exception:  # e.g. a session without RDD access: keep the scan's splits
+        pass
+    return df
