@@ -2,7 +2,7 @@
 
 Layout of a table root::
 
-    <root>/v=<n>/day=<yyyy-mm-dd>/part-*.parquet   data written by version n
+    <root>/table_version=<n>/day=<yyyy-mm-dd>/*.parquet   data written by version n
     <root>/_manifest/<n>.json                      day → list of data directories
     <root>/_CURRENT                                name of the live manifest
 
@@ -31,6 +31,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+VERSION_KEY = "table_version"  # directory key of a write version (never a data column)
+
+
 class _FS:
     def __init__(self, spark: SparkSession, root: str):
         jvm = spark.sparkContext._jvm
@@ -107,19 +110,19 @@ def read_table(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
     if schema is not None:
         r = r.schema(schema)
     df = r.parquet(*paths)
-    return df.drop("v").withColumn("day", F.col("day").cast("date"))
+    return df.drop(VERSION_KEY).withColumn("day", F.col("day").cast("date"))
 
 
 def _write_version(df: DataFrame, fs: _FS, version: int, day_col: str) -> tuple[list[str], int]:
-    """Write rows partitioned by day into ``v=<version>``; returns (days, rows)."""
+    """Write rows partitioned by day into ``table_version=<version>``; returns (days, rows)."""
     obs = Observation(f"write_v{version}")
     counted = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     # REBALANCE by day: AQE sizes the write tasks and splits a hot day across
     # several tasks (and files) instead of sending it to one
     (counted.hint("rebalance", day_col).sortWithinPartitions(day_col)
-     .write.mode("errorifexists").partitionBy(day_col).parquet(f"{fs.root}/v={version}"))
+     .write.mode("errorifexists").partitionBy(day_col).parquet(f"{fs.root}/{VERSION_KEY}={version}"))
     rows = int(obs.get.get("rows", 0))
-    days = [d.split("=", 1)[1] for d in fs.list_dirs(f"v={version}") if d.startswith(f"{day_col}=")]
+    days = [d.split("=", 1)[1] for d in fs.list_dirs(f"{VERSION_KEY}={version}") if d.startswith(f"{day_col}=")]
     return days, rows
 
 
@@ -136,7 +139,7 @@ def append(spark: SparkSession, root: str, df: DataFrame, day_col: str = "day",
     v = m["version"] + 1
     days, rows = _write_version(df, fs, v, day_col)
     for d in days:
-        m["days"].setdefault(d, []).append(f"v={v}/{day_col}={d}")
+        m["days"].setdefault(d, []).append(f"{VERSION_KEY}={v}/{day_col}={d}")
     m["version"] = v
     if batch_id is not None:
         m["batches"] = (m.get("batches", []) + [batch_id])[-1000:]
@@ -156,7 +159,7 @@ def windowed_replace(spark: SparkSession, root: str, new_rows: DataFrame, cutoff
     days, rows = _write_version(window, fs, v, day_col)
     keep = {d: p for d, p in m["days"].items() if dt.date.fromisoformat(d) < cutoff}
     for d in days:
-        keep[d] = [f"v={v}/{day_col}={d}"]
+        keep[d] = [f"{VERSION_KEY}={v}/{day_col}={d}"]
     _commit(fs, {**m, "version": v, "days": keep})
     return rows
 
@@ -183,7 +186,7 @@ def vacuum(spark: SparkSession, root: str) -> list[str]:
     fs = _FS(spark, root)
     m = _manifest(fs)
     live = {p.split("/", 1)[0] for dirs in m["days"].values() for p in dirs}
-    gone = [d for d in fs.list_dirs() if d.startswith("v=") and d not in live]
+    gone = [d for d in fs.list_dirs() if d.startswith(f"{VERSION_KEY}=") and d not in live]
     for d in gone:
         fs.delete(d)
     return gone
