@@ -787,3 +787,34 @@ def s10(p: Pipeline) -> DataFrame:
     fbo = _recs(landing.ozon_posting_pages(li.where(F.col("l_returnflag") == "A"), status="fbo_override"))
     merged = feeds.merge_schemas([("fbs", fbs), ("fbo", fbo)], order_cols=("ingested_at", "pos", "payload"))
     return merged.select("posting_key", "schema")
+
+
+@register("p2_wb_orders_from_json",
+          f"SELECT {_LI_SHIFT} AS ingested_at, {_META_SQL}, "
+          f"CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS srid, "
+          f"{_LI_SHIFT} AS last_change_ts, {_LI_SHIFT} AS event_ts, l_partkey AS nm_id, l_suppkey AS chrt_id, "
+          f"CASE WHEN l_linenumber = 4 THEN 1 ELSE GREATEST(1, CAST(l_quantity AS INTEGER)) END AS quantity, "
+          f"CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price_rub FROM lineitem")
+def p2(p: Pipeline) -> DataFrame:
+    recs = _recs(landing.wb_order_pages(p.table("lineitem")))
+    return normalize.wb_orders(recs, _RUN, _ACC).drop("payload")
+
+
+@register("p3_wb_stocks_from_json",
+          f"SELECT ts AS ingested_at, {_META_SQL}, ts AS snapshot_ts, NULLIF(user_id, 0) AS nm_id, "
+          f"user_id AS chrt_id, 'sku-' || CAST(user_id AS VARCHAR) AS sku, NULLIF(user_id % 3, 0) AS warehouse_id, "
+          f"CAST(FLOOR(value) AS INTEGER) AS amount FROM events WHERE user_id % 2 = 0")
+def p3(p: Pipeline) -> DataFrame:
+    recs = _recs(landing.wb_stock_pages(p.table("events")))
+    return normalize.wb_stocks(recs, _RUN, _ACC, F.col("ingested_at")).drop("payload")
+
+
+@register("p4_wb_funnel_from_json",
+          f"SELECT ingested_at, {_META_SQL}, day, nm_id, open_card_count, add_to_cart_count, orders_count, "
+          f"CAST(orders_sum_rub AS DOUBLE) AS orders_sum_rub, buyouts_count, 0.0::DOUBLE AS buyouts_sum_rub, "
+          f"cancel_count, 0.0::DOUBLE AS cancel_sum_rub, 0.0::DOUBLE AS add_to_cart_conv, "
+          f"0.0::DOUBLE AS cart_to_order_conv, 0.0::DOUBLE AS buyout_percent, CAST(0 AS BIGINT) AS add_to_wishlist, "
+          f"'RUB' AS currency FROM raw_wb_funnel_daily")
+def p4(p: Pipeline) -> DataFrame:
+    recs = _recs(landing.wb_funnel_pages(p.raw("raw_wb_funnel_daily")))
+    return normalize.wb_funnel(recs, _RUN, _ACC).drop("payload")

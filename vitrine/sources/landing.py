@@ -156,3 +156,49 @@ def ozon_finance_pages(orders: DataFrame) -> DataFrame:
 
 def _acct_col(c: str) -> Column:
     return F.concat(F.lit("acc"), (F.col(c) % 5).cast("string")).alias("account_id")
+
+
+def wb_order_pages(lineitem: DataFrame) -> DataFrame:
+    """wb orders: id under srid / odid / gNumber, quantity missing on line 4,
+    price under three aliases."""
+    ts = _shift("l_shipdate")
+    ln, ok = F.col("l_linenumber"), F.col("l_orderkey")
+    srid = F.concat_ws("-", ok.cast("string"), ln.cast("string"))
+    price = F.col("l_extendedprice").cast(MONEY)
+    rec = F.struct(
+        F.when(ln % 3 == 0, srid).alias("srid"), F.when(ln % 3 == 1, srid).alias("odid"),
+        F.when(ln % 3 == 2, srid).alias("gNumber"),
+        F.when(ok % 2 == 0, _iso(ts)).alias("lastChangeDate"), F.when(ok % 2 == 1, _iso(ts)).alias("lastChangeDt"),
+        _iso(ts, 5).alias("date"), F.col("l_partkey").alias("nmId"), F.col("l_suppkey").alias("chrtId"),
+        F.when(ln != 4, F.col("l_quantity").cast("int")).alias("quantity"),
+        F.when(ok % 3 == 0, price).alias("totalPrice"), F.when(ok % 3 == 1, price).alias("priceWithDisc"),
+        F.when(ok % 3 == 2, price.cast("string")).alias("price"))
+    return spread(lineitem).select(ts.alias("ingested_at"), _page(F.to_json(rec), F.lit(0)).alias("line"))
+
+
+def wb_stock_pages(events: DataFrame) -> DataFrame:
+    """wb stocks (even users): amount under quantity / quantityFull / inWayToClient."""
+    e = events.where(F.col("user_id") % 2 == 0)
+    amount = F.floor("value").cast("int")
+    k = F.col("event_id") % 3
+    rec = F.struct(F.col("user_id").alias("nmId"), F.col("user_id").alias("chrtId"),
+                   F.concat(F.lit("sku-"), F.col("user_id")).alias("sku"),
+                   (F.col("user_id") % 3).alias("warehouseId"),
+                   F.when(k == 0, amount).alias("quantity"), F.when(k == 1, amount).alias("quantityFull"),
+                   F.when(k == 2, amount).alias("inWayToClient"))
+    return spread(e).select(F.col("ts").alias("ingested_at"), _page(F.to_json(rec), F.lit(2)).alias("line"))
+
+
+def wb_funnel_pages(raw_funnel: DataFrame) -> DataFrame:
+    """wb funnel from the B5 binding, each measure under one of its aliases."""
+    alt = F.abs(F.hash("nm_id", "day")) % 2 == 1
+    pick = lambda a, b, c: [F.when(~alt, c).alias(a), F.when(alt, c).alias(b)]
+    rec = F.struct(
+        *pick("date", "day", F.col("day").cast("string")), *pick("nmId", "nm_id", F.col("nm_id")),
+        *pick("openCardCount", "views", F.col("open_card_count")),
+        *pick("addToCartCount", "addsToCart", F.col("add_to_cart_count")),
+        *pick("ordersCount", "orders", F.col("orders_count")),
+        *pick("ordersSumRub", "ordersRevenue", F.col("orders_sum_rub").cast("string")),
+        *pick("buyoutsCount", "buyouts", F.col("buyouts_count")),
+        *pick("cancelCount", "cancels", F.col("cancel_count")))
+    return raw_funnel.select("ingested_at", _page(F.to_json(rec), F.lit(2)).alias("line"))
