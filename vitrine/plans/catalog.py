@@ -785,7 +785,7 @@ def s10(p: Pipeline) -> DataFrame:
     li = p.table("lineitem")
     fbs = _recs(landing.ozon_posting_pages(li))
     fbo = _recs(landing.ozon_posting_pages(li.where(F.col("l_returnflag") == "A"), status="fbo_override"))
-    merged = feeds.merge_schemas([("fbs", fbs), ("fbo", fbo)], order_cols=("ingested_at", "pos", "payload"))
+    merged = feeds.merge_schemas([("fbs", fbs), ("fbo", fbo)], order_cols=("ingested_at", "pos"))
     return merged.select("posting_key", "schema")
 
 

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.values import Fields, as_text, is_object
 
-# Envelope paths holding the record list, tried in this order.
-ENVELOPE_PATHS = ("$.result.postings", "$.result.operations", "$.result.items", "$.result", "$.data", "$")
+# Envelope paths holding the record list, tried in this order.  A
+# bare list cannot match an object path (and vice versa), so "$" goes first:
+# the most common page shape needs one lookup.
+ENVELOPE_PATHS = ("$", "$.result.postings", "$.result.operations", "$.result.items", "$.result", "$.data")
 POSTING_KEY = ("posting_number", "postingNumber", "order_id")
 
 
