@@ -64,3 +64,14 @@ def test_seeds(spark):
     mk, acc = K.seed_dimensions(spark, dt.datetime(2026, 1, 1))
     assert sorted(r.marketplace for r in mk.collect()) == ["ozon", "wb"]
     assert acc.where(F.col("account_id") == "default").count() == 2
+
+
+def test_dim_product_upsert_keeps_newest(spark):
+    from vitrine.operators import staging
+    cols = ", ".join(f"{c} string" for c in staging.DIM_PRODUCT_COLS[:-1]) + ", updated_at timestamp_ntz"
+    t0, t1 = dt.datetime(2026, 3, 1), dt.datetime(2026, 3, 2)
+    row = lambda pid, title, ts: ("wb", "a", pid, None, None, None, None, None, title, None, None, ts)
+    old = spark.createDataFrame([row("1", "old", t0), row("2", "keep", t0)], cols)
+    new = spark.createDataFrame([row("1", "new", t1)], cols)
+    got = sorted((r.product_id, r.title) for r in staging.dim_product(new, new.limit(0), existing=old).collect())
+    assert got == [("1", "new"), ("2", "keep")]

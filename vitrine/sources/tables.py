@@ -109,8 +109,8 @@ def read_table(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
     r = spark.read.option("basePath", fs.root)
     if schema is not None:
         r = r.schema(schema)
-    df = r.parquet(*paths)
-    return df.drop(VERSION_KEY).withColumn("day", F.col("day").cast("date"))
+    df = r.parquet(*paths).drop(VERSION_KEY)
+    return df.withColumn("day", F.col("day").cast("date")) if "day" in df.columns else df
 
 
 def _write_version(df: DataFrame, fs: _FS, version: int, day_col: str) -> tuple[list[str], int]:
