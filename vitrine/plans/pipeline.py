@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.operators import marts, staging
+from vitrine.session import checkpoint_dir
 from vitrine.sources import bindings as B
 
 # Fixed parameters of the registered plans (mirrored by the oracle SQL).
@@ -34,6 +35,19 @@ class Pipeline:
     def raw(self, name: str) -> DataFrame:
         return self.wh.raw(name)
 
+    SHARED = ("stg_sales", "stg_orders", "stg_stocks", "stg_funnel", "stg_ads", "stg_finance",
+              "mrt_sales", "mrt_stock", "mrt_funnel", "mrt_ads")
+
+    def materialize(self, names=SHARED) -> "Pipeline":
+        """Compute the shared staging and mart frames once for a query that reads
+        each of them many times (the quality report): reliable checkpoints in the
+        cluster's shared ``spark.checkpoint.dir`` cut the lineage, so every consumer
+        scans the stored result and a lost executor does not recompute from raw."""
+        checkpoint_dir(self.spark)
+        for name in names:  # staging first: the marts are then built from the stored staging
+            self.__dict__[name] = getattr(self, name).checkpoint(eager=True)
+        return self
+
     def table(self, name: str) -> DataFrame:
         return self.wh.t(name)
 

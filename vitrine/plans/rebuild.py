@@ -72,10 +72,11 @@ def rebuild_marts(spark: SparkSession, stg_root: str, root: str, as_of: dt.date,
     }
     out = {}
     for name, (src, build, window) in builders.items():
-        stg = tables.read_table(spark, f"{stg_root}/{src}")
+        cutoff = as_of - dt.timedelta(days=window)
+        # only the window's staging days are listed and read: a row with day >= cutoff is
+        # stored under part_day = day (NULL-day rows fall out of every mart window anyway)
+        stg = tables.read_table(spark, f"{stg_root}/{src}", day_from=cutoff, day_to=as_of)
         if stg is None:
             continue
-        # stored by part_day; the marts group by the row's own day (NULL days fall out of every window)
-        cutoff = as_of - dt.timedelta(days=window)
         out[name] = tables.windowed_replace(spark, f"{root}/{name}", build(stg, as_of, window, ts), cutoff)
     return out

@@ -99,11 +99,17 @@ def _commit(fs: _FS, manifest: dict) -> None:
     fs.replace("_CURRENT.tmp", "_CURRENT")
 
 
-def read_table(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
-    """The live rows (``day`` as a date column), or None for an empty table."""
+def read_table(spark: SparkSession, root: str, schema=None, day_from: dt.date | None = None,
+               day_to: dt.date | None = None) -> DataFrame | None:
+    """The live rows (``day`` as a date column), or None for an empty table.
+
+    ``day_from`` / ``day_to`` prune whole day directories from the manifest
+    before any file is listed (partition pruning without a metastore)."""
     fs = _FS(spark, root)
     m = _manifest(fs)
-    paths = [f"{fs.root}/{d}" for dirs in m["days"].values() for d in dirs]
+    keep = lambda d: ((day_from is None or dt.date.fromisoformat(d) >= day_from)
+                      and (day_to is None or dt.date.fromisoformat(d) <= day_to))
+    paths = [f"{fs.root}/{d}" for day, dirs in m["days"].items() if keep(day) for d in dirs]
     if not paths:
         return None
     r = spark.read.option("basePath", fs.root)
