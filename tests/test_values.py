@@ -45,3 +45,13 @@ def test_iso_timestamps_become_utc_wall_time(spark):
     got = _eval(spark, docs, lambda f: parse_ts(f.get("a")))
     assert got == [dt.datetime(2026, 3, 1, 10, 15), dt.datetime(2026, 3, 1, 7, 15), dt.datetime(2026, 3, 1, 10, 15),
                    dt.datetime(2026, 3, 1), dt.datetime(2026, 3, 1, 10, 15), None, None, None]
+
+
+def test_out_of_range_numbers_do_not_fail_the_job(spark):
+    from vitrine.operators import normalize as N
+    docs = [{"srid": "x", "quantity": 1e20, "nmId": 1e30, "forPay": 1e30},
+            {"srid": "y", "quantity": -9223372036854775808}]
+    rows = {r.srid: r for r in N.wb_sales(recs(spark, docs), "r", "a").collect()}
+    # beyond BIGINT: the default (1), as for any value int() cannot store
+    assert rows["x"].quantity == 1 and rows["x"].nm_id == 0 and float(rows["x"].price_rub) == 0.0
+    assert rows["y"].quantity is None and rows["y"].is_return == 1

@@ -105,7 +105,7 @@ def safe_int(x: Typed, default: int | Column | None = 0) -> Column:
     d = default if isinstance(default, Column) else F.lit(default).cast("bigint")
     val = (F.when(t.isin(*_INT_TYPES), F.try_variant_get(x.v, "$", "bigint"))
            .when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"),
-                 F.try_variant_get(x.v, "$", "double").cast("bigint"))
+                 F.try_variant_get(x.v, "$", "double").try_cast("bigint"))
            .when(t == "STRING", F.trim(F.try_variant_get(x.v, "$", "string")).try_cast("bigint"))
            .when(t == "BOOLEAN", F.try_variant_get(x.v, "$", "boolean").cast("bigint")))
     return F.coalesce(val, d)

@@ -105,7 +105,8 @@ def wb_sales(recs: DataFrame, run_id: str, account_id: str, payout_aliases=WB_SA
     return x.select(
         "ingested_at", "run_id", "account_id", "srid", "last_change_ts",
         F.coalesce("_event", "last_change_ts").alias("event_ts"), "nm_id", "chrt_id", "barcode",
-        F.abs("_qty").cast("int").alias("quantity"), "price_rub", "payout_rub",
+        F.when(F.col("_qty") < 0, F.try_subtract(F.lit(0), F.col("_qty"))).otherwise(F.col("_qty"))
+        .try_cast("int").alias("quantity"), "price_rub", "payout_rub",
         F.when((F.col("_qty") < 0) | F.col("_op_return"), 1).otherwise(0).alias("is_return"), "payload")
 
 
@@ -118,7 +119,7 @@ def wb_orders(recs: DataFrame, run_id: str, account_id: str) -> DataFrame:
         F.coalesce(parse_ts(f.first(WB_CHANGE_TIME)), F.col("ingested_at")).alias("last_change_ts"),
         parse_ts(f.get("date")).alias("_event"),
         safe_int(f.get("nmId")).alias("nm_id"), safe_int(f.get("chrtId")).alias("chrt_id"),
-        F.greatest(F.lit(1), safe_int(f.get("quantity"), 1)).cast("int").alias("quantity"),
+        F.greatest(F.lit(1), safe_int(f.get("quantity"), 1)).try_cast("int").alias("quantity"),
         safe_money(f.first(WB_ORDERS_PRICE)).alias("price_rub"),
         F.col("payload")]
     x = f.stage(recs).select(*exprs)
@@ -140,7 +141,7 @@ def wb_stocks(recs: DataFrame, run_id: str, account_id: str, snapshot_ts) -> Dat
         safe_int(f.get("chrtId")).alias("chrt_id"),
         as_text(f.get("sku")).alias("sku"),
         F.nullif(safe_int(f.get("warehouseId")), F.lit(0)).alias("warehouse_id"),
-        safe_int(f.first(WB_STOCK_AMOUNT)).cast("int").alias("amount"),
+        safe_int(f.first(WB_STOCK_AMOUNT)).try_cast("int").alias("amount"),
         F.col("payload")]
     return f.stage(recs).select(*exprs)
 
@@ -191,7 +192,7 @@ def ozon_posting_items(recs: DataFrame, run_id: str, account_id: str) -> DataFra
         *_meta(run_id, account_id), "posting_number",
         safe_int(f.get("product_id")).alias("ozon_product_id"),
         as_text(f.get("offer_id")).alias("offer_id"), as_text(f.get("name")).alias("name"),
-        F.greatest(F.lit(1), safe_int(f.get("quantity"), 1)).cast("int").alias("quantity"),
+        F.greatest(F.lit(1), safe_int(f.get("quantity"), 1)).try_cast("int").alias("quantity"),
         safe_money(f.get("price")).alias("price"),
         safe_money(f.first(("payout", "price"))).cast("decimal(18,4)").alias("payout"),
         F.to_json("p").alias("payload")]
@@ -211,8 +212,8 @@ def ozon_stocks(recs: DataFrame, run_id: str, account_id: str, snapshot_ts) -> D
         safe_int(it.get("product_id")).alias("ozon_product_id"),
         as_text(it.get("offer_id")).alias("offer_id"),
         F.nullif(safe_int(st.get("warehouse_id")), F.lit(0)).alias("warehouse_id"),
-        safe_int(st.get("present")).cast("int").alias("present"),
-        safe_int(st.get("reserved")).cast("int").alias("reserved"),
+        safe_int(st.get("present")).try_cast("int").alias("present"),
+        safe_int(st.get("reserved")).try_cast("int").alias("reserved"),
         F.when(F.col("nested"), F.to_json(F.struct(v.alias("item"), F.col("s").alias("stock"))))
         .otherwise(F.col("payload")).alias("payload")]
     return st.stage(it.stage(x)).select(*exprs)
