@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators import marts, staging
+from vitrine.schemas import MART_KEYS, STG_KEYS
 from vitrine.sources import tables
 
 PART = "part_day"
@@ -54,7 +55,8 @@ def rebuild_staging(spark: SparkSession, raw: dict[str, DataFrame], root: str, a
     for name, df in staging_frames(raw, as_of, d, run_ts or dt.datetime.combine(as_of, dt.time())).items():
         window = max(60, d) if name in ("stg_ads_daily", "stg_finance_ops") else d
         cutoff = as_of - dt.timedelta(days=window)
-        out[name] = tables.windowed_replace(spark, f"{root}/{name}", _with_part(df), cutoff, day_col=PART)
+        out[name] = tables.windowed_replace(spark, f"{root}/{name}", _with_part(df), cutoff, day_col=PART,
+                                            sort_by=tuple(k for k in STG_KEYS[name] if k != "day"))
     return out
 
 
@@ -78,5 +80,6 @@ def rebuild_marts(spark: SparkSession, stg_root: str, root: str, as_of: dt.date,
         stg = tables.read_table(spark, f"{stg_root}/{src}", day_from=cutoff, day_to=as_of)
         if stg is None:
             continue
-        out[name] = tables.windowed_replace(spark, f"{root}/{name}", build(stg, as_of, window, ts), cutoff)
+        out[name] = tables.windowed_replace(spark, f"{root}/{name}", build(stg, as_of, window, ts), cutoff,
+                                            sort_by=tuple(k for k in MART_KEYS[name] if k != "day"))
     return out

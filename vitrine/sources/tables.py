@@ -119,13 +119,16 @@ def read_table(spark: SparkSession, root: str, schema=None, day_from: dt.date |
     return df.withColumn("day", F.col("day").cast("date")) if "day" in df.columns else df
 
 
-def _write_version(df: DataFrame, fs: _FS, version: int, day_col: str) -> tuple[list[str], int]:
-    """Write rows partitioned by day into ``table_version=<version>``; returns (days, rows)."""
+def _write_version(df: DataFrame, fs: _FS, version: int, day_col: str,
+                   sort_by: tuple[str, ...] = ()) -> tuple[list[str], int]:
+    """Write rows partitioned by day into ``table_version=<version>``; returns (days, rows).
+    Files are sorted by day and then ``sort_by`` (the table's key), so Parquet row-group
+    statistics let key lookups skip row groups."""
     obs = Observation(f"write_v{version}")
     counted = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     # REBALANCE by day: AQE sizes the write tasks and splits a hot day across
     # several tasks (and files) instead of sending it to one
-    (counted.hint("rebalance", day_col).sortWithinPartitions(day_col)
+    (counted.hint("rebalance", day_col).sortWithinPartitions(day_col, *sort_by)
      .write.mode("errorifexists").partitionBy(day_col).parquet(f"{fs.root}/{VERSION_KEY}={version}"))
     rows = int(obs.get.get("rows", 0))
     days = [d.split("=", 1)[1] for d in fs.list_dirs(f"{VERSION_KEY}={version}") if d.startswith(f"{day_col}=")]
@@ -154,7 +157,7 @@ def append(spark: SparkSession, root: str, df: DataFrame, day_col: str = "day",
 
 
 def windowed_replace(spark: SparkSession, root: str, new_rows: DataFrame, cutoff: dt.date,
-                     day_col: str = "day") -> int:
+                     day_col: str = "day", sort_by: tuple[str, ...] = ()) -> int:
     """K4: replace every day ``>= cutoff`` with ``new_rows`` (rows before the
     cutoff in ``new_rows`` are ignored).  Days in the window without new rows
     disappear; older days are untouched (no history is rewritten)."""
@@ -162,7 +165,7 @@ def windowed_replace(spark: SparkSession, root: str, new_rows: DataFrame, cutoff
     m = _manifest(fs)
     v = m["version"] + 1
     window = new_rows.where(F.col(day_col) >= F.lit(cutoff))
-    days, rows = _write_version(window, fs, v, day_col)
+    days, rows = _write_version(window, fs, v, day_col, tuple(sort_by))
     keep = {d: p for d, p in m["days"].items() if dt.date.fromisoformat(d) < cutoff}
     for d in days:
         keep[d] = [f"{VERSION_KEY}={v}/{day_col}={d}"]
