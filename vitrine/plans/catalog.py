@@ -845,3 +845,43 @@ def w1_w2(p: Pipeline) -> DataFrame:
     s = sales.select(acct.alias("account_id"), "last_change_ts")
     j = s.join(cur, "account_id").where(F.col("last_change_ts") > F.col("cursor"))
     return j.groupBy("account_id").agg(F.count(F.lit(1)).alias("rows"), F.max("last_change_ts").alias("new_cursor"))
+
+
+# ================================================== W12/W13 as running streams
+
+def _stream_dirs(spark: SparkSession, tag: str) -> tuple[str, str]:
+    import uuid
+    from vitrine.session import checkpoint_dir
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{base}/out", f"{base}/checkpoint"
+
+
+def _event_stream(p: Pipeline) -> DataFrame:
+    """The events table as a file stream (schema from the batch read)."""
+    path = f"{p.sf_dir}/events*.parquet"  # a glob: the file source needs a directory or a pattern
+    return p.spark.readStream.schema(p.table("events").schema).parquet(path)
+
+
+@register("w12_stream_daily_event_counts",
+          "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events, "
+          "CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2")
+def w12(p: Pipeline) -> DataFrame:
+    from vitrine.streaming import ingest as S
+    out, ck = _stream_dirs(p.spark, "w12")
+    S.run_update_stream(S.event_counts_stream(_event_stream(p)), out, ck).awaitTermination()
+    return S.read_update_table(p.spark, out, ["day", "event_type"])
+
+
+@register("w13_stream_latest_stock",
+          "SELECT CAST(snapshot_ts AS DATE) AS day, 'wb' AS marketplace, account_id, "
+          "CAST(chrt_id AS VARCHAR) AS product_id, warehouse_id, CAST(arg_max(amount, snapshot_ts) AS BIGINT) AS stock_end "
+          "FROM raw_wb_stocks GROUP BY 1, 2, 3, 4, 5")
+def w13(p: Pipeline) -> DataFrame:
+    from vitrine.sources import bindings as Bd
+    from vitrine.streaming import ingest as S
+    raw = Bd.raw_wb_stocks(_event_stream(p))
+    stg = raw.select("ingested_at", "account_id", "snapshot_ts", "warehouse_id", "amount",
+                     F.lit("wb").alias("marketplace"), F.col("chrt_id").cast("string").alias("product_id"))
+    out, ck = _stream_dirs(p.spark, "w13")
+    S.run_update_stream(S.latest_stock_stream(stg), out, ck).awaitTermination()
+    return S.read_update_table(p.spark, out, ["day", "marketplace", "account_id", "product_id", "warehouse_id"])
