@@ -885,3 +885,28 @@ def w13(p: Pipeline) -> DataFrame:
     out, ck = _stream_dirs(p.spark, "w13")
     S.run_update_stream(S.latest_stock_stream(stg), out, ck).awaitTermination()
     return S.read_update_table(p.spark, out, ["day", "marketplace", "account_id", "product_id", "warehouse_id"])
+
+
+# ====================================================== K4/K5 on stored tables
+
+_K4_GONE = AS_OF - dt.timedelta(days=3)      # a day whose raw rows vanish before the second rebuild
+_K5_CUTOFF = AS_OF - dt.timedelta(days=20)   # retention cutoff applied afterwards
+
+
+@register("k4_k5_funnel_table",
+          f"SELECT day, marketplace, account_id, product_id, nm_id, views, adds_to_cart, orders, "
+          f"CAST(orders_sum AS DOUBLE) AS orders_sum, buyouts, cancels, add_to_cart_conv, cart_to_order_conv, "
+          f"buyout_percent, wishlist, currency, ingested_at FROM stg_funnel "
+          f"WHERE day >= {_sqld(_K5_CUTOFF)} AND day <> {_sqld(_K4_GONE)}")
+def k4_k5(p: Pipeline) -> DataFrame:
+    """K4 twice + K5 on a real table: a full rebuild, a 14-day rebuild after one
+    day's raw rows vanished (that day disappears, older days stay), then
+    retention drops whole days before the cutoff."""
+    from vitrine.operators import staging as St
+    from vitrine.sources import tables as K
+    root, _ = _stream_dirs(p.spark, "k4")
+    K.windowed_replace(p.spark, root, p.stg_funnel, AS_OF - dt.timedelta(days=p.stg_days))
+    raw = p.raw("raw_wb_funnel_daily").where(F.col("day") != F.lit(_K4_GONE))
+    K.windowed_replace(p.spark, root, St.wb_funnel(raw, AS_OF, 14), AS_OF - dt.timedelta(days=14))
+    K.retain(p.spark, root, _K5_CUTOFF)
+    return K.read_table(p.spark, root).drop("meta_json")

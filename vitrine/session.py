@@ -51,10 +51,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session names none (local tests) a scratch folder is created
     and registered, so cluster jobs always write to the shared location.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        d = d or spark.sparkContext.getCheckpointDir()
+    except Exception:  # a session without a SparkContext handle: only the conf can name it
+        if not d:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        return d
     if not d:
         d = tempfile.mkdtemp(prefix="vitrine-ckpt-")
+    try:
         spark.sparkContext.setCheckpointDir(d)
+    except Exception:
+        pass
     return d
 
 
