@@ -38,3 +38,11 @@ def test_look_ahead_page_and_meta(spark):
     assert (m.returned, m.next_offset, m.has_more) == (10, 10, True)
     assert [r.product_id for r in reads.trim(page, reads.SALES_ORDER(), p).collect()] == [str(i) for i in range(10)]
     assert reads.sales_daily(df, reads.Page(limit=5), paged=True).where("payout IS NULL").count() == 0
+
+
+def test_cluster_settings_scale_with_input():
+    from vitrine.session import cluster_settings
+    big = cluster_settings(100 * 2**40, executor_cores=8, executors=1000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20)
+    small = cluster_settings(10 << 20, executor_cores=8, executors=1)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16

@@ -80,3 +80,26 @@ def spread(df):
     except Exception:  # e.g. a session without RDD access: keep the scan's splits
         pass
     return df
+
+
+def cluster_settings(input_bytes: int, executor_cores: int, executors: int,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Spill-aware sizing for a big run (e.g. 100 TB on 1000 executors).
+
+    * scan splits of ``target_partition_bytes`` (Parquet row groups permitting);
+    * initial shuffle partitions = input / target, at least 2 waves of cores, so
+      the largest shuffle's partitions fit in a task's memory share; AQE then
+      coalesces small ones to the advisory size and splits skewed ones;
+    * broadcast only under Spark's size check (kept at its default).
+    """
+    cores = max(1, executor_cores * executors)
+    parts = max(2 * cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    }
