@@ -19,7 +19,7 @@ def test_one_of_two_rows_triggers(spark):
 
 @pytest.mark.parametrize("expr", ["__import__('os').system('x')", "open('f')", "row.__class__",
                                   "lambda: 1", "[x for x in row]", "row.get('a', 0).bit_length()", "exec('1')",
-                                  "row['a'] is 1", "{**params}"])
+                                  "row['a'] is 1", "{**params}", "max(row['a'], key=abs)"])
 def test_unsafe_expressions_rejected(spark, expr):
     schema = spark.createDataFrame([(1,)], "a int").schema
     with pytest.raises(UnsafeExpressionError):
@@ -43,6 +43,12 @@ EXPRS = [
     "bool(row['b']) and str(row['a']) != '0'",
     "int(row['b']) == -1 or float(row['a']) == 10.0",
     "{'x': 1}.get(row['c'], 0) == 1",
+    "round(row['b'] * 3.3, ndigits=1) > 1.6",
+    "max([row['a'], 2, row['a'] * 2]) > 3",
+    "min((row['a'],)) < 1",
+    "(row['a'] > 0) is True",
+    "(row['a'] > 0) is not False and row['d'] is not None",
+    "row['a'] is True",
 ]
 
 

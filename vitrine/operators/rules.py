@@ -211,9 +211,15 @@ class _Compiler:
             conds = []
             for op, right_node in zip(node.ops, node.comparators):
                 if isinstance(op, (ast.Is, ast.IsNot)):
-                    if not (isinstance(right_node, ast.Constant) and right_node.value is None):
-                        raise self.fail(node, "'is' is only allowed with None")
-                    conds.append(left.isNull() if isinstance(op, ast.Is) else left.isNotNull())
+                    v = right_node.value if isinstance(right_node, ast.Constant) else NotImplemented
+                    if not (v is None or isinstance(v, bool)):
+                        raise self.fail(node, "'is' is only allowed with None, True or False")
+                    if v is None:
+                        c = left.isNull()
+                    else:  # identity with a bool: a boolean value equal to it (NULL is not)
+                        lk = self.kind_of_node(node.left)
+                        c = F.lit(False) if lk != _BOOL else F.coalesce(left == F.lit(v), F.lit(False))
+                    conds.append(c if isinstance(op, ast.Is) else ~c)
                     continue
                 right, rk = self.compile(right_node)
                 if isinstance(op, (ast.In, ast.NotIn)):
@@ -247,10 +253,16 @@ class _Compiler:
             return self.call(node)
         raise self.fail(node)
 
+    def kind_of_node(self, node: ast.AST) -> str:
+        return self.compile(node)[1]
+
     def call(self, node: ast.Call) -> tuple[Column, str]:
-        if node.keywords:
-            raise self.fail(node, "keyword arguments are not allowed")
         f = node.func
+        kw = {k.arg: k.value for k in node.keywords}
+        if None in kw:
+            raise self.fail(node, "keyword unpacking is not allowed")
+        if kw and not (isinstance(f, ast.Name) and f.id == "round" and set(kw) <= {"ndigits"}):
+            raise self.fail(node, "keyword arguments are only supported for round(ndigits=…)")
         if isinstance(f, ast.Attribute) and f.attr == "get" and 1 <= len(node.args) <= 2:
             if isinstance(f.value, ast.Name) and f.value.id == "params":
                 return self.lit(self.const(node))
@@ -269,15 +281,24 @@ class _Compiler:
             raise self.fail(node, "only allow-listed functions may be called")
         args = [self.compile(a) for a in node.args]
         name = f.id
-        if name == "min" and len(args) >= 2:
-            return F.least(*[a for a, _ in args]), _NUM
-        if name == "max" and len(args) >= 2:
-            return F.greatest(*[a for a, _ in args]), _NUM
+        if name in ("min", "max") and len(args) >= 2:
+            return (F.least if name == "min" else F.greatest)(*[a for a, _ in args]), _NUM
+        if name in ("min", "max") and len(args) == 1:  # one iterable: a literal list or an array value
+            arg = node.args[0]
+            if isinstance(arg, (ast.List, ast.Tuple, ast.Set)) and len(arg.elts) >= 1:
+                items = [self.compile(e)[0] for e in arg.elts]
+                if len(items) == 1:
+                    return items[0], _NUM
+                return (F.least if name == "min" else F.greatest)(*items), _NUM
+            v, k = args[0]
+            if k == _ARR:
+                return (F.array_min if name == "min" else F.array_max)(v), _NUM
         if name == "abs" and len(args) == 1:
             return F.abs(args[0][0]), _NUM
-        if name == "round" and len(args) in (1, 2):  # Python rounds half to even
-            scale = self.const(node.args[1]) if len(args) == 2 else 0
-            return F.bround(args[0][0], int(scale)), _NUM
+        if name == "round" and len(args) + len(kw) in (1, 2) and args:  # Python rounds half to even
+            nd = node.args[1] if len(args) == 2 else kw.get("ndigits")
+            scale = self.const(nd) if nd is not None else 0
+            return F.bround(args[0][0], int(scale or 0)), _NUM
         if name == "int" and len(args) == 1:
             return args[0][0].cast("double").cast("bigint"), _NUM
         if name == "float" and len(args) == 1:
