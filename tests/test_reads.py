@@ -46,3 +46,14 @@ def test_cluster_settings_scale_with_input():
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20)
     small = cluster_settings(10 << 20, executor_cores=8, executors=1)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_unique_grain_read_equals_reaggregated(spark):
+    df = spark.range(30).selectExpr("date_add(DATE '2026-01-01', CAST(id % 7 AS INT)) AS day", "'wb' AS marketplace",
+                                    "'a' AS account_id", "CAST(id AS STRING) AS product_id", "id AS qty",
+                                    "CAST(id * 3 AS DECIMAL(38,2)) AS revenue", "0L AS returns_qty",
+                                    "CASE WHEN id % 2 = 0 THEN CAST(id AS DECIMAL(38,4)) END AS payout")
+    p = reads.Page(limit=7, offset=3)
+    a = [tuple(r) for r in reads.sales_daily(df, p).collect()]
+    b = [tuple(r) for r in reads.sales_daily(df, p, reaggregate=False).collect()]
+    assert a == b and len(a) == 8

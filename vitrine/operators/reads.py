@@ -105,13 +105,21 @@ SALES_ORDER = lambda: [F.col("day").asc(), F.col("revenue").desc(), F.col("marke
                F.col("product_id")]
 
 
-def sales_daily(mrt_sales: DataFrame, p: Page, paged: bool = True) -> DataFrame:
-    """A1: re-aggregate at the mart grain; NULL payout counts as 0."""
+def sales_daily(mrt_sales: DataFrame, p: Page, paged: bool = True, reaggregate: bool = True) -> DataFrame:
+    """A1: re-aggregate at the mart grain; NULL payout counts as 0.
+
+    ``reaggregate=False`` is for marts already unique at their grain (tables
+    kept by the windowed replace): the read is then one stage — scan, filter,
+    per-task top-k — with no shuffle."""
     s = optional_filters(_in_range(mrt_sales, p), p)
-    g = s.groupBy("day", "marketplace", "account_id", "product_id").agg(
-        F.sum("qty").alias("qty"), F.sum("revenue").alias("revenue"),
-        F.sum("returns_qty").alias("returns_qty"),
-        F.sum(F.coalesce(F.col("payout"), F.lit(0))).alias("payout"))
+    if reaggregate:
+        g = s.groupBy("day", "marketplace", "account_id", "product_id").agg(
+            F.sum("qty").alias("qty"), F.sum("revenue").alias("revenue"),
+            F.sum("returns_qty").alias("returns_qty"),
+            F.sum(F.coalesce(F.col("payout"), F.lit(0))).alias("payout"))
+    else:
+        g = s.select("day", "marketplace", "account_id", "product_id", "qty", "revenue", "returns_qty",
+                     F.coalesce(F.col("payout"), F.lit(0).cast("decimal(38,4)")).alias("payout"))
     return page(g, SALES_ORDER(), p if paged else None)
 
 
