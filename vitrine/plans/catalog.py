@@ -17,13 +17,13 @@ from pyspark.sql import types as T
 
 from vitrine.operators import reads
 from vitrine.plans import oracle as O
-from vitrine.plans.pipeline import AS_OF, Pipeline
+from vitrine.plans.stages import AS_OF, Stages
 
 
 @dataclass
 class Query:
     name: str
-    build: Callable[[Pipeline], DataFrame]
+    build: Callable[[Stages], DataFrame]
     oracle: str | None
     note: str = ""
 
@@ -39,14 +39,14 @@ def finalize(df: DataFrame) -> DataFrame:
 
 
 def register(name: str, oracle_final: str | None, note: str = ""):
-    def deco(fn: Callable[[Pipeline], DataFrame]):
+    def deco(fn: Callable[[Stages], DataFrame]):
         REGISTRY[name] = Query(name, fn, O.sql(oracle_final) if oracle_final else None, note)
         return fn
     return deco
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return finalize(REGISTRY[name].build(Pipeline(spark, sf_dir)))
+    return finalize(REGISTRY[name].build(Stages(spark, sf_dir)))
 
 
 def _d(days_back: int) -> dt.date:
@@ -74,7 +74,7 @@ def _drop_meta(df: DataFrame) -> DataFrame:
           "CAST(payout_rub AS DOUBLE) AS payout_rub, is_return FROM (SELECT *, ROW_NUMBER() OVER "
           "(PARTITION BY account_id, srid ORDER BY ingested_at DESC, nm_id DESC, chrt_id DESC, price_rub DESC) AS rn "
           "FROM raw_wb_sales) WHERE rn = 1")
-def l1_latest_wb_sales(p: Pipeline) -> DataFrame:
+def l1_latest_wb_sales(p: Stages) -> DataFrame:
     from vitrine.operators.latest import latest_wins
     from vitrine.sources.bindings import WB_SALES_ORDER
     return latest_wins(p.raw("raw_wb_sales"), ("account_id", "srid"), WB_SALES_ORDER).select(
@@ -83,31 +83,31 @@ def l1_latest_wb_sales(p: Pipeline) -> DataFrame:
 
 
 @register("t1_stg_sales_wb", f"SELECT {_STG_SALES_SQL} FROM stg_sales_wb")
-def t1(p: Pipeline) -> DataFrame:
+def t1(p: Stages) -> DataFrame:
     return _drop_meta(p.stg_sales_wb)
 
 
 @register("t5_stg_sales_ozon", f"SELECT {_STG_SALES_SQL} FROM stg_sales_ozon")
-def t5(p: Pipeline) -> DataFrame:
+def t5(p: Stages) -> DataFrame:
     return _drop_meta(p.stg_sales_ozon)
 
 
 @register("t12_stg_sales", f"SELECT {_STG_SALES_SQL} FROM stg_sales")
-def t12(p: Pipeline) -> DataFrame:
+def t12(p: Stages) -> DataFrame:
     return _drop_meta(p.stg_sales)
 
 
 @register("t2_t6_stg_orders",
           "SELECT day, marketplace, account_id, event_ts, order_id, status, product_id, qty, "
           "CAST(price_gross AS DOUBLE) AS price_gross, last_change_ts, ingested_at FROM stg_orders")
-def t2_t6(p: Pipeline) -> DataFrame:
+def t2_t6(p: Stages) -> DataFrame:
     return _drop_meta(p.stg_orders)
 
 
 @register("t3_t7_stg_stocks",
           "SELECT day, marketplace, account_id, snapshot_ts, product_id, nm_id, ozon_product_id, offer_id, "
           "warehouse_id, amount, reserved, present, ingested_at FROM stg_stocks")
-def t3_t7(p: Pipeline) -> DataFrame:
+def t3_t7(p: Stages) -> DataFrame:
     return _drop_meta(p.stg_stocks)
 
 
@@ -115,26 +115,26 @@ def t3_t7(p: Pipeline) -> DataFrame:
           "SELECT day, marketplace, account_id, product_id, nm_id, views, adds_to_cart, orders, "
           "CAST(orders_sum AS DOUBLE) AS orders_sum, buyouts, cancels, add_to_cart_conv, cart_to_order_conv, "
           "buyout_percent, wishlist, currency, ingested_at FROM stg_funnel")
-def t4(p: Pipeline) -> DataFrame:
+def t4(p: Stages) -> DataFrame:
     return _drop_meta(p.stg_funnel)
 
 
 @register("t8_stg_ads",
           "SELECT day, marketplace, account_id, campaign_id, impressions, clicks, CAST(cost AS DOUBLE) AS cost, "
           "orders, CAST(revenue AS DOUBLE) AS revenue, ingested_at FROM stg_ads")
-def t8(p: Pipeline) -> DataFrame:
+def t8(p: Stages) -> DataFrame:
     return _drop_meta(p.stg_ads)
 
 
 @register("t9_stg_finance",
           "SELECT day, marketplace, account_id, operation_ts, operation_id, type, "
           "CAST(amount AS DOUBLE) AS amount, currency, ingested_at FROM stg_finance")
-def t9(p: Pipeline) -> DataFrame:
+def t9(p: Stages) -> DataFrame:
     return _drop_meta(p.stg_finance)
 
 
 @register("t10_t11_dim_product", "SELECT * FROM dim_product")
-def t10_t11(p: Pipeline) -> DataFrame:
+def t10_t11(p: Stages) -> DataFrame:
     return p.dim_product
 
 
@@ -143,31 +143,31 @@ def t10_t11(p: Pipeline) -> DataFrame:
 @register("m1_mrt_sales_daily",
           "SELECT day, marketplace, account_id, product_id, qty, CAST(revenue AS DOUBLE) AS revenue, "
           "CAST(payout AS DOUBLE) AS payout, returns_qty, updated_at FROM mrt_sales")
-def m1(p: Pipeline) -> DataFrame:
+def m1(p: Stages) -> DataFrame:
     return p.mrt_sales
 
 
 @register("m2_mrt_stock_daily", "SELECT * FROM mrt_stock")
-def m2(p: Pipeline) -> DataFrame:
+def m2(p: Stages) -> DataFrame:
     return p.mrt_stock
 
 
 @register("m3_mrt_funnel_daily", "SELECT * FROM mrt_funnel")
-def m3(p: Pipeline) -> DataFrame:
+def m3(p: Stages) -> DataFrame:
     return p.mrt_funnel
 
 
 @register("m4_mrt_ads_daily",
           "SELECT day, marketplace, account_id, campaign_id, impressions, clicks, CAST(cost AS DOUBLE) AS cost, "
           "orders, CAST(revenue AS DOUBLE) AS revenue, acos, romi, updated_at FROM mrt_ads")
-def m4(p: Pipeline) -> DataFrame:
+def m4(p: Stages) -> DataFrame:
     return p.mrt_ads
 
 
 @register("v1_kpi_sales_30d",
           "SELECT marketplace, account_id, CAST(revenue_30d AS DOUBLE) AS revenue_30d, qty_30d, returns_30d "
           "FROM kpi_sales_30d")
-def v1(p: Pipeline) -> DataFrame:
+def v1(p: Stages) -> DataFrame:
     from vitrine.operators.marts import kpi_sales_30d
     return kpi_sales_30d(p.mrt_sales, p.as_of)
 
@@ -175,7 +175,7 @@ def v1(p: Pipeline) -> DataFrame:
 @register("v2_kpi_ads_30d",
           "SELECT marketplace, account_id, CAST(cost_30d AS DOUBLE) AS cost_30d, "
           "CAST(revenue_30d AS DOUBLE) AS revenue_30d, acos_30d FROM kpi_ads_30d")
-def v2(p: Pipeline) -> DataFrame:
+def v2(p: Stages) -> DataFrame:
     from vitrine.operators.marts import kpi_ads_30d
     return kpi_ads_30d(p.mrt_ads, p.as_of)
 
@@ -192,14 +192,14 @@ _A1_SQL = (f"SELECT day, marketplace, account_id, product_id, CAST(SUM(qty) AS B
 
 
 @register("a1_api_sales_daily", _A1_SQL)
-def a1(p: Pipeline) -> DataFrame:
+def a1(p: Stages) -> DataFrame:
     return reads.sales_daily(p.mrt_sales, reads.Page(_A_FROM, _A_TO), paged=False)
 
 
 @register("a1_api_sales_daily_page",
           f"SELECT * FROM ({_A1_SQL}) ORDER BY day, revenue DESC, marketplace, account_id, product_id "
           f"LIMIT 51 OFFSET 100")
-def a1_page(p: Pipeline) -> DataFrame:
+def a1_page(p: Stages) -> DataFrame:
     return reads.sales_daily(p.mrt_sales, reads.Page(_A_FROM, _A_TO, limit=50, offset=100))
 
 
@@ -209,7 +209,7 @@ def a1_page(p: Pipeline) -> DataFrame:
           f"CAST(SUM(COALESCE(payout, 0)) AS DOUBLE) AS payout FROM mrt_sales WHERE {_A_RANGE} "
           f"AND ('ozon' = '' OR marketplace = 'ozon') AND ('acc2' = '' OR account_id = 'acc2') "
           f"GROUP BY day, marketplace, account_id, product_id")
-def a8(p: Pipeline) -> DataFrame:
+def a8(p: Stages) -> DataFrame:
     return reads.sales_daily(p.mrt_sales, reads.Page(_A_FROM, _A_TO, marketplace="ozon", account_id="acc2"),
                              paged=False)
 
@@ -220,7 +220,7 @@ def a8(p: Pipeline) -> DataFrame:
           f"CAST(50 AS BIGINT) AS \"limit\", CAST(100 AS BIGINT) AS \"offset\" FROM ("
           f"SELECT * FROM ({_A1_SQL}) ORDER BY day, revenue DESC, marketplace, account_id, product_id "
           f"LIMIT 51 OFFSET 100)")
-def a9(p: Pipeline) -> DataFrame:
+def a9(p: Stages) -> DataFrame:
     pg = reads.Page(_A_FROM, _A_TO, limit=50, offset=100)
     return reads.page_meta(reads.sales_daily(p.mrt_sales, pg), pg)
 
@@ -230,7 +230,7 @@ def a9(p: Pipeline) -> DataFrame:
           "SELECT s.day, s.marketplace, s.account_id, s.product_id, s.warehouse_id, "
           "CAST(SUM(s.stock_end) AS BIGINT) AS stock_end FROM mrt_stock s CROSS JOIN max_day "
           "WHERE s.day = max_day.current_day GROUP BY s.day, s.marketplace, s.account_id, s.product_id, s.warehouse_id")
-def a2(p: Pipeline) -> DataFrame:
+def a2(p: Stages) -> DataFrame:
     return reads.stocks_current(p.mrt_stock, reads.Page(), paged=False)
 
 
@@ -239,7 +239,7 @@ def a2(p: Pipeline) -> DataFrame:
           f"SELECT day, marketplace, account_id, product_id, CAST(SUM(views) AS BIGINT) AS views, "
           f"CAST(SUM(adds_to_cart) AS BIGINT) AS adds_to_cart, CAST(SUM(orders) AS BIGINT) AS orders "
           f"FROM mrt_funnel WHERE {_A_RANGE} GROUP BY day, marketplace, account_id, product_id)")
-def a3(p: Pipeline) -> DataFrame:
+def a3(p: Stages) -> DataFrame:
     return reads.funnel_daily(p.mrt_funnel, reads.Page(_A_FROM, _A_TO), paged=False)
 
 
@@ -250,7 +250,7 @@ def a3(p: Pipeline) -> DataFrame:
           f"SELECT day, marketplace, account_id, campaign_id, CAST(SUM(impressions) AS BIGINT) AS impressions, "
           f"CAST(SUM(clicks) AS BIGINT) AS clicks, SUM(cost) AS cost, CAST(SUM(orders) AS BIGINT) AS orders, "
           f"SUM(revenue) AS revenue FROM mrt_ads WHERE {_A_RANGE} GROUP BY day, marketplace, account_id, campaign_id)")
-def a4(p: Pipeline) -> DataFrame:
+def a4(p: Stages) -> DataFrame:
     return reads.ads_daily(p.mrt_ads, reads.Page(_A_FROM, _A_TO), paged=False)
 
 
@@ -258,19 +258,19 @@ def a4(p: Pipeline) -> DataFrame:
           "SELECT s.marketplace, s.account_id, CAST(s.revenue_30d AS DOUBLE) AS revenue_30d, s.qty_30d, "
           "s.returns_30d, CAST(COALESCE(a.cost_30d, 0) AS DOUBLE) AS cost_30d, COALESCE(a.acos_30d, 0) AS acos_30d "
           "FROM kpi_sales_30d s LEFT JOIN kpi_ads_30d a USING (marketplace, account_id)")
-def a5(p: Pipeline) -> DataFrame:
+def a5(p: Stages) -> DataFrame:
     return reads.kpis(p.mrt_sales, p.mrt_ads, p.as_of, reads.Page(), paged=False)
 
 
 @register("a6_api_task_runs",
           "SELECT * FROM sys_task_runs ORDER BY started_at DESC, run_id DESC, task_name LIMIT 200")
-def a6(p: Pipeline) -> DataFrame:
+def a6(p: Stages) -> DataFrame:
     return reads.task_runs(p.task_runs, 200)
 
 
 @register("a7_api_watermarks",
           "SELECT * FROM sys_watermarks ORDER BY source, account_id, updated_at DESC, watermark_ts DESC LIMIT 500")
-def a7(p: Pipeline) -> DataFrame:
+def a7(p: Stages) -> DataFrame:
     return reads.watermarks(p.watermarks, 500)
 
 
@@ -283,7 +283,7 @@ _D_RANGE = f"day BETWEEN {_sqld(_D_FROM)} AND {_sqld(_D_TO)}"
 @register("d1_sales_overview",
           f"SELECT day, CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(SUM(qty) AS BIGINT) AS qty, "
           f"CAST(SUM(returns_qty) AS BIGINT) AS returns FROM mrt_sales WHERE {_D_RANGE} GROUP BY day")
-def d1(p: Pipeline) -> DataFrame:
+def d1(p: Stages) -> DataFrame:
     return reads.sales_overview(p.mrt_sales, _D_FROM, _D_TO)
 
 
@@ -291,41 +291,41 @@ def d1(p: Pipeline) -> DataFrame:
           f"SELECT product_id, CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(SUM(qty) AS BIGINT) AS qty "
           f"FROM mrt_sales WHERE day BETWEEN {_sqld(_d(30))} AND {_sqld(AS_OF)} GROUP BY product_id "
           f"ORDER BY SUM(revenue) DESC, product_id LIMIT 50")
-def d2(p: Pipeline) -> DataFrame:
+def d2(p: Stages) -> DataFrame:
     return reads.top_products_30d(p.mrt_sales, p.as_of, 50)
 
 
 @register("d3_funnel_list",
           f"SELECT day, product_id, views, adds_to_cart, orders, cr_order, cr_cart FROM mrt_funnel WHERE {_D_RANGE}")
-def d3(p: Pipeline) -> DataFrame:
+def d3(p: Stages) -> DataFrame:
     return reads.funnel_list(p.mrt_funnel, _D_FROM, _D_TO)
 
 
 @register("d4_stocks_yesterday",
           f"SELECT marketplace, product_id, CAST(SUM(stock_end) AS BIGINT) AS stock_end FROM mrt_stock "
           f"WHERE day = {_sqld(_d(1))} GROUP BY marketplace, product_id")
-def d4(p: Pipeline) -> DataFrame:
+def d4(p: Stages) -> DataFrame:
     return reads.stocks_yesterday(p.mrt_stock, p.as_of)
 
 
 @register("d5_ads_list",
           f"SELECT day, campaign_id, CAST(cost AS DOUBLE) AS cost, CAST(revenue AS DOUBLE) AS revenue, acos, romi "
           f"FROM mrt_ads WHERE {_D_RANGE}")
-def d5(p: Pipeline) -> DataFrame:
+def d5(p: Stages) -> DataFrame:
     return reads.ads_list(p.mrt_ads, _D_FROM, _D_TO)
 
 
 @register("d6_kpi_30d",
           "SELECT marketplace, account_id, CAST(revenue_30d AS DOUBLE) AS revenue_30d, qty_30d, returns_30d "
           "FROM kpi_sales_30d")
-def d6(p: Pipeline) -> DataFrame:
+def d6(p: Stages) -> DataFrame:
     return reads.kpi_30d(p.mrt_sales, p.as_of)
 
 
 @register("d7_finance_ops_daily",
           f"SELECT day, type, CAST(ROUND(SUM(amount), 2) AS DOUBLE) AS amount FROM stg_finance "
           f"WHERE {_D_RANGE} GROUP BY day, type")
-def d7(p: Pipeline) -> DataFrame:
+def d7(p: Stages) -> DataFrame:
     return reads.finance_ops_daily(p.stg_finance, _D_FROM, _D_TO)
 
 
@@ -336,7 +336,7 @@ from vitrine.operators import cards, ops, quality, redaction, rules  # noqa: E40
 NOW = dt.datetime(2024, 1, 31, 3, 0, 0)  # evaluation time of checks and lags: as_of + 3 h
 
 
-def _api(p: Pipeline):
+def _api(p: Stages):
     rng = reads.Page(_A_FROM, _A_TO)
     return {"sales": reads.sales_daily(p.mrt_sales, rng, paged=False),
             "ads": reads.ads_daily(p.mrt_ads, rng, paged=False),
@@ -357,14 +357,14 @@ def _mean_pct(c: str, alias: str) -> str:
           "SELECT count(*) AS rows, CAST(COALESCE(SUM(revenue), 0) AS DOUBLE) AS revenue, "
           "CAST(COALESCE(SUM(qty), 0) AS BIGINT) AS qty, CAST(COALESCE(SUM(returns_qty), 0) AS BIGINT) AS returns, "
           "CAST(COALESCE(SUM(payout), 0) AS DOUBLE) AS payout FROM api_sales")
-def u6(p: Pipeline) -> DataFrame:
+def u6(p: Stages) -> DataFrame:
     return cards.sales_card(_api(p)["sales"])
 
 
 @register("u3_revenue_series",
           "SELECT COALESCE(CAST(day AS VARCHAR), '') AS label, CAST(COALESCE(SUM(revenue), 0) AS DOUBLE) AS value "
           "FROM api_sales GROUP BY 1")
-def u3(p: Pipeline) -> DataFrame:
+def u3(p: Stages) -> DataFrame:
     return cards.grouped_series(_api(p)["sales"], "day", "revenue")
 
 
@@ -372,7 +372,7 @@ def u3(p: Pipeline) -> DataFrame:
           "SELECT day, marketplace, account_id, product_id, qty, CAST(revenue AS DOUBLE) AS revenue, returns_qty, "
           "CAST(payout AS DOUBLE) AS payout FROM api_sales "
           "ORDER BY revenue DESC, day, marketplace, account_id, product_id LIMIT 10")
-def u4(p: Pipeline) -> DataFrame:
+def u4(p: Stages) -> DataFrame:
     return cards.top_rows(_api(p)["sales"], "revenue", 10, ("day", "marketplace", "account_id", "product_id"))
 
 
@@ -382,14 +382,14 @@ def u4(p: Pipeline) -> DataFrame:
           "CROSS JOIN (SELECT CAST(COALESCE(SUM(cost), 0) AS DOUBLE) AS ad_cost, count(*) AS ads_rows FROM api_ads) "
           "CROSS JOIN (SELECT CAST(COALESCE(SUM(stock_end), 0) AS BIGINT) AS stock_units, count(*) AS stock_rows "
           "FROM api_stocks)")
-def u5(p: Pipeline) -> DataFrame:
+def u5(p: Stages) -> DataFrame:
     a = _api(p)
     return cards.overview(a["sales"], a["ads"], a["stocks"])
 
 
 @register("u7_stock_card",
           "SELECT count(*) AS rows, count(*) FILTER (WHERE COALESCE(stock_end, 0) <= 5) AS low_stock FROM api_stocks")
-def u7(p: Pipeline) -> DataFrame:
+def u7(p: Stages) -> DataFrame:
     return cards.stock_card(_api(p)["stocks"])
 
 
@@ -397,46 +397,46 @@ def u7(p: Pipeline) -> DataFrame:
           f"SELECT count(*) AS rows, {_tot('views', 'BIGINT')}, {_tot('adds_to_cart', 'BIGINT')}, "
           f"{_tot('orders', 'BIGINT')}, {_mean_pct('cr_order', 'avg_cr_order_pct')}, "
           f"{_mean_pct('cr_cart', 'avg_cr_cart_pct')} FROM api_funnel")
-def u8(p: Pipeline) -> DataFrame:
+def u8(p: Stages) -> DataFrame:
     return cards.funnel_card(_api(p)["funnel"])
 
 
 @register("u9_ads_card",
           f"SELECT count(*) AS rows, {_tot('cost')}, {_tot('revenue')}, {_tot('clicks', 'BIGINT')}, "
           f"{_tot('orders', 'BIGINT')}, {_mean_pct('acos', 'avg_acos_pct')} FROM api_ads")
-def u9(p: Pipeline) -> DataFrame:
+def u9(p: Stages) -> DataFrame:
     return cards.ads_card(_api(p)["ads"])
 
 
 @register("u10_kpi_card",
           f"SELECT count(*) AS rows, {_tot('revenue_30d')}, {_tot('qty_30d', 'BIGINT')}, "
           f"{_tot('returns_30d', 'BIGINT')}, {_tot('cost_30d')} FROM api_kpis")
-def u10(p: Pipeline) -> DataFrame:
+def u10(p: Stages) -> DataFrame:
     return cards.kpi_card(_api(p)["kpis"])
 
 
 @register("u11_watermark_card",
           "SELECT count(*) AS rows, count(DISTINCT source) AS distinct_sources, "
           "count(DISTINCT account_id) AS distinct_accounts FROM sys_watermarks")
-def u11(p: Pipeline) -> DataFrame:
+def u11(p: Stages) -> DataFrame:
     return cards.watermark_card(p.watermarks)
 
 
 @register("u12_runs_card",
           "SELECT count(*) AS rows, count(*) FILTER (WHERE lower(COALESCE(status, '')) = 'failed') AS failed, "
           "count(*) FILTER (WHERE lower(COALESCE(status, '')) = 'success') AS success FROM sys_task_runs")
-def u12(p: Pipeline) -> DataFrame:
+def u12(p: Stages) -> DataFrame:
     return cards.runs_card(p.task_runs)
 
 
 # =================================================================== quality
 
-def _marts(p: Pipeline) -> dict[str, DataFrame]:
+def _marts(p: Stages) -> dict[str, DataFrame]:
     return {"mrt_sales_daily": p.mrt_sales, "mrt_stock_daily": p.mrt_stock,
             "mrt_funnel_daily": p.mrt_funnel, "mrt_ads_daily": p.mrt_ads}
 
 
-def _dup_tables(p: Pipeline):
+def _dup_tables(p: Stages):
     frames = {"stg_sales": p.stg_sales, "stg_orders": p.stg_orders, "stg_stocks": p.stg_stocks,
               "stg_funnel_daily": p.stg_funnel, "stg_ads_daily": p.stg_ads, "stg_finance_ops": p.stg_finance,
               **_marts(p)}
@@ -449,7 +449,7 @@ def _dup_tables(p: Pipeline):
 _CHECK_SHARED = ("stg_sales", "mrt_sales", "mrt_stock", "mrt_funnel", "mrt_ads")
 
 
-def _violations(p: Pipeline) -> DataFrame:
+def _violations(p: Stages) -> DataFrame:
     return quality._union([
         quality.stale_marts(p.task_runs, _marts(p), NOW, task_prefix="task_1"),
         quality.watermark_monotonicity(p.watermarks),
@@ -460,33 +460,33 @@ def _violations(p: Pipeline) -> DataFrame:
 
 
 @register("c1_stale_marts", "SELECT * FROM dq_c1")
-def c1(p: Pipeline) -> DataFrame:
+def c1(p: Stages) -> DataFrame:
     return quality.stale_marts(p.task_runs, _marts(p), NOW, task_prefix="task_1")
 
 
 @register("c2_watermark_backward_steps", "SELECT * FROM wm_backward")
-def c2(p: Pipeline) -> DataFrame:
+def c2(p: Stages) -> DataFrame:
     return quality.watermark_backward_steps(p.watermarks)
 
 
 @register("c3_duplicate_grains", "SELECT * FROM dq_c3")
-def c3(p: Pipeline) -> DataFrame:
+def c3(p: Stages) -> DataFrame:
     return quality.duplicate_grains(_dup_tables(p))
 
 
 @register("c4_impossible_timestamps", "SELECT * FROM dq_c4")
-def c4(p: Pipeline) -> DataFrame:
+def c4(p: Stages) -> DataFrame:
     return quality.impossible_timestamps(p.raw("raw_wb_sales"), p.raw("raw_wb_orders"),
                                          p.raw("raw_ozon_postings"), p.stg_sales, NOW)
 
 
 @register("c5_invalid_values", "SELECT * FROM dq_c5")
-def c5(p: Pipeline) -> DataFrame:
+def c5(p: Stages) -> DataFrame:
     return quality.invalid_values(p.mrt_stock, p.mrt_ads, p.mrt_funnel)
 
 
 @register("c6_quality_summary", "SELECT * FROM dq_summary")
-def c6(p: Pipeline) -> DataFrame:
+def c6(p: Stages) -> DataFrame:
     return quality.summarize(_violations(p.materialize(_CHECK_SHARED)))
 
 
@@ -495,20 +495,20 @@ def c6(p: Pipeline) -> DataFrame:
           "COALESCE(string_agg(\"check\" || '=' || CAST(failures AS VARCHAR), '; ' ORDER BY CASE \"check\" "
           "WHEN 'stale_marts' THEN 0 WHEN 'watermark_monotonicity' THEN 1 WHEN 'duplicate_grains' THEN 2 "
           "WHEN 'impossible_timestamps' THEN 3 ELSE 4 END), '') AS message FROM dq_summary")
-def c6_report(p: Pipeline) -> DataFrame:
+def c6_report(p: Stages) -> DataFrame:
     return quality.report(quality.summarize(_violations(p.materialize(_CHECK_SHARED))))
 
 
 # ===================================================================== rules
 
-def _rule_tables(p: Pipeline) -> dict[str, DataFrame]:
+def _rule_tables(p: Stages) -> dict[str, DataFrame]:
     return {"mrt_ads_daily": p.mrt_ads, "mrt_stock_daily": p.mrt_stock, "mrt_sales_daily": p.mrt_sales}
 
 
 @register("r1_bad_acos_hits",
           f"SELECT day, marketplace, account_id, campaign_id, acos, CAST(revenue AS DOUBLE) AS revenue, "
           f"CAST(cost AS DOUBLE) AS cost FROM mrt_ads WHERE day = {_sqld(_d(1))} AND revenue > 0 AND acos > 0.3")
-def r1(p: Pipeline) -> DataFrame:
+def r1(p: Stages) -> DataFrame:
     rule = rules.BUILTIN_RULES[0]
     df = rules.rule_frame(p.spark, rule, _rule_tables(p), p.as_of)
     return df.where(rules.compile_condition(rule.condition, df.schema, rule.params))
@@ -519,7 +519,7 @@ def r1(p: Pipeline) -> DataFrame:
           f"SELECT 'Low stock: ' || marketplace || '/' || account_id || '/' || product_id || ', stock=' || "
           f"CAST(SUM(stock_end) AS VARCHAR) AS m, SUM(stock_end) AS s FROM mrt_stock WHERE day = {_sqld(_d(1))} "
           f"GROUP BY marketplace, account_id, product_id) WHERE s < 5")
-def r2(p: Pipeline) -> DataFrame:
+def r2(p: Stages) -> DataFrame:
     return rules.alerts(p.spark, [rules.BUILTIN_RULES[1]], _rule_tables(p), p.as_of)
 
 
@@ -528,7 +528,7 @@ def r2(p: Pipeline) -> DataFrame:
           f"SELECT 'No sales in 7d: ' || marketplace || '/' || account_id || '/' || product_id AS m, SUM(qty) AS q "
           f"FROM mrt_sales WHERE day BETWEEN {_sqld(_d(7))} AND {_sqld(AS_OF)} "
           f"GROUP BY marketplace, account_id, product_id) WHERE q <= 0")
-def r3(p: Pipeline) -> DataFrame:
+def r3(p: Stages) -> DataFrame:
     return rules.alerts(p.spark, [rules.BUILTIN_RULES[2]], _rule_tables(p), p.as_of)
 
 
@@ -539,12 +539,12 @@ def r3(p: Pipeline) -> DataFrame:
           f"FROM mrt_stock WHERE day = {_sqld(_d(1))} GROUP BY marketplace, account_id, product_id) "
           f"UNION ALL SELECT 2, 'no_sales_7d', count(*), count(*) FILTER (WHERE q <= 0) FROM (SELECT SUM(qty) AS q "
           f"FROM mrt_sales WHERE day BETWEEN {_sqld(_d(7))} AND {_sqld(AS_OF)} GROUP BY marketplace, account_id, product_id)")
-def r5_report(p: Pipeline) -> DataFrame:
+def r5_report(p: Stages) -> DataFrame:
     return rules.rule_report(p.spark, rules.BUILTIN_RULES, _rule_tables(p), p.as_of)
 
 
 @register("r5_r7_alerts", None, "messages render doubles with the JVM's formatting; rows-only check")
-def r5_alerts(p: Pipeline) -> DataFrame:
+def r5_alerts(p: Stages) -> DataFrame:
     return rules.alerts(p.spark, rules.BUILTIN_RULES, _rule_tables(p), p.as_of)
 
 
@@ -563,7 +563,7 @@ _DUR = ("GREATEST(CAST(epoch_us(finished_at) - epoch_us(started_at) AS DOUBLE) /
           "date_trunc('minute', finished_at) - to_minutes(k) + INTERVAL 15 MINUTE AS window_end, task_name, "
           "count(*) FILTER (WHERE status = 'failed') AS failed_runs "
           "FROM sys_task_runs, range(15) t(k) GROUP BY 1, 2, 3")
-def o1(p: Pipeline) -> DataFrame:
+def o1(p: Stages) -> DataFrame:
     return ops.failed_runs(p.task_runs)
 
 
@@ -573,7 +573,7 @@ def o1(p: Pipeline) -> DataFrame:
           "GREATEST(0, (epoch_us(TIMESTAMP '2024-01-31 03:00:00') - epoch_us(watermark_ts)) // 1000000) > 21600 AS stale "
           "FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, account_id ORDER BY updated_at DESC, "
           "watermark_ts DESC) AS rn FROM sys_watermarks) WHERE rn = 1")
-def o2(p: Pipeline) -> DataFrame:
+def o2(p: Stages) -> DataFrame:
     return ops.cursor_lag(p.watermarks, NOW)
 
 
@@ -582,14 +582,14 @@ def o2(p: Pipeline) -> DataFrame:
           f"{_wstart('finished_at', 5)} - to_minutes(5 * k) + INTERVAL 1 HOUR AS window_end, task_name, "
           f"count(*) AS empty_responses, count(*) > 20 AS anomaly "
           f"FROM sys_task_runs, range(12) t(k) WHERE rows_ingested = 0 GROUP BY 1, 2, 3")
-def o3(p: Pipeline) -> DataFrame:
+def o3(p: Stages) -> DataFrame:
     return ops.empty_responses(p.task_runs)
 
 
 @register("o4_runs_by_status_1h",
           "SELECT date_trunc('hour', started_at) AS window_start, task_name, status, count(*) AS runs "
           "FROM sys_task_runs GROUP BY 1, 2, 3")
-def o4(p: Pipeline) -> DataFrame:
+def o4(p: Stages) -> DataFrame:
     return ops.runs_by_status(p.task_runs)
 
 
@@ -604,7 +604,7 @@ def _pct_sql(group: str, src: str, pct: int) -> str:
           _pct_sql("window_start, task_name",
                    f"SELECT {_wstart('finished_at', 15)} AS window_start, task_name, {_DUR} AS duration "
                    f"FROM sys_task_runs", 95))
-def o5(p: Pipeline) -> DataFrame:
+def o5(p: Stages) -> DataFrame:
     return ops.p95_duration(p.task_runs)
 
 
@@ -618,7 +618,7 @@ _BOUNDS = "[0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.0, 120.0, 300.0, 600.0
           f"CASE WHEN len(list_filter({_BOUNDS}::DOUBLE[], lambda b: b < {_DUR})) < 12 THEN CAST(({_BOUNDS}::DOUBLE[])"
           f"[len(list_filter({_BOUNDS}::DOUBLE[], lambda b: b < {_DUR})) + 1] AS VARCHAR) ELSE '+Inf' END AS le, "
           f"count(*) AS runs FROM sys_task_runs GROUP BY 1, 2, 3, 4)")
-def o6(p: Pipeline) -> DataFrame:
+def o6(p: Stages) -> DataFrame:
     return ops.duration_histogram(p.task_runs)
 
 
@@ -628,13 +628,13 @@ def o6(p: Pipeline) -> DataFrame:
           "ORDER BY minute)) AS island FROM (SELECT date_trunc('minute', finished_at) - to_minutes(k) + "
           "INTERVAL 15 MINUTE AS minute, task_name, count(*) FILTER (WHERE status = 'failed') AS f "
           "FROM sys_task_runs, range(15) t(k) GROUP BY 1, 2) WHERE f > 0)) WHERE minute >= since + INTERVAL 5 MINUTE")
-def o7(p: Pipeline) -> DataFrame:
+def o7(p: Stages) -> DataFrame:
     return ops.failure_alert(p.task_runs, 5)
 
 
 @register("o8_rows_ingested",
           "SELECT task_name, CAST(SUM(rows_ingested) AS BIGINT) AS rows_ingested FROM sys_task_runs GROUP BY 1")
-def o8(p: Pipeline) -> DataFrame:
+def o8(p: Stages) -> DataFrame:
     return ops.rows_ingested(p.task_runs)
 
 
@@ -644,7 +644,7 @@ def o8(p: Pipeline) -> DataFrame:
           f"CAST(epoch_us(max(finished_at)) - epoch_us(min(started_at)) AS DOUBLE) / 1e6 AS secs FROM sys_task_runs) t "
           f"JOIN ({_pct_sql('g', f'SELECT 1 AS g, {_DUR} AS duration FROM sys_task_runs', 50)}) a USING (g) "
           f"JOIN ({_pct_sql('g', f'SELECT 1 AS g, {_DUR} AS duration FROM sys_task_runs', 95)}) b USING (g)")
-def o9(p: Pipeline) -> DataFrame:
+def o9(p: Stages) -> DataFrame:
     return ops.latency_summary(p.task_runs)
 
 
@@ -655,7 +655,7 @@ _RAW9 = ("raw_wb_sales", "raw_wb_orders", "raw_wb_stocks", "raw_wb_funnel_daily"
 @register("o10_stored_rows",
           "WITH per AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _RAW9)
           + ") SELECT * FROM per UNION ALL SELECT '*', CAST(SUM(rows) AS BIGINT) FROM per")
-def o10(p: Pipeline) -> DataFrame:
+def o10(p: Stages) -> DataFrame:
     return ops.stored_rows({t: p.raw(t) for t in _RAW9})
 
 
@@ -673,7 +673,7 @@ _K9_KEYS = ("ref", "utm_source", "token", "api_key", "authorization", "password"
           "SELECT page_id, unnest(generate_series(1, len(parts))) AS pos, unnest(parts) AS kv FROM ("
           "SELECT page_id, string_split(regexp_extract(url, '\\?([^#]*)', 1), '&') AS parts FROM pages "
           "WHERE strpos(url, '?') > 0)) WHERE length(kv) > 0)")
-def k9(p: Pipeline) -> DataFrame:
+def k9(p: Stages) -> DataFrame:
     return redaction.redact_page_params(p.table("pages"), _K9_KEYS)
 
 
@@ -682,7 +682,7 @@ def k9(p: Pipeline) -> DataFrame:
           "LEAST(DATE '2024-01-01' + 7 * CAST((CAST(ts AS DATE) - DATE '2024-01-01') // 7 AS INTEGER) + 6, DATE '2024-01-30') "
           "AS window_end, count(*) AS events FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' "
           "GROUP BY 1, 2")
-def w9(p: Pipeline) -> DataFrame:
+def w9(p: Stages) -> DataFrame:
     ev = p.table("events").withColumn("day", F.to_date("ts"))
     a = redaction.assign_date_window(ev, "day", dt.date(2024, 1, 1), dt.date(2024, 1, 30), 7)
     return a.groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("events"))
@@ -710,7 +710,7 @@ def _recs(lines: DataFrame) -> DataFrame:
           f"CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price_rub, "
           f"CASE WHEN l_linenumber <> 1 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) ELSE 0.0 END "
           f"AS payout_rub, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_return FROM lineitem")
-def p1(p: Pipeline) -> DataFrame:
+def p1(p: Stages) -> DataFrame:
     recs = _recs(landing.wb_sales_pages(p.table("lineitem")))
     return normalize.wb_sales(recs, _RUN, _ACC).drop("payload")
 
@@ -727,7 +727,7 @@ _POSTING_NO = ("CASE WHEN l_linenumber <> 6 OR l_returnflag <> 'N' THEN CAST(l_o
           f"CASE WHEN l_linestatus = 'F' THEN {_LI_SHIFT} + INTERVAL 2 DAY END AS delivered_at, "
           f"CASE WHEN l_returnflag = 'R' THEN {_LI_SHIFT} + INTERVAL 1 DAY END AS canceled_at, "
           f"NULLIF(l_suppkey % 4, 0) AS ozon_warehouse_id FROM lineitem")
-def p5(p: Pipeline) -> DataFrame:
+def p5(p: Stages) -> DataFrame:
     recs = _recs(landing.ozon_posting_pages(p.table("lineitem")))
     return normalize.ozon_postings(recs, _RUN, _ACC).drop("payload")
 
@@ -739,7 +739,7 @@ def p5(p: Pipeline) -> DataFrame:
           f"CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price, "
           f"CAST(CASE WHEN l_linenumber <> 3 THEN CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 0.9 AS DECIMAL(18,2)) "
           f"ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS DOUBLE) AS payout FROM lineitem WHERE l_linenumber <> 7")
-def p6(p: Pipeline) -> DataFrame:
+def p6(p: Stages) -> DataFrame:
     recs = _recs(landing.ozon_posting_pages(p.table("lineitem")))
     return normalize.ozon_posting_items(recs, _RUN, _ACC).drop("payload")
 
@@ -749,7 +749,7 @@ def p6(p: Pipeline) -> DataFrame:
           f"'offer-' || CAST(user_id AS VARCHAR) AS offer_id, NULLIF(user_id % 3, 0) AS warehouse_id, "
           f"CAST(FLOOR(value) AS INTEGER) AS present, CAST(event_id % 3 AS INTEGER) AS reserved "
           f"FROM events WHERE user_id % 2 = 1")
-def p7(p: Pipeline) -> DataFrame:
+def p7(p: Stages) -> DataFrame:
     recs = _recs(landing.ozon_stock_pages(p.table("events")))
     return normalize.ozon_stocks(recs, _RUN, _ACC, F.col("ingested_at")).drop("payload")
 
@@ -757,7 +757,7 @@ def p7(p: Pipeline) -> DataFrame:
 @register("p8_ozon_ads_from_json",
           f"SELECT ingested_at, {_META_SQL}, day, campaign_id, impressions, clicks, CAST(cost AS DOUBLE) AS cost, "
           f"orders, CAST(revenue AS DOUBLE) AS revenue FROM raw_ozon_ads_daily")
-def p8(p: Pipeline) -> DataFrame:
+def p8(p: Stages) -> DataFrame:
     recs = _recs(landing.ozon_ads_pages(p.raw("raw_ozon_ads_daily")))
     return normalize.ozon_ads(recs, _RUN, _ACC).drop("payload")
 
@@ -767,7 +767,7 @@ def p8(p: Pipeline) -> DataFrame:
           f"o_orderdate + INTERVAL 8430 DAY AS operation_ts, o_orderpriority AS type, "
           f"CAST(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) "
           f"ELSE -CAST(o_totalprice AS DECIMAL(18,2)) END AS DOUBLE) AS amount, 'RUB' AS currency FROM orders")
-def p9(p: Pipeline) -> DataFrame:
+def p9(p: Stages) -> DataFrame:
     recs = _recs(landing.ozon_finance_pages(p.table("orders")).drop("account_id"))
     return normalize.ozon_finance(recs, _RUN, _ACC).drop("payload")
 
@@ -779,7 +779,7 @@ def p9(p: Pipeline) -> DataFrame:
           f"SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), 'fbo' FROM lineitem "
           f"WHERE l_returnflag = 'A') GROUP BY posting_key "
           f"UNION ALL SELECT NULL, 'fbs' FROM lineitem WHERE l_linenumber = 6 AND l_returnflag = 'N'")
-def s10(p: Pipeline) -> DataFrame:
+def s10(p: Stages) -> DataFrame:
     li = p.table("lineitem")
     fbs = _recs(landing.ozon_posting_pages(li))
     fbo = _recs(landing.ozon_posting_pages(li.where(F.col("l_returnflag") == "A"), status="fbo_override"))
@@ -793,7 +793,7 @@ def s10(p: Pipeline) -> DataFrame:
           f"{_LI_SHIFT} AS last_change_ts, {_LI_SHIFT} AS event_ts, l_partkey AS nm_id, l_suppkey AS chrt_id, "
           f"CASE WHEN l_linenumber = 4 THEN 1 ELSE GREATEST(1, CAST(l_quantity AS INTEGER)) END AS quantity, "
           f"CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price_rub FROM lineitem")
-def p2(p: Pipeline) -> DataFrame:
+def p2(p: Stages) -> DataFrame:
     recs = _recs(landing.wb_order_pages(p.table("lineitem")))
     return normalize.wb_orders(recs, _RUN, _ACC).drop("payload")
 
@@ -802,7 +802,7 @@ def p2(p: Pipeline) -> DataFrame:
           f"SELECT ts AS ingested_at, {_META_SQL}, ts AS snapshot_ts, NULLIF(user_id, 0) AS nm_id, "
           f"user_id AS chrt_id, 'sku-' || CAST(user_id AS VARCHAR) AS sku, NULLIF(user_id % 3, 0) AS warehouse_id, "
           f"CAST(FLOOR(value) AS INTEGER) AS amount FROM events WHERE user_id % 2 = 0")
-def p3(p: Pipeline) -> DataFrame:
+def p3(p: Stages) -> DataFrame:
     recs = _recs(landing.wb_stock_pages(p.table("events")))
     return normalize.wb_stocks(recs, _RUN, _ACC, F.col("ingested_at")).drop("payload")
 
@@ -813,7 +813,7 @@ def p3(p: Pipeline) -> DataFrame:
           f"cancel_count, 0.0::DOUBLE AS cancel_sum_rub, 0.0::DOUBLE AS add_to_cart_conv, "
           f"0.0::DOUBLE AS cart_to_order_conv, 0.0::DOUBLE AS buyout_percent, CAST(0 AS BIGINT) AS add_to_wishlist, "
           f"'RUB' AS currency FROM raw_wb_funnel_daily")
-def p4(p: Pipeline) -> DataFrame:
+def p4(p: Stages) -> DataFrame:
     recs = _recs(landing.wb_funnel_pages(p.raw("raw_wb_funnel_daily")))
     return normalize.wb_funnel(recs, _RUN, _ACC).drop("payload")
 
@@ -831,7 +831,7 @@ _CURSOR_SOURCE = "purchase"  # the bound cursor history's source used as the sal
           f"FROM lineitem) "
           f"SELECT s.account_id, count(*) AS rows, max(s.last_change_ts) AS new_cursor "
           f"FROM s JOIN cur ON s.account_id = cur.account_id WHERE s.last_change_ts > cur.cursor GROUP BY s.account_id")
-def w1_w2(p: Pipeline) -> DataFrame:
+def w1_w2(p: Stages) -> DataFrame:
     """W1 + W2 as one batch job: each account's stored cursor (else now − 48 h),
     the normalised sales changed after it, and the cursor they advance to."""
     from vitrine.sources import tables as K
@@ -856,7 +856,7 @@ def _stream_dirs(spark: SparkSession, tag: str) -> tuple[str, str]:
     return f"{base}/out", f"{base}/checkpoint"
 
 
-def _event_stream(p: Pipeline) -> DataFrame:
+def _event_stream(p: Stages) -> DataFrame:
     """The events table as a file stream (schema from the batch read)."""
     path = f"{p.sf_dir}/events*.parquet"  # a glob: the file source needs a directory or a pattern
     return p.spark.readStream.schema(p.table("events").schema).parquet(path)
@@ -865,7 +865,7 @@ def _event_stream(p: Pipeline) -> DataFrame:
 @register("w12_stream_daily_event_counts",
           "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events, "
           "CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY 1, 2")
-def w12(p: Pipeline) -> DataFrame:
+def w12(p: Stages) -> DataFrame:
     from vitrine.streaming import ingest as S
     out, ck = _stream_dirs(p.spark, "w12")
     S.run_update_stream(S.event_counts_stream(_event_stream(p)), out, ck).awaitTermination()
@@ -876,7 +876,7 @@ def w12(p: Pipeline) -> DataFrame:
           "SELECT CAST(snapshot_ts AS DATE) AS day, 'wb' AS marketplace, account_id, "
           "CAST(chrt_id AS VARCHAR) AS product_id, warehouse_id, CAST(arg_max(amount, snapshot_ts) AS BIGINT) AS stock_end "
           "FROM raw_wb_stocks GROUP BY 1, 2, 3, 4, 5")
-def w13(p: Pipeline) -> DataFrame:
+def w13(p: Stages) -> DataFrame:
     from vitrine.sources import bindings as Bd
     from vitrine.streaming import ingest as S
     raw = Bd.raw_wb_stocks(_event_stream(p))
@@ -898,7 +898,7 @@ _K5_CUTOFF = AS_OF - dt.timedelta(days=20)   # retention cutoff applied afterwar
           f"CAST(orders_sum AS DOUBLE) AS orders_sum, buyouts, cancels, add_to_cart_conv, cart_to_order_conv, "
           f"buyout_percent, wishlist, currency, ingested_at FROM stg_funnel "
           f"WHERE day >= {_sqld(_K5_CUTOFF)} AND day <> {_sqld(_K4_GONE)}")
-def k4_k5(p: Pipeline) -> DataFrame:
+def k4_k5(p: Stages) -> DataFrame:
     """K4 twice + K5 on a real table: a full rebuild, a 14-day rebuild after one
     day's raw rows vanished (that day disappears, older days stay), then
     retention drops whole days before the cutoff."""

@@ -1,6 +1,6 @@
 """The warehouse as one lazy plan graph over a test-data folder.
 
-``Pipeline`` wires bindings → latest-wins staging → marts exactly as the
+``Stages`` wires bindings → latest-wins staging → marts exactly as the
 reference's rebuild does (raw → stg → mrt), but as lazy DataFrames: nothing
 runs until a query's result is consumed, and Catalyst prunes every column and
 branch that query does not need.  A production job would materialise stg and
@@ -25,7 +25,7 @@ STG_DAYS = 365      # the reference's upper clamp: the widest rebuild it allows
 MART_DAYS = 365
 
 
-class Pipeline:
+class Stages:
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: dt.date = AS_OF,
                  stg_days: int = STG_DAYS, mart_days: int = MART_DAYS, run_ts: dt.datetime = RUN_TS):
         self.spark, self.sf_dir = spark, sf_dir
@@ -38,7 +38,7 @@ class Pipeline:
     SHARED = ("stg_sales", "stg_orders", "stg_stocks", "stg_funnel", "stg_ads", "stg_finance",
               "mrt_sales", "mrt_stock", "mrt_funnel", "mrt_ads")
 
-    def materialize(self, names=SHARED) -> "Pipeline":
+    def materialize(self, names=SHARED) -> "Stages":
         """Compute the shared staging and mart frames once for a query that reads
         each of them many times (the quality report): reliable checkpoints in the
         cluster's shared ``spark.checkpoint.dir`` cut the lineage, so every consumer
