@@ -55,3 +55,46 @@ def test_out_of_range_numbers_do_not_fail_the_job(spark):
     # beyond BIGINT: the default (1), as for any value int() cannot store
     assert rows["x"].quantity == 1 and rows["x"].nm_id == 0 and float(rows["x"].price_rub) == 0.0
     assert rows["y"].quantity is None and rows["y"].is_return == 1
+
+
+def test_value_rules_match_python_on_random_json(spark):
+    import json
+    import random
+    from decimal import Decimal
+
+    from vitrine.functions.values import safe_float
+
+    rnd = random.Random(11)
+
+    def value():
+        k = rnd.randrange(9)
+        return [lambda: rnd.randrange(-50, 50), lambda: round(rnd.uniform(-100, 100), rnd.randrange(0, 3)),
+                lambda: str(rnd.randrange(-50, 50)), lambda: f"{rnd.uniform(-9, 9):.2f}", lambda: "",
+                lambda: rnd.choice([True, False]), lambda: None, lambda: [0] * rnd.randrange(2),
+                lambda: {"a": 1} if rnd.random() < 0.5 else {}][k]()
+
+    vals = [value() for _ in range(300)]
+    docs = [{"a": v} for v in vals]
+
+    def py_int(v, d=-1):
+        try:
+            return int(v)
+        except (TypeError, ValueError):
+            return d
+
+    def py_float(v, d=0.0):
+        try:
+            return float(v)
+        except (TypeError, ValueError):
+            return d
+
+    f = Fields()
+    cols = [f.truthy("a").alias("t"), safe_int(f.get("a"), -1).alias("i"), safe_float(f.get("a")).alias("x"),
+            safe_money(f.get("a")).alias("m")]
+    rows = f.stage(recs(spark, docs)).select(*cols).collect()
+    for v, r in zip(vals, rows):
+        assert r.t == bool(v), (v, r)
+        assert r.i == py_int(v), (v, r)
+        assert r.x == py_float(v), (v, r)
+        want_m = Decimal(str(py_float(v))).quantize(Decimal("0.01")) if not isinstance(v, bool) else Decimal(int(v))
+        assert r.m == want_m, (json.dumps(v), r)
