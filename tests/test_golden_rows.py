@@ -4,7 +4,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import recs
 from vitrine.operators import marts, normalize as N, reads, staging

@@ -128,3 +128,12 @@ def test_envelopes_and_schema_merge(spark):
     m = feeds.merge_schemas([("fbs", feeds.unwrap(fbs)), ("fbo", feeds.unwrap(fbo))])
     got = sorted((r["posting_key"] or "", r["schema"]) for r in m.collect())
     assert got == [("", "fbo"), ("", "fbs"), ("P1", "fbo"), ("P2", "fbs")]
+
+
+def test_parameter_contracts():
+    from vitrine.sources import feeds
+    assert feeds.parse_schemas() == ("fbs", "fbo")
+    assert feeds.parse_schemas(" FBO, fbs ,fbo,xyz") == ("fbo", "fbs")
+    assert feeds.parse_schemas("nope,") == ("fbs",)
+    assert feeds.clamp_backfill_days("sales", 400) == 90 and feeds.clamp_backfill_days("finance", 0) == 1
+    assert feeds.clamp_backfill_days("funnel", 200) == 200 and feeds.clamp_backfill_days("funnel_admin", 200) == 90

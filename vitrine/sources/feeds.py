@@ -67,3 +67,24 @@ def merge_schemas(by_schema: Sequence[tuple[str, DataFrame]], order_cols: Sequen
     with_key = keyed.where(F.col("posting_key").isNotNull()) \
         .withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
     return with_key.unionByName(keyed.where(F.col("posting_key").isNull()))
+
+
+# --------------------------------------------------- parameter contracts (§2.14)
+
+# Posting schemas and the day clamps of the backfill entry points.
+POSTING_SCHEMAS = ("fbs", "fbo")
+DEFAULT_POSTING_SCHEMAS = "fbs,fbo"
+BACKFILL_MAX_DAYS = {"sales": 90, "orders": 90, "postings": 90, "funnel": 365, "funnel_admin": 90,
+                     "finance": 365, "transforms": 365, "marts": 365}
+
+
+def parse_schemas(text: str | None = None) -> tuple[str, ...]:
+    """``"fbs,fbo"`` → the ordered distinct valid schemas; ``("fbs",)`` when none is valid."""
+    items = [x.strip().lower() for x in (DEFAULT_POSTING_SCHEMAS if text is None else text).split(",") if x.strip()]
+    valid = [x for x in items if x in POSTING_SCHEMAS]
+    return tuple(dict.fromkeys(valid)) or ("fbs",)
+
+
+def clamp_backfill_days(kind: str, days: int) -> int:
+    """Days of a backfill, clamped to 1..the feed's maximum."""
+    return max(1, min(BACKFILL_MAX_DAYS[kind], int(days)))
