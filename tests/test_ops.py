@@ -51,3 +51,14 @@ def test_date_windows(spark):
     df = spark.createDataFrame([(dt.date(2026, 3, d),) for d in range(1, 10)], "day date")
     a = redaction.assign_date_window(df, "day", dt.date(2026, 3, 1), dt.date(2026, 3, 8), 3)
     assert sorted({(r.window_start, r.window_end) for r in a.collect()}) == w
+
+
+def test_cumulative_counts_span_partitions_for_a_hot_group(spark):
+    from pyspark.sql import functions as F
+    rows = [("hot", float(i % 500)) for i in range(5000)] + [("cold", float(i)) for i in range(7)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    h = ops.cumulative_counts(df, ["g"], "x", partitions=6)
+    got = {(r.g, r.x): (r.cum, r.total) for r in h.collect()}
+    assert got[("hot", 0.0)] == (10, 5000) and got[("hot", 499.0)] == (5000, 5000)
+    assert got[("hot", 250.0)] == (2510, 5000) and got[("cold", 6.0)] == (7, 7)
+    assert h.where(F.col("g") == "hot").count() == 500

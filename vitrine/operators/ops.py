@@ -4,8 +4,8 @@ The reference exports counters to a monitoring system and alerts with range
 queries; here the same signals are windowed aggregates over ``sys_task_runs``
 and ``sys_watermarks``.  Sliding windows use Spark's ``window()`` (each row is
 expanded to the windows that contain it, then partially aggregated); exact
-percentiles use a per-value histogram so no group's values are ever buffered
-in one task.
+percentiles use a per-value histogram with a range-partitioned running count,
+so no group's values are ever placed in one task.
 """
 
 from __future__ import annotations
@@ -63,18 +63,34 @@ def runs_by_status(runs: DataFrame, length: str = "1 hour") -> DataFrame:
     return w.select(F.col("w.start").alias("window_start"), "task_name", "status", "runs")
 
 
-def exact_percentile(df: DataFrame, group: list[str], value: str, p_pct: int) -> DataFrame:
-    """Exact discrete percentile (the smallest value whose cumulative share
-    reaches ``p_pct`` %) per group, via a histogram of distinct values.
+def cumulative_counts(df: DataFrame, group: list[str], value: str, partitions: int | None = None) -> DataFrame:
+    """Per (group, value): ``n`` rows, the running count ``cum`` in value order
+    and the group's ``total`` — without ever placing a whole group in one task.
 
-    Counts per (group, value) are combined map-side; the running sum then runs
-    over distinct values only, so a group holding a third of all rows costs its
-    number of distinct values, not its rows.
+    Counts per (group, value) are combined map-side; the histogram is then
+    range-partitioned on (group, value), so a group holding a third of all
+    rows spans many partitions.  Each partition computes its local running
+    counts, and a per-(partition, group) total table (partitions × groups rows)
+    supplies the offset of every partition: ``cum = offset + local``.
     """
+    spark = df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hist = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    w_cum = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*group)
-    h = hist.select(*group, value, F.sum("n").over(w_cum).alias("cum"), F.sum("n").over(w_all).alias("total"))
+    r = hist.repartitionByRange(n_parts, *group, value).withColumn("pid", F.spark_partition_id())
+    local = Window.partitionBy("pid", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("local_cum", F.sum("n").over(local))
+    part = r.groupBy("pid", *group).agg(F.sum("n").alias("part_n"))
+    before = Window.partitionBy(*group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.select("pid", *group, F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("offset"),
+                          F.sum("part_n").over(Window.partitionBy(*group)).alias("total"))
+    j = r.join(offsets, on=["pid", *group])
+    return j.select(*group, value, "n", (F.col("offset") + F.col("local_cum")).alias("cum"), "total")
+
+
+def exact_percentile(df: DataFrame, group: list[str], value: str, p_pct: int) -> DataFrame:
+    """Exact discrete percentile (the smallest value whose cumulative share
+    reaches ``p_pct`` %) per group, from ``cumulative_counts``."""
+    h = cumulative_counts(df, group, value)
     need = F.floor((F.col("total") * p_pct + 99) / 100)  # ceil(total · p / 100) in integers
     return h.where(F.col("cum") >= need).groupBy(*group).agg(F.min(value).alias(f"p{p_pct}"))
 
