@@ -82,3 +82,21 @@ def test_daily_stream_aggregate_equals_batch_mart(spark):
     batch = marts.sales_daily(spark.read.schema(schema).json(land), dt.date(2026, 3, 2), 14,
                               dt.datetime(2026, 3, 2)).collect()[0]
     assert (got.qty, got.revenue, got.returns_qty) == (batch.qty, batch.revenue, batch.returns_qty)
+
+
+def test_postings_two_tables_and_empty_marker(spark):
+    base = tempfile.mkdtemp(prefix="vitrine-w3-")
+    land, heads, items, runs, ck = (os.path.join(base, x) for x in ("land", "heads", "items", "runs", "ck"))
+    os.makedirs(land)
+    post = {"posting_number": "P1", "status": "delivered", "created_at": "2026-03-01T10:00:00Z",
+            "products": [{"product_id": 1, "price": "5"}, {"product_id": 2, "price": "7"}]}
+    _land(land, "a.json", [{"result": {"postings": [post], "has_next": False}}])
+    targets = {"postings": (lambda r: N.ozon_postings(r, "s", "default"), heads, "created_at"),
+               "items": (lambda r: N.ozon_posting_items(r, "s", "default"), items, "ingested_at")}
+    S.ingest(spark, land, targets, ck, "ozon_postings", runs_root=runs).awaitTermination()
+    assert [r.posting_number for r in K.read_table(spark, heads).collect()] == ["P1"]
+    assert sorted(r.ozon_product_id for r in K.read_table(spark, items).collect()) == [1, 2]
+    _land(land, "b.json", [{"result": {"postings": [], "has_next": False}}])  # an empty response
+    S.ingest(spark, land, targets, ck, "ozon_postings", runs_root=runs).awaitTermination()
+    msgs = sorted((r.rows_ingested, r.message) for r in K.read_table(spark, runs).collect())
+    assert msgs == [(0, "empty"), (3, "")]
