@@ -4,7 +4,7 @@
 from the raw tables and replaces exactly those days; ``rebuild_marts`` does
 the same for the marts from the *stored* staging tables (the plain scan L2),
 so a marts run never re-reads raw history.  Each call returns the rows
-written per table (counted by the write job itself) and an audit frame.
+written per table (counted from the committed files' footers).
 
 Staging rows are stored by ``part_day``: the row's day, or its ingest day
 when it has none (an item without posting), so such rows are kept and
