@@ -62,3 +62,24 @@ def test_cumulative_counts_span_partitions_for_a_hot_group(spark):
     assert got[("hot", 0.0)] == (10, 5000) and got[("hot", 499.0)] == (5000, 5000)
     assert got[("hot", 250.0)] == (2510, 5000) and got[("cold", 6.0)] == (7, 7)
     assert h.where(F.col("g") == "hot").count() == 500
+
+
+def test_hold_for_segments_equal_a_single_scan(spark):
+    rnd = random.Random(5)
+    t0 = dt.datetime(2026, 3, 1, 20)
+    rows = [(task, t0 + dt.timedelta(minutes=m), rnd.random() < 0.8) for task in ("a", "b") for m in range(0, 600)]
+    sig = spark.createDataFrame(rows, "task string, minute timestamp_ntz, active boolean")
+    got = sorted((r.task, r.firing_at, r.since) for r in ops.hold_for(sig, ["task"], "minute", "active", 5,
+                                                                          segment="hour").collect())
+    want = []
+    for task in ("a", "b"):
+        since = prev = None
+        for tk, m, act in rows:
+            if tk != task or not act:
+                continue
+            if prev is None or m - prev > dt.timedelta(minutes=1):
+                since = m
+            prev = m
+            if m >= since + dt.timedelta(minutes=5):
+                want.append((task, m, since))
+    assert got == sorted(want)

@@ -115,21 +115,34 @@ def duration_histogram(runs: DataFrame) -> DataFrame:
 
 
 def hold_for(signal: DataFrame, key: list[str], ts: str, active: str, hold_minutes: int,
-             step_minutes: int = 1) -> DataFrame:
+             step_minutes: int = 1, segment: str = "day") -> DataFrame:
     """Minutes at which a condition has been true for ``hold_minutes``.
 
-    ``signal`` has one row per key and evaluation minute; consecutive active
-    minutes form islands (minute − rank·step is constant inside one), and an
-    alert fires from island start + hold onwards.
+    ``signal`` has one row per key and evaluation minute.  A run of
+    consecutive active minutes starts where the previous active minute is more
+    than one step back; the alert fires from run start + hold onwards.  The
+    previous minute and the latest run start are found per (key, day segment)
+    and carried across segments from one-row-per-segment summaries, so no task
+    ever holds a key's whole history.
     """
-    a = signal.where(F.col(active))
-    w = Window.partitionBy(*key).orderBy(ts)
-    island = F.col(ts) - F.make_dt_interval(mins=F.row_number().over(w) * step_minutes)
-    x = a.select(*key, ts, island.alias("island"))
-    wi = Window.partitionBy(*key, "island")
-    x = x.select(*key, ts, "island", F.min(ts).over(wi).alias("since"))
-    return x.where(F.col(ts) >= F.col("since") + F.make_dt_interval(mins=F.lit(hold_minutes))) \
-        .select(*key, F.col(ts).alias("firing_at"), "since")
+    step = F.make_dt_interval(mins=F.lit(step_minutes))
+    a = signal.where(F.col(active)).select(*key, ts).withColumn("seg", F.date_trunc(segment, F.col(ts)))
+    in_seg = Window.partitionBy(*key, "seg").orderBy(ts)
+    segs = Window.partitionBy(*key).orderBy("seg")
+    x = a.withColumn("prev_in_seg", F.lag(ts).over(in_seg))
+    last = a.groupBy(*key, "seg").agg(F.max(ts).alias("seg_last"))
+    last = last.withColumn("prev_seg_last", F.lag("seg_last").over(segs)).select(*key, "seg", "prev_seg_last")
+    x = x.join(last, [*key, "seg"])
+    prev = F.coalesce(F.col("prev_in_seg"), F.col("prev_seg_last"))
+    x = x.withColumn("start", F.when(prev.isNull() | (F.col(ts) - step > prev), F.col(ts)))
+    run_in_seg = F.max("start").over(in_seg.rowsBetween(Window.unboundedPreceding, 0))
+    starts = x.groupBy(*key, "seg").agg(F.max("start").alias("seg_start"))
+    carried = starts.withColumn("carry", F.max("seg_start").over(segs.rowsBetween(Window.unboundedPreceding, -1))) \
+        .select(*key, "seg", "carry")
+    y = x.withColumn("start_so_far", run_in_seg).join(carried, [*key, "seg"])
+    since = F.coalesce(F.col("start_so_far"), F.col("carry"))
+    return y.select(*key, F.col(ts).alias("firing_at"), since.alias("since")) \
+        .where(F.col("firing_at") >= F.col("since") + F.make_dt_interval(mins=F.lit(hold_minutes)))
 
 
 def failure_alert(runs: DataFrame, hold_minutes: int = 5) -> DataFrame:
