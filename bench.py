@@ -63,7 +63,7 @@ def stored_path(spark, sf_dir: str, reads_n: int = 20) -> dict:
                                   "raw_ozon_postings", "raw_ozon_posting_items", "raw_ozon_stocks",
                                   "raw_ozon_ads_daily", "raw_ozon_finance_ops")}
     t0 = time.perf_counter()
-    rebuild.rebuild_staging(spark, raw, f"{root}/stg", B.AS_OF, days=14)
+    rebuild.rebuild_staging(spark, raw, f"{root}/stg", B.AS_OF, days=14, ingest_after_event=B.INGEST_AFTER_EVENT)
     t_stg = time.perf_counter() - t0
     t0 = time.perf_counter()
     rebuild.rebuild_marts(spark, f"{root}/stg", f"{root}/mrt", B.AS_OF, days=14)

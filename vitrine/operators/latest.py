@@ -27,16 +27,19 @@ def latest_wins(df: DataFrame, key: Sequence[str], order: Sequence[str],
 
 
 def latest_in_window(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                     in_window: Column) -> DataFrame:
+                     in_window: Column, version_floor: Column | None = None) -> DataFrame:
     """Latest version per key, kept only when that version satisfies ``in_window``.
 
-    Equal to ``latest_wins(df).where(in_window)``; the left-semi join to the keys
-    that have any version in the window lets the runtime bloom filter (or AQE
-    broadcast, when the window keys are small) prune history before the
-    dedup shuffle, so a 14-day rebuild does not sort years of versions.
+    Always equal to ``latest_wins(df).where(in_window)``.  ``version_floor`` is
+    a predicate on the version column that every candidate latest version
+    satisfies (e.g. "ingested on or after the window start"); it is applied
+    *before* the dedup so the scan and the shuffle skip older history (on
+    day-partitioned raw tables it prunes whole partitions).  It is exact
+    because any version it drops is older than a kept one: when the window is
+    on the ingest day itself it always holds; for an event-day window it holds
+    when versions are ingested no earlier than their event (callers assert it).
     """
-    keys = df.where(in_window).select(*key)
-    cand = df.join(keys, on=list(key), how="left_semi")
+    cand = df.where(version_floor) if version_floor is not None else df
     return latest_wins(cand, key, order).where(in_window)
 
 

@@ -43,6 +43,11 @@ def day_window(day: Column, as_of: dt.date, days: int) -> Column:
     return day.between(F.date_sub(F.lit(as_of), days), F.lit(as_of))
 
 
+def ingest_floor(as_of: dt.date, days: int, enabled: bool = True) -> Column | None:
+    """Versions ingested on or after the window start (see ``latest_in_window``)."""
+    return F.to_date("ingested_at") >= F.date_sub(F.lit(as_of), days) if enabled else None
+
+
 def _null(t: str) -> Column:
     return F.lit(None).cast(t)
 
@@ -54,11 +59,13 @@ def _key(name: str):
 # ------------------------------------------------------------------ sales
 
 def wb_sales(raw: DataFrame, as_of: dt.date, days: int = 14,
-             order=("ingested_at",)) -> DataFrame:
-    """Qty is negated for returns; product_id is the nm id as text."""
+             order=("ingested_at",), ingest_after_event: bool = False) -> DataFrame:
+    """Qty is negated for returns; product_id is the nm id as text.
+    ``ingest_after_event`` lets the dedup skip history ingested before the window."""
     days = clamp_days(days)
     latest = latest_in_window(raw, _key("raw_wb_sales"), order,
-                              day_window(F.to_date("event_ts"), as_of, days))
+                              day_window(F.to_date("event_ts"), as_of, days),
+                              ingest_floor(as_of, days, ingest_after_event))
     return latest.select(
         F.to_date("event_ts").alias("day"), F.lit("wb").alias("marketplace"), "account_id", "event_ts",
         F.col("srid").alias("order_id"), _null("string").alias("posting_number"), "srid",
@@ -80,7 +87,7 @@ def ozon_sales(items: DataFrame, postings: DataFrame, as_of: dt.date, days: int
     """
     days = clamp_days(days)
     it = latest_in_window(items, _key("raw_ozon_posting_items"), items_order,
-                          day_window(F.to_date("ingested_at"), as_of, days))
+                          day_window(F.to_date("ingested_at"), as_of, days), ingest_floor(as_of, days))
     po = latest_wins(postings.select("account_id", "posting_number", "created_at", "ingested_at"),
                      _key("raw_ozon_postings"), postings_order).select(
         "account_id", "posting_number", "created_at")
@@ -102,11 +109,13 @@ def stg_sales(wb: DataFrame, ozon: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- orders
 
-def wb_orders(raw: DataFrame, as_of: dt.date, days: int = 14, order=("ingested_at",)) -> DataFrame:
+def wb_orders(raw: DataFrame, as_of: dt.date, days: int = 14, order=("ingested_at",),
+              ingest_after_event: bool = False) -> DataFrame:
     """Status literal ``new``."""
     days = clamp_days(days)
     latest = latest_in_window(raw, _key("raw_wb_orders"), order,
-                              day_window(F.to_date("event_ts"), as_of, days))
+                              day_window(F.to_date("event_ts"), as_of, days),
+                              ingest_floor(as_of, days, ingest_after_event))
     return latest.select(
         F.to_date("event_ts").alias("day"), F.lit("wb").alias("marketplace"), "account_id", "event_ts",
         F.col("srid").alias("order_id"), F.lit("new").alias("status"),
@@ -115,11 +124,13 @@ def wb_orders(raw: DataFrame, as_of: dt.date, days: int = 14, order=("ingested_a
         F.col("payload").alias("meta_json"), "ingested_at")
 
 
-def ozon_orders(postings: DataFrame, as_of: dt.date, days: int = 14, order=("ingested_at",)) -> DataFrame:
+def ozon_orders(postings: DataFrame, as_of: dt.date, days: int = 14, order=("ingested_at",),
+                ingest_after_event: bool = False) -> DataFrame:
     """Posting headers; product, qty and price are typed NULLs."""
     days = clamp_days(days)
     latest = latest_in_window(postings, _key("raw_ozon_postings"), order,
-                              day_window(F.to_date("created_at"), as_of, days))
+                              day_window(F.to_date("created_at"), as_of, days),
+                              ingest_floor(as_of, days, ingest_after_event))
     return latest.select(
         F.to_date("created_at").alias("day"), F.lit("ozon").alias("marketplace"), "account_id",
         F.col("created_at").alias("event_ts"), F.col("posting_number").alias("order_id"), "status",
@@ -221,12 +232,13 @@ DIM_PRODUCT_COLS = ("marketplace", "account_id", "product_id", "nm_id", "chrt_id
 
 
 def wb_dim_product(raw_sales: DataFrame, as_of: dt.date, days: int, run_ts: dt.datetime,
-                   order=("ingested_at",)) -> DataFrame:
+                   order=("ingested_at",), ingest_after_event: bool = False) -> DataFrame:
     """One row per (account, nm_id); size and barcode by the smallest
     chrt_id (deterministic stand-in for ``any``, the survey's Q5)."""
     days = max(30, clamp_days(days))
     latest = latest_in_window(raw_sales, _key("raw_wb_sales"), order,
-                              day_window(F.to_date("event_ts"), as_of, days))
+                              day_window(F.to_date("event_ts"), as_of, days),
+                              ingest_floor(as_of, days, ingest_after_event))
     g = latest.groupBy("account_id", "nm_id").agg(
         F.min(F.struct("chrt_id", "barcode")).alias("pick"))
     return g.select(
@@ -242,7 +254,7 @@ def ozon_dim_product(items: DataFrame, as_of: dt.date, days: int, run_ts: dt.dat
     """One row per (account, product); ``any`` → min."""
     days = max(30, clamp_days(days))
     latest = latest_in_window(items, _key("raw_ozon_posting_items"), order,
-                              day_window(F.to_date("ingested_at"), as_of, days))
+                              day_window(F.to_date("ingested_at"), as_of, days), ingest_floor(as_of, days))
     g = latest.groupBy("account_id", "ozon_product_id").agg(
         F.min("offer_id").alias("offer_id"), F.min("name").alias("title"))
     return g.select(

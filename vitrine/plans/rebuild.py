@@ -30,15 +30,18 @@ def _with_part(df: DataFrame) -> DataFrame:
 
 
 def staging_frames(raw: dict[str, DataFrame], as_of: dt.date, days: int,
-                   run_ts: dt.datetime) -> dict[str, DataFrame]:
-    """T1–T12 for one window (lazy)."""
+                   run_ts: dt.datetime, ingest_after_event: bool = False) -> dict[str, DataFrame]:
+    """T1–T12 for one window (lazy).  ``ingest_after_event`` asserts that versions
+    are ingested no earlier than their event, so history before the window is skipped."""
     d = staging.clamp_days(days)
+    iae = ingest_after_event
     return {
         "stg_sales": staging.stg_sales(
-            staging.wb_sales(raw["raw_wb_sales"], as_of, d),
+            staging.wb_sales(raw["raw_wb_sales"], as_of, d, ingest_after_event=iae),
             staging.ozon_sales(raw["raw_ozon_posting_items"], raw["raw_ozon_postings"], as_of, d)),
-        "stg_orders": staging.stg_orders(staging.wb_orders(raw["raw_wb_orders"], as_of, d),
-                                         staging.ozon_orders(raw["raw_ozon_postings"], as_of, d)),
+        "stg_orders": staging.stg_orders(staging.wb_orders(raw["raw_wb_orders"], as_of, d, ingest_after_event=iae),
+                                         staging.ozon_orders(raw["raw_ozon_postings"], as_of, d,
+                                                             ingest_after_event=iae)),
         "stg_stocks": staging.stg_stocks(staging.wb_stocks(raw["raw_wb_stocks"], as_of, d),
                                          staging.ozon_stocks(raw["raw_ozon_stocks"], as_of, d)),
         "stg_funnel_daily": staging.wb_funnel(raw["raw_wb_funnel_daily"], as_of, d),
@@ -48,11 +51,12 @@ def staging_frames(raw: dict[str, DataFrame], as_of: dt.date, days: int,
 
 
 def rebuild_staging(spark: SparkSession, raw: dict[str, DataFrame], root: str, as_of: dt.date, days: int = 14,
-                    run_ts: dt.datetime | None = None) -> dict[str, int]:
+                    run_ts: dt.datetime | None = None, ingest_after_event: bool = False) -> dict[str, int]:
     """Replace the window ``[as_of − days, as_of]`` of every staging table under ``root``."""
     d = staging.clamp_days(days)
     out = {}
-    for name, df in staging_frames(raw, as_of, d, run_ts or dt.datetime.combine(as_of, dt.time())).items():
+    ts = run_ts or dt.datetime.combine(as_of, dt.time())
+    for name, df in staging_frames(raw, as_of, d, ts, ingest_after_event).items():
         window = max(60, d) if name in ("stg_ads_daily", "stg_finance_ops") else d
         cutoff = as_of - dt.timedelta(days=window)
         out[name] = tables.windowed_replace(spark, f"{root}/{name}", _with_part(df), cutoff, day_col=PART,

@@ -54,7 +54,8 @@ class Stages:
     # ------------------------------------------------------------ staging
     @cached_property
     def stg_sales_wb(self) -> DataFrame:
-        return staging.wb_sales(self.raw("raw_wb_sales"), self.as_of, self.stg_days, order=B.WB_SALES_ORDER)
+        return staging.wb_sales(self.raw("raw_wb_sales"), self.as_of, self.stg_days, order=B.WB_SALES_ORDER,
+                                ingest_after_event=B.INGEST_AFTER_EVENT)
 
     @cached_property
     def stg_sales_ozon(self) -> DataFrame:
@@ -67,11 +68,13 @@ class Stages:
 
     @cached_property
     def stg_orders_wb(self) -> DataFrame:
-        return staging.wb_orders(self.raw("raw_wb_orders"), self.as_of, self.stg_days, order=B.WB_ORDERS_ORDER)
+        return staging.wb_orders(self.raw("raw_wb_orders"), self.as_of, self.stg_days, order=B.WB_ORDERS_ORDER,
+                                 ingest_after_event=B.INGEST_AFTER_EVENT)
 
     @cached_property
     def stg_orders_ozon(self) -> DataFrame:
-        return staging.ozon_orders(self.raw("raw_ozon_postings"), self.as_of, self.stg_days)
+        return staging.ozon_orders(self.raw("raw_ozon_postings"), self.as_of, self.stg_days,
+                                   ingest_after_event=B.INGEST_AFTER_EVENT)
 
     @cached_property
     def stg_orders(self) -> DataFrame:
@@ -104,7 +107,7 @@ class Stages:
     @cached_property
     def dim_product(self) -> DataFrame:
         wb = staging.wb_dim_product(self.raw("raw_wb_sales"), self.as_of, self.stg_days, self.run_ts,
-                                    order=B.WB_SALES_ORDER)
+                                    order=B.WB_SALES_ORDER, ingest_after_event=B.INGEST_AFTER_EVENT)
         oz = staging.ozon_dim_product(self.raw("raw_ozon_posting_items"), self.as_of, self.stg_days,
                                       self.run_ts, order=B.OZON_ITEMS_ORDER)
         return staging.dim_product(wb, oz)
