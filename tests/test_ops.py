@@ -87,7 +87,7 @@ def test_hold_for_segments_equal_a_single_scan(spark):
 
 def test_redact_map_column(spark):
     from pyspark.sql import functions as F
-    df = spark.createDataFrame([({"X-Api-Key": "0123456789ab", "Authorization": "Bearer 1", "page": "2"},)],
+    df = spark.createDataFrame([({"Api_Key_Main": "0123456789ab", "x-api-key": "0123456789ab", "Authorization": "Bearer 1", "page": "2"},)],
                                "m map<string,string>")
     got = df.select(redaction.redact_map(F.col("m")).alias("m")).collect()[0].m
-    assert got == {"X-Api-Key": "0123***89ab", "Authorization": "*" * 8, "page": "2"}
+    assert got == {"Api_Key_Main": "0123***89ab", "x-api-key": "0123456789ab", "Authorization": "*" * 8, "page": "2"}
