@@ -1,7 +1,6 @@
 """The summary cards the web UI computes over API results.
 
-Each card is one global aggregate (partial per task, a one-row final merge);
-the overview joins one-row frames, whose size is fixed at one row.
+Each card is one global aggregate (partial per task, a one-row final merge).
 """
 
 from __future__ import annotations
@@ -36,12 +35,22 @@ def top_rows(rows: DataFrame, by: str = "revenue", k: int = 10, tie: tuple[str,
 
 
 def overview(sales: DataFrame, ads: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Revenue, qty, ad cost, stock units and row counts in one row."""
-    s = sales.agg(total("revenue").alias("revenue"), total("qty").alias("qty"),
-                  F.count(F.lit(1)).alias("sales_rows"))
-    a = ads.agg(total("cost").alias("ad_cost"), F.count(F.lit(1)).alias("ads_rows"))
-    k = stocks.agg(total("stock_end").alias("stock_units"), F.count(F.lit(1)).alias("stock_rows"))
-    return s.crossJoin(a).crossJoin(k)  # three one-row frames
+    """Revenue, qty, ad cost, stock units and row counts in one row — one
+    global aggregate over the three inputs stacked (no join)."""
+    z = lambda t: F.lit(None).cast(t)
+    one = F.lit(1)
+    stacked = (sales.select(F.col("revenue").cast("decimal(38,2)").alias("revenue"), F.col("qty").cast("bigint").alias("qty"),
+                            one.alias("s"), z("decimal(38,2)").alias("cost"), z("int").alias("a"),
+                            z("bigint").alias("stock_end"), z("int").alias("k"))
+               .unionByName(ads.select(z("decimal(38,2)").alias("revenue"), z("bigint").alias("qty"), z("int").alias("s"),
+                                       F.col("cost").cast("decimal(38,2)").alias("cost"), one.alias("a"),
+                                       z("bigint").alias("stock_end"), z("int").alias("k")))
+               .unionByName(stocks.select(z("decimal(38,2)").alias("revenue"), z("bigint").alias("qty"),
+                                          z("int").alias("s"), z("decimal(38,2)").alias("cost"), z("int").alias("a"),
+                                          F.col("stock_end").cast("bigint").alias("stock_end"), one.alias("k"))))
+    return stacked.agg(total("revenue").alias("revenue"), total("qty").alias("qty"),
+                       F.count("s").alias("sales_rows"), total("cost").alias("ad_cost"), F.count("a").alias("ads_rows"),
+                       total("stock_end").alias("stock_units"), F.count("k").alias("stock_rows"))
 
 
 def sales_card(rows: DataFrame) -> DataFrame:

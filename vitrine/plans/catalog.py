@@ -226,10 +226,10 @@ def a9(p: Stages) -> DataFrame:
 
 
 @register("a2_api_stocks_current",
-          "WITH max_day AS (SELECT max(day) AS current_day FROM mrt_stock) "
           "SELECT s.day, s.marketplace, s.account_id, s.product_id, s.warehouse_id, "
-          "CAST(SUM(s.stock_end) AS BIGINT) AS stock_end FROM mrt_stock s CROSS JOIN max_day "
-          "WHERE s.day = max_day.current_day GROUP BY s.day, s.marketplace, s.account_id, s.product_id, s.warehouse_id")
+          "CAST(SUM(s.stock_end) AS BIGINT) AS stock_end FROM mrt_stock s "
+          "WHERE s.day = (SELECT max(day) FROM mrt_stock) "
+          "GROUP BY s.day, s.marketplace, s.account_id, s.product_id, s.warehouse_id")
 def a2(p: Stages) -> DataFrame:
     return reads.stocks_current(p.mrt_stock, reads.Page(), paged=False)
 
