@@ -75,3 +75,20 @@ def test_dim_product_upsert_keeps_newest(spark):
     new = spark.createDataFrame([row("1", "new", t1)], cols)
     got = sorted((r.product_id, r.title) for r in staging.dim_product(new, new.limit(0), existing=old).collect())
     assert got == [("1", "new"), ("2", "keep")]
+
+
+def test_failed_attempt_leftovers_do_not_block_a_retry(spark, tmp_root):
+    import os
+    K.append(spark, tmp_root, rows(spark, [(0, "a", 1)]))
+    # an uncommitted directory left by a crashed attempt of the next version
+    os.makedirs(os.path.join(tmp_root, "table_version=2-deadbeef0000", "day=2026-03-01"))
+    K.append(spark, tmp_root, rows(spark, [(0, "b", 2)]))
+    assert snapshot(spark, tmp_root) == [(D, "a", 1), (D, "b", 2)]
+    assert "table_version=2-deadbeef0000" in K.vacuum(spark, tmp_root)
+
+
+def test_alert_sink(spark, tmp_root):
+    from vitrine.operators import rules
+    alerts = spark.createDataFrame([("r", "telegram", "m", "[r] m")], "rule string, action string, message string, text string")
+    assert rules.store_alerts(spark, alerts, tmp_root, D) == 1
+    assert [r.text for r in K.read_table(spark, tmp_root).collect()] == ["[r] m"]

@@ -381,3 +381,10 @@ def rule_report(spark: SparkSession, rules, tables: dict[str, DataFrame], as_of:
             .select(F.lit(i).alias("ord"), F.lit(rule.name).alias("name"), "rows", "triggered")
         out = r if out is None else out.unionByName(r)
     return out
+
+
+def store_alerts(spark: SparkSession, alerts_df: DataFrame, root: str, as_of: dt.date) -> int:
+    """R7 sink: append the alert rows (with their evaluation day) to the alerts
+    table; delivery to a messenger is outside this library."""
+    from vitrine.sources import tables
+    return tables.append(spark, root, alerts_df.withColumn("day", F.lit(as_of)))

@@ -2,7 +2,7 @@
 
 Layout of a table root::
 
-    <root>/table_version=<n>/day=<yyyy-mm-dd>/*.parquet   data written by version n
+    <root>/table_version=<n>-<attempt>/day=<yyyy-mm-dd>/*.parquet   data of version n
     <root>/_manifest/<n>.json                      day → list of data directories
     <root>/_CURRENT                                name of the live manifest
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,19 +121,21 @@ def read_table(spark: SparkSession, root: str, schema=None, day_from: dt.date |
 
 
 def _write_version(df: DataFrame, fs: _FS, version: int, day_col: str,
-                   sort_by: tuple[str, ...] = ()) -> tuple[list[str], int]:
-    """Write rows partitioned by day into ``table_version=<version>``; returns (days, rows).
-    Files are sorted by day and then ``sort_by`` (the table's key), so Parquet row-group
-    statistics let key lookups skip row groups."""
+                   sort_by: tuple[str, ...] = ()) -> tuple[str, list[str], int]:
+    """Write rows partitioned by day into a fresh ``table_version=<n>-<attempt>``
+    directory; returns (directory, days, rows).  Each attempt writes its own
+    directory, so a retry after a failed job never collides with the
+    uncommitted leftovers (``vacuum`` removes them).  Files are sorted by day
+    and then ``sort_by`` (the table's key) for row-group skipping."""
+    vdir = f"{VERSION_KEY}={version}-{uuid.uuid4().hex[:12]}"
     # REBALANCE by day: AQE sizes the write tasks and splits a hot day across
     # several tasks (and files) instead of sending it to one
     (df.hint("rebalance", day_col).sortWithinPartitions(day_col, *sort_by)
-     .write.mode("errorifexists").partitionBy(day_col).parquet(f"{fs.root}/{VERSION_KEY}={version}"))
-    days = [d.split("=", 1)[1] for d in fs.list_dirs(f"{VERSION_KEY}={version}") if d.startswith(f"{day_col}=")]
+     .write.mode("errorifexists").partitionBy(day_col).parquet(f"{fs.root}/{vdir}"))
+    days = [d.split("=", 1)[1] for d in fs.list_dirs(vdir) if d.startswith(f"{day_col}=")]
     # rows actually committed, from the Parquet footers (no data is scanned)
-    spark = df.sparkSession
-    rows = spark.read.parquet(f"{fs.root}/{VERSION_KEY}={version}").count() if days else 0
-    return days, rows
+    rows = df.sparkSession.read.parquet(f"{fs.root}/{vdir}").count() if days else 0
+    return vdir, days, rows
 
 
 def append(spark: SparkSession, root: str, df: DataFrame, day_col: str = "day",
@@ -146,9 +149,9 @@ def append(spark: SparkSession, root: str, df: DataFrame, day_col: str = "day",
     if batch_id is not None and batch_id in m.get("batches", []):
         return 0
     v = m["version"] + 1
-    days, rows = _write_version(df, fs, v, day_col)
+    vdir, days, rows = _write_version(df, fs, v, day_col)
     for d in days:
-        m["days"].setdefault(d, []).append(f"{VERSION_KEY}={v}/{day_col}={d}")
+        m["days"].setdefault(d, []).append(f"{vdir}/{day_col}={d}")
     m["version"] = v
     if batch_id is not None:
         m["batches"] = (m.get("batches", []) + [batch_id])[-1000:]
@@ -165,10 +168,10 @@ def windowed_replace(spark: SparkSession, root: str, new_rows: DataFrame, cutoff
     m = _manifest(fs)
     v = m["version"] + 1
     window = new_rows.where(F.col(day_col) >= F.lit(cutoff))
-    days, rows = _write_version(window, fs, v, day_col, tuple(sort_by))
+    vdir, days, rows = _write_version(window, fs, v, day_col, tuple(sort_by))
     keep = {d: p for d, p in m["days"].items() if dt.date.fromisoformat(d) < cutoff}
     for d in days:
-        keep[d] = [f"{VERSION_KEY}={v}/{day_col}={d}"]
+        keep[d] = [f"{vdir}/{day_col}={d}"]
     _commit(fs, {**m, "version": v, "days": keep})
     return rows
 
