@@ -87,3 +87,11 @@ def test_segmented_backward_steps_equal_plain_lag(spark):
                 want.append((src, w, prev, u))
             prev = w
     assert got == sorted(want)
+
+
+def test_raise_if_failed(spark):
+    import pytest
+    ok = Q.raise_if_failed(Q.report(Q.summarize(frames(spark))))
+    assert ok["status"] == "success"
+    with pytest.raises(Q.DataQualityError, match="invalid_values=1"):
+        Q.raise_if_failed(Q.report(Q.summarize(frames(spark, "invalid"))))

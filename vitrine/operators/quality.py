@@ -207,3 +207,16 @@ def report(summary: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("ord", F.concat("check", F.lit("="), F.col("failures").cast("string"))
                                                  .alias("m")))), lambda x: x["m"]), "; "),
             F.lit("")).alias("message"))
+
+
+class DataQualityError(RuntimeError):
+    """Raised by ``raise_if_failed`` with the report's ``check=n; …`` message."""
+
+
+def raise_if_failed(report_df: DataFrame) -> dict:
+    """Bring the one-row report to the driver; raise when any check failed."""
+    row = report_df.first()
+    out = row.asDict() if row is not None else {"status": "success", "issues": 0, "message": ""}
+    if out["status"] == "failed":
+        raise DataQualityError(out["message"])
+    return out
