@@ -910,3 +910,17 @@ def k4_k5(p: Stages) -> DataFrame:
     K.windowed_replace(p.spark, root, St.wb_funnel(raw, AS_OF, 14), AS_OF - dt.timedelta(days=14))
     K.retain(p.spark, root, _K5_CUTOFF)
     return K.read_table(p.spark, root).drop("meta_json")
+
+
+# ============================================================= W6–W8 ranges
+
+@register("w7_ads_target_day",
+          f"SELECT ingested_at, {_META_SQL}, day, campaign_id, impressions, clicks, CAST(cost AS DOUBLE) AS cost, "
+          f"orders, CAST(revenue AS DOUBLE) AS revenue FROM raw_ozon_ads_daily WHERE day = {_sqld(_d(1))}")
+def w7(p: Stages) -> DataFrame:
+    """W7 (and the W6/W8 range form): one job over the target day's landed ads
+    pages — default yesterday — normalised with P8."""
+    from vitrine.streaming.ingest import in_range
+    recs = _recs(landing.ozon_ads_pages(p.raw("raw_ozon_ads_daily")))
+    day = _d(1)
+    return in_range(normalize.ozon_ads(recs, _RUN, _ACC).drop("payload"), "day", day, day)
