@@ -158,18 +158,28 @@ def rows_ingested(runs: DataFrame) -> DataFrame:
 
 
 def latency_summary(runs: DataFrame) -> DataFrame:
-    """p50, p95 and max duration and the run rate (runs per second of span)."""
+    """p50, p95 and max duration and the run rate (runs per second of span),
+    in one row: one aggregate over the duration histogram stacked with the
+    run-span row (no join)."""
     d = runs.select(F.lit(1).alias("g"), duration_seconds().alias("duration"))
-    p50 = exact_percentile(d, ["g"], "duration", 50)
-    p95 = exact_percentile(d, ["g"], "duration", 95)
-    tot = runs.select(F.lit(1).alias("g"), duration_seconds().alias("duration"), "started_at", "finished_at") \
-        .groupBy("g").agg(F.count(F.lit(1)).alias("runs"), F.max("duration").alias("max_duration"),
-                          F.min("started_at").alias("first_start"), F.max("finished_at").alias("last_finish"))
+    h = cumulative_counts(d, ["g"], "duration")
+    need = lambda pct: F.floor((F.col("total") * pct + 99) / 100)
+    stats = h.select(F.when(F.col("cum") >= need(50), F.col("duration")).alias("c50"),
+                     F.when(F.col("cum") >= need(95), F.col("duration")).alias("c95"),
+                     F.col("duration"), F.col("total"),
+                     F.lit(None).cast("timestamp_ntz").alias("started_at"),
+                     F.lit(None).cast("timestamp_ntz").alias("finished_at"))
+    span = runs.select(F.lit(None).cast("double").alias("c50"), F.lit(None).cast("double").alias("c95"),
+                       F.lit(None).cast("double").alias("duration"), F.lit(None).cast("bigint").alias("total"),
+                       F.col("started_at").cast("timestamp_ntz"), F.col("finished_at").cast("timestamp_ntz"))
+    agg = stats.unionByName(span).agg(
+        F.max("total").alias("runs"), F.min("c50").alias("p50"), F.min("c95").alias("p95"),
+        F.max("duration").alias("max_duration"),
+        F.min("started_at").alias("first_start"), F.max("finished_at").alias("last_finish"))
     secs = (F.unix_micros(F.col("last_finish").cast("timestamp"))
             - F.unix_micros(F.col("first_start").cast("timestamp"))).cast("double") / 1e6
-    return tot.join(p50, "g").join(p95, "g").select(
-        "runs", "p50", "p95", "max_duration",
-        F.when(secs > 0, F.col("runs") / secs).otherwise(F.lit(0.0)).alias("runs_per_second"))
+    return agg.select(F.coalesce("runs", F.lit(0).cast("bigint")).alias("runs"), "p50", "p95", "max_duration",
+                      F.when(secs > 0, F.col("runs") / secs).otherwise(F.lit(0.0)).alias("runs_per_second"))
 
 
 def stored_rows(tables: dict[str, DataFrame]) -> DataFrame:
