@@ -34,6 +34,6 @@ def test_every_query_has_an_oracle_or_a_reason():
 @pytest.mark.parametrize("name", SUBSET)
 def test_matches_oracle(spark, con, name):
     got = rows(catalog.run(spark, SF, name).toArrow())
-    want = rows(con.execute(catalog.REGISTRY[name].oracle).to_arrow_table())
+    want = rows(con.sql(catalog.REGISTRY[name].oracle).to_arrow_table())
     assert got[0] == want[0]
     assert got[1] == want[1]
