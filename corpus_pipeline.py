@@ -1,10 +1,19 @@
-"""Corpus pipeline: the stages that turn ``documents`` into packed training sequences."""
+"""Corpus pipeline: the stages that turn ``documents`` into packed training sequences.
+
+Every stage but the last returns the columns of ``documents``; each result is
+written once as Parquet and read again as the next stage's documents.  The
+stages work row by row where a row's fate is its own, and by a text's hash or
+a document's id where it is not, so null ids, repeated rows and columns of any
+name pass through (see each operator for its defined results).
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitrine.llm import quality
+from vitrine.llm import decontaminate, jaccard_join, packing, quality, secret_scan
 from vitrine.llm.common import saved
 
 
@@ -13,7 +22,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: the document with the smallest id of each group stays, once."""
+    return jaccard_join.one_of_each(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that contain a benchmark item go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: every span found is replaced by a mark; all documents stay."""
+    return secret_scan.redact(docs, secret_scan.fit(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cost-balanced packing: one row per piece of a training sequence, with its ids' checksum."""
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("secret_scans", secret_stage),
+    ("packing", packing_stage),
+]
+
+# The learnt formats and the tokenizer have no SQL form; tests/llm/test_pipeline.py
+# holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 

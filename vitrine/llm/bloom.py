@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,27 @@ def hits(held: np.ndarray, v: np.ndarray) -> np.ndarray:
         word = held[(p >> np.uint64(6)).astype(np.int64)].view(np.uint64)
         out &= (word >> (p & np.uint64(63))) & np.uint64(1) == 1
     return out
+
+
+def held(df: DataFrame, column: str, found: np.ndarray, negate: bool = False) -> DataFrame:
+    """The rows whose value the filter may hold, or with ``negate`` those whose value it surely doesn't."""
+    @F.arrow_udf("boolean")
+    def test(values: pa.Array) -> pa.Array:
+        yes = hits(found, values.to_numpy(zero_copy_only=False).view(np.uint64))
+        return pa.array(~yes if negate else yes)
+    return df.filter(test(column))
+
+
+def without(df: DataFrame, gone: DataFrame, key: str, *more: str) -> DataFrame:
+    """Rows of ``df`` that have no equal in ``gone`` by ``key`` (bigint) and, null-safe, ``more``.
+
+    Only rows that the filter may hold are shuffled for the join.
+    """
+    found = build(gone, key)
+    names = {c: f"__gone_{i}" for i, c in enumerate((key, *more))}
+    g = gone.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+    some = held(df, key, found)
+    on = F.col(key) == F.col(names[key])
+    for c in more:
+        on = on & F.col(c).eqNullSafe(F.col(names[c]))
+    return held(df, key, found, negate=True).union(some.join(g, on, "left_anti"))

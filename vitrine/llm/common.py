@@ -60,3 +60,11 @@ def let(value: Column, body) -> Column:
     element; a lambda variable is never repeated.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

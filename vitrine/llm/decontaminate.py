@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm import bloom
-from vitrine.llm.common import saved
+from vitrine.llm.common import saved, unused
 from vitrine.llm.shingles import WORDS, Hasher
 
 CONTAINMENT = 0.75
@@ -177,3 +177,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         .filter(F.col("n_shared") >= F.lit(containment) * F.col("n_item"))
     return found.select("doc_id", "text_key").distinct().join(shared, "text_key") \
         .select("doc_id", "text_key", "item_id", "n_item", "n_shared").distinct()
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that contain no item; columns as in ``docs``."""
+    key = unused("__text_key", docs)
+    found = leaks(docs.select(F.lit(0).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), items)
+    keyed = docs.withColumn(key, text_key(f"`{text_col}`"))
+    return bloom.without(keyed, found.select(F.col("text_key").alias(key)), key).drop(key)

@@ -18,7 +18,6 @@ Equal sets are one node.  In the first round each node is compared with the
 smallest node of each of its prefix shingles, in the second the pairs that
 share a prefix shingle but lie in different components: a pair inside one
 component can't change it, so no group of near copies is expanded into pairs.
-A further round of leaders runs while it still joins many components.
 
 Defined results: a document without words has an empty set, n_shingles 0 and
 is linked with nothing; fewer words than a shingle make one shingle; repeated
@@ -35,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import id_text, saved
+from vitrine.llm import bloom
+from vitrine.llm.common import id_text, saved, unused
 from vitrine.llm.components import components
 from vitrine.llm.shingles import WORDS, Hasher
 
@@ -51,8 +51,8 @@ def node_of(shingles: np.ndarray) -> tuple[bytes, int]:
     return d, int.from_bytes(d[:8], "little", signed=True)
 
 
-def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node) per row; the node of an empty set is null."""
+def document_sets(docs: DataFrame, words: int = WORDS, *more: str) -> DataFrame:
+    """(doc_id, n_shingles, node) and the bigint columns ``more`` per row; the node of an empty set is null."""
     def run(batches):
         hasher = Hasher(words)
         for b in batches:
@@ -61,10 +61,11 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 n.append(len(s))
                 node.append(node_of(s)[1] if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())],
-                ["doc_id", "n_shingles", "node"])
+                [b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *b.columns[2:]],
+                ["doc_id", "n_shingles", "node", *more])
 
-    return id_text(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *more)
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint" + "".join(f", {c} bigint" for c in more))
 
 
 def fragment_of(h: np.ndarray, fragments: int) -> np.ndarray:
@@ -249,13 +250,44 @@ def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int =
     return first.union(saved(second, "jaccard-links"))
 
 
+def _rooted(docs: DataFrame, percent: int, words: int, *more: str) -> DataFrame:
+    """(doc_id, n_shingles, node, more, root) per row; the root of an empty set is null."""
+    sets = saved(document_sets(docs, words, *more), "jaccard-documents")
+    roots = components(links(docs, sets, percent, words))
+    return sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, node, component_id) per row of ``docs`` (doc_id, text)."""
-    sets = saved(document_sets(docs, words), "jaccard-documents")
-    roots = components(links(docs, sets, percent, words))
-    rows = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # a document without words is alone
+    rows = _rooted(docs, percent, words)
     names = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("name"))
     return rows.join(names, "root", "left").select(
         "doc_id", "n_shingles", "node",
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One document of each component; columns as in ``docs``.
+
+    The one with the smallest id stays (ids before nulls, then the least hash
+    of its text); of rows that repeat both, one.  Documents without words have
+    no component and all stay.
+    """
+    key, own = unused("__text_key", docs), unused("__doc_id", docs)
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))) \
+        .withColumn(own, F.col(f"`{id_col}`").cast("bigint"))
+    rows = saved(_rooted(keyed.select(F.col(own).alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                                      F.col(key).alias("text_key")), percent, WORDS, "text_key"), "jaccard-rows")
+    rows = rows.filter("root is not null")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("w"))
+    gone = rows.join(first, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("text_key") == F.col("w.text_key")))) \
+        .select(F.col("text_key").alias(key), F.col("doc_id").alias(own))
+    kept = bloom.without(keyed, saved(gone.distinct(), "jaccard-gone"), key, own)
+    again = saved(rows.groupBy("text_key", "doc_id").agg(F.count("*").alias("k")).filter("k > 1")
+                  .select(F.col("text_key").alias(key), F.col("doc_id").alias(own)), "jaccard-again")
+    if not again.isEmpty():
+        once = kept.join(again.select(F.col(key).alias("__k"), F.col(own).alias("__o")),
+                         (F.col(key) == F.col("__k")) & F.col(own).eqNullSafe(F.col("__o")), "left_semi") \
+            .dropDuplicates([key, own])
+        kept = bloom.without(kept, again, key, own).union(once)
+    return kept.drop(key, own)

@@ -220,15 +220,6 @@ def _marks(judged: DataFrame) -> DataFrame:
         run, "text_key bigint, first array<bigint>, width array<int>, flag array<int>")
 
 
-def _only(texts: DataFrame, wanted: np.ndarray, negate: bool = False) -> DataFrame:
-    """The rows whose key a filter of fixed size may hold (or surely doesn't)."""
-    @F.arrow_udf("boolean")
-    def held(keys: pa.Array) -> pa.Array:
-        found = bloom.hits(wanted, keys.to_numpy(zero_copy_only=False).view(np.uint64))
-        return pa.array(~found if negate else found)
-    return texts.filter(held("text_key"))
-
-
 def _send_starts(texts: DataFrame, parts: int, length: int) -> DataFrame:
     """Packed rank pairs of all listed starts of the distinct texts of each task."""
     half = length // 2
@@ -356,13 +347,13 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     starts = listed.agg(F.sum(F.aggregate(F.zip_with("width", "flag", lambda w, f: F.when(
         f.bitwiseAND(F.lit(LISTED)) != 0, w + 1).otherwise(0)), F.lit(0), lambda s, x: s + x))).first()[0] or 0
     more = max(1, -(-int(starts) // FRAGMENT))
-    sent = _send_starts(_only(texts, wanted).join(listed, "text_key"), more, length)
+    sent = _send_starts(bloom.held(texts, "text_key", wanted).join(listed, "text_key"), more, length)
     found = _judge_starts(sent.repartition(more, "part"), parts)
     copies = texts.groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1")
     spans = saved(_spans(marks, found, parts, length).join(copies, "text_key", "full"), "repeat-spans")
     touched = bloom.build(spans, "text_key")
-    hit = _only(rows, touched).join(spans, "text_key", "left")
-    rest = _only(rows, touched, negate=True).select(
+    hit = bloom.held(rows, "text_key", touched).join(spans, "text_key", "left")
+    rest = bloom.held(rows, "text_key", touched, negate=True).select(
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"),
         F.lit(0).cast("bigint").alias("n_spans"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"),
         F.array().cast("array<bigint>").alias("starts"), F.array().cast("array<bigint>").alias("ends"))
