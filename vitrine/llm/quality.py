@@ -34,7 +34,7 @@ MAX_LOST_SHARE = 0.5      # of the characters in words
 SYMBOLS = r"[#*$%&|<>]"
 SENTENCE = r"[.!?…。！？][\"'”’»)\]]*(\s|$)"
 MARKS = r"[!-/:-@\[-`{-~]"
-SEPARATORS = r"(^|\s)[|>»•·]+(?=\s|$)"
+SEPARATORS = r"[|>»•·]+(\s|$)"
 SEPARATOR_CHARS = "|>»•·"
 # Phrases of site furniture, lower case, matched at word bounds.
 BOILERPLATE = (

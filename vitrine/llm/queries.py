@@ -15,6 +15,7 @@ import public_tokenizers
 from vitrine.llm import (chat_format, decontaminate, jaccard_join, license_scan, packing, quality, repeats,
                          secret_scan, sharding, token_files)
 from vitrine.llm.common import fresh_path
+from vitrine.llm.oracle import ORACLE  # noqa: F401  (part of this module's interface)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,4 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
