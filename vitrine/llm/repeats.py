@@ -43,8 +43,8 @@ from vitrine.llm.shingles import Hasher
 
 LENGTH = 400
 BLOCK = 1 << 18                 # starts that are looked at together
-FLUSH = 400_000                 # positions that a map task holds before it sends them
-FRAGMENT = 2_000_000            # positions that one fragment task holds
+FLUSH = 150_000                 # positions that a map task holds before it sends them
+FRAGMENT = 500_000              # positions that one fragment task holds
 RESOLVED, LISTED = 1, 2         # flags of an anchor
 
 
