@@ -46,7 +46,7 @@ def test_corpus_lines(spark, classifier):
 
 
 def test_unknown_and_odd_rows(spark, classifier):
-    long = "plain words " * 50_000
+    long = "plain words " * 20_000
     got = found(spark, classifier, [None, "", "\n\n", "The driver shows a valid license to the officer.", "released", long,
                                     long + "\nReleased under the MIT License.\n\nReleased under the MIT License.",
                                     "All rights reserved.\nLicensed under CC BY-NC 4.0"])

@@ -26,11 +26,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import id_text, saved
+from vitrine.llm.common import id_text, let, saved
 
 BACKGROUND = 2000        # corpus paragraphs of class unknown that train, from BACKGROUND_DOCS documents
 BACKGROUND_DOCS = 400
 FEATURES = 1 << 14
+WHOLE = 25.0             # weight of a whole notice among the training rows
 MIN_PROBABILITY = 0.5
 MIN_SHARE = 0.6
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
@@ -115,13 +116,12 @@ def grams(w: Column, n: int) -> Column:
 
 def features(rows: DataFrame) -> DataFrame:
     """Adds the hashed n-grams of column ``words``."""
-    w = F.col("words")
-    rows = rows.withColumn("grams", F.array_distinct(F.concat(w, grams(w, 2), grams(w, 3))))
+    rows = rows.withColumn("grams", let(F.col("words"), lambda w: F.array_distinct(F.concat(w, grams(w, 2), grams(w, 3)))))
     return HashingTF(binary=True, numFeatures=FEATURES, inputCol="grams", outputCol="features").transform(rows)
 
 
-def stretches() -> list[tuple[str, str]]:
-    """(family, text): each notice and its stretches of at least MIN_SHARE of its words."""
+def stretches() -> list[tuple[str, str, bool]]:
+    """(family, text, whole): each notice and its stretches of at least MIN_SHARE of its words."""
     out = []
     for family, notices in NOTICES.items():
         for notice in notices:
@@ -129,7 +129,7 @@ def stretches() -> list[tuple[str, str]]:
             least = max(3, -(-len(w) * 3 // 5))
             step = max(1, (len(w) - least) // 4)
             sizes = sorted({len(w), *range(least, len(w) + 1, step)})
-            out += [(family, " ".join(w[i:i + n])) for n in sizes for i in range(0, len(w) - n + 1, step)]
+            out += [(family, " ".join(w[i:i + n]), n == len(w)) for n in sizes for i in range(0, len(w) - n + 1, step)]
     return out
 
 
@@ -151,18 +151,18 @@ class Classifier:
 
 
 def train(spark: SparkSession, docs: DataFrame) -> Classifier:
-    """Fits on four of five training rows, the temperature on the fifth."""
-    known = spark.createDataFrame(stretches(), "family string, paragraph string")
+    """Fits on whole notices and four of five other rows, the temperature on the fifth."""
+    known = spark.createDataFrame(stretches(), "family string, paragraph string, whole boolean")
     some = id_text(docs).filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(BACKGROUND_DOCS)
     other = some.select(F.explode(F.split("text", "\n")).alias("paragraph")) \
         .filter(~_keyed(F.col("paragraph"))).distinct() \
-        .orderBy(F.xxhash64("paragraph"), "paragraph").limit(BACKGROUND).select(F.lit(UNKNOWN).alias("family"), "paragraph")
+        .orderBy(F.xxhash64("paragraph"), "paragraph").limit(BACKGROUND).select(F.lit(UNKNOWN).alias("family"), "paragraph", F.lit(False).alias("whole"))
     label = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1
     rows = known.union(other).withColumn("words", words(F.col("paragraph"))).filter(F.size("words") > 0) \
-        .withColumn("label", label.cast("double")) \
-        .withColumn("held", F.pmod(F.xxhash64("paragraph"), F.lit(5)) == 0)
+        .withColumn("label", label.cast("double")).withColumn("weight", F.when(F.col("whole"), WHOLE).otherwise(1.0)) \
+        .withColumn("held", (F.pmod(F.xxhash64("paragraph"), F.lit(5)) == 0) & ~F.col("whole"))
     rows = saved(rows.coalesce(1).sortWithinPartitions("family", "paragraph"), "licence-training")
-    model = LogisticRegression(maxIter=60, regParam=1e-3, family="multinomial", standardization=False,
+    model = LogisticRegression(maxIter=25, regParam=1e-4, family="multinomial", weightCol="weight", standardization=False,
                                featuresCol="features", labelCol="label", probabilityCol="")
     model = model.fit(features(rows.filter("not held")).coalesce(1))
     raw = vector_to_array("rawPrediction")
@@ -201,10 +201,9 @@ def scan_paragraphs(docs: DataFrame, classifier: Classifier) -> DataFrame:
     lines = docs.filter(_keyed(F.col("text"))) \
         .select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")) \
         .filter(_keyed(F.col("line"))).withColumn("words", words(F.col("line")))
-    w = F.col("words")
     return classifier.predict(lines) \
         .filter((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)) \
-        .withColumn("triples", F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(grams(w, 3))) \
+        .withColumn("triples", let(F.col("words"), lambda w: F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(grams(w, 3)))) \
         .filter(_confirmed()).select("row", "doc_id", "paragraph", "family")
 
 
