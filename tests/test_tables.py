@@ -1,6 +1,7 @@
 """K1/K4/K5 on real Parquet directories: rebuilds are repeatable and an emptied day disappears."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitrine.sources import tables as K
@@ -21,8 +22,8 @@ def snapshot(spark, root):
 def test_append_counts_and_reads_back(spark, tmp_root):
     n = K.append(spark, tmp_root, rows(spark, [(0, "a", 1), (1, "b", 2)]))
     assert n == 2
-    assert K.append(spark, tmp_root, rows(spark, [(1, "c", 3)]), batch_id="e1") == 1
-    assert K.append(spark, tmp_root, rows(spark, [(1, "c", 3)]), batch_id="e1") == 0  # retried epoch
+    assert K.append(spark, tmp_root, rows(spark, [(1, "c", 3)]), batch_id=("s", 0)) == 1
+    assert K.append(spark, tmp_root, rows(spark, [(1, "c", 3)]), batch_id=("s", 0)) == 0  # retried epoch
     assert snapshot(spark, tmp_root) == [(D, "a", 1), (D + dt.timedelta(days=1), "b", 2),
                                          (D + dt.timedelta(days=1), "c", 3)]
 
@@ -92,3 +93,53 @@ def test_alert_sink(spark, tmp_root):
     alerts = spark.createDataFrame([("r", "telegram", "m", "[r] m")], "rule string, action string, message string, text string")
     assert rules.store_alerts(spark, alerts, tmp_root, D) == 1
     assert [r.text for r in K.read_table(spark, tmp_root).collect()] == ["[r] m"]
+
+
+def test_account_without_a_cursor_starts_two_days_back(spark):
+    t = dt.datetime(2026, 3, 1, 12)
+    hist = spark.createDataFrame([("wb_sales", "default", t, t)],
+                                 "source string, account_id string, watermark_ts timestamp_ntz, updated_at timestamp_ntz")
+    accounts = spark.createDataFrame([("wb_sales", "default"), ("wb_sales", "new")], "source string, account_id string")
+    now = t + dt.timedelta(days=5)
+    cur = {r.account_id: r.cursor for r in K.read_cursor(hist, now, accounts=accounts).collect()}
+    assert cur == {"default": t, "new": now - dt.timedelta(hours=48)}
+    assert K.read_cursor(None, now, accounts=accounts).count() == 2
+
+
+def test_late_rows_merge_into_their_days(spark, tmp_root):
+    K.append(spark, tmp_root, rows(spark, [(0, "a", 1), (0, "b", 2), (5, "c", 3)]))
+    new = rows(spark, [(0, "b", 20), (0, "late", 9), (1, "later", 8), (5, "d", 4)])
+    K.windowed_replace(spark, tmp_root, new, D + dt.timedelta(days=4), merge_key=("k",))
+    day = lambda n: D + dt.timedelta(days=n)
+    assert snapshot(spark, tmp_root) == [(day(0), "a", 1), (day(0), "b", 20), (day(0), "late", 9), (day(1), "later", 8), (day(5), "d", 4)]
+
+
+def test_replace_keeps_days_after_the_window_and_rows_without_a_day(spark, tmp_root):
+    some = rows(spark, [(0, "a", 1), (2, "b", 2), (9, "z", 3)])
+    K.append(spark, tmp_root, some.union(spark.sql("SELECT CAST(NULL AS DATE), 'n', 7L")))
+    K.windowed_replace(spark, tmp_root, rows(spark, [(2, "b", 20)]), D + dt.timedelta(days=1), until=D + dt.timedelta(days=3))
+    assert sorted((r.k, r.v) for r in K.read_table(spark, tmp_root).collect()) == [("a", 1), ("b", 20), ("n", 7), ("z", 3)]
+    K.windowed_replace(spark, tmp_root, None, D + dt.timedelta(days=1), until=D + dt.timedelta(days=3))
+    assert sorted(r.k for r in K.read_table(spark, tmp_root).collect()) == ["a", "n", "z"]
+    K.retain(spark, tmp_root, D + dt.timedelta(days=5))
+    assert sorted(r.k for r in K.read_table(spark, tmp_root).collect()) == ["n", "z"]
+
+
+def test_streams_keep_their_own_epochs(spark, tmp_root):
+    for stream in ("s", "t"):
+        assert K.append(spark, tmp_root, rows(spark, [(0, stream, 1)]), batch_id=(stream, 0)) == 1
+    assert K.append(spark, tmp_root, rows(spark, [(0, "s", 2)]), batch_id=("s", 5000)) == 1
+    assert K.append(spark, tmp_root, rows(spark, [(0, "s", 2)]), batch_id=("s", 3)) == 0
+    assert len(snapshot(spark, tmp_root)) == 3
+
+
+def test_broken_commit_and_second_writer(spark, tmp_root):
+    K.append(spark, tmp_root, rows(spark, [(0, "a", 1)]))
+    fs = K._FS(spark, tmp_root)
+    stale = K._manifest(fs)
+    fs.create_text("_manifest/00000002.json", "{\"days\": ")  # a writer died half-way
+    assert [r[1] for r in snapshot(spark, tmp_root)] == ["a"]
+    K.append(spark, tmp_root, rows(spark, [(0, "b", 2)]))
+    assert [r[1] for r in snapshot(spark, tmp_root)] == ["a", "b"]
+    with pytest.raises(K.ConcurrentWrite):
+        K._commit(fs, stale)

@@ -60,7 +60,8 @@ def rebuild_staging(spark: SparkSession, raw: dict[str, DataFrame], root: str, a
         window = max(60, d) if name in ("stg_ads_daily", "stg_finance_ops") else d
         cutoff = as_of - dt.timedelta(days=window)
         out[name] = tables.windowed_replace(spark, f"{root}/{name}", _with_part(df), cutoff, day_col=PART,
-                                            sort_by=tuple(k for k in STG_KEYS[name] if k != "day"))
+                                            sort_by=tuple(k for k in STG_KEYS[name] if k != "day"),
+                                            until=as_of, merge_key=tuple(STG_KEYS[name]))
     return out
 
 
@@ -82,8 +83,7 @@ def rebuild_marts(spark: SparkSession, stg_root: str, root: str, as_of: dt.date,
         # only the window's staging days are listed and read: a row with day >= cutoff is
         # stored under part_day = day (NULL-day rows fall out of every mart window anyway)
         stg = tables.read_table(spark, f"{stg_root}/{src}", day_from=cutoff, day_to=as_of)
-        if stg is None:
-            continue
-        out[name] = tables.windowed_replace(spark, f"{root}/{name}", build(stg, as_of, window, ts), cutoff,
-                                            sort_by=tuple(k for k in MART_KEYS[name] if k != "day"))
+        rows = None if stg is None else build(stg, as_of, window, ts)  # an emptied window empties the mart's
+        out[name] = tables.windowed_replace(spark, f"{root}/{name}", rows, cutoff,
+                                            sort_by=tuple(k for k in MART_KEYS[name] if k != "day"), until=as_of)
     return out

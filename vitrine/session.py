@@ -48,40 +48,19 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared lineage-cut folder: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a scratch folder is created
-    and registered, so cluster jobs always write to the shared location.
+    Where the session names none, a scratch folder is made and registered in a
+    single process only (``local[...]``, as in tests); on a cluster that is an
+    error, since each machine would write to its own disk.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        d = d or spark.sparkContext.getCheckpointDir()
-    except Exception:  # a session without a SparkContext handle: only the conf can name it
-        if not d:
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        return d
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         d = tempfile.mkdtemp(prefix="vitrine-ckpt-")
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:
-        pass
+    spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def spread(df):
-    """Round-robin a DataFrame over the cluster's cores when its source has
-    fewer splits than that (a small file of a few Parquet row groups) and the
-    work that follows is CPU-bound per row.  On a cluster reading thousands
-    of files the scan is already wider and this is a no-op (no shuffle)."""
-    try:
-        sc = df.sparkSession.sparkContext
-        want = sc.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            return df.repartition(want)
-    except Exception:  # e.g. a session without RDD access: keep the scan's splits
-        pass
-    return df
-
-
 def cluster_settings(input_bytes: int, executor_cores: int, executors: int,
                      target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Spill-aware sizing for a big run (e.g. 100 TB on 1000 executors).

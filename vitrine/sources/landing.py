@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.schemas import MONEY
-from vitrine.session import spread
 from vitrine.sources.bindings import SHIFT_DAYS
 
 
@@ -61,7 +60,7 @@ def wb_sales_pages(lineitem: DataFrame) -> DataFrame:
         F.when(ok % 3 == 0, price).alias("forPay"), F.when(ok % 3 == 1, price.cast("string")).alias("totalPrice"),
         F.when(ok % 3 == 2, price).alias("priceWithDisc"),
         F.when(ln != 1, price).alias("ppvzForPay"))
-    return spread(lineitem).select(ts.alias("ingested_at"), _page(F.to_json(rec), ln % 3).alias("line"))
+    return lineitem.select(ts.alias("ingested_at"), _page(F.to_json(rec), ln % 3).alias("line"))
 
 
 def ozon_posting_pages(lineitem: DataFrame, status: str | None = None) -> DataFrame:
@@ -94,7 +93,7 @@ def ozon_posting_pages(lineitem: DataFrame, status: str | None = None) -> DataFr
         (F.col("l_suppkey") % 4).alias("warehouse_id"),
         F.when(ln != 7, F.array(product)).alias("products"))
     kind = F.when(ln % 3 == 0, 3).when(ln % 3 == 1, 1).otherwise(0)
-    return spread(lineitem).select(created.alias("ingested_at"), _page(F.to_json(rec), kind).alias("line"))
+    return lineitem.select(created.alias("ingested_at"), _page(F.to_json(rec), kind).alias("line"))
 
 
 def ozon_stock_pages(events: DataFrame) -> DataFrame:
@@ -151,7 +150,7 @@ def ozon_finance_pages(orders: DataFrame) -> DataFrame:
     kind = F.when(ok % 3 == 0, 1).otherwise(0)
     wrapped = F.when(ok % 5 == 0, F.concat(F.lit('{"result":{"operations":['), F.to_json(rec), F.lit("]}}"))) \
         .otherwise(_page(F.to_json(rec), kind))
-    return spread(orders).select(ts.alias("ingested_at"), _acct_col("o_orderkey"), wrapped.alias("line"))
+    return orders.select(ts.alias("ingested_at"), _acct_col("o_orderkey"), wrapped.alias("line"))
 
 
 def _acct_col(c: str) -> Column:
@@ -173,7 +172,7 @@ def wb_order_pages(lineitem: DataFrame) -> DataFrame:
         F.when(ln != 4, F.col("l_quantity").cast("int")).alias("quantity"),
         F.when(ok % 3 == 0, price).alias("totalPrice"), F.when(ok % 3 == 1, price).alias("priceWithDisc"),
         F.when(ok % 3 == 2, price.cast("string")).alias("price"))
-    return spread(lineitem).select(ts.alias("ingested_at"), _page(F.to_json(rec), F.lit(0)).alias("line"))
+    return lineitem.select(ts.alias("ingested_at"), _page(F.to_json(rec), F.lit(0)).alias("line"))
 
 
 def wb_stock_pages(events: DataFrame) -> DataFrame:
@@ -186,7 +185,7 @@ def wb_stock_pages(events: DataFrame) -> DataFrame:
                    (F.col("user_id") % 3).alias("warehouseId"),
                    F.when(k == 0, amount).alias("quantity"), F.when(k == 1, amount).alias("quantityFull"),
                    F.when(k == 2, amount).alias("inWayToClient"))
-    return spread(e).select(F.col("ts").alias("ingested_at"), _page(F.to_json(rec), F.lit(2)).alias("line"))
+    return e.select(F.col("ts").alias("ingested_at"), _page(F.to_json(rec), F.lit(2)).alias("line"))
 
 
 def wb_funnel_pages(raw_funnel: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ Layout of a table root::
 
     <root>/table_version=<n>-<attempt>/day=<yyyy-mm-dd>/*.parquet   data of version n
     <root>/_manifest/<n>.json                      day → list of data directories
-    <root>/_CURRENT                                name of the live manifest
 
-Readers resolve ``_CURRENT`` and read exactly the listed day directories, so
-a commit is one small file write + rename (atomic on HDFS-like stores) and a
-failed job leaves the previous version live.  Operations:
+The live manifest is the newest complete one, and readers read exactly the day
+directories that it lists.  A commit creates the next number's file and fails
+if another writer has created it meanwhile; nothing is deleted or renamed, so a
+job that dies at any point leaves the previous version live (a manifest that is
+not whole is passed over).  Operations:
 
 * K1 ``append`` — new day directories are added to the manifest;
 * K4 ``windowed_replace`` — days ``>= cutoff`` are replaced by the new rows;
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # Spark's directory name for a null day
 VERSION_KEY = "table_version"  # directory key of a write version (never a data column)
 
 
@@ -63,18 +65,18 @@ class _FS:
         finally:
             stream.close()
 
-    def write_text(self, rel: str, text: str) -> None:
-        out = self.fs.create(self.p(rel), True)
+    def create_text(self, rel: str, text: str) -> None:
+        """Write a file that must not exist yet."""
+        out = self.fs.create(self.p(rel), False)
         try:
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
 
-    def replace(self, tmp_rel: str, rel: str) -> None:
-        if self.fs.exists(self.p(rel)):
-            self.fs.delete(self.p(rel), False)
-        if not self.fs.rename(self.p(tmp_rel), self.p(rel)):
-            raise OSError(f"could not publish {rel}")
+    def list_files(self, rel: str) -> list[str]:
+        if not self.fs.exists(self.p(rel)):
+            return []
+        return [s.getPath().getName() for s in self.fs.listStatus(self.p(rel)) if s.isFile()]
 
     def list_dirs(self, rel: str = "") -> list[str]:
         base = self.p(rel) if rel else self.path
@@ -86,18 +88,39 @@ class _FS:
         self.fs.delete(self.p(rel), True)
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has committed to the table since this one read it."""
+
+
+def _versions(fs: _FS) -> list[int]:
+    return sorted(int(n[:-5]) for n in fs.list_files("_manifest") if n.endswith(".json") and n[:-5].isdigit())
+
+
 def _manifest(fs: _FS) -> dict:
-    if not fs.exists("_CURRENT"):
-        return {"version": 0, "days": {}}
-    name = fs.read_text("_CURRENT").strip()
-    return json.loads(fs.read_text(f"_manifest/{name}"))
+    """The newest complete manifest; ``next`` is the number of the one to commit."""
+    versions = _versions(fs)
+    after = versions[-1] + 1 if versions else 1
+    for v in reversed(versions):
+        try:
+            return {**json.loads(fs.read_text(f"_manifest/{v:08d}.json")), "next": after}
+        except ValueError:  # its writer died half-way
+            continue
+    return {"version": 0, "days": {}, "streams": {}, "next": after}
 
 
 def _commit(fs: _FS, manifest: dict) -> None:
-    name = f"{manifest['version']:08d}.json"
-    fs.write_text(f"_manifest/{name}", json.dumps(manifest, sort_keys=True))
-    fs.write_text("_CURRENT.tmp", name)
-    fs.replace("_CURRENT.tmp", "_CURRENT")
+    v = manifest.pop("next")
+    try:
+        fs.create_text(f"_manifest/{v:08d}.json", json.dumps({**manifest, "version": v}, sort_keys=True))
+    except Exception as e:  # py4j wraps the file system's error
+        if "exist" in str(e).lower():
+            raise ConcurrentWrite(f"version {v} of {fs.root} was committed by another writer") from e
+        raise
+
+
+def _date(day: str) -> dt.date | None:
+    """A day directory's date; None for rows without a day."""
+    return None if day == NO_DAY else dt.date.fromisoformat(day)
 
 
 def read_table(spark: SparkSession, root: str, schema=None, day_from: dt.date | None = None,
@@ -108,9 +131,18 @@ def read_table(spark: SparkSession, root: str, schema=None, day_from: dt.date |
     before any file is listed (partition pruning without a metastore)."""
     fs = _FS(spark, root)
     m = _manifest(fs)
-    keep = lambda d: ((day_from is None or dt.date.fromisoformat(d) >= day_from)
-                      and (day_to is None or dt.date.fromisoformat(d) <= day_to))
-    paths = [f"{fs.root}/{d}" for day, dirs in m["days"].items() if keep(day) for d in dirs]
+
+    def keep(day: str) -> bool:
+        d = _date(day)
+        if d is None:  # rows without a day are outside every range
+            return day_from is None and day_to is None
+        return (day_from is None or d >= day_from) and (day_to is None or d <= day_to)
+
+    return _read_dirs(spark, fs, [d for day, dirs in m["days"].items() if keep(day) for d in dirs], schema)
+
+
+def _read_dirs(spark: SparkSession, fs: _FS, dirs: list[str], schema=None) -> DataFrame | None:
+    paths = [f"{fs.root}/{d}" for d in dirs]
     if not paths:
         return None
     r = spark.read.option("basePath", fs.root)
@@ -139,52 +171,72 @@ def _write_version(df: DataFrame, fs: _FS, version: int, day_col: str,
 
 
 def append(spark: SparkSession, root: str, df: DataFrame, day_col: str = "day",
-           batch_id: str | None = None) -> int:
+           batch_id: tuple[str, int] | None = None) -> int:
     """K1: append rows (any day); returns the committed row count (from the file footers).
 
-    With ``batch_id`` (a stream's epoch) a batch that was already committed
-    is skipped, so a retried micro-batch is not appended twice."""
+    With ``batch_id`` = (stream, epoch) an epoch at or below the stream's last
+    committed one is skipped, so a retried micro-batch is not appended twice.
+    The manifest holds one number per stream, whatever the number of batches."""
     fs = _FS(spark, root)
     m = _manifest(fs)
-    if batch_id is not None and batch_id in m.get("batches", []):
+    streams = dict(m.get("streams", {}))
+    if batch_id is not None and batch_id[1] <= streams.get(batch_id[0], -1):
         return 0
-    v = m["version"] + 1
-    vdir, days, rows = _write_version(df, fs, v, day_col)
+    vdir, days, rows = _write_version(df, fs, m["next"], day_col)
     for d in days:
         m["days"].setdefault(d, []).append(f"{vdir}/{day_col}={d}")
-    m["version"] = v
     if batch_id is not None:
-        m["batches"] = (m.get("batches", []) + [batch_id])[-1000:]
-    _commit(fs, m)
+        streams[batch_id[0]] = int(batch_id[1])
+    _commit(fs, {**m, "streams": streams})
     return rows
 
 
-def windowed_replace(spark: SparkSession, root: str, new_rows: DataFrame, cutoff: dt.date,
-                     day_col: str = "day", sort_by: tuple[str, ...] = ()) -> int:
-    """K4: replace every day ``>= cutoff`` with ``new_rows`` (rows before the
-    cutoff in ``new_rows`` are ignored).  Days in the window without new rows
-    disappear; older days are untouched (no history is rewritten)."""
+def windowed_replace(spark: SparkSession, root: str, new_rows: DataFrame | None, cutoff: dt.date,
+                     day_col: str = "day", sort_by: tuple[str, ...] = (), until: dt.date | None = None,
+                     merge_key: tuple[str, ...] = ()) -> int:
+    """K4: replace the days from ``cutoff`` on (to ``until``, if given) with ``new_rows``.
+
+    Days in the window without new rows disappear (all of them where
+    ``new_rows`` is None); days after ``until`` and rows without a day stay.
+    New rows dated before the cutoff are ignored, or, with ``merge_key``,
+    merged into their own days: only those days are rewritten, and a new row
+    takes the place of a stored one with an equal key."""
     fs = _FS(spark, root)
     m = _manifest(fs)
-    v = m["version"] + 1
-    window = new_rows.where(F.col(day_col) >= F.lit(cutoff))
-    vdir, days, rows = _write_version(window, fs, v, day_col, tuple(sort_by))
-    keep = {d: p for d, p in m["days"].items() if dt.date.fromisoformat(d) < cutoff}
-    for d in days:
-        keep[d] = [f"{vdir}/{day_col}={d}"]
-    _commit(fs, {**m, "version": v, "days": keep})
-    return rows
+    inside = lambda d: d is not None and d >= cutoff and (until is None or d <= until)
+    kept = {d: p for d, p in m["days"].items() if not inside(_date(d))}
+    if new_rows is None:
+        _commit(fs, {**m, "days": kept})
+        return 0
+    day = F.col(day_col)
+    rows = new_rows if until is None else new_rows.where(day <= F.lit(until))
+    if not merge_key:
+        rows = rows.where(day >= F.lit(cutoff))
+    vdir, written, count = _write_version(rows, fs, m["next"], day_col, tuple(sort_by))
+    days = {d: [f"{vdir}/{day_col}={d}"] for d in written}
+    # late rows are in their days' new directories already; what they don't replace is written beside them
+    late = [d for d in written if d in kept]
+    if late:
+        stored = _read_dirs(spark, fs, [p for d in late for p in kept[d]], new_rows.schema)
+        fresh = _read_dirs(spark, fs, [p for d in late for p in days[d]], new_rows.schema)
+        on = F.lit(True)
+        for k in merge_key:
+            on = on & F.col(f"s.{k}").eqNullSafe(F.col(f"l.{k}"))
+        rest = stored.alias("s").join(fresh.select(*merge_key).alias("l"), on, "left_anti")
+        beside, left, _ = _write_version(rest, fs, m["next"], day_col, tuple(sort_by))
+        for d in left:
+            days[d].append(f"{beside}/{day_col}={d}")
+    _commit(fs, {**m, "days": {**kept, **days}})
+    return count
 
 
 def retain(spark: SparkSession, root: str, cutoff: dt.date) -> list[str]:
     """K5: drop whole days below ``cutoff`` (see ``retention_cutoff``); returns them."""
     fs = _FS(spark, root)
     m = _manifest(fs)
-    dropped = sorted(d for d in m["days"] if dt.date.fromisoformat(d) < cutoff)
+    dropped = sorted(d for d in m["days"] if _date(d) is not None and _date(d) < cutoff)
     if dropped:
-        m = {**m, "version": m["version"] + 1,
-             "days": {d: p for d, p in m["days"].items() if d not in dropped}}
-        _commit(fs, m)
+        _commit(fs, {**m, "days": {d: p for d, p in m["days"].items() if d not in dropped}})
     return dropped
 
 
@@ -194,11 +246,14 @@ def retention_cutoff(as_of: dt.date, days: int) -> dt.date:
 
 
 def vacuum(spark: SparkSession, root: str) -> list[str]:
-    """Delete version directories the live manifest no longer references."""
+    """Delete version directories the live manifest no longer references, and older manifests."""
     fs = _FS(spark, root)
     m = _manifest(fs)
     live = {p.split("/", 1)[0] for dirs in m["days"].values() for p in dirs}
     gone = [d for d in fs.list_dirs() if d.startswith(f"{VERSION_KEY}=") and d not in live]
+    for v in _versions(fs):
+        if v < m["version"]:
+            fs.delete(f"_manifest/{v:08d}.json")
     for d in gone:
         fs.delete(d)
     return gone
@@ -218,12 +273,20 @@ def advance_cursor(history: DataFrame | None, updates: DataFrame) -> DataFrame:
     return j.where(F.col("current").isNull() | (F.col("watermark_ts") > F.col("current"))).drop("current")
 
 
-def read_cursor(history: DataFrame, now: dt.datetime, lookback_hours: int = 48) -> DataFrame:
-    """Newest stored cursor per (source, account), else ``now − 48 h`` for
-    the given keys (history rows define the keys)."""
+def read_cursor(history: DataFrame | None, now: dt.datetime, lookback_hours: int = 48,
+                accounts: DataFrame | None = None) -> DataFrame:
+    """Newest stored cursor per (source, account), else ``now − 48 h``.
+
+    ``accounts`` (source, account_id) lists the accounts to start; one without
+    a stored cursor gets the look-back.  Without the list, the history's own
+    accounts are returned."""
     start = F.lit(now - dt.timedelta(hours=lookback_hours)).cast("timestamp_ntz")
+    if history is None:
+        return accounts.select("source", "account_id", start.alias("cursor")).distinct()
     cur = history.groupBy("source", "account_id").agg(
         F.max_by("watermark_ts", F.struct("updated_at", "watermark_ts")).alias("watermark_ts"))
+    if accounts is not None:
+        cur = accounts.select("source", "account_id").distinct().join(cur, ["source", "account_id"], "left")
     return cur.select("source", "account_id", F.coalesce("watermark_ts", start).alias("cursor"))
 
 
