@@ -15,8 +15,9 @@ into fragments, and every document's set into one segment a fragment:
    each fragment separately and summed for each pair.
 
 Equal sets are one node.  In the first round each node is compared with the
-smallest node of each of its prefix shingles, in the second the pairs that
-share a prefix shingle but lie in different components: a pair inside one
+most central node of each of its prefix shingles, in the second the pairs that
+share a prefix shingle but lie in different components, if the place of the
+shingle in both leaves enough to overlap: a pair inside one
 component can't change it, so no group of near copies is expanded into pairs.
 
 Defined results: a document without words has an empty set, n_shingles 0 and
@@ -160,12 +161,14 @@ def shared_shingles(parts: DataFrame, buckets: int) -> DataFrame:
 
 
 def candidates(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, n, slice, hashes, prefix) of the sets that can have a partner.
+    """(node, n, own, slice, hashes, prefix, places) of the sets that can have a partner.
 
     ``hashes``: the set's shared shingles of one slice of the order; ``prefix``:
-    those of them within the prefix by which partners are found.
+    those of them within the prefix by which partners are found, and their
+    ``places`` among all shingles, rare ones first; ``own``: unique shingles.
     """
-    schema = "node bigint, n bigint, slice int, hashes array<bigint>, prefix array<bigint>"
+    schema = ("node bigint, n bigint, own bigint, slice int, hashes array<bigint>, prefix array<bigint>, "
+              "places array<bigint>")
 
     def run(t: pa.Table) -> pa.Table:
         node, size = _flat(t.column("nodes"), np.int64), _flat(t.column("sizes"), np.uint32).astype(np.int64)
@@ -176,28 +179,37 @@ def candidates(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
         held = np.diff(np.append(first, len(node)))
         rank = np.arange(len(node)) - np.repeat(first, held)
         prefix = size - (size * percent + 99) // 100 + 1
-        left = prefix - (size - np.repeat(held, held))   # of the prefix, after the set's own shingles
-        keep = left > 0
-        node, size, h, inside = node[keep], size[keep], h[keep], (rank < left)[keep]
+        own = size - np.repeat(held, held)
+        place = own + rank
+        keep = own < prefix
+        node, size, own, h, place, inside = (x[keep] for x in (node, size, own, h, place, place < prefix))
         part = (h >> np.uint64(61)).astype(np.int32)
         order = np.lexsort((h, part, node))
-        node, size, h, inside, part = node[order], size[order], h[order], inside[order], part[order]
+        node, size, own, h, place, inside, part = (x[order] for x in (node, size, own, h, place, inside, part))
         new = np.ones(len(node), bool)
         new[1:] = (node[1:] != node[:-1]) | (part[1:] != part[:-1])
         at = np.append(np.flatnonzero(new), len(node)) if len(node) else np.zeros(1, np.int64)
         before = np.concatenate([[0], np.cumsum(inside)])
         values = pa.array(h.view(np.int64))
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
-        pre = pa.ListArray.from_arrays(pa.array(before[at], pa.int32()), pa.array(h[inside].view(np.int64)))
+        ends = pa.array(before[at], pa.int32())
+        pre = pa.ListArray.from_arrays(ends, pa.array(h[inside].view(np.int64)))
+        places = pa.ListArray.from_arrays(ends, pa.array(place[inside]))
         at = at[:-1]
-        return pa.table([pa.array(node[at]), pa.array(size[at]), pa.array(part[at]), lists, pre],
-                        names=["node", "n", "slice", "hashes", "prefix"])
+        return pa.table([pa.array(node[at]), pa.array(size[at]), pa.array(own[at]), pa.array(part[at]), lists, pre, places],
+                        names=["node", "n", "own", "slice", "hashes", "prefix", "places"])
 
     return shared.groupBy("bucket").applyInArrow(run, schema)
 
 
-def _possible(n, m, percent: int):
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _possible(n, p, m, q, percent: int):
+    """Sets of n and m shingles with a common one at places p and q can reach the threshold.
+
+    If it is their first common one, the overlap is at most what follows it in
+    either; a similar pair passes at least there.
+    """
+    rest = F.least(n - p, m - q)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= (n + m) * percent)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -214,11 +226,16 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
 
 def _leaders(prefix: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each node with the smallest node of each of its prefix shingles."""
-    lead = prefix.groupBy("h").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("k")).filter("k > 1")
-    return prefix.join(lead, "h").filter(F.col("node") != F.col("l.node")) \
-        .select(F.col("l.node").alias("a"), F.col("l.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")) \
-        .filter(_possible(F.col("na"), F.col("nb"), percent)).distinct()
+    """Pairs of each node with the most central node of each of its prefix shingles.
+
+    The most central has the smallest share of unique shingles: of the near
+    copies of a text, the one least changed.
+    """
+    lead = prefix.groupBy("h").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("rank"), "node", "n", "place")).alias("l"),
+                                   F.count("*").alias("k")).filter("k > 1")
+    near = _possible(F.col("l.n"), F.col("l.place"), F.col("n"), F.col("place"), percent)
+    return prefix.join(lead, "h").filter((F.col("node") != F.col("l.node")) & near) \
+        .select(F.col("l.node").alias("a"), F.col("l.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
 
 
 def _labelled(prefix: DataFrame, roots: DataFrame) -> DataFrame:
@@ -226,14 +243,19 @@ def _labelled(prefix: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _across(labelled: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a prefix shingle but not a component."""
+    """Pairs that share a prefix shingle but not a component.
+
+    The smaller set (by size, then node) is found by a shorter prefix: with a
+    partner at least as large, place p must leave n - p >= 2 * n * t / (1 + t).
+    """
     mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
     rows = labelled.join(mixed, "h")
-    a = rows.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = rows.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return a.join(b, "h").filter((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b"))
-                                 & _possible(F.col("na"), F.col("nb"), percent)) \
-        .select("a", "na", "b", "nb").distinct()
+    a = rows.filter((F.col("n") - F.col("place")) * (100 + percent) >= F.col("n") * (2 * percent)) \
+        .select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
+    b = rows.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    near = _possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
+    return a.join(b, "h").filter((F.col("ra") != F.col("rb")) & smaller & near).select("a", "na", "b", "nb").distinct()
 
 
 def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -243,7 +265,9 @@ def links(docs: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int =
     parts = segments(docs, fragments, words).repartition(fragments, "frag")
     shared = shared_shingles(parts, fragments).repartition(fragments, "bucket")
     cand = saved(candidates(shared, percent), "jaccard-sets")
-    prefix = cand.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("h"), "node", "n")
+    prefix = cand.filter(F.size("prefix") > 0) \
+        .select(F.explode(F.arrays_zip("prefix", "places")).alias("x"), "node", "n", "own") \
+        .select(F.col("x.prefix").alias("h"), F.col("x.places").alias("place"), "node", "n", "own")
     first = saved(similar(_leaders(prefix, percent), cand, percent).select("a", "b"), "jaccard-links")
     roots = components(first)
     second = similar(_across(_labelled(prefix, roots), percent), cand, percent).select("a", "b")
