@@ -1,5 +1,6 @@
 """The driver contract: entry() on sf0.001, queries() and oracle_sql() agree."""
 import __spark_entry__ as E
+from vitrine.plans import catalog
 
 
 def test_entry_smoke(spark):
@@ -11,4 +12,5 @@ def test_entry_smoke(spark):
 def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 80
-    assert set(q) - set(o) == {"r5_r7_alerts"}
+    assert set(catalog.REGISTRY) <= set(q)
+    assert set(catalog.REGISTRY) - set(o) == {"r5_r7_alerts"}
