@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from conftest import recs
-from vitrine.functions.values import Fields, parse_ts, safe_int, safe_money
+from vitrine.functions.values import Fields, parse_text_ts, parse_ts, safe_int, safe_money
 
 
 def _eval(spark, docs, build):
@@ -98,3 +98,9 @@ def test_value_rules_match_python_on_random_json(spark):
         assert r.x == py_float(v), (v, r)
         want_m = Decimal(str(py_float(v))).quantize(Decimal("0.01")) if not isinstance(v, bool) else Decimal(int(v))
         assert r.m == want_m, (json.dumps(v), r)
+
+
+def test_time_without_a_date_is_no_timestamp(spark):
+    df = spark.createDataFrame([("T10:00",), ("10:00:00",), ("2026-03-01T10:00",), ("20260301T101500Z",), ("",)], "s string")
+    got = [r[0] for r in df.select(parse_text_ts(F.col("s"))).collect()]
+    assert [x is None for x in got] == [True, True, False, False, True]

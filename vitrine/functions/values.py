@@ -139,9 +139,10 @@ def parse_text_ts(s: Column) -> Column:
 
     Offsets and ``Z`` convert to UTC, naive values are taken as UTC (the
     session zone), a date alone is midnight; the basic form
-    ``20260301T101500Z`` has its own patterns.  Empty or unparseable → NULL.
+    ``20260301T101500Z`` has its own patterns.  Empty or unparseable → NULL,
+    and so is a time without a date (Spark would take today's).
     """
-    s = F.when(F.length(s) > 0, s)
+    s = F.when(s.rlike(r"^[+-]?\d{4}"), s)
     parsed = F.coalesce(F.try_to_timestamp(s), *[F.try_to_timestamp(s, F.lit(f)) for f in BASIC_ISO_FORMATS])
     return F.convert_timezone(None, F.lit("UTC"), parsed)
 
