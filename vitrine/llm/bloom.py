@@ -24,10 +24,14 @@ def build(values: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
 def hits(held: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Which of the unsigned values may be held."""
     m = np.uint64(len(held) * 64 - 1)
-    out = np.ones(len(v), bool)
-    for p in (v & m, (v >> np.uint64(32)) & m):
-        word = held[(p >> np.uint64(6)).astype(np.int64)].view(np.uint64)
-        out &= (word >> (p & np.uint64(63))) & np.uint64(1) == 1
+    words = held.view(np.uint64)
+
+    def at(p):
+        return (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+
+    out = at(v & m)
+    some = np.flatnonzero(out)
+    out[some] = at((v[some] >> np.uint64(32)) & m)
     return out
 
 

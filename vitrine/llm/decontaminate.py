@@ -38,7 +38,9 @@ from vitrine.llm.shingles import WORDS, Hasher
 
 CONTAINMENT = 0.75
 MISS = 1e-6
+MOST = 0.5
 STRIDE = 32
+TOGETHER = 100_000                    # shingles whose bands are computed together
 WINDOW = 2 * STRIDE
 PARTITIONS = (4, 8, 16, 32, WINDOW)   # upper sizes of the windows of a partition
 
@@ -61,10 +63,13 @@ class WordHasher(Hasher):
 
 
 def bands(q: int, u: int, containment: float = CONTAINMENT, miss: float = MISS) -> int:
-    """Hash functions by which an item of q shingles is found in a window of up to u."""
-    need = math.ceil(containment * q - 1e-9)
-    s = need / max(need, u + q - need)
-    return 1 if s >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - s)))
+    """Hash functions by which an item of q shingles is found in windows of up to u; falls with q, grows with u.
+
+    An item longer than a window is met by several windows, each with a share
+    of it, so no similarity above MOST is counted on.
+    """
+    s = min(MOST, containment * q / (u + q - containment * q))
+    return math.ceil(math.log(miss) / math.log(1 - s))
 
 
 def _factors(n: int) -> np.ndarray:
@@ -73,7 +78,7 @@ def _factors(n: int) -> np.ndarray:
 
 def _low(h: np.ndarray, at: np.ndarray, factor: np.uint64) -> np.ndarray:
     """The least of the permuted hashes of each stretch that begins at ``at``."""
-    return np.minimum.reduceat((h * factor) ^ ((h * factor) >> np.uint64(32)), at)
+    return np.minimum.reduceat(h * factor, at)
 
 
 def item_sets(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -116,20 +121,27 @@ def _suspects(docs: DataFrame, filter_: np.ndarray, smallest: int) -> DataFrame:
     schema = "doc_id bigint, text_key bigint, hits array<struct<band:int,value:bigint>>, shingles array<bigint>"
     hit_type = pa.list_(pa.struct([("band", pa.int32()), ("value", pa.int64())]))
 
-    def look(h, counts, factors):
-        """Band values of one document that hit the filter."""
-        at = np.arange(0, max(1, len(h) - STRIDE), STRIDE) if len(h) > WINDOW else np.zeros(1, np.int64)
-        sizes = np.minimum(len(h) - at, WINDOW)
-        need = np.array(counts)[np.searchsorted(PARTITIONS, sizes)]
-        blocks = np.arange(0, len(h), STRIDE)
-        found = set()
+    def look(sets, counts, factors):
+        """For each of several documents, its band values that hit the filter."""
+        h = np.concatenate(sets)
+        sizes = np.array([len(x) for x in sets])
+        blocks = -(-sizes // STRIDE)
+        doc = np.repeat(np.arange(len(sets)), blocks)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        at = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * STRIDE
+        # a window is a block with the next; a document's last block is one only if it is its first
+        whole = np.flatnonzero((nth + 1 < blocks[doc]) | (nth == 0))
+        alone = blocks[doc[whole]] == 1
+        after = np.where(alone, whole, whole + 1)
+        held = np.minimum(sizes[doc[whole]] - nth[whole] * STRIDE, WINDOW)
+        need = np.array(counts)[np.searchsorted(PARTITIONS, held)]
+        found = [set() for _ in sets]
         for k in range(int(need.max())):
-            low = _low(h, blocks, factors[k])
-            if len(low) > 1:
-                low = np.minimum(low[:-1], low[1:])
-            low = low[:len(at)][need > k]
-            for v in low[bloom.hits(filter_, low)]:
-                found.add((k, int(v.view(np.int64))))
+            low = _low(h, at, factors[k])
+            use = np.flatnonzero(need > k)
+            v = np.minimum(low[whole[use]], low[after[use]])
+            for i in np.flatnonzero(bloom.hits(filter_, v)):
+                found[doc[whole[use[i]]]].add((k, int(v[i].view(np.int64))))
         return found
 
     def run(batches):
@@ -137,15 +149,24 @@ def _suspects(docs: DataFrame, filter_: np.ndarray, smallest: int) -> DataFrame:
         counts = [bands(smallest, u) for u in PARTITIONS]
         factors = _factors(max(counts))
         for b in batches:
-            rows, hits, sets = [], [], []
-            for i, h in hasher.ordered(b.column(1).to_pylist()):
-                if len(h):
-                    with np.errstate(over="ignore"):
-                        found = look(h, counts, factors)
+            rows, hits, sets, some, size = [], [], [], [], 0
+
+            def flush():
+                for (i, h), found in zip(some, look([h for _, h in some], counts, factors) if some else ()):
                     if found:
                         rows.append(i)
                         hits.append([{"band": k, "value": v} for k, v in sorted(found)])
                         sets.append(np.unique(h).view(np.int64))
+
+            with np.errstate(over="ignore"):
+                for i, h in hasher.ordered(b.column(1).to_pylist()):
+                    if len(h):
+                        some.append((i, h))
+                        size += len(h)
+                    if size >= TOGETHER:
+                        flush()
+                        some, size = [], 0
+                flush()
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array(hits, hit_type),
                                               pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "text_key", "hits", "shingles"])
