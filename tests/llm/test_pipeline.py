@@ -27,12 +27,12 @@ def corpus():
     rows = []
     for i in range(60):
         text = "\n".join(prose(r.randint(15, 60)) for _ in range(r.randint(1, 4)))
+        if i % 8 == 0:
+            text += " token = \"" + "".join(r.choice("0123456789abcdef") for _ in range(40)) + "\" " + prose(5)
         if i % 6 == 0:
             text += "\nHome | News | Sport | Contact | About"
         if i % 7 == 0:
             text += "\n" + items[i % 6][1]
-        if i % 8 == 0:
-            text += " token = \"" + "".join(r.choice("0123456789abcdef") for _ in range(40)) + "\" " + prose(5)
         rows.append(text)
     near = rows[3].split(" ")
     near[4] = "changed"
