@@ -55,3 +55,11 @@ def test_unknown_and_odd_rows(spark, classifier):
     assert license_scan.scan(empty, classifier).count() == 0
     twice = spark.createDataFrame([(1, "Released under the MIT License.")] * 2 + [(None, None)], "doc_id bigint, text string")
     assert sorted(str(r.licences) for r in license_scan.scan(twice, classifier).collect()) == ["mit", "mit", "unknown"]
+
+
+def test_reworded_notices(spark, classifier):
+    """Notices that lack their longest word, but hold MIN_SHARE of the triples."""
+    got = found(spark, classifier, ["Distributed under the Apache License, Version 2.0.", "Available under the MIT License.",
+                                    "Available under CC BY-NC 4.0.", "Covered by the terms of the GNU General Public License as published by the FSF.",
+                                    "It runs under the terms of the contract."])
+    assert got == [("apache-2.0", 1), ("mit", 1), ("cc-by-nc", 1), ("gpl", 1), ("unknown", 0)]

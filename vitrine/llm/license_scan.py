@@ -5,10 +5,10 @@ licence family of a paragraph (a line), or ``unknown``, which is a class of its
 training rows are bounded: stretches of the notices below, and at most
 BACKGROUND paragraphs of the corpus.  Probabilities are calibrated by a
 temperature, fitted on rows held out of training.  A prediction counts if its
-calibrated probability reaches MIN_PROBABILITY and the paragraph contains the
-key word and at least MIN_SHARE of the word triples of one of the family's
-notices.  A paragraph without any notice's key word can't be confirmed, so it
-is unknown without being scored.
+calibrated probability reaches MIN_PROBABILITY and the paragraph contains at
+least MIN_SHARE of the word triples of one of the family's notices.  A
+paragraph without any notice's triple has a share of 0, so it is unknown
+without being scored.
 
 Defined results: null or empty text has no paragraph and no licence; repeated
 rows each return a row; null ids pass through; a long text is one row of the
@@ -96,12 +96,8 @@ def _triples(words: list[str]) -> list[str]:
     return sorted({" ".join(words[i:i + 3]) for i in range(len(words) - 2)}) or [" ".join(words)]
 
 
-def key(notice: str) -> str:
-    """The word that a paragraph must hold to be confirmed by the notice: its longest."""
-    return max(_plain(notice), key=len)
-
-
-KEYS = sorted({key(n) for notices in NOTICES.values() for n in notices})
+# Every notice has three words or more, so a share above 0 needs one of these.
+TRIPLES = sorted({t for notices in NOTICES.values() for n in notices for t in _triples(_plain(n))})
 
 
 def words(text: Column) -> Column:
@@ -151,16 +147,19 @@ class Classifier:
 
 
 def train(spark: SparkSession, docs: DataFrame) -> Classifier:
-    """Fits on whole notices and four of five other rows, the temperature on the fifth."""
+    """Fits on whole notices and four of five other rows, the temperature on the fifth (of rows like those that are scored)."""
     known = spark.createDataFrame(stretches(), "family string, paragraph string, whole boolean")
     some = id_text(docs).filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(BACKGROUND_DOCS)
-    other = some.select(F.explode(F.split("text", "\n")).alias("paragraph")) \
-        .filter(~_keyed(F.col("paragraph"))).distinct() \
-        .orderBy(F.xxhash64("paragraph"), "paragraph").limit(BACKGROUND).select(F.lit(UNKNOWN).alias("family"), "paragraph", F.lit(False).alias("whole"))
+    # Paragraphs like those that are scored come first, others fill up.
+    other = some.select(F.explode(F.split("text", "\n")).alias("paragraph")).distinct() \
+        .withColumn("words", words(F.col("paragraph"))).withColumn("triples", _triples_of("words")) \
+        .filter(~_confirmed()).withColumn("scored", _holds_triple(F.col("words"))) \
+        .orderBy(F.desc("scored"), F.xxhash64("paragraph"), "paragraph").limit(BACKGROUND) \
+        .select(F.lit(UNKNOWN).alias("family"), "paragraph", F.lit(False).alias("whole"), "scored")
     label = F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1
-    rows = known.union(other).withColumn("words", words(F.col("paragraph"))).filter(F.size("words") > 0) \
+    rows = known.withColumn("scored", F.lit(True)).union(other).withColumn("words", words(F.col("paragraph"))).filter(F.size("words") > 0) \
         .withColumn("label", label.cast("double")).withColumn("weight", F.when(F.col("whole"), WHOLE).otherwise(1.0)) \
-        .withColumn("held", (F.pmod(F.xxhash64("paragraph"), F.lit(5)) == 0) & ~F.col("whole"))
+        .withColumn("held", (F.pmod(F.xxhash64("paragraph"), F.lit(5)) == 0) & ~F.col("whole") & F.col("scored"))
     rows = saved(rows.coalesce(1).sortWithinPartitions("family", "paragraph"), "licence-training")
     model = LogisticRegression(maxIter=25, regParam=1e-4, family="multinomial", weightCol="weight", standardization=False,
                                featuresCol="features", labelCol="label", probabilityCol="")
@@ -177,34 +176,35 @@ def train(spark: SparkSession, docs: DataFrame) -> Classifier:
     return Classifier(model, TEMPERATURES[best])
 
 
-def _keyed(text: Column) -> Column:
-    """True where the text holds a key of any notice."""
-    low, out = F.lower(text), F.lit(False)
-    for k in KEYS:
-        out = out | low.contains(k)
-    return out
+def _holds_triple(w: Column) -> Column:
+    """True where the words hold a triple of any notice."""
+    return let(w, lambda v: F.exists(grams(v, 3), lambda t: t.isin(TRIPLES)))
 
 
-def _confirmed() -> Column:
-    """The paragraph holds the key and MIN_SHARE of the triples of a notice of its family."""
+def _triples_of(name: str) -> Column:
+    return let(F.col(name), lambda w: F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(grams(w, 3)))
+
+
+def _confirmed(family: str | None = None) -> Column:
+    """The paragraph holds MIN_SHARE of the triples of a notice of the family in that column; without one, of any notice."""
     out = F.lit(False)
-    for family, notices in NOTICES.items():
+    for name, notices in NOTICES.items():
         for notice in notices:
             t = _triples(_plain(notice))
-            shared = F.size(F.array_intersect("triples", F.array(*[F.lit(x) for x in t])))
-            out = out | ((F.col("family") == family) & F.array_contains("words", key(notice)) & (shared >= MIN_SHARE * len(t)))
+            held = F.size(F.array_intersect("triples", F.array(*[F.lit(x) for x in t]))) >= MIN_SHARE * len(t)
+            out = out | (held if family is None else (F.col(family) == name) & held)
     return out
 
 
 def scan_paragraphs(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """(row, doc_id, paragraph, family) of the paragraphs with a confirmed licence."""
-    lines = docs.filter(_keyed(F.col("text"))) \
+    lines = docs.filter(_holds_triple(words(F.col("text")))) \
         .select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")) \
-        .filter(_keyed(F.col("line"))).withColumn("words", words(F.col("line")))
+        .withColumn("words", words(F.col("line"))).filter(_holds_triple(F.col("words")))
     return classifier.predict(lines) \
         .filter((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)) \
-        .withColumn("triples", let(F.col("words"), lambda w: F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(grams(w, 3)))) \
-        .filter(_confirmed()).select("row", "doc_id", "paragraph", "family")
+        .withColumn("triples", _triples_of("words")) \
+        .filter(_confirmed("family")).select("row", "doc_id", "paragraph", "family")
 
 
 def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
