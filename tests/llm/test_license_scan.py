@@ -63,3 +63,41 @@ def test_reworded_notices(spark, classifier):
                                     "Available under CC BY-NC 4.0.", "Covered by the terms of the GNU General Public License as published by the FSF.",
                                     "It runs under the terms of the contract."])
     assert got == [("apache-2.0", 1), ("mit", 1), ("cc-by-nc", 1), ("gpl", 1), ("unknown", 0)]
+
+
+def test_wrapped_notices(spark, classifier):
+    """A notice over several lines is one paragraph; lines that no notice joins stay apart."""
+    gnu = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,"""
+    lesser = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version."""
+    narrow = "\r\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this software".split())
+    by_nc = "This work is licensed under a Creative Commons Attribution-\nNonCommercial 4.0 International License."
+    apart = "Available under the\n \nMIT License."
+    lines = "Available under the MIT License.\nReleased under the BSD License\nReleased under the BSD License"
+    # Two notices, and far more lines than the words that are looked at.
+    deep = "\n".join(["plain words"] * 3000 + ["All rights reserved.", "Licensed under CC", "BY-NC 4.0"] + ["plain words"] * 3000)
+    got = found(spark, classifier, [gnu, lesser, narrow, by_nc, apart, lines, deep])
+    assert got == [("gpl", 1), ("lgpl", 1), ("mit", 1), ("cc-by-nc", 1), ("unknown", 0), ("bsd,mit", 3), ("cc-by-nc,proprietary", 2)]
+
+
+def test_every_notice_wrapped(spark, classifier):
+    """Each notice at each width that cuts it, with other lines around."""
+    import textwrap
+    texts, want = [], []
+    for family, notices in license_scan.NOTICES.items():
+        for n in notices:
+            for width in (20, 40, 70):
+                wrapped = textwrap.wrap(n, width)
+                if len(wrapped) > 1:
+                    texts.append("onde thing\n// " + "\n// ".join(wrapped) + ".\nannt here")
+                    want.append((family, 1))
+    got = found(spark, classifier, texts)
+    right = sum(g == w for g, w in zip(got, want))
+    assert right >= 0.95 * len(want), [(t, g, w) for t, g, w in zip(texts, got, want) if g != w]

@@ -1,7 +1,9 @@
 """Licence scans, DataFrame and ML functions only (no Python in tasks).
 
 A logistic regression over hashed word n-grams (1 to 3 words) names the
-licence family of a paragraph (a line), or ``unknown``, which is a class of its own.  Its
+licence family of a paragraph, or ``unknown``, which is a class of its own.  A
+paragraph is a line, or the neighbouring lines over which a notice is wrapped;
+a line without words ends it.  The classifier's
 training rows are bounded: stretches of the notices below, and at most
 BACKGROUND paragraphs of the corpus.  Probabilities are calibrated by a
 temperature, fitted on rows held out of training.  A prediction counts if its
@@ -110,6 +112,84 @@ def grams(w: Column, n: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
+# (its triples in order, how many MIN_SHARE asks for, its words) of each notice, and the words of the longest.
+ORDERED = [(list(dict.fromkeys(" ".join(w[i:i + 3]) for i in range(len(w) - 2))), len(w))
+           for notices in NOTICES.values() for w in map(_plain, notices)]
+LONGEST = max(n for _, n in ORDERED)
+
+
+def _crossed(before: Column, after: Column) -> Column:
+    """True where a notice runs on from the words ``before`` a line break to those ``after`` it.
+
+    Its triples up to some place stand before the break or on it, the later
+    ones on it or after it; together they reach MIN_SHARE, and they are more
+    than either side holds alone.  A notice may hold as many foreign words as
+    it has itself.
+    """
+    notices = F.array(*[F.struct(F.array(*[F.lit(x) for x in t]).alias("triples"), F.lit(MIN_SHARE * len(t)).alias("need"),
+                                 F.lit(2 * n).alias("reach")) for t, n in ORDERED])
+
+    def runs_on(notice: Column, hits: Column) -> Column:
+        ranks = F.transform(F.filter(hits, lambda h: F.abs(h["at"]) <= notice["reach"]),
+                            lambda h: F.struct(F.array_position(notice["triples"], h["triple"]).alias("rank"), h["at"].alias("at")))
+        ranks = F.filter(ranks, lambda r: r["rank"] > 0)
+
+        def of(rows: Column, test) -> Column:
+            return F.array_distinct(F.transform(F.filter(rows, lambda r: test(r["at"])), lambda r: r["rank"]))
+
+        def joined(p: Column) -> Column:
+            def reached(place: Column) -> Column:
+                n = F.size(F.array_distinct(F.concat(F.filter(p["before"], lambda r: r <= place), p["on"],
+                                                     F.filter(p["after"], lambda r: r > place))))
+                return (n >= notice["need"]) & (n > F.size(p["before"])) & (n > F.size(p["after"]))
+
+            return F.exists(F.sequence(F.lit(0), F.size(notice["triples"])), reached)
+
+        return let(let(ranks, lambda r: F.struct(of(r, lambda at: at <= -2).alias("before"), of(r, lambda at: at.isin(-1, 0)).alias("on"),
+                                                 of(r, lambda at: at >= 1).alias("after"))), joined)
+
+    def crossed(b: Column, w: Column) -> Column:
+        # ``at``: 1 for the triple that starts with the first word after the break.
+        hits = F.filter(F.transform(grams(w, 3), lambda t, i: F.struct(t.alias("triple"), (i + 1 - F.size(b)).alias("at"))),
+                        lambda h: h["triple"].isin(TRIPLES))
+        return let(hits, lambda h: (F.size(h) > 0) & F.exists(notices, lambda n: runs_on(n, h)))
+
+    return let(before, lambda b: let(F.concat(b, after), lambda w: crossed(b, w)))
+
+
+def unwrapped(text: Column) -> Column:
+    """The text, with a space for each line break over which a notice runs on.
+
+    The lines between two lines without words are looked at together: up to
+    twice the words of the longest notice on both sides of each break.
+    """
+    most = 2 * LONGEST
+
+    def first(w: Column) -> Column:
+        return F.slice(w, 1, most)
+
+    def last(w: Column) -> Column:
+        return F.slice(w, F.greatest(F.lit(1), F.size(w) - (most - 1)), most)
+
+    def near(ends: Column, start: Column, n: Column, which: str) -> Column:
+        return F.flatten(F.transform(F.slice(ends, start, n), lambda e: e[which]))
+
+    def line(text: Column, ends: Column, i: Column) -> Column:
+        # ``i`` counts from 0: the lines up to i + 1 stand before the break, line i + 2 is the first after it.
+        start = F.greatest(F.lit(1), i + 2 - most)
+        before = last(near(ends, start, i + 2 - start, "last"))
+        after = first(near(ends, i + 2, F.lit(most), "first"))
+        broken = F.when(i + 1 >= F.size(ends), "").when(_crossed(before, after), " ").otherwise("\n")
+        return F.concat(text, broken)
+
+    def run(lines: Column) -> Column:
+        ends = F.transform(lines, lambda x: let(words(x), lambda w: F.struct(first(w).alias("first"), last(w).alias("last"))))
+        return let(ends, lambda e: F.array_join(F.transform(lines, lambda x, i: line(x, e, i)), ""))
+
+    runs = F.transform(F.split(text, r"\n[^\p{L}\p{N}]*\n"), lambda r: let(F.split(r, "\n"), run))
+    return F.array_join(runs, "\n\n")
+
+
 def features(rows: DataFrame) -> DataFrame:
     """Adds the hashed n-grams of column ``words``."""
     rows = rows.withColumn("grams", let(F.col("words"), lambda w: F.array_distinct(F.concat(w, grams(w, 2), grams(w, 3)))))
@@ -151,7 +231,7 @@ def train(spark: SparkSession, docs: DataFrame) -> Classifier:
     known = spark.createDataFrame(stretches(), "family string, paragraph string, whole boolean")
     some = id_text(docs).filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(BACKGROUND_DOCS)
     # Paragraphs like those that are scored come first, others fill up.
-    other = some.select(F.explode(F.split("text", "\n")).alias("paragraph")).distinct() \
+    other = some.select(F.explode(F.split(_paragraphs("text"), "\n")).alias("paragraph")).distinct() \
         .withColumn("words", words(F.col("paragraph"))).withColumn("triples", _triples_of("words")) \
         .filter(~_confirmed()).withColumn("scored", _holds_triple(F.col("words"))) \
         .orderBy(F.desc("scored"), F.xxhash64("paragraph"), "paragraph").limit(BACKGROUND) \
@@ -181,6 +261,11 @@ def _holds_triple(w: Column) -> Column:
     return let(w, lambda v: F.exists(grams(v, 3), lambda t: t.isin(TRIPLES)))
 
 
+def _paragraphs(name: str) -> Column:
+    """The column with wrapped notices on one line; a text without any notice's triple has none."""
+    return F.when(_holds_triple(words(F.col(name))), unwrapped(F.col(name))).otherwise(F.col(name))
+
+
 def _triples_of(name: str) -> Column:
     return let(F.col(name), lambda w: F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(grams(w, 3)))
 
@@ -199,7 +284,7 @@ def _confirmed(family: str | None = None) -> Column:
 def scan_paragraphs(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """(row, doc_id, paragraph, family) of the paragraphs with a confirmed licence."""
     lines = docs.filter(_holds_triple(words(F.col("text")))) \
-        .select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")) \
+        .select("row", "doc_id", F.posexplode(F.split(unwrapped(F.col("text")), "\n")).alias("paragraph", "line")) \
         .withColumn("words", words(F.col("line"))).filter(_holds_triple(F.col("words")))
     return classifier.predict(lines) \
         .filter((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)) \
