@@ -84,3 +84,35 @@ def test_no_credentials(spark):
     formats = secret_scan.fit(docs)
     assert [r.spans for r in secret_scan.scan(docs, formats).collect()] == [[], [], []]
     assert secret_scan.scan(docs.limit(0), formats).count() == 0
+
+
+def test_candidates_beside_base_spans_and_short(spark):
+    """A token around a base span and a bare value of a short format are scored too."""
+    r = random.Random(6)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    long = lambda: f"sk_{pick(upper, 6)}_{pick('0123456789abcdef', 24)}_{pick(upper, 6)}"
+    short = lambda: f"{pick(upper, 2)}-{pick('0123456789', 6)}"
+    words = lambda n: sorted({pick(lower, r.randint(6, n)) for _ in range(300)})
+    formats = secret_scan.train({0: [long() for _ in range(150)] + [short() for _ in range(150)],
+                                 3: [w + pick(lower, 10) for w in words(20)], 4: words(15)})
+    values = [long(), short()]
+    texts = [f"see {v}, and {pick(lower, 11)}" for v in values]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in secret_scan.scan(docs, formats).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs, formats).collect()}
+    for i, v in enumerate(values):
+        assert ("format", 4, 4 + len(v)) in spans[i] and clean[i] == texts[i].replace(v, "[secret]")
+
+
+def test_quantile_counts_refused_values():
+    """A format leaves out no more than QUANTILE of its own held-out examples, also those that the automaton has not seen."""
+    r = random.Random(9)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    sign = lambda: r.choice("+/_.=-")
+    values = [pick("ABCDEF", r.randint(1, 12)) + sign() + pick("0123456789", r.randint(1, 12)) + sign() + pick("abcdef", 3)
+              for _ in range(200)]
+    formats = secret_scan.train({0: values, 3: [pick("abcdefghijklmnopqrstuvwxyz", 18) for _ in range(300)]})
+    (automaton, least), = formats.automata
+    held = [automaton.score(s) / len(s) for s in map(grammar.classes, values[::5])]
+    assert sum(x < least for x in held) <= secret_scan.QUANTILE * len(held)

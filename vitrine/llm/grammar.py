@@ -28,14 +28,24 @@ class Automaton:
 
     def __init__(self, steps: list[dict[int, tuple[int, float]]], ends: list[float]):
         self.steps, self.ends = steps, ends
+        self.unseen = None
+
+    def smooth(self, share: float = 0.01) -> None:
+        """Gives the classes that a state has not seen a share of its probability; they lead back to it."""
+        self.unseen = math.log(share / len(CLASSES))
+        seen = math.log(1 - share)
+        self.steps = [{c: (t, p + seen) for c, (t, p) in step.items()} for step in self.steps]
+        self.ends = [p + seen for p in self.ends]
 
     def score(self, symbols: list[int]) -> float:
-        """Log probability of the string; minus infinity outside the format."""
+        """Log probability of the string; minus infinity outside the format, unless smoothed."""
         s, total = 0, 0.0
         for c in symbols:
             step = self.steps[s].get(c)
             if step is None:
-                return -math.inf
+                if self.unseen is None:
+                    return -math.inf
+                step = (s, self.unseen)
             s = step[0]
             total += step[1] - SIZE_LOG[c]
         return total + self.ends[s]

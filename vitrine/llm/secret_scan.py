@@ -3,10 +3,11 @@
 Base patterns find assignments, access keys and long hex runs.  Their values
 are labelled credentials: a bounded sample of each kind trains a probabilistic
 automaton (``grammar``), a sample of the other long tokens a background model
-of character pairs.  Every long token is a candidate and is scored by all
-automata; one that a format explains at least as well as nearly all of its own
-held-out examples, and much better than the background does, is a span of
-kind ``format``.
+of character pairs.  Every token that is long, or as long as the shortest value
+that trains, is a candidate unless base spans cover it whole, and is scored by
+all automata; one that a format explains at least as well as nearly all of its
+own held-out examples, and much better than the background does, is a span of
+kind ``format``.  Tokens under MIN_CANDIDATE have a background of their own.
 
 Positions are code points, ends exclusive.  Defined results: null text is
 empty and holds nothing; rows are scanned one by one, so repeated rows repeat
@@ -37,7 +38,7 @@ HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "format")
 
-MIN_CANDIDATE = 16       # characters of a token that is a candidate
+MIN_CANDIDATE = 16       # characters of a token that is a candidate, unless a shorter value trains
 SAMPLE = 400             # labelled values of each kind, and background tokens, that train (the bound)
 QUANTILE = 0.05          # share of held-out examples that a format may leave out
 MIN_GAIN = 0.5           # nats a character by which a format must beat the background
@@ -46,11 +47,11 @@ MIN_GAIN = 0.5           # nats a character by which a format must beat the back
 class Finder:
     """Base spans and candidates of one text."""
 
-    def __init__(self):
+    def __init__(self, least: int = MIN_CANDIDATE):
         flags = re.ASCII
         self.assign = re.compile(ASSIGN, flags | re.IGNORECASE)
         self.access, self.hex = re.compile(ACCESS, flags), re.compile(HEX, flags)
-        self.token = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_CANDIDATE, flags)
+        self.token = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % least, flags)
 
     def base(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, str]]:
         """(start, kind, end, value), by start and kind; ``tokens`` are the candidates."""
@@ -77,14 +78,26 @@ def _others(tokens, base):
             yield s, e
 
 
-def samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(kind, value): the ``sample`` distinct values of each kind with the least hashes; kind 3 is the background.
+def _open(tokens, base):
+    """Candidates that base spans don't cover whole; ``base`` in order."""
+    for s, e in tokens:
+        at = s
+        for b in base:
+            if b[0] <= at < b[2]:
+                at = b[2]
+        if at < e:
+            yield s, e
+
+
+def samples(docs: DataFrame, sample: int = SAMPLE, least: int = MIN_CANDIDATE) -> DataFrame:
+    """(kind, value): the ``sample`` distinct values of each kind with the least hashes.
 
-    Each task sends no more than ``sample`` values of a kind.
+    Kind 3 is the background, kind 4 that of tokens of ``least`` characters up
+    to MIN_CANDIDATE.  Each task sends no more than ``sample`` values of a kind.
     """
     def run(batches):
-        finder = Finder()
-        held: dict[int, dict[str, int]] = {k: {} for k in range(4)}
+        finder = Finder(least)
+        held: dict[int, dict[str, int]] = {k: {} for k in range(5)}
 
         def keep(kind, value):
             held[kind][value] = xxhash.xxh64_intdigest(value)
@@ -99,7 +112,7 @@ def samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 for _, kind, _, value in base:
                     keep(kind, value)
                 for s, e in _others(tokens, base) if base else tokens:
-                    keep(3, text[s:e])
+                    keep(3 if e - s >= MIN_CANDIDATE else 4, text[s:e])
         rows = [(k, v, h) for k in held for v, h in heapq.nsmallest(sample, held[k].items(), key=lambda x: x[::-1])]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()),
@@ -111,18 +124,24 @@ def samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 class Formats:
-    """Automata of the credential kinds, with their thresholds, against a background of character pairs."""
+    """Automata of the credential kinds, with their thresholds, against a background of character pairs.
 
-    def __init__(self, automata: list[tuple[Automaton, float]], background: list[list[float]]):
-        self.automata, self.background = automata, background
+    ``least``: the characters of the shortest candidate; ``short``: the
+    background of candidates under MIN_CANDIDATE.
+    """
+
+    def __init__(self, automata: list[tuple[Automaton, float]], background: list[list[float]],
+                 short: list[list[float]], least: int):
+        self.automata, self.background, self.short, self.least = automata, background, short, least
 
     def common(self, symbols: list[int]) -> float:
         """Log probability under the background."""
+        background = self.background if len(symbols) >= MIN_CANDIDATE else self.short
         last, total = len(CLASSES), 0.0
         for c in symbols:
-            total += self.background[last][c] - math.log(len(CLASSES[c]))
+            total += background[last][c] - math.log(len(CLASSES[c]))
             last = c
-        return total + self.background[last][len(CLASSES)]
+        return total + background[last][len(CLASSES)]
 
     def likely(self, value: str) -> bool:
         symbols = classes(value)
@@ -149,25 +168,45 @@ def _pairs(values: list[str]) -> list[list[float]]:
 
 
 def train(labelled: dict[int, list[str]]) -> Formats:
-    """An automaton for each kind, from 4 of 5 values; the fifth sets its threshold."""
+    """An automaton for each kind, from 4 of 5 values; the fifth sets its threshold.
+
+    An automaton that refuses more than QUANTILE of the fifth is smoothed.
+    """
     automata = []
     for kind in range(3):
         values = labelled.get(kind, [])
         held = values[::5]
         automaton = infer([v for i, v in enumerate(values) if i % 5] or values)
         if automaton:
-            per = sorted(automaton.score(s) / len(s) for s in map(classes, held))
-            finite = [x for x in per if x > -math.inf]
-            if finite:
-                automata.append((automaton, finite[min(len(finite) - 1, int(QUANTILE * len(finite)))]))
-    return Formats(automata, _pairs(labelled.get(3, [])))
+            def threshold():
+                per = sorted(automaton.score(s) / len(s) for s in map(classes, held))
+                return per[int(QUANTILE * len(per))]
+
+            if threshold() == -math.inf:
+                automaton.smooth()
+            automata.append((automaton, threshold()))
+    return Formats(automata, _pairs(labelled.get(3, [])), _pairs(labelled.get(4, [])), _least(labelled))
+
+
+def _least(labelled: dict[int, list[str]]) -> int:
+    return min([MIN_CANDIDATE, *(len(v) for kind in range(3) for v in labelled.get(kind, []))])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Formats:
-    """Formats learnt from the documents; at most 4 * ``sample`` values reach the driver."""
-    labelled: dict[int, list[str]] = {}
-    for r in samples(docs, sample).orderBy("kind", F.xxhash64("value"), "value").collect():
-        labelled.setdefault(r.kind, []).append(r.value)
+    """Formats learnt from the documents; at most 4 * ``sample`` values reach the driver at once.
+
+    If a value under MIN_CANDIDATE trains, a second pass samples the background of such tokens.
+    """
+    def taken(rows: DataFrame) -> dict[int, list[str]]:
+        out: dict[int, list[str]] = {}
+        for r in rows.orderBy("kind", F.xxhash64("value"), "value").collect():
+            out.setdefault(r.kind, []).append(r.value)
+        return out
+
+    labelled = taken(samples(docs, sample))
+    least = _least(labelled)
+    if least < MIN_CANDIDATE:
+        labelled |= taken(samples(docs, sample, least).filter("kind = 4"))
     return train(labelled)
 
 
@@ -177,7 +216,7 @@ def all_spans(finder: Finder, formats: Formats, text: str) -> list[tuple[int, in
     if not tokens and ":" not in text and "=" not in text:
         return []
     base = finder.base(text, tokens)
-    rest = _others(tokens, base) if base else tokens
+    rest = _open(tokens, base) if base else tokens
     return sorted([b[:3] for b in base] + [(s, 3, e) for s, e in rest if formats.likely(text[s:e])])
 
 
@@ -186,7 +225,7 @@ def scan(docs: DataFrame, formats: Formats) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        finder = Finder()
+        finder = Finder(formats.least)
         for b in batches:
             out = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(finder, formats, t or "")]
                    for t in b.column(1).to_pylist()]
@@ -209,7 +248,7 @@ def redact(docs: DataFrame, formats: Formats, text_col: str = "text", length_col
            mark: str = "[secret]") -> DataFrame:
     """All documents, secrets replaced; columns as in ``docs`` (``length_col`` follows the text)."""
     def clean(texts):
-        finder = Finder()
+        finder = Finder(formats.least)
         for batch in texts:
             out = []
             for t in batch.to_pylist():
