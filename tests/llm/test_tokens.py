@@ -103,3 +103,13 @@ def test_token_files(spark):
     assert sorted((str(d), n, c) for _, d, n, c in got) == want
     assert token_files.write(table.limit(0), fresh_path(spark, "none"), WORD, 2) == []
     assert token_files.read(spark, folder, []).count() == 0
+
+
+@pytest.mark.parametrize("encoder, file", [(WordEncoder(WORD), WORD), (ByteEncoder(BYTE, P.PATTERN), BYTE)])
+def test_added_tokens_as_from_the_library(encoder, file):
+    """Ids of the library's plain call, by a tokenizer loaded as it is."""
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(file)
+    hard = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y<|endoftext|>", "A <|ENDOFTEXT|>\n <|end oftext|>", "a <|", "é <|endoftext|>\n\n漢"]
+    for t in hard + fuzz(3000):
+        assert np.frombuffer(encoder.encode(t), encoder.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)

@@ -3,7 +3,9 @@
 A word's ids don't depend on its surroundings once the text is cut where the
 tokenizer itself always cuts.  So each distinct piece is encoded once in a
 worker and looked up from then on; the cache holds a bounded number of pieces
-in two generations.  The result equals encoding the whole text (tested).
+in two generations.  A text that holds the string of one of the tokenizer's
+added tokens is encoded whole.  The result equals the library's plain call for
+the whole text, ``encode(text, add_special_tokens=False)`` (tested).
 """
 
 from __future__ import annotations
@@ -41,11 +43,14 @@ class Pieces(dict):
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned numbers of ``width`` bytes, without special tokens."""
+    """Ids of a text as little-endian unsigned numbers of ``width`` bytes; no special tokens are added."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in tokens]
+        if any(t.normalized for t in tokens):
+            raise ValueError(f"{path}: an added token is looked for in normalised text")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.model, self.alphabet = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
@@ -62,6 +67,13 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
+        for t in self.added:
+            if t in text:
+                return self.direct(text)
+        return self.by_pieces(text)
+
+    def by_pieces(self, text: str) -> bytes:
+        """The ids of a text without an added token's string."""
         raise NotImplementedError
 
 
@@ -91,7 +103,7 @@ class WordEncoder(Encoder):
         piece = piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
         return b"".join([words[w] for w in self.pattern.findall(piece)])
 
-    def encode(self, text: str) -> bytes:
+    def by_pieces(self, text: str) -> bytes:
         pieces = self.pieces
         return b"".join([pieces[p] for p in text.replace("\n", " ").split(" ")])
 
@@ -123,7 +135,7 @@ class ByteEncoder(Encoder):
         words = self.words
         return b"".join([words[w] for w in self.pattern.findall(piece)])
 
-    def encode(self, text: str) -> bytes:
+    def by_pieces(self, text: str) -> bytes:
         if not text:
             return b""
         words = self.words
