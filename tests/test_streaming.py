@@ -100,3 +100,21 @@ def test_postings_two_tables_and_empty_marker(spark):
     S.ingest(spark, land, targets, ck, "ozon_postings", runs_root=runs).awaitTermination()
     msgs = sorted((r.rows_ingested, r.message) for r in K.read_table(spark, runs).collect())
     assert msgs == [(0, "empty"), (3, "")]
+
+
+def test_w1_w2_starts_accounts_without_a_cursor(spark):
+    """An account with sales and no stored cursor starts 48 hours back; the others' rows stay as they are."""
+    from vitrine.plans import catalog
+    from vitrine.plans.stages import Stages
+    sf = "/root/testdata/sf0.001"
+    start = dt.datetime(2024, 1, 29)
+    whole, without, back = Stages(spark, sf), Stages(spark, sf), Stages(spark, sf)
+    history = whole.watermarks
+    without.__dict__["watermarks"] = history.where(F.col("account_id") != "acc3")
+    # the same start as a stored cursor
+    back.__dict__["watermarks"] = without.watermarks.unionByName(
+        history.where(F.col("account_id") == "acc3").withColumn("watermark_ts", F.lit(start).cast("timestamp_ntz")))
+    rows = lambda p: sorted(map(tuple, catalog.w1_w2(p).collect()))
+    got = rows(without)
+    assert got == rows(back) and "acc3" in [r[0] for r in got]
+    assert [r for r in got if r[0] != "acc3"] == [r for r in rows(whole) if r[0] != "acc3"]

@@ -832,13 +832,15 @@ _CURSOR_SOURCE = "purchase"  # the bound cursor history's source used as the sal
           f"SELECT s.account_id, count(*) AS rows, max(s.last_change_ts) AS new_cursor "
           f"FROM s JOIN cur ON s.account_id = cur.account_id WHERE s.last_change_ts > cur.cursor GROUP BY s.account_id")
 def w1_w2(p: Stages) -> DataFrame:
-    """W1 + W2 as one batch job: each account's stored cursor (else now − 48 h),
-    the normalised sales changed after it, and the cursor they advance to."""
+    """W1 + W2 as one batch job: the stored cursor of each account with sales (else
+    now − 48 h), the normalised sales changed after it, and the cursor they advance to."""
     from vitrine.sources import tables as K
     now = dt.datetime(2024, 1, 31, 0, 0)
-    cur = K.read_cursor(p.watermarks.where(F.col("source") == _CURSOR_SOURCE), now) \
-        .select("account_id", "cursor")
     li = p.table("lineitem")
+    accounts = li.select(F.lit(_CURSOR_SOURCE).alias("source"),
+                         F.concat(F.lit("acc"), (F.col("l_orderkey") % 5).cast("string")).alias("account_id"))
+    cur = K.read_cursor(p.watermarks.where(F.col("source") == _CURSOR_SOURCE), now, accounts=accounts) \
+        .select("account_id", "cursor")
     sales = normalize.wb_sales(_recs(landing.wb_sales_pages(li)), _RUN, _ACC)
     # the landed pages carry no account; it is the binding's rule on the order key in srid
     acct = F.concat(F.lit("acc"), (F.split("srid", "-").getItem(0).cast("bigint") % 5).cast("string"))
