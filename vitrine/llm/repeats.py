@@ -1,8 +1,9 @@
 """Repeated passages: every byte of a string of LENGTH bytes that starts at two places.
 
-Prefix doubling over content-sampled positions.  Sorting all positions of the
-corpus at every offset would shuffle some 16 bytes for each byte of text and
-round; instead positions are sampled by content so that no repeat is missed:
+Content-anchored fingerprints, in place of prefix doubling.  Sorting all
+positions of the corpus at every offset would shuffle some 16 bytes for each
+byte of text and round; instead positions are sampled by content so that no
+repeat is missed:
 
 1. The anchor of a start s is the place of the least k-gram hash among the
    first SPAN places of s (the leftmost of equals).  It depends only on the
