@@ -98,9 +98,87 @@ SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_R
 FROM measured
 """
 
+OP11 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+          FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM docs),
+cells AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM masks LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+bits AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bs
+  FROM bits a JOIN bits b ON b.f <> a.f JOIN bits c ON c.f NOT IN (a.f, b.f) JOIN bits d ON d.f NOT IN (a.f, b.f, c.f)
+  JOIN bits e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bs[step] AS bit, coalesce(list_sum(list_slice(bs, 1, step - 1)), 0)::INTEGER AS before
+  FROM (SELECT filter_order, bs, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+         CAST(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
+OP12 = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS source,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]),
+                                   lambda v, k: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations)),
+pieces AS (
+  SELECT ids.conv_id, 0 AS own, i, role, text FROM ids JOIN turns ON turns.conv_id = ids.source AND i <= h
+  UNION ALL SELECT conv_id, 1, i, role, text FROM turns JOIN ids USING (conv_id) WHERE i > h),
+rebuilt AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth FROM pieces),
+paths AS (
+  SELECT conv_id, depth, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS k, strlen(text) AS b FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+nodes AS (
+  SELECT depth, k, any_value(b) AS b, count(*) AS n_convs, min(conv_id) AS conv_id, left(k, greatest(length(k) - 64, 0)) AS up FROM paths GROUP BY depth, k),
+children AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+subtrees AS (
+  SELECT DISTINCT a.depth AS depth, a.k AS k, d.depth AS below, d.k AS other FROM paths a JOIN paths d ON a.conv_id = d.conv_id AND a.depth <= d.depth),
+sums AS (
+  SELECT s.depth, s.k, CAST(sum((n.n_convs - 1) * n.b) AS BIGINT) AS saved_tokens, count(*) FILTER (c.n IS NULL) AS n_leaves
+  FROM subtrees s JOIN nodes n ON n.depth = s.below AND n.k = s.other LEFT JOIN children c ON c.depth = s.below AND c.k = s.other GROUP BY s.depth, s.k),
+ends AS (
+  SELECT depth, k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM paths
+  WHERE (conv_id, depth) IN (SELECT (conv_id, max(depth)) FROM paths GROUP BY conv_id) GROUP BY depth, k)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, s.saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s USING (depth, k) LEFT JOIN children c USING (depth, k) LEFT JOIN ends e USING (depth, k)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND n.depth > 0 AND p.k = n.up
+"""
+
+OP13 = "SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM (" + OP3.replace("75 *", "85 *") + ")"
+
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": OP1,
     "op3_jaccard_join": OP3,
     "op4_decontamination": OP4,
     "op10_quality_rules": OP10,
+    "op11_filter_audit": OP11,
+    "op12_prefix_trie": OP12,
+    "op13_near_dedup": OP13,
 }

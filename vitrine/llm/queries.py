@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from vitrine.llm import (chat_format, decontaminate, jaccard_join, license_scan, packing, quality, repeats,
-                         secret_scan, sharding, token_files)
+from vitrine.llm import (chat_format, decontaminate, filter_audit, jaccard_join, license_scan, near_dedup, packing,
+                         prefix_trie, quality, repeats, secret_scan, sharding, token_files)
 from vitrine.llm.common import fresh_path
 from vitrine.llm.oracle import ORACLE  # noqa: F401  (part of this module's interface)
 
@@ -86,10 +86,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "clean_chars")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_formatting, op2_secret_scans, op3_jaccard_join, op4_decontamination, op5_sharding, op6_license_scans,
-        op7_packing, op8_token_files, op9_repeats, op10_quality_rules,
+        op7_packing, op8_token_files, op9_repeats, op10_quality_rules, op11_filter_audit, op12_prefix_trie,
+        op13_near_dedup,
     )
 }
 
