@@ -9,16 +9,20 @@
    coordinates.  A set of n shingles costs n * rounds, not n * SIZE.
 2. The sketch is cut into ``BANDS`` bands.  A pair at the threshold (0.85)
    shares none of them with a chance of (1 - 0.85**5)**40, below 1e-10.
-3. In each bucket (sets with an equal band) the set with the least digest
-   leads.  Every set is compared with the least of its leaders, exactly, on the
-   full sets of shingles.  In the second pass the pairs that share a bucket but
-   not a component are compared likewise, so a group of near copies is not
-   expanded into all its pairs, and no pair of a bucket is left out.
+3. Sets that share a bucket (an equal band) with another are fetched whole.
+   Shingles that only one of them holds are in no overlap, so their number
+   bounds every similarity of the set; sets and pairs below are done with.
+4. In each bucket the set with the smallest share of such shingles leads.
+   Every set is compared with the most central of its leaders, exactly, on the
+   full sets.  In the second pass the pairs that share a bucket but not a
+   component are compared likewise, so a group of near copies is not expanded
+   into all its pairs, and no pair of a bucket that can be similar is left out.
 
 Equal sets are one node, named by 126 bits of their digest.  Buckets are read
 in sorted order, one row after the other; no bucket is held in memory.  What
-grows with the square of a group is only this: sets that share a band without
-reaching the threshold, in different components, are compared pair by pair.
+may grow with the square of a group is only this: sets of different components
+that share a band and whose bound, but not whose similarity, reaches the
+threshold, are compared pair by pair.
 
 Defined results: a document without words has an empty set, n_shingles 0, is
 linked with nothing and kept; fewer words than a shingle make one shingle;
@@ -226,30 +230,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
         .filter("100L * k >= %dL * (na + nb - k)" % percent).select("a", "b")
 
 
-def _near(n, m, percent: int):
-    """Sizes that allow the threshold."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def unique_counts(sets: DataFrame) -> DataFrame:
+    """(node, n, u): the set's size and how many of its shingles no other set of the table holds."""
+    held = sets.select(F.explode("shingles").alias("s"), "node").groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node"))
+    alone = held.filter("k = 1").groupBy("node").agg(F.count("*").alias("u"))
+    return sets.select("node", F.size("shingles").cast("bigint").alias("n")).join(alone, "node", "left") \
+        .select("node", "n", F.coalesce("u", F.lit(0)).alias("u"))
+
+
+def _possible(n, u, m, v, percent: int):
+    """Sets of n and m shingles, u and v of them their own, can reach the threshold: shingles of one set alone are in no overlap."""
+    most = F.least(n - u, m - v)
+    return most * (100 + percent) >= (n + m) * percent
 
 
 def links(docs: DataFrame, sketched: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Similar pairs (a, b) of nodes that suffice to connect every component."""
     members = saved(bucket_members(sketched), "sketch-buckets")
-    # A set whose size fits no partner of its buckets is in no pair; the others are fetched.
-    rows = members.select("band", "node", "n").union(members.select("band", F.col("lead").alias("node"), F.col("lead_n").alias("n")).distinct())
+    rows = members.select("band", "node").union(members.select("band", F.col("lead").alias("node")).distinct())
     sets = saved(full_sets(docs, rows.select("node").distinct(), words), "sketch-sets")
-    first = saved(members.filter(_near(F.col("n"), F.col("lead_n"), percent))
-                  .groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("a")), "sketch-pairs")
+    able = unique_counts(sets).filter(F.col("n") * percent <= (F.col("n") - F.col("u")) * 100)
+    rows = saved(rows.join(saved(able, "sketch-able"), "node"), "sketch-rows")
+
+    # First pass: the most central set (the smallest share of shingles of its own) leads its bucket.
+    rank = (F.col("u") / F.col("n")).alias("rank")
+    lead = rows.groupBy("band").agg(F.min(F.struct(rank, "node", "n", "u")).alias("l"), F.count("*").alias("k")).filter("k > 1")
+    near = _possible(F.col("l.n"), F.col("l.u"), F.col("n"), F.col("u"), percent)
+    first = saved(rows.join(lead, "band").filter((F.col("node") != F.col("l.node")) & near)
+                  .groupBy(F.col("node").alias("b")).agg(F.min(F.struct("l.rank", "l.node")).alias("l"))
+                  .select(F.col("l.node").alias("a"), "b"), "sketch-pairs")
     found = saved(confirmed(first, sets, percent), "sketch-links")
+
+    # Second pass: what shares a bucket but not a component.
     roots = saved(components(found), "sketch-roots")
-    labelled = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = saved(labelled, "sketch-rows")
+    labelled = saved(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "sketch-rows")
     mixed = saved(labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                   .filter("lo <> hi").select("band"), "sketch-mixed")
-    rest = labelled.join(mixed, "band")
-    a, b = (rest.select("band", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-    pairs = a.join(b, "band").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-                                     & _near(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    pairs = saved(pairs.join(first, ["a", "b"], "left_anti"), "sketch-pairs")
+    # A pair is made once, in the least of its common buckets.
+    cards = labelled.groupBy("node").agg(F.collect_list("band").alias("all"))
+    rest = labelled.join(mixed, "band").join(saved(cards, "sketch-cards"), "node")
+    a, b = (rest.select("band", F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "u", "root", "all")]) for x in "ab")
+    pairs = a.join(b, "band").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb"))
+                                     & _possible(F.col("na"), F.col("ua"), F.col("nb"), F.col("ub"), percent)
+                                     & (F.array_min(F.array_intersect("alla", "allb")) == F.col("band"))).select("a", "b")
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "sketch-pairs")
     return found.union(saved(confirmed(pairs, sets, percent), "sketch-links"))
 
 
