@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+from array import array
 
 import numpy as np
 import regex
@@ -42,6 +43,23 @@ class Pieces(dict):
         return ids
 
 
+    def learn(self, pieces, encode_all) -> None:
+        """Encodes new pieces together; those of the generation before come along."""
+        new = []
+        for p in pieces:
+            ids = self.old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                self[p] = ids
+        if new:
+            self.update(zip(new, encode_all(new)))
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+            self.update((p, self.old[p]) for p in pieces)
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned numbers of ``width`` bytes; no special tokens are added."""
 
@@ -53,6 +71,7 @@ class Encoder:
             raise ValueError(f"{path}: an added token is looked for in normalised text")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        self.code = next(c for c in "HIL" if array(c).itemsize == self.width)
         self.model, self.alphabet = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
 
     def word(self, word: str) -> bytes:
@@ -61,10 +80,16 @@ class Encoder:
             letters = word.replace(" ", "Ġ")  # of the byte alphabet, only the space differs
         else:
             letters = self.alphabet.pre_tokenize_str(word)[0][0]
-        return np.array([t.id for t in self.model.tokenize(letters)], self.dtype).tobytes()
+        return self.packed([t.id for t in self.model.tokenize(letters)])
+
+    def packed(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         for t in self.added:
@@ -101,6 +126,8 @@ class WordEncoder(Encoder):
             return self.direct(piece)
         words = self.words
         piece = piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
+        if piece.isascii() and piece.isalpha():  # one word
+            return words[piece]
         return b"".join([words[w] for w in self.pattern.findall(piece)])
 
     def by_pieces(self, text: str) -> bytes:
@@ -132,17 +159,32 @@ class ByteEncoder(Encoder):
             raise _Uneven
         if not plain(piece):
             return self.direct(piece)
+        if (piece[1:] if piece[0] == " " else piece).isalpha():  # letters alone are one pre-token
+            return self.word(piece)
         words = self.words
         return b"".join([words[w] for w in self.pattern.findall(piece)])
 
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Words of plain letters alone, each after a space, in one call: each is one pre-token."""
+        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, self.dtype)
+        cut = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64), prepend=-1))
+        if len(cut) != len(words):
+            raise ValueError("a word of letters is not one pre-token of this tokenizer")
+        raw, at = ids.tobytes(), [*(cut * self.width).tolist(), len(ids) * self.width]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
     def by_pieces(self, text: str) -> bytes:
         if not text:
             return b""
         words = self.words
         try:
             first, later, end, out = self.first, self.later, words["\n"], []
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
+            lines = [line.split(" ") for line in text.split("\n")]
+            new = [p for p in set().union(*lines) if p not in later and p.isalpha() and plain(p)]
+            if new:
+                later.learn(new, self.letters)
+            for head, *rest in lines:
                 out.append(end)
                 out.append(first[head])
                 out += [later[p] for p in rest]
