@@ -61,7 +61,7 @@ def test_stages_in_order(spark, tmp_path):
             assert docs.columns == [x.split()[0] for x in SCHEMA.split(", ")]
     plain = lambda rows: sorted(((r[0] is None, r[0] or 0, r[1]) for r in rows))
 
-    base = [r for r in table if not test_quality.measures(r[1])[5]]
+    base = [r for r in table if not test_quality_rules.measures(r[1])[5]]
     cleaned = {r[5]: r for r in results[0]}
     assert {r[5] for r in base} == set(cleaned)
     for r in base:
@@ -107,3 +107,32 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_columns_with_helper_names(spark):
+    from vitrine.llm import jaccard_join, quality
+    names = ["__k", "__o", "__gone_0", "gone_0", "gone_1", "again_key", "again_id", "again_place", "Quality", "root", "node", "w", "m"]
+    lines = ["The " + " ".join(f"{w}{chr(97 + i)}" for w in "quick brown fox jumps over lazy dog home".split()) + "." for i in range(20)]
+    text = "\n".join(lines[:18])
+    rows = [(i, t, *range(len(names))) for i, t in ((1, text), (1, text), (2, text), (3, "\n".join(lines[:19])), (None, None))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` int" for n in names))
+    one = jaccard_join.one_of_each(docs)
+    assert one.columns == docs.columns and sorted((r.doc_id or 0) for r in one.collect()) == [0, 1]
+    kept = quality.clean(docs)
+    assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_row_that_stays_of_repeated_ones_is_defined(spark):
+    from vitrine.llm import jaccard_join
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, other int")
+    found = {tuple(jaccard_join.one_of_each(docs.repartition(n)).collect()[0]) for n in (1, 3, 7)}
+    assert len(found) == 1
+
+
+def test_quality_measures_are_computed_once(spark):
+    from vitrine.llm import quality
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    plan = quality.clean(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1

@@ -73,3 +73,24 @@ def test_empty_and_clashing_columns(spark):
                                  "doc_id bigint, text string, text_key string, part int")
     rows = repeats.remove(docs).collect()
     assert sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in rows) == [(0, 500, 1), (0, 500, 1), (3, 0, 0)]
+
+
+def test_passages_of_both_sides_of_the_length(spark):
+    """Shared passages of 50 to 120 words, from 250 to 900 bytes: removed from 400 bytes on, whatever the partitions."""
+    import random
+    r = random.Random(7)
+    word = lambda n: "".join(r.choices("abcdefghij", k=n))
+    rows, want = [], {}
+    for g in range(12):
+        passage = " ".join(word(r.randint(3, 9)) for _ in range(r.randint(50, 120)))
+        for k in range(2):
+            i = 2 * g + k
+            head, tail = (" ".join(word(8) for _ in range(40)) for _ in range(2))
+            rows.append((i, f"{head}{'AB'[k]}#{passage}#{'AB'[k]}{tail}"))
+            want[i] = len(passage) + 2 if len(passage) + 2 >= 400 else 0
+    for parts in (1, 5, 37):
+        got = repeats.remove(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)).collect()
+        assert {x.doc_id: x.n_removed for x in got} == want
+        for x in got:
+            assert len(x.kept_text.encode()) == x.n_bytes - x.n_removed
+    assert 0 < sum(v > 0 for v in want.values()) < len(want)

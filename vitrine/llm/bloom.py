@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm.common import unused
+
 BITS = 1 << 24  # 2 MB, whatever the number of values; a full filter only lets more rows through
 
 
@@ -50,7 +52,7 @@ def without(df: DataFrame, gone: DataFrame, key: str, *more: str) -> DataFrame:
     Only rows that the filter may hold are shuffled for the join.
     """
     found = build(gone, key)
-    names = {c: f"__gone_{i}" for i, c in enumerate((key, *more))}
+    names = {c: unused(f"gone_{i}", df) for i, c in enumerate((key, *more))}
     g = gone.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
     some = held(df, key, found)
     on = F.col(key) == F.col(names[key])

@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm import bloom
@@ -294,7 +294,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each component; columns as in ``docs``.
 
     The one with the smallest id stays (ids before nulls, then the least hash
-    of its text); of rows that repeat both, one.  Documents without words have
+    of its text); of rows that repeat both, the one with the least hash of the
+    whole row.  Documents without words have
     no component and all stay.
     """
     key, own = unused("__text_key", docs), unused("__doc_id", docs)
@@ -310,8 +311,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = saved(rows.groupBy("text_key", "doc_id").agg(F.count("*").alias("k")).filter("k > 1")
                   .select(F.col("text_key").alias(key), F.col("doc_id").alias(own)), "jaccard-again")
     if not again.isEmpty():
-        once = kept.join(again.select(F.col(key).alias("__k"), F.col(own).alias("__o")),
-                         (F.col(key) == F.col("__k")) & F.col(own).eqNullSafe(F.col("__o")), "left_semi") \
-            .dropDuplicates([key, own])
+        k, o, place = unused("again_key", kept), unused("again_id", kept), unused("again_place", kept)
+        plain = [F.col(f"`{f.name}`") for f in kept.schema if f.dataType.typeName() not in ("map", "variant")]
+        order = Window.partitionBy(key, own).orderBy(F.xxhash64(*plain))
+        once = kept.join(again.select(F.col(key).alias(k), F.col(own).alias(o)),
+                         (F.col(key) == F.col(k)) & F.col(own).eqNullSafe(F.col(o)), "left_semi") \
+            .withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
         kept = bloom.without(kept, again, key, own).union(once)
     return kept.drop(key, own)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import WHITE, id_text, let
+from vitrine.llm.common import WHITE, id_text, let, unused
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -155,9 +155,7 @@ def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_c
     ``length_col``, where the table has it, follows the new text's length.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hold = "__quality"
-    while hold in docs.columns:
-        hold += "_"
+    hold = unused("quality", docs)
     m = F.col(hold)
     keep = (m["n_words"] >= MIN_WORDS) \
         & (m["n_repeat_words"] * 100 <= m["n_words"] * MAX_REPEAT_PERCENT) \
@@ -165,5 +163,6 @@ def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_c
     new = {text_col: m["clean_text"]}
     if length_col and length_col in docs.columns:
         new[length_col] = F.length(m["clean_text"]).cast(docs.schema[length_col].dataType)
-    kept = docs.withColumn(hold, _measures(text)).filter(keep)
+    # Exploding the one struct keeps it a column: filter and new text read it, neither computes it again.
+    kept = docs.select("*", F.explode(F.array(_measures(text))).alias(hold)).filter(keep)
     return kept.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])

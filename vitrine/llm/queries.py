@@ -77,7 +77,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(table(spark, sf_dir, "documents")) \
-        .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        .select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

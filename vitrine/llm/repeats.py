@@ -306,7 +306,7 @@ def _spans(marks: DataFrame, found: DataFrame, parts: int, length: int) -> DataF
 
 def _removed(rows: DataFrame, length: int) -> DataFrame:
     """Applies the spans to rows (doc_id, text, copies, starts, ends); copies > 1 removes the whole text."""
-    schema = ("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
+    schema = ("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string, "
               "starts array<bigint>, ends array<bigint>")
 
     def run(batches):
@@ -317,14 +317,11 @@ def _removed(rows: DataFrame, length: int) -> DataFrame:
                 if copies and copies > 1 and len(data) >= length:
                     starts, ends = [0], [len(data)]
                 starts, ends = starts or [], ends or []
-                digest, at = hashlib.sha256(), 0
-                for s, e in zip(starts, ends):
-                    digest.update(data[at:s])
-                    at = e
-                digest.update(data[at:])
-                out.append((doc_id, len(data), sum(ends) - sum(starts), len(starts), digest.hexdigest(), starts, ends))
+                kept = b"".join(data[s:e] for s, e in zip([0, *ends], [*starts, len(data)]))
+                out.append((doc_id, len(data), sum(ends) - sum(starts), len(starts), hashlib.sha256(kept).hexdigest(),
+                            kept.decode("utf-8", "ignore"), starts, ends))
             spans = pa.list_(pa.int64())
-            kinds = (pa.int64(),) * 4 + (pa.string(), spans, spans)
+            kinds = (pa.int64(),) * 4 + (pa.string(), pa.string(), spans, spans)
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
                                              [x.strip().split()[0] for x in schema.split(", ")])
 
@@ -332,9 +329,10 @@ def _removed(rows: DataFrame, length: int) -> DataFrame:
 
 
 def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends) per row of ``docs`` (doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, starts, ends) per row of ``docs`` (doc_id, text).
 
-    ``starts`` and ``ends`` are the removed stretches in bytes.
+    ``starts`` and ``ends`` are the removed stretches in bytes.  ``kept_text``
+    is the remaining bytes as text, without the rest of a character cut in two.
     """
     rows = id_text(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_key", F.xxhash64("text"))
     texts = rows.select("text_key", "text").filter(F.octet_length("text") >= length)
@@ -357,5 +355,5 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rest = bloom.held(rows, "text_key", touched, negate=True).select(
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"),
         F.lit(0).cast("bigint").alias("n_spans"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"),
-        F.array().cast("array<bigint>").alias("starts"), F.array().cast("array<bigint>").alias("ends"))
+        F.col("text").alias("kept_text"), F.array().cast("array<bigint>").alias("starts"), F.array().cast("array<bigint>").alias("ends"))
     return _removed(hit, length).union(rest)
