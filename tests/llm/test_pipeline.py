@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import corpus_pipeline  # noqa: E402
 import test_decontaminate  # noqa: E402
 import test_jaccard_join  # noqa: E402
-import test_quality  # noqa: E402
+import test_quality_rules  # noqa: E402
 import test_secret_scan  # noqa: E402
 from vitrine.llm.tokens import ByteEncoder  # noqa: E402
 
