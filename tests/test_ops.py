@@ -53,15 +53,29 @@ def test_date_windows(spark):
     assert sorted({(r.window_start, r.window_end) for r in a.collect()}) == w
 
 
-def test_cumulative_counts_span_partitions_for_a_hot_group(spark):
-    from pyspark.sql import functions as F
-    rows = [("hot", float(i % 500)) for i in range(5000)] + [("cold", float(i)) for i in range(7)]
+def test_percentile_of_hot_groups_negative_and_fractional_values(spark):
+    rnd = random.Random(9)
+    rows = [("hot", rnd.choice([float(i % 500), -3.25, 5e4 + rnd.random()])) for i in range(5000)]
+    rows += [("cold", float(i)) for i in range(7)] + [(None, 1.5), (None, 0.5), ("one", 4096.0)]
     df = spark.createDataFrame(rows, "g string, x double")
-    h = ops.cumulative_counts(df, ["g"], "x", partitions=6)
-    got = {(r.g, r.x): (r.cum, r.total) for r in h.collect()}
-    assert got[("hot", 0.0)] == (10, 5000) and got[("hot", 499.0)] == (5000, 5000)
-    assert got[("hot", 250.0)] == (2510, 5000) and got[("cold", 6.0)] == (7, 7)
-    assert h.where(F.col("g") == "hot").count() == 500
+    for p in (1, 50, 95, 100):
+        got = {r.g: r[f"p{p}"] for r in ops.exact_percentile(df, ["g"], "x", p).collect()}
+        for g in ("hot", "cold", None, "one"):
+            xs = np.array([x for gg, x in rows if gg == g])
+            assert got[g] == float(np.percentile(xs, p, method="inverted_cdf")), (g, p)
+
+
+def test_percentiles_do_not_depend_on_exchange_reuse(spark):
+    from vitrine.sources import bindings as B
+    runs = B.Warehouse(spark, "/root/testdata/sf0.01").raw("sys_task_runs")
+    found = []
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            found.append((sorted(map(tuple, ops.p95_duration(runs).collect())), ops.latency_summary(runs).collect()))
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+    assert found[0] == found[1] and len(found[0][0]) > 8000
 
 
 def test_hold_for_segments_equal_a_single_scan(spark):

@@ -22,7 +22,7 @@ def _raw(spark, drop_day=None):
 
 
 def _rows(spark, root):
-    df = K.read_table(spark, root)
+    df = K.read_upserted(spark, root) if root.endswith("dim_product") else K.read_table(spark, root)
     return sorted(tuple(str(v) for v in r) for r in df.select(sorted(df.columns)).collect())
 
 

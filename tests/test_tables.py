@@ -1,7 +1,6 @@
 """K1/K4/K5 on real Parquet directories: rebuilds are repeatable and an emptied day disappears."""
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from vitrine.sources import tables as K
@@ -37,8 +36,8 @@ def test_windowed_replace_is_repeatable_and_drops_emptied_days(spark, tmp_root):
     K.windowed_replace(spark, tmp_root, new, cutoff)
     assert snapshot(spark, tmp_root) == first == [(D, "a", 1), (D + dt.timedelta(days=1), "b", 2),
                                                   (D + dt.timedelta(days=2), "c", 30)]
-    gone = K.vacuum(spark, tmp_root)
-    assert gone and snapshot(spark, tmp_root) == first
+    K.vacuum(spark, tmp_root, older_than_hours=0)
+    assert snapshot(spark, tmp_root) == first
 
 
 def test_retention_drops_whole_days(spark, tmp_root):
@@ -81,11 +80,12 @@ def test_dim_product_upsert_keeps_newest(spark):
 def test_failed_attempt_leftovers_do_not_block_a_retry(spark, tmp_root):
     import os
     K.append(spark, tmp_root, rows(spark, [(0, "a", 1)]))
-    # an uncommitted directory left by a crashed attempt of the next version
-    os.makedirs(os.path.join(tmp_root, "table_version=2-deadbeef0000", "day=2026-03-01"))
+    left = os.path.join(tmp_root, ".spark-staging-deadbeef", "write_batch=window", "day=2026-03-01")
+    os.makedirs(left)
     K.append(spark, tmp_root, rows(spark, [(0, "b", 2)]))
     assert snapshot(spark, tmp_root) == [(D, "a", 1), (D, "b", 2)]
-    assert "table_version=2-deadbeef0000" in K.vacuum(spark, tmp_root)
+    assert K.vacuum(spark, tmp_root) == [] and os.path.isdir(left)  # may still be at work
+    assert K.vacuum(spark, tmp_root, older_than_hours=0) == [".spark-staging-deadbeef"]
 
 
 def test_alert_sink(spark, tmp_root):
@@ -133,13 +133,53 @@ def test_streams_keep_their_own_epochs(spark, tmp_root):
     assert len(snapshot(spark, tmp_root)) == 3
 
 
-def test_broken_commit_and_second_writer(spark, tmp_root):
-    K.append(spark, tmp_root, rows(spark, [(0, "a", 1)]))
-    fs = K._FS(spark, tmp_root)
-    stale = K._manifest(fs)
-    fs.create_text("_manifest/00000002.json", "{\"days\": ")  # a writer died half-way
-    assert [r[1] for r in snapshot(spark, tmp_root)] == ["a"]
-    K.append(spark, tmp_root, rows(spark, [(0, "b", 2)]))
-    assert [r[1] for r in snapshot(spark, tmp_root)] == ["a", "b"]
-    with pytest.raises(K.ConcurrentWrite):
-        K._commit(fs, stale)
+def test_epoch_whose_first_attempt_died_is_written_again(spark, tmp_root):
+    import os
+    K.append(spark, tmp_root, rows(spark, [(0, "a", 1), (1, "b", 2)]), batch_id=("s", 4))
+    os.remove(os.path.join(tmp_root, "write_batch=s-s-000000000004", "_committed"))
+    assert K.append(spark, tmp_root, rows(spark, [(0, "a", 1), (1, "b", 2)]), batch_id=("s", 4)) == 2
+    assert len(snapshot(spark, tmp_root)) == 2
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_root):
+    from concurrent.futures import ThreadPoolExecutor
+    K.append(spark, tmp_root, rows(spark, [(0, "a", 0)]))
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda i: K.append(spark, tmp_root, rows(spark, [(0, f"k{i}", i), (1, f"k{i}", i)])), range(6)))
+    assert len(snapshot(spark, tmp_root)) == 13
+
+
+def test_append_during_a_replace_stays(spark, tmp_root, monkeypatch):
+    K.append(spark, tmp_root, rows(spark, [(2, "a", 1), (3, "gone", 2)]))
+    write = K._write
+
+    def write_and_append(df, *args):
+        write(df, *args)
+        monkeypatch.setattr(K, "_write", write)
+        K.append(spark, tmp_root, rows(spark, [(2, "meanwhile", 3)]))
+
+    monkeypatch.setattr(K, "_write", write_and_append)
+    K.windowed_replace(spark, tmp_root, rows(spark, [(2, "a", 10)]), D + dt.timedelta(days=1))
+    assert [r[1:] for r in snapshot(spark, tmp_root)] == [("a", 10), ("meanwhile", 3)]
+
+
+def test_replace_counts_while_writing(spark, tmp_root):
+    new = rows(spark, [(5, "a", 1), (6, "b", 2), (0, "early", 3)])
+    assert K.windowed_replace(spark, tmp_root, new, D + dt.timedelta(days=4)) == 2
+
+
+def test_upsert_rewrites_only_touched_buckets(spark, tmp_root):
+    import glob
+    t = [dt.datetime(2026, 3, d) for d in (1, 2, 3)]
+    schema = "k string, v string, updated_at timestamp_ntz"
+    make = lambda *r: spark.createDataFrame(list(r), schema)
+    assert K.read_upserted(spark, tmp_root) is None
+    K.upsert(spark, tmp_root, make(*[(f"k{i}", "old", t[1]) for i in range(40)]), ("k",), "updated_at", buckets=8)
+    before = set(glob.glob(f"{tmp_root}/*/*.parquet"))
+    new = make(("k1", "new", t[2]), ("k1", "older", t[0]), ("k2", "stale", t[0]), ("k3", "same time", t[1]))
+    written = K.upsert(spark, tmp_root, new, ("k",), "updated_at", buckets=8)
+    got = {r.k: r.v for r in K.read_upserted(spark, tmp_root).collect()}
+    assert len(got) == 40 and (got["k1"], got["k2"], got["k3"], got["k4"]) == ("new", "old", "same time", "old")
+    kept = {f.rsplit("/", 2)[1] for f in before & set(glob.glob(f"{tmp_root}/*/*.parquet"))}
+    assert written <= 3 and len(kept) == len({f.rsplit("/", 2)[1] for f in before}) - written
+    assert K.upsert(spark, tmp_root, new.limit(0), ("k",), "updated_at", buckets=8) == 0

@@ -63,36 +63,54 @@ def runs_by_status(runs: DataFrame, length: str = "1 hour") -> DataFrame:
     return w.select(F.col("w.start").alias("window_start"), "task_name", "status", "runs")
 
 
-def cumulative_counts(df: DataFrame, group: list[str], value: str, partitions: int | None = None) -> DataFrame:
-    """Per (group, value): ``n`` rows, the running count ``cum`` in value order
-    and the group's ``total`` — without ever placing a whole group in one task.
-
-    Counts per (group, value) are combined map-side; the histogram is then
-    range-partitioned on (group, value), so a group holding a third of all
-    rows spans many partitions.  Each partition computes its local running
-    counts, and a per-(partition, group) total table (partitions × groups rows)
-    supplies the offset of every partition: ``cum = offset + local``.
-    """
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Null-safe equality on equally named columns of two aliased frames (h, t)."""
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(f"h.`{c}`").eqNullSafe(F.col(f"t.`{c}`"))
+    return on
+
+
+def rank_targets(df: DataFrame, group: list[str], p_pct: int) -> DataFrame:
+    """(group, total, need): rows of each group and the rank of its discrete percentile."""
+    need = F.floor((F.col("total") * p_pct + 99) / 100)  # ceil(total * p / 100) in integers
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("total")).withColumn("need", need)
+
+
+def value_at_rank(df: DataFrame, group: list[str], value: str, targets: DataFrame, out: str,
+                  widths: tuple[float, ...] = (4096.0, 64.0, 1.0)) -> DataFrame:
+    """(group, out): the smallest value whose running count reaches the group's ``need``.
+
+    Weighted selection by value buckets, coarse to fine: rows are counted by
+    (group, bucket) with map-side combine, a prefix sum over a group's buckets
+    finds the one that holds the rank, and only rows of that bucket go on.  The
+    last step sorts the distinct values of one finest bucket.  No step depends
+    on how rows lie in partitions, and none sees more of a group than its
+    buckets or one bucket's distinct values."""
     hist = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    r = hist.repartitionByRange(n_parts, *group, value).withColumn("pid", F.spark_partition_id())
-    local = Window.partitionBy("pid", *group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("local_cum", F.sum("n").over(local))
-    part = r.groupBy("pid", *group).agg(F.sum("n").alias("part_n"))
-    before = Window.partitionBy(*group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.select("pid", *group, F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("offset"),
-                          F.sum("part_n").over(Window.partitionBy(*group)).alias("total"))
-    j = r.join(offsets, on=["pid", *group])
-    return j.select(*group, value, "n", (F.col("offset") + F.col("local_cum")).alias("cum"), "total")
+    found = targets.select(*group, "need", F.lit(0).cast("bigint").alias("before"))
+    inside: list[str] = []
+    for level, width in enumerate([*widths, None]):
+        bucket = value if width is None else f"bucket_{level}"
+        if width is not None:
+            hist = hist.withColumn(bucket, F.floor(F.col(value) / width))
+        mine = hist.alias("h").join(found.alias("t"), _same(hist, found, [*group, *inside])) \
+            .select("h.*", "t.need", "t.before")
+        keys = [*group, *inside]
+        counts = mine.groupBy(*keys, bucket, "need", "before").agg(F.sum("n").alias("n"))
+        running = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("cum", F.col("before") + F.sum("n").over(running))
+        first = Window.partitionBy(*keys).orderBy(bucket)
+        at = counts.where(F.col("cum") >= F.col("need")).withColumn("place", F.row_number().over(first)).where("place = 1")
+        found = at.select(*keys, bucket, "need", (F.col("cum") - F.col("n")).alias("before"))
+        inside.append(bucket)
+    return found.select(*group, F.col(value).alias(out))
 
 
 def exact_percentile(df: DataFrame, group: list[str], value: str, p_pct: int) -> DataFrame:
     """Exact discrete percentile (the smallest value whose cumulative share
-    reaches ``p_pct`` %) per group, from ``cumulative_counts``."""
-    h = cumulative_counts(df, group, value)
-    need = F.floor((F.col("total") * p_pct + 99) / 100)  # ceil(total · p / 100) in integers
-    return h.where(F.col("cum") >= need).groupBy(*group).agg(F.min(value).alias(f"p{p_pct}"))
+    reaches ``p_pct`` %) per group."""
+    return value_at_rank(df, group, value, rank_targets(df, group, p_pct), f"p{p_pct}")
 
 
 def p95_duration(runs: DataFrame, length: str = "15 minutes") -> DataFrame:
@@ -159,19 +177,20 @@ def rows_ingested(runs: DataFrame) -> DataFrame:
 
 def latency_summary(runs: DataFrame) -> DataFrame:
     """p50, p95 and max duration and the run rate (runs per second of span),
-    in one row: one aggregate over the duration histogram stacked with the
-    run-span row (no join)."""
+    in one row: one aggregate over the percentiles stacked with the run span
+    (no join)."""
     d = runs.select(F.lit(1).alias("g"), duration_seconds().alias("duration"))
-    h = cumulative_counts(d, ["g"], "duration")
-    need = lambda pct: F.floor((F.col("total") * pct + 99) / 100)
-    stats = h.select(F.when(F.col("cum") >= need(50), F.col("duration")).alias("c50"),
-                     F.when(F.col("cum") >= need(95), F.col("duration")).alias("c95"),
-                     F.col("duration"), F.col("total"),
-                     F.lit(None).cast("timestamp_ntz").alias("started_at"),
-                     F.lit(None).cast("timestamp_ntz").alias("finished_at"))
-    span = runs.select(F.lit(None).cast("double").alias("c50"), F.lit(None).cast("double").alias("c95"),
-                       F.lit(None).cast("double").alias("duration"), F.lit(None).cast("bigint").alias("total"),
-                       F.col("started_at").cast("timestamp_ntz"), F.col("finished_at").cast("timestamp_ntz"))
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (
+        ("c50", "double"), ("c95", "double"), ("duration", "double"), ("total", "bigint"),
+        ("started_at", "timestamp_ntz"), ("finished_at", "timestamp_ntz"))}
+
+    def row(df: DataFrame, **given) -> DataFrame:
+        return df.select(*[given[c].alias(c) if c in given else none[c] for c in none])
+
+    stats = row(exact_percentile(d, ["g"], "duration", 50), c50=F.col("p50")) \
+        .unionByName(row(exact_percentile(d, ["g"], "duration", 95), c95=F.col("p95"))) \
+        .unionByName(row(d.agg(F.max("duration").alias("m"), F.count(F.lit(1)).alias("k")).where("k > 0"), duration=F.col("m"), total=F.col("k")))
+    span = row(runs, started_at=F.col("started_at").cast("timestamp_ntz"), finished_at=F.col("finished_at").cast("timestamp_ntz"))
     agg = stats.unionByName(span).agg(
         F.max("total").alias("runs"), F.min("c50").alias("p50"), F.min("c95").alias("p95"),
         F.max("duration").alias("max_duration"),

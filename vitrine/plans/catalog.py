@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from vitrine.operators import reads
 from vitrine.plans import oracle as O
 from vitrine.plans.stages import AS_OF, Stages
+from vitrine.sources import bindings as B
 
 
 @dataclass
@@ -140,9 +141,11 @@ def t10_t11(p: Stages) -> DataFrame:
 
 # ===================================================================== marts
 
-@register("m1_mrt_sales_daily",
-          "SELECT day, marketplace, account_id, product_id, qty, CAST(revenue AS DOUBLE) AS revenue, "
-          "CAST(payout AS DOUBLE) AS payout, returns_qty, updated_at FROM mrt_sales")
+_M1_SQL = ("SELECT day, marketplace, account_id, product_id, qty, CAST(revenue AS DOUBLE) AS revenue, "
+           "CAST(payout AS DOUBLE) AS payout, returns_qty, updated_at FROM mrt_sales")
+
+
+@register("m1_mrt_sales_daily", _M1_SQL)
 def m1(p: Stages) -> DataFrame:
     return p.mrt_sales
 
@@ -823,12 +826,17 @@ def p4(p: Stages) -> DataFrame:
 _CURSOR_SOURCE = "purchase"  # the bound cursor history's source used as the sales cursor
 
 
+_NEW_ACCOUNT = "acc4"  # has sales, but its cursor is not in the history that is read
+
+
 @register("w1_w2_sales_since_cursor",
-          f"WITH cur AS (SELECT account_id, COALESCE(watermark_ts, TIMESTAMP '2024-01-29 00:00:00') AS cursor FROM ("
+          f"WITH known AS (SELECT account_id, watermark_ts FROM ("
           f"SELECT *, ROW_NUMBER() OVER (PARTITION BY source, account_id ORDER BY updated_at DESC, watermark_ts DESC) "
-          f"AS rn FROM sys_watermarks WHERE source = '{_CURSOR_SOURCE}') WHERE rn = 1), "
+          f"AS rn FROM sys_watermarks WHERE source = '{_CURSOR_SOURCE}' AND account_id <> '{_NEW_ACCOUNT}') WHERE rn = 1), "
           f"s AS (SELECT 'acc' || CAST(l_orderkey % 5 AS VARCHAR) AS account_id, {_LI_SHIFT} AS last_change_ts "
-          f"FROM lineitem) "
+          f"FROM lineitem), "
+          f"cur AS (SELECT account_id, COALESCE(watermark_ts, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 48 HOUR) AS cursor "
+          f"FROM (SELECT DISTINCT account_id FROM s) LEFT JOIN known USING (account_id)) "
           f"SELECT s.account_id, count(*) AS rows, max(s.last_change_ts) AS new_cursor "
           f"FROM s JOIN cur ON s.account_id = cur.account_id WHERE s.last_change_ts > cur.cursor GROUP BY s.account_id")
 def w1_w2(p: Stages) -> DataFrame:
@@ -839,8 +847,8 @@ def w1_w2(p: Stages) -> DataFrame:
     li = p.table("lineitem")
     accounts = li.select(F.lit(_CURSOR_SOURCE).alias("source"),
                          F.concat(F.lit("acc"), (F.col("l_orderkey") % 5).cast("string")).alias("account_id"))
-    cur = K.read_cursor(p.watermarks.where(F.col("source") == _CURSOR_SOURCE), now, accounts=accounts) \
-        .select("account_id", "cursor")
+    history = p.watermarks.where((F.col("source") == _CURSOR_SOURCE) & (F.col("account_id") != _NEW_ACCOUNT))
+    cur = K.read_cursor(history, now, accounts=accounts).select("account_id", "cursor")
     sales = normalize.wb_sales(_recs(landing.wb_sales_pages(li)), _RUN, _ACC)
     # the landed pages carry no account; it is the binding's rule on the order key in srid
     acct = F.concat(F.lit("acc"), (F.split("srid", "-").getItem(0).cast("bigint") % 5).cast("string"))
@@ -914,6 +922,83 @@ def k4_k5(p: Stages) -> DataFrame:
     return K.read_table(p.spark, root).drop("meta_json")
 
 
+_STORED_DAYS = 30  # the window that is rebuilt
+_STORED_FROM = AS_OF - dt.timedelta(days=_STORED_DAYS)
+_ORDERS = {"raw_wb_sales": B.WB_SALES_ORDER, "raw_wb_orders": B.WB_ORDERS_ORDER,
+           "raw_ozon_posting_items": B.OZON_ITEMS_ORDER}
+
+
+def _stored_sales(p: Stages, root: str) -> None:
+    """stg_sales stored by two rebuilds: a week earlier, when a part of the items had
+    not landed yet, and on the reporting date, which merges them into their days."""
+    from vitrine.plans import rebuild
+    raw = {n: p.raw(n) for n in ("raw_wb_sales", "raw_ozon_posting_items", "raw_ozon_postings", "raw_wb_orders",
+                                 "raw_wb_stocks", "raw_ozon_stocks", "raw_wb_funnel_daily", "raw_ozon_ads_daily",
+                                 "raw_ozon_finance_ops")}
+    landed = F.pmod(F.xxhash64("posting_number"), F.lit(7)) != 0
+    early = {**raw, "raw_ozon_posting_items": raw["raw_ozon_posting_items"].where(landed)}
+    for rows, as_of in ((early, AS_OF - dt.timedelta(days=7)), (raw, AS_OF)):
+        rebuild.rebuild_staging(p.spark, rows, root, as_of, _STORED_DAYS, p.run_ts, B.INGEST_AFTER_EVENT, _ORDERS, ("stg_sales",))
+
+
+# What a rebuild of the window reads: channel sales by their day, posting items by their ingest day.
+_STORED_SALES_SQL = (f"SELECT * FROM stg_sales WHERE COALESCE(CAST(day AS DATE), CAST(ingested_at AS DATE)) >= {_sqld(_STORED_FROM)} "
+                     f"AND (marketplace <> 'ozon' OR CAST(ingested_at AS DATE) >= {_sqld(_STORED_FROM)})")
+
+
+@register("t14_stored_stg_sales", f"SELECT {_STG_SALES_SQL} FROM ({_STORED_SALES_SQL})")
+def t14(p: Stages) -> DataFrame:
+    """T14 + K4 on a real table: the window's stored rows equal the lazy plan's,
+    after an earlier rebuild that lacked late items."""
+    from vitrine.plans import rebuild
+    from vitrine.sources import tables as K
+    root, _ = _stream_dirs(p.spark, "t14")
+    _stored_sales(p, root)
+    rows = K.read_table(p.spark, f"{root}/stg_sales", day_from=_STORED_FROM)
+    return _drop_meta(rows.drop(rebuild.PART))
+
+
+@register("m5_stored_mrt_sales",
+          f"WITH stored AS ({_STORED_SALES_SQL}), mart AS ({O.CTES['mrt_sales'].replace('FROM stg_sales', 'FROM stored')}) "
+          f"{_M1_SQL.replace('FROM mrt_sales', 'FROM mart')} WHERE day >= {_sqld(_STORED_FROM)}")
+def m5(p: Stages) -> DataFrame:
+    """M5 + K4: the sales mart built from stored staging, over a mart that an
+    earlier run and a run without any staging rows have left."""
+    from vitrine.plans import rebuild
+    from vitrine.sources import tables as K
+    root, _ = _stream_dirs(p.spark, "m5")
+    _stored_sales(p, f"{root}/stg")
+    mart = ("mrt_sales_daily",)
+    rebuild.rebuild_marts(p.spark, f"{root}/stg", f"{root}/mrt", AS_OF - dt.timedelta(days=3), _STORED_DAYS, p.run_ts, mart)
+    rebuild.rebuild_marts(p.spark, f"{root}/none", f"{root}/mrt", AS_OF, _STORED_DAYS, p.run_ts, mart)  # empties it
+    rebuild.rebuild_marts(p.spark, f"{root}/stg", f"{root}/mrt", AS_OF, _STORED_DAYS, p.run_ts, mart)
+    return K.read_table(p.spark, f"{root}/mrt/mrt_sales_daily", day_from=_STORED_FROM)
+
+
+_DIM_NEW = "marketplace = 'ozon' OR nm_id % 2 = 0"
+
+
+@register("k7_dim_product_upsert",
+          f"WITH old AS (SELECT * REPLACE ('before' AS title, updated_at - INTERVAL 1 DAY AS updated_at) FROM dim_product), "
+          f"new AS (SELECT * FROM dim_product WHERE {_DIM_NEW}) "
+          f"SELECT * FROM new UNION ALL SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n "
+          f"WHERE n.marketplace = o.marketplace AND n.account_id = o.account_id AND n.product_id = o.product_id) "
+          f"UNION ALL SELECT * REPLACE (product_id || '-gone' AS product_id) FROM old")
+def k7(p: Stages) -> DataFrame:
+    """K7: products of both channels upserted into an existing dimension that
+    holds older rows of them and products that are gone; stale rows change nothing."""
+    from vitrine.plans import rebuild
+    from vitrine.sources import tables as K
+    root, _ = _stream_dirs(p.spark, "k7")
+    now, key = p.dim_product, rebuild.DIM_KEY
+    old = now.withColumns({"title": F.lit("before"), "updated_at": F.col("updated_at") - F.expr("INTERVAL 1 DAY")})
+    K.upsert(p.spark, root, old.unionByName(old.withColumn("product_id", F.concat("product_id", F.lit("-gone")))), key, "updated_at")
+    K.upsert(p.spark, root, now.where(_DIM_NEW), key, "updated_at")
+    stale = now.withColumns({"title": F.lit("stale"), "updated_at": F.col("updated_at") - F.expr("INTERVAL 9 DAYS")})
+    K.upsert(p.spark, root, stale, key, "updated_at")
+    return K.read_upserted(p.spark, root, now.schema)
+
+
 # ============================================================= W6–W8 ranges
 
 @register("w7_ads_target_day",

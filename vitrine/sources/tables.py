@@ -1,50 +1,54 @@
-"""K1–K7: tables on plain Parquet with a per-day manifest.
+"""K1–K7: tables on plain Parquet, written by Spark's dynamic partition overwrite.
 
 Layout of a table root::
 
-    <root>/table_version=<n>-<attempt>/day=<yyyy-mm-dd>/*.parquet   data of version n
-    <root>/_manifest/<n>.json                      day → list of data directories
-
-The live manifest is the newest complete one, and readers read exactly the day
-directories that it lists.  A commit creates the next number's file and fails
-if another writer has created it meanwhile; nothing is deleted or renamed, so a
-job that dies at any point leaves the previous version live (a manifest that is
-not whole is passed over).  Operations:
-
-* K1 ``append`` — new day directories are added to the manifest;
-* K4 ``windowed_replace`` — days ``>= cutoff`` are replaced by the new rows;
-  a day with no new rows disappears (plain dynamic partition overwrite would
-  keep it);
-* K5 ``retain`` — days below the cutoff leave the manifest (no data rewrite);
-* ``vacuum`` — removes version directories no manifest references.
-
-Only the manifest (a list of day names) passes through the driver; all row
-data is written by the executors.  File IO goes through Hadoop's FileSystem
-API, so the same code works on local disk, HDFS or object stores.
+    <root>/write_batch=<name>/<day column>=<yyyy-mm-dd>/*.parquet
+
+Every write stages its files in a folder of its own and moves whole partitions
+into place when its job commits; nothing else is kept about a table, so there is
+no state that two writers could overwrite in each other.
+
+* K1 ``append`` — a batch of its own (a stream's epoch, or a fresh name), so
+  appends that run at the same time never touch the same partition, and a
+  retried epoch replaces what its first attempt has left;
+* K4 ``windowed_replace`` — the window's days are overwritten in the batch
+  ``window``; days that came out empty and the window's appended partitions that
+  stood there before are then dropped by name (a batch appended meanwhile stays);
+* K5 ``retain`` — days below the cutoff are dropped, no data is rewritten;
+* K7 ``upsert`` — a table partitioned by a hash of its key, of which only the
+  buckets that hold a new row are rewritten;
+* ``vacuum`` — removes what jobs that died have left, and empty batches.
+
+A replace that dies between commit and drop leaves days too many, never too
+few; running it again ends it.  Readers prune by day as by any partition column.
+Only partition names pass through the driver.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.operators.latest import latest_wins
 
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # Spark's directory name for a null day
-VERSION_KEY = "table_version"  # directory key of a write version (never a data column)
+BATCH = "write_batch"
+WINDOW = "window"       # the batch of windowed replaces
+BUCKET = "key_bucket"
+DONE = "_committed"     # in a stream epoch's folder, once it is whole
 
 
 class _FS:
+    """A folder through Hadoop's FileSystem: local disk, HDFS and object stores alike."""
+
     def __init__(self, spark: SparkSession, root: str):
-        jvm = spark.sparkContext._jvm
-        self.jvm = jvm
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm = spark.sparkContext._jvm
         self.root = root.rstrip("/")
-        self.path = jvm.org.apache.hadoop.fs.Path(self.root)
-        self.fs = self.path.getFileSystem(self.conf)
+        self.path = self.jvm.org.apache.hadoop.fs.Path(self.root)
+        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def p(self, rel: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rel}")
@@ -55,140 +59,85 @@ class _FS:
     def read_text(self, rel: str) -> str:
         stream = self.fs.open(self.p(rel))
         try:
-            reader = self.jvm.java.io.BufferedReader(self.jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            lines = []
-            line = reader.readLine()
-            while line is not None:
-                lines.append(line)
-                line = reader.readLine()
-            return "\n".join(lines)
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
         finally:
             stream.close()
 
-    def create_text(self, rel: str, text: str) -> None:
-        """Write a file that must not exist yet."""
-        out = self.fs.create(self.p(rel), False)
-        try:
-            out.write(bytearray(text.encode("utf-8")))
-        finally:
-            out.close()
+    def touch(self, rel: str) -> None:
+        self.fs.create(self.p(rel), True).close()
 
-    def list_files(self, rel: str) -> list[str]:
-        if not self.fs.exists(self.p(rel)):
-            return []
-        return [s.getPath().getName() for s in self.fs.listStatus(self.p(rel)) if s.isFile()]
+    def glob(self, pattern: str) -> list:
+        return list(self.fs.globStatus(self.p(pattern)) or [])
 
-    def list_dirs(self, rel: str = "") -> list[str]:
-        base = self.p(rel) if rel else self.path
-        if not self.fs.exists(base):
-            return []
-        return [s.getPath().getName() for s in self.fs.listStatus(base) if s.isDirectory()]
+    def names(self, pattern: str) -> list[str]:
+        return [x.getPath().getName() for x in self.glob(pattern)]
 
     def delete(self, rel: str) -> None:
         self.fs.delete(self.p(rel), True)
 
 
-class ConcurrentWrite(RuntimeError):
-    """Another writer has committed to the table since this one read it."""
-
+def _partitions(fs: _FS) -> list[tuple[str, str]]:
+    """(batch folder, day folder) of every partition."""
+    return [(x.getPath().getParent().getName(), x.getPath().getName())
+            for x in fs.glob(f"{BATCH}=*/*=*") if x.isDirectory()]
 
-def _versions(fs: _FS) -> list[int]:
-    return sorted(int(n[:-5]) for n in fs.list_files("_manifest") if n.endswith(".json") and n[:-5].isdigit())
 
+def _day(folder: str) -> dt.date | None:
+    """A day folder's date; None for rows without a day."""
+    value = folder.split("=", 1)[1]
+    return None if value == NO_DAY else dt.date.fromisoformat(value)
 
-def _manifest(fs: _FS) -> dict:
-    """The newest complete manifest; ``next`` is the number of the one to commit."""
-    versions = _versions(fs)
-    after = versions[-1] + 1 if versions else 1
-    for v in reversed(versions):
-        try:
-            return {**json.loads(fs.read_text(f"_manifest/{v:08d}.json")), "next": after}
-        except ValueError:  # its writer died half-way
-            continue
-    return {"version": 0, "days": {}, "streams": {}, "next": after}
-
-
-def _commit(fs: _FS, manifest: dict) -> None:
-    v = manifest.pop("next")
-    try:
-        fs.create_text(f"_manifest/{v:08d}.json", json.dumps({**manifest, "version": v}, sort_keys=True))
-    except Exception as e:  # py4j wraps the file system's error
-        if "exist" in str(e).lower():
-            raise ConcurrentWrite(f"version {v} of {fs.root} was committed by another writer") from e
-        raise
 
-
-def _date(day: str) -> dt.date | None:
-    """A day directory's date; None for rows without a day."""
-    return None if day == NO_DAY else dt.date.fromisoformat(day)
+def _files(fs: _FS, parts: list[tuple[str, str]]) -> dict[tuple[str, str], frozenset[str]]:
+    """The file names of partitions; every write gives its files new names."""
+    return {p: frozenset(fs.names(f"{p[0]}/{p[1]}/*")) for p in parts}
 
 
 def read_table(spark: SparkSession, root: str, schema=None, day_from: dt.date | None = None,
                day_to: dt.date | None = None) -> DataFrame | None:
-    """The live rows (``day`` as a date column), or None for an empty table.
+    """The rows (the day column as a date), or None for an empty table.
 
-    ``day_from`` / ``day_to`` prune whole day directories from the manifest
-    before any file is listed (partition pruning without a metastore)."""
+    ``day_from`` / ``day_to`` are conditions on the partition column, so days
+    outside are not read; rows without a day are outside every range."""
     fs = _FS(spark, root)
-    m = _manifest(fs)
-
-    def keep(day: str) -> bool:
-        d = _date(day)
-        if d is None:  # rows without a day are outside every range
-            return day_from is None and day_to is None
-        return (day_from is None or d >= day_from) and (day_to is None or d <= day_to)
+    parts = _partitions(fs)
+    if not parts:
+        return None
+    day_col = parts[0][1].split("=", 1)[0]
+    r = spark.read if schema is None else spark.read.schema(schema)
+    df = r.parquet(fs.root).drop(BATCH).withColumn(day_col, F.col(day_col).cast("date"))
+    if day_from is not None:
+        df = df.where(F.col(day_col) >= F.lit(day_from))
+    return df if day_to is None else df.where(F.col(day_col) <= F.lit(day_to))
 
-    return _read_dirs(spark, fs, [d for day, dirs in m["days"].items() if keep(day) for d in dirs], schema)
 
-
-def _read_dirs(spark: SparkSession, fs: _FS, dirs: list[str], schema=None) -> DataFrame | None:
-    paths = [f"{fs.root}/{d}" for d in dirs]
-    if not paths:
-        return None
-    r = spark.read.option("basePath", fs.root)
-    if schema is not None:
-        r = r.schema(schema)
-    df = r.parquet(*paths).drop(VERSION_KEY)
-    return df.withColumn("day", F.col("day").cast("date")) if "day" in df.columns else df
-
-
-def _write_version(df: DataFrame, fs: _FS, version: int, day_col: str,
-                   sort_by: tuple[str, ...] = ()) -> tuple[str, list[str], int]:
-    """Write rows partitioned by day into a fresh ``table_version=<n>-<attempt>``
-    directory; returns (directory, days, rows).  Each attempt writes its own
-    directory, so a retry after a failed job never collides with the
-    uncommitted leftovers (``vacuum`` removes them).  Files are sorted by day
-    and then ``sort_by`` (the table's key) for row-group skipping."""
-    vdir = f"{VERSION_KEY}={version}-{uuid.uuid4().hex[:12]}"
-    # REBALANCE by day: AQE sizes the write tasks and splits a hot day across
-    # several tasks (and files) instead of sending it to one
-    (df.hint("rebalance", day_col).sortWithinPartitions(day_col, *sort_by)
-     .write.mode("errorifexists").partitionBy(day_col).parquet(f"{fs.root}/{vdir}"))
-    days = [d.split("=", 1)[1] for d in fs.list_dirs(vdir) if d.startswith(f"{day_col}=")]
-    # rows actually committed, from the Parquet footers (no data is scanned)
-    rows = df.sparkSession.read.parquet(f"{fs.root}/{vdir}").count() if days else 0
-    return vdir, days, rows
+def _write(df: DataFrame, root: str, parts: list[str], sort_by: tuple[str, ...] = ()) -> None:
+    """Replace the partitions that ``df`` has rows for.  REBALANCE: AQE splits a
+    hot day over several tasks; files are sorted by the table's key."""
+    (df.hint("rebalance", parts[-1]).sortWithinPartitions(parts[-1], *sort_by)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(root))
 
 
 def append(spark: SparkSession, root: str, df: DataFrame, day_col: str = "day",
            batch_id: tuple[str, int] | None = None) -> int:
     """K1: append rows (any day); returns the committed row count (from the file footers).
 
-    With ``batch_id`` = (stream, epoch) an epoch at or below the stream's last
-    committed one is skipped, so a retried micro-batch is not appended twice.
-    The manifest holds one number per stream, whatever the number of batches."""
+    With ``batch_id`` = (stream, epoch) an epoch that is committed, or older
+    than the stream's last one, is skipped; one whose first attempt died is
+    written again over what is left of it."""
     fs = _FS(spark, root)
-    m = _manifest(fs)
-    streams = dict(m.get("streams", {}))
-    if batch_id is not None and batch_id[1] <= streams.get(batch_id[0], -1):
-        return 0
-    vdir, days, rows = _write_version(df, fs, m["next"], day_col)
-    for d in days:
-        m["days"].setdefault(d, []).append(f"{vdir}/{day_col}={d}")
+    name = f"a-{uuid.uuid4().hex}"
+    if batch_id is not None:
+        stream, epoch = batch_id
+        name = f"s-{stream}-{int(epoch):012d}"
+        last = max(fs.names(f"{BATCH}=s-{stream}-????????????"), default="")
+        if f"{BATCH}={name}" < last or fs.exists(f"{BATCH}={name}/{DONE}"):
+            return 0
+    _write(df.withColumn(BATCH, F.lit(name)), fs.root, [BATCH, day_col])
+    count = spark.read.parquet(f"{fs.root}/{BATCH}={name}").count() if fs.names(f"{BATCH}={name}/*=*") else 0
     if batch_id is not None:
-        streams[batch_id[0]] = int(batch_id[1])
-    _commit(fs, {**m, "streams": streams})
-    return rows
+        fs.touch(f"{BATCH}={name}/{DONE}")
+    return count
 
 
 def windowed_replace(spark: SparkSession, root: str, new_rows: DataFrame | None, cutoff: dt.date,
@@ -197,47 +146,64 @@ def windowed_replace(spark: SparkSession, root: str, new_rows: DataFrame | None,
     """K4: replace the days from ``cutoff`` on (to ``until``, if given) with ``new_rows``.
 
     Days in the window without new rows disappear (all of them where
-    ``new_rows`` is None); days after ``until`` and rows without a day stay.
+    ``new_rows`` is None); days outside and rows without a day stay.
     New rows dated before the cutoff are ignored, or, with ``merge_key``,
     merged into their own days: only those days are rewritten, and a new row
-    takes the place of a stored one with an equal key."""
+    takes the place of a stored one with an equal key.  Returns the window's
+    rows, counted while they are written."""
     fs = _FS(spark, root)
-    m = _manifest(fs)
     inside = lambda d: d is not None and d >= cutoff and (until is None or d <= until)
-    kept = {d: p for d, p in m["days"].items() if not inside(_date(d))}
-    if new_rows is None:
-        _commit(fs, {**m, "days": kept})
-        return 0
-    day = F.col(day_col)
-    rows = new_rows if until is None else new_rows.where(day <= F.lit(until))
-    if not merge_key:
-        rows = rows.where(day >= F.lit(cutoff))
-    vdir, written, count = _write_version(rows, fs, m["next"], day_col, tuple(sort_by))
-    days = {d: [f"{vdir}/{day_col}={d}"] for d in written}
-    # late rows are in their days' new directories already; what they don't replace is written beside them
-    late = [d for d in written if d in kept]
-    if late:
-        stored = _read_dirs(spark, fs, [p for d in late for p in kept[d]], new_rows.schema)
-        fresh = _read_dirs(spark, fs, [p for d in late for p in days[d]], new_rows.schema)
+    before = _files(fs, [p for p in _partitions(fs) if inside(_day(p[1]))])
+    count = 0
+    if new_rows is not None:
+        day = F.col(day_col)
+        wanted = (day >= F.lit(cutoff)) & (F.lit(True) if until is None else day <= F.lit(until))
+        late = day < F.lit(cutoff)
+        seen = Observation()
+        watched = new_rows.observe(seen, F.count_if(wanted).alias("n"), F.min(F.when(late, day)).alias("lo"),
+                                   F.max(F.when(late, day)).alias("hi"))
+        _write(watched.where(wanted).withColumn(BATCH, F.lit(WINDOW)), fs.root, [BATCH, day_col], tuple(sort_by))
+        count = int(seen.get["n"] or 0)
+        if merge_key and seen.get["lo"] is not None:
+            some = new_rows.where(late).persist()   # read three times below
+            try:
+                _merge_late(spark, fs, some, seen.get["lo"], seen.get["hi"], day_col, sort_by, merge_key)
+            finally:
+                some.unpersist()
+    for part, files in _files(fs, list(before)).items():
+        if part[0] != f"{BATCH}={WINDOW}" or files <= before[part]:   # not written just now
+            fs.delete("/".join(part))
+    return count
+
+
+def _merge_late(spark: SparkSession, fs: _FS, rows: DataFrame, lo: dt.date, hi: dt.date, day_col: str,
+                sort_by: tuple[str, ...], merge_key: tuple[str, ...]) -> None:
+    """Rewrite the days of late ``rows`` with what they don't replace."""
+    before = _files(fs, [p for p in _partitions(fs) if (d := _day(p[1])) is not None and lo <= d <= hi])
+    stored = read_table(spark, fs.root, day_from=lo, day_to=hi)
+    if stored is not None:
         on = F.lit(True)
         for k in merge_key:
             on = on & F.col(f"s.{k}").eqNullSafe(F.col(f"l.{k}"))
-        rest = stored.alias("s").join(fresh.select(*merge_key).alias("l"), on, "left_anti")
-        beside, left, _ = _write_version(rest, fs, m["next"], day_col, tuple(sort_by))
-        for d in left:
-            days[d].append(f"{beside}/{day_col}={d}")
-    _commit(fs, {**m, "days": {**kept, **days}})
-    return count
+        rest = stored.join(rows.select(day_col).distinct(), day_col, "left_semi").alias("s") \
+            .join(rows.select(*merge_key).alias("l"), on, "left_anti")
+        rows = rows.unionByName(rest, allowMissingColumns=True)
+    _write(rows.withColumn(BATCH, F.lit(WINDOW)), fs.root, [BATCH, day_col], tuple(sort_by))
+    window = f"{BATCH}={WINDOW}"
+    merged = {d for (b, d), files in _files(fs, [(window, d) for d in {p[1] for p in before}]).items()
+              if files and not files <= before.get((b, d), frozenset())}
+    for b, d in before:
+        if d in merged and b != window:
+            fs.delete(f"{b}/{d}")
 
 
 def retain(spark: SparkSession, root: str, cutoff: dt.date) -> list[str]:
     """K5: drop whole days below ``cutoff`` (see ``retention_cutoff``); returns them."""
     fs = _FS(spark, root)
-    m = _manifest(fs)
-    dropped = sorted(d for d in m["days"] if _date(d) is not None and _date(d) < cutoff)
-    if dropped:
-        _commit(fs, {**m, "days": {d: p for d, p in m["days"].items() if d not in dropped}})
-    return dropped
+    old = [p for p in _partitions(fs) if (d := _day(p[1])) is not None and d < cutoff]
+    for part in old:
+        fs.delete("/".join(part))
+    return sorted({_day(d).isoformat() for _, d in old})
 
 
 def retention_cutoff(as_of: dt.date, days: int) -> dt.date:
@@ -245,20 +211,58 @@ def retention_cutoff(as_of: dt.date, days: int) -> dt.date:
     return as_of - dt.timedelta(days=max(30, min(3650, int(days))))
 
 
-def vacuum(spark: SparkSession, root: str) -> list[str]:
-    """Delete version directories the live manifest no longer references, and older manifests."""
+def vacuum(spark: SparkSession, root: str, older_than_hours: float = 24) -> list[str]:
+    """Delete staging folders of jobs that died (untouched for some hours) and batches without a
+    partition; a stream's newest batch stays, as it tells the last epoch."""
     fs = _FS(spark, root)
-    m = _manifest(fs)
-    live = {p.split("/", 1)[0] for dirs in m["days"].values() for p in dirs}
-    gone = [d for d in fs.list_dirs() if d.startswith(f"{VERSION_KEY}=") and d not in live]
-    for v in _versions(fs):
-        if v < m["version"]:
-            fs.delete(f"_manifest/{v:08d}.json")
-    for d in gone:
-        fs.delete(d)
+    limit = dt.datetime.now().timestamp() - older_than_hours * 3600
+    gone = [x.getPath().getName() for x in fs.glob(".spark-staging-*") if x.getModificationTime() / 1000 <= limit]
+    full = {b for b, _ in _partitions(fs)}
+    batches = sorted(fs.names(f"{BATCH}=*"))
+    newest = {b[:-13]: b for b in batches if b.startswith(f"{BATCH}=s-")}
+    gone += [b for b in batches if b not in full and b not in newest.values()]
+    for name in gone:
+        fs.delete(name)
     return gone
 
 
+# --------------------------------------------------------------------- K7
+
+def bucket_of(key: tuple[str, ...], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def upsert(spark: SparkSession, root: str, new_rows: DataFrame, key: tuple[str, ...], newest: str,
+           buckets: int = 64) -> int:
+    """K7: keyed upsert; the row with the newest ``newest`` wins, of equals the new one.
+
+    The table is partitioned by a hash of the key (``buckets`` must stay the
+    same); only buckets that hold a new row are read and written.  Returns the
+    number of buckets written."""
+    fs = _FS(spark, root)
+    rows = new_rows.withColumn(BUCKET, bucket_of(key, buckets)).persist()
+    try:
+        touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())
+        both = rows.withColumn("is_new", F.lit(1))
+        if fs.names(f"{BUCKET}=*"):
+            stored = spark.read.schema(rows.schema).parquet(fs.root).where(F.col(BUCKET).isin(touched))
+            both = both.unionByName(stored.withColumn("is_new", F.lit(0)))
+        if touched:
+            _write(latest_wins(both, key, (newest, "is_new")).drop("is_new"), fs.root, [BUCKET], key)
+        return len(touched)
+    finally:
+        rows.unpersist()
+
+
+def read_upserted(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
+    """The rows of a table kept by ``upsert``; None where nothing was written yet."""
+    fs = _FS(spark, root)
+    if not fs.names(f"{BUCKET}=*"):
+        return None
+    r = spark.read if schema is None else spark.read.schema(schema)
+    return r.parquet(fs.root).drop(BUCKET)
+
+
 # --------------------------------------------------------------- K3, K6
 
 def advance_cursor(history: DataFrame | None, updates: DataFrame) -> DataFrame:
