@@ -546,11 +546,53 @@ def r5_report(p: Stages) -> DataFrame:
     return rules.rule_report(p.spark, rules.BUILTIN_RULES, _rule_tables(p), p.as_of)
 
 
-@register("r5_r7_alerts", None, "messages render doubles with the JVM's formatting; rows-only check")
+_BAD_ACOS_SQL = f"FROM mrt_ads WHERE day = {_sqld(_d(1))} AND revenue > 0 AND acos > 0.3"
+
+
+@register("r5_r7_alerts",
+          f"SELECT rule, 'telegram' AS action, m AS message, '[' || rule || '] ' || m AS text FROM ("
+          f"SELECT 'bad_acos' AS rule, 'High ACOS: ' || CAST(campaign_id AS VARCHAR) || ' acos=' || CAST(acos AS VARCHAR) || "
+          f"' revenue=' || CAST(revenue AS VARCHAR) || ' cost=' || CAST(cost AS VARCHAR) AS m {_BAD_ACOS_SQL} "
+          f"UNION ALL SELECT 'low_stock', 'Low stock: ' || marketplace || '/' || account_id || '/' || product_id || "
+          f"', stock=' || CAST(SUM(stock_end) AS VARCHAR) FROM mrt_stock WHERE day = {_sqld(_d(1))} "
+          f"GROUP BY marketplace, account_id, product_id HAVING SUM(stock_end) < 5 "
+          f"UNION ALL SELECT 'no_sales_7d', 'No sales in 7d: ' || marketplace || '/' || account_id || '/' || product_id "
+          f"FROM mrt_sales WHERE day BETWEEN {_sqld(_d(7))} AND {_sqld(AS_OF)} "
+          f"GROUP BY marketplace, account_id, product_id HAVING SUM(qty) <= 0)")
 def r5_alerts(p: Stages) -> DataFrame:
     return rules.alerts(p.spark, rules.BUILTIN_RULES, _rule_tables(p), p.as_of)
 
 
+@register("r4_rule_files_report",
+          f"SELECT *, CAST(SUM(triggered) OVER () AS BIGINT) AS total_triggered FROM ("
+          f"SELECT 0 AS ord, 'bad_acos' AS name, count(*) AS rows, count(*) FILTER (WHERE revenue > 0 AND acos > 0.3) "
+          f"AS triggered FROM mrt_ads WHERE day = {_sqld(_d(1))} "
+          f"UNION ALL SELECT 1, 'low_stock', count(*), count(*) FILTER (WHERE s < 5) FROM (SELECT SUM(stock_end) AS s "
+          f"FROM mrt_stock WHERE day = {_sqld(_d(1))} GROUP BY marketplace, account_id, product_id) "
+          f"UNION ALL SELECT 2, 'no_sales_7d', count(*), count(*) FILTER (WHERE q <= 0) FROM (SELECT SUM(qty) AS q "
+          f"FROM mrt_sales WHERE day BETWEEN {_sqld(_d(7))} AND {_sqld(AS_OF)} GROUP BY marketplace, account_id, product_id))")
+def r4_report(p: Stages) -> DataFrame:
+    """The shipped rules stored as files in another order, loaded by path, reported with the total."""
+    folder, _ = _stream_dirs(p.spark, "rules")
+    rules.store_rules(p.spark, rules.BUILTIN_RULES[::-1], folder)
+    return rules.run_report(p.spark, rules.load_rules(p.spark, folder), _rule_tables(p), p.as_of)
+
+
+_AD_LINES = rules.Rule(
+    "ad_lines", "SELECT campaign_id, acos, clicks FROM {mrt_ads_daily}",
+    'row["clicks"] % 7 in [1, "2", 3] and (row["clicks"] + 3) // 4 >= params["least"]',
+    [rules.RuleAction("log", "{campaign_id:>8}|{acos:.{digits}f}|{acos:.1%}|{clicks:,d}")], {"least": 2, "digits": 4})
+
+
+@register("r6_r8_formatted_alerts",
+          "SELECT 'ad_lines' AS rule, 'log' AS action, m AS message, '[ad_lines] ' || m AS text FROM ("
+          "SELECT lpad(CAST(campaign_id AS VARCHAR), CAST(GREATEST(8, length(CAST(campaign_id AS VARCHAR))) AS INTEGER), ' ') || '|' || "
+          "COALESCE(printf('%.4f', acos), 'None') || '|' || COALESCE(printf('%.1f', acos * 100) || '%', 'None') || '|' || "
+          "format('{:,}', clicks) AS m FROM mrt_ads WHERE clicks % 7 IN (1, 3) AND (clicks + 3) // 4 >= 2)")
+def r6_alerts(p: Stages) -> DataFrame:
+    return rules.alerts(p.spark, [_AD_LINES], _rule_tables(p), p.as_of)
+
+
 # ======================================================================= ops
 
 def _wstart(ts: str, minutes: int) -> str:
