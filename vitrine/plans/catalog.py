@@ -899,6 +899,39 @@ def w1_w2(p: Stages) -> DataFrame:
     return j.groupBy("account_id").agg(F.count(F.lit(1)).alias("rows"), F.max("last_change_ts").alias("new_cursor"))
 
 
+# ================================================ S1–S9 read from landed files
+
+_SINCE, _UNTIL = dt.datetime(2020, 3, 1), dt.datetime(2023, 9, 1)  # the changes that are asked for
+
+
+def _landed(p: Stages) -> str:
+    """Sales landed as text files of several records a page, read back and stored with their rejects."""
+    files, _ = _stream_dirs(p.spark, "landed")
+    landing.wb_sales_order_pages(p.table("lineitem")).write.text(files)
+    stored, _ = _stream_dirs(p.spark, "landed-records")
+    feeds.store_pages(feeds.parse_pages(feeds.read_lines(p.spark, files), keep=["ingested_at"]), stored)
+    return stored
+
+
+@register("s1_landed_sales",
+          f"SELECT {_META_SQL}, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS srid, "
+          f"{_LI_SHIFT} AS last_change_ts, {_LI_SHIFT} AS event_ts, l_partkey AS nm_id, "
+          f"CAST(l_quantity AS INTEGER) AS quantity, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS price_rub, "
+          f"CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_return FROM lineitem "
+          f"WHERE {_LI_SHIFT} >= TIMESTAMP '{_SINCE}' AND {_LI_SHIFT} < TIMESTAMP '{_UNTIL}'")
+def s1(p: Stages) -> DataFrame:
+    recs = feeds.in_time(feeds.stored_records(p.spark, _landed(p)), normalize.WB_CHANGE_TIME, _SINCE, _UNTIL)
+    return normalize.wb_sales(recs, _RUN, _ACC).select(
+        "run_id", "account_id", "srid", "last_change_ts", "event_ts", "nm_id", "quantity", "price_rub", "is_return")
+
+
+@register("s9_landed_rejects",
+          "SELECT CASE l_orderkey % 10 WHEN 3 THEN 'not JSON' WHEN 5 THEN 'no records' ELSE 'not an object' END AS reject, "
+          "count(DISTINCT l_orderkey) AS rows FROM lineitem WHERE l_orderkey % 10 IN (3, 5, 7) GROUP BY 1")
+def s9_rejects(p: Stages) -> DataFrame:
+    return feeds.stored_rejects(p.spark, _landed(p)).groupBy("reject").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # ================================================== W12/W13 as running streams
 
 def _stream_dirs(spark: SparkSession, tag: str) -> tuple[str, str]:

@@ -9,12 +9,13 @@ later schema winning (S10).
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitrine.functions.values import Fields, as_text, is_object
+from vitrine.functions.values import Fields, as_text, is_object, parse_ts
 
 # Envelope paths holding the record list, tried in this order.  A
 # bare list cannot match an object path (and vice versa), so "$" goes first:
@@ -23,10 +24,74 @@ ENVELOPE_PATHS = ("$", "$.result.postings", "$.result.operations", "$.result.ite
 POSTING_KEY = ("posting_number", "postingNumber", "order_id")
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Landed response pages, one JSON document per line."""
+def read_lines(spark: SparkSession, path: str | Sequence[str], modified_after: dt.datetime | None = None,
+               modified_before: dt.datetime | None = None) -> DataFrame:
+    """Landed response pages, one JSON document per line: ``line``, its ``file``
+    and ``ingested_at``, the time the file landed.  Files outside (``modified_after``,
+    ``modified_before``) are left out when the folder is listed, before any is opened;
+    files are cut into splits, so a large one is parsed by many tasks."""
     paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.text(paths).withColumnRenamed("value", "line")
+    window = {"modifiedAfter": modified_after, "modifiedBefore": modified_before}
+    opts = {k: v.strftime("%Y-%m-%dT%H:%M:%S") for k, v in window.items() if v is not None}
+    return spark.read.options(timeZone="UTC", **opts).text(paths).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ingested_at"))
+
+
+def parse_pages(lines: DataFrame, line_col: str = "line", keep: Sequence[str] = ()) -> DataFrame:
+    """S9 with its rejects, each page parsed once: a row a record (``pos``, ``rec``,
+    ``payload``), and a row with ``reject`` = why and ``payload`` = the text itself for
+    a page that is not JSON, a page without a record list, and a list element that is
+    not an object.  An empty or null line and an empty list give no row."""
+    blank = F.coalesce(F.trim(F.col(line_col)), F.lit("")) == ""
+    pages = lines.where(~blank).select(*keep, F.col(line_col).alias("_line"),
+                                       F.try_parse_json(F.col(line_col)).alias("_doc"))
+    pages = pages.select("*", envelope_records(F.col("_doc")).alias("_recs"))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("variant").alias("rec"),
+                             F.when(F.col("_doc").isNull(), "not JSON").otherwise("no records").alias("reject")))
+    each = F.transform("_recs", lambda r, i: F.struct(i.alias("pos"), r.alias("rec"),
+                                                      F.when(~F.coalesce(is_object(r), F.lit(False)), "not an object").alias("reject")))
+    x = pages.select(*keep, "_line", F.explode(F.when(F.col("_recs").isNull(), whole).otherwise(each)).alias("_x"))
+    return x.select(*keep, "_x.pos", "_x.rec", F.when(F.col("_x.pos").isNull(), F.col("_line"))
+                    .otherwise(F.to_json("_x.rec")).alias("payload"), "_x.reject")
+
+
+def store_pages(parsed: DataFrame, path: str) -> None:
+    """Records and rejects of ``parse_pages`` by one write: a Parquet table whose
+    partition ``kind`` tells them apart (records are kept as their JSON text)."""
+    parsed.drop("rec").withColumn("kind", F.when(F.col("reject").isNull(), "record").otherwise("reject")) \
+        .write.mode("append").partitionBy("kind").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str, kind: str, keep: str) -> DataFrame:
+    schema = f"{keep}, pos int, payload string, reject string, kind string"  # named: a table may hold no rows yet
+    return spark.read.schema(schema).parquet(path).where(F.col("kind") == kind).drop("kind")
+
+
+def stored_records(spark: SparkSession, path: str, keep: str = "ingested_at timestamp_ntz") -> DataFrame:
+    """The records of ``store_pages``, as the normalisers take them."""
+    return _stored(spark, path, "record", keep).drop("reject").withColumn("rec", F.parse_json("payload"))
+
+
+def stored_rejects(spark: SparkSession, path: str, keep: str = "ingested_at timestamp_ntz") -> DataFrame:
+    """What ``store_pages`` could not take as records, and why."""
+    return _stored(spark, path, "reject", keep)
+
+
+def in_time(recs: DataFrame, keys: Sequence[str], since: dt.datetime | None = None,
+            until: dt.datetime | None = None) -> DataFrame:
+    """The request filters of the feeds: records whose time, by the first of ``keys``
+    that holds one, lies in [``since``, ``until``) — changes since a cursor (S1, S2),
+    one day of them, or the day range of S4 to S8.  A record without a readable time is
+    kept, since no request could have left it out by its time."""
+    f = Fields(prefix="_t")
+    at = parse_ts(f.first(keys))
+    keep = F.lit(True)
+    if since is not None:
+        keep = keep & (at >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        keep = keep & (at < F.lit(until).cast("timestamp_ntz"))
+    return f.drop(f.stage(recs).where(F.coalesce(keep, F.lit(True))))
 
 
 def envelope_records(doc: Column) -> Column:

@@ -38,7 +38,7 @@ def _page(rec_json: Column, kind: Column) -> Column:
             .otherwise(F.concat(F.lit('{"result":{"postings":'), arr, F.lit(',"has_next":false}}'))))
 
 
-def wb_sales_pages(lineitem: DataFrame) -> DataFrame:
+def _wb_sale() -> Column:
     """wb sales: id under srid / saleID / gNumber; returns as a negative
     quantity or by operation name; price under three aliases (one as text).
     One struct with conditional fields: ``to_json`` leaves NULL fields out."""
@@ -49,7 +49,7 @@ def wb_sales_pages(lineitem: DataFrame) -> DataFrame:
     qty = F.col("l_quantity").cast("int")
     is_r = F.col("l_returnflag") == "R"
     neg = is_r & (ln % 2 == 0)
-    rec = F.struct(
+    return F.struct(
         F.when(ln % 3 == 0, srid).alias("srid"), F.when(ln % 3 == 1, srid).alias("saleID"),
         F.when(ln % 3 == 2, srid).alias("gNumber"),
         _iso(ts).alias("lastChangeDate"), _iso(ts, 3).alias("date"),
@@ -60,7 +60,26 @@ def wb_sales_pages(lineitem: DataFrame) -> DataFrame:
         F.when(ok % 3 == 0, price).alias("forPay"), F.when(ok % 3 == 1, price.cast("string")).alias("totalPrice"),
         F.when(ok % 3 == 2, price).alias("priceWithDisc"),
         F.when(ln != 1, price).alias("ppvzForPay"))
-    return lineitem.select(ts.alias("ingested_at"), _page(F.to_json(rec), ln % 3).alias("line"))
+
+
+def wb_sales_pages(lineitem: DataFrame) -> DataFrame:
+    """One sale a page, with the sale's time as its ingest time."""
+    return lineitem.select(_shift("l_shipdate").alias("ingested_at"),
+                           _page(F.to_json(_wb_sale()), F.col("l_linenumber") % 3).alias("line"))
+
+
+def wb_sales_order_pages(lineitem: DataFrame) -> DataFrame:
+    """All sales of an order on one page.  Orders that end in 7 hold a number among their
+    records; those that end in 3 are followed by a copy that was cut off, and those that
+    end in 5 by an error response."""
+    ok = F.col("l_orderkey")
+    orders = lineitem.groupBy("l_orderkey").agg(
+        F.concat_ws(",", F.sort_array(F.collect_list(F.to_json(_wb_sale())))).alias("recs"))
+    recs = F.when(ok % 10 == 7, F.concat(F.col("recs"), F.lit(",7"))).otherwise(F.col("recs"))
+    page = _page(recs, ok % 4)
+    pages = F.when(ok % 10 == 3, F.array(page, F.substring(page, F.lit(1), F.length(page) - 1))) \
+        .when(ok % 10 == 5, F.array(page, F.lit('{"error":"too many requests"}'))).otherwise(F.array(page))
+    return orders.select(F.explode(pages).alias("line"))
 
 
 def ozon_posting_pages(lineitem: DataFrame, status: str | None = None) -> DataFrame:
