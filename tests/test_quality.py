@@ -95,3 +95,22 @@ def test_raise_if_failed(spark):
     assert ok["status"] == "success"
     with pytest.raises(Q.DataQualityError, match="invalid_values=1"):
         Q.raise_if_failed(Q.report(Q.summarize(frames(spark, "invalid"))))
+
+
+def test_worst_duplicates_come_first(spark):
+    rows = [(f"g{i}",) for i in range(6) for _ in range({0: 2, 1: 5, 2: 3, 3: 3, 4: 1, 5: 2}[i])]
+    df = spark.createDataFrame([("a", g) for g, in rows], "account_id string, id string")
+    got = Q.worst_duplicates(Q.duplicate_grains({"t": (df, ("account_id", "id")), "u": (df, ("id",))})).collect()
+    assert sorted((r.table_name, r.rank, r.entity_id, r.duplicate_count) for r in got) == \
+        [("t", 1, "a|g1", 5), ("t", 2, "a|g2", 3), ("t", 3, "a|g3", 3), ("u", 1, "g1", 5), ("u", 2, "g2", 3), ("u", 3, "g3", 3)]
+
+
+def test_audit_row_holds_the_issues_as_json(spark):
+    import json
+    row = Q.audit_row(Q.summarize(frames(spark, "dup")), "quality", "r1", NOW, NOW).collect()[0]
+    meta = json.loads(row.meta_json)
+    assert (row.status, row.message) == ("failed", "data quality failures detected: duplicate_grains=1")
+    assert meta["issue_count"] == 1 and meta["issues"][0]["check"] == "duplicate_grains" and meta["issues"][0]["samples"]
+    clean = Q.audit_row(Q.summarize(frames(spark)), "quality", "r2", NOW, NOW).collect()[0]
+    assert (clean.status, clean.message) == ("success", "data quality checks passed")
+    assert json.loads(clean.meta_json) == {"status": "success", "issue_count": 0, "issues": []}

@@ -135,6 +135,16 @@ def duplicate_grains(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> Data
     return _union(parts)
 
 
+def worst_duplicates(duplicates: DataFrame) -> DataFrame:
+    """C3 samples: of each table the grains with the most rows, the largest first, equal
+    counts by the grain's text.  ``duplicates`` comes from ``duplicate_grains``; a map
+    task forwards at most three rows a table (partial limit before the shuffle)."""
+    n = F.col("detail").cast("bigint")
+    w = Window.partitionBy("table_name").orderBy(n.desc(), F.col("entity_id"))
+    return duplicates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= MAX_SAMPLE_ROWS) \
+        .select("table_name", "rank", "account_id", "entity_id", n.alias("duplicate_count"))
+
+
 # --------------------------------------------------------------------- C4
 
 def impossible_timestamps(raw_wb_sales: DataFrame, raw_wb_orders: DataFrame, raw_ozon_postings: DataFrame,
@@ -209,6 +219,28 @@ def report(summary: DataFrame) -> DataFrame:
             F.lit("")).alias("message"))
 
 
+def audit_row(summary: DataFrame, task: str, run_id: str, started: dt.datetime, finished: dt.datetime) -> DataFrame:
+    """The run's one row for the task-run table, from the per-check summary: status,
+    message, and the issues with their samples as JSON (``meta_json``)."""
+    rank = F.create_map(*[x for i, k in enumerate(CHECK_ORDER) for x in (F.lit(k), F.lit(i))])
+    issue = F.struct(rank[F.col("check")].alias("ord"), "check", "summary", "failures",
+                     F.split("samples", ";").alias("samples"))
+    one = summary.agg(F.array_sort(F.collect_list(issue)).alias("found"))  # a row a check, five at most
+    bad = F.size("found") > 0
+    status = F.when(bad, "failed").otherwise("success")
+    counts = F.array_join(F.transform("found", lambda x: F.concat(x["check"], F.lit("="), x["failures"].cast("string"))), "; ")
+    issues = F.transform("found", lambda x: F.struct(x["check"].alias("check"), x["summary"].alias("summary"),
+                                                     x["failures"].alias("failures"), x["samples"].alias("samples")))
+    return one.select(
+        F.lit(task).alias("task_name"), F.lit(run_id).alias("run_id"),
+        F.lit(started).cast("timestamp_ntz").alias("started_at"), F.lit(finished).cast("timestamp_ntz").alias("finished_at"),
+        status.alias("status"), F.lit(0).cast("bigint").alias("rows_ingested"),
+        F.when(bad, F.concat(F.lit("data quality failures detected: "), counts))
+        .otherwise(F.lit("data quality checks passed")).alias("message"),
+        F.to_json(F.struct(status.alias("status"), F.size("found").alias("issue_count"), issues.alias("issues")))
+        .alias("meta_json"))
+
+
 class DataQualityError(RuntimeError):
     """Raised by ``raise_if_failed`` with the report's ``check=n; …`` message."""
 

@@ -477,6 +477,14 @@ def c3(p: Stages) -> DataFrame:
     return quality.duplicate_grains(_dup_tables(p))
 
 
+@register("c3_worst_duplicates",
+          "SELECT table_name, CAST(rank AS INTEGER) AS rank, account_id, entity_id, duplicate_count FROM (SELECT table_name, "
+          "account_id, entity_id, CAST(detail AS BIGINT) AS duplicate_count, ROW_NUMBER() OVER (PARTITION BY table_name "
+          "ORDER BY CAST(detail AS BIGINT) DESC, entity_id) AS rank FROM dq_c3) WHERE rank <= 3")
+def c3_worst(p: Stages) -> DataFrame:
+    return quality.worst_duplicates(quality.duplicate_grains(_dup_tables(p)))
+
+
 @register("c4_impossible_timestamps", "SELECT * FROM dq_c4")
 def c4(p: Stages) -> DataFrame:
     return quality.impossible_timestamps(p.raw("raw_wb_sales"), p.raw("raw_wb_orders"),
@@ -502,6 +510,24 @@ def c6_report(p: Stages) -> DataFrame:
     return quality.report(quality.summarize(_violations(p.materialize(_CHECK_SHARED))))
 
 
+_CHECK_RANK = ("CASE \"check\" WHEN 'stale_marts' THEN 0 WHEN 'watermark_monotonicity' THEN 1 "
+               "WHEN 'duplicate_grains' THEN 2 WHEN 'impossible_timestamps' THEN 3 ELSE 4 END")
+
+
+@register("c6_quality_audit_row",
+          f"SELECT 'quality' AS task_name, 'run-1' AS run_id, TIMESTAMP '{NOW}' AS started_at, TIMESTAMP '{NOW}' AS finished_at, "
+          f"CASE WHEN n > 0 THEN 'failed' ELSE 'success' END AS status, CAST(0 AS BIGINT) AS rows_ingested, "
+          f"CASE WHEN n > 0 THEN 'data quality failures detected: ' || m ELSE 'data quality checks passed' END AS message, "
+          f"CAST(to_json({{'status': CASE WHEN n > 0 THEN 'failed' ELSE 'success' END, 'issue_count': n, "
+          f"'issues': COALESCE(issues, [])}}) AS VARCHAR) AS meta_json FROM (SELECT count(*) AS n, "
+          f"string_agg(\"check\" || '=' || CAST(failures AS VARCHAR), '; ' ORDER BY {_CHECK_RANK}) AS m, "
+          f"list({{'check': \"check\", 'summary': summary, 'failures': failures, 'samples': string_split(samples, ';')}} "
+          f"ORDER BY {_CHECK_RANK}) AS issues FROM dq_summary)")
+def c6_audit(p: Stages) -> DataFrame:
+    summary = quality.summarize(_violations(p.materialize(_CHECK_SHARED)))
+    return quality.audit_row(summary, "quality", "run-1", NOW, NOW)
+
+
 # ===================================================================== rules
 
 def _rule_tables(p: Stages) -> dict[str, DataFrame]:
