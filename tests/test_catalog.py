@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 SUBSET = ["l1_latest_wb_sales", "t12_stg_sales", "t3_t7_stg_stocks", "m1_mrt_sales_daily", "m4_mrt_ads_daily",
           "a1_api_sales_daily_page", "a5_api_kpis", "d7_finance_ops_daily", "u8_funnel_card", "c2_watermark_backward_steps",
           "c6_quality_summary", "r2_low_stock_alerts", "o5_p95_duration_15m", "k9_redact_page_params",
-          "p9_finance_from_json"]
+          "p9_finance_from_json", "s1_landed_sales", "s9_landed_rejects", "r4_rule_files_report", "r5_r7_alerts",
+          "r6_r8_formatted_alerts", "c3_worst_duplicates"]
 
 
 @pytest.fixture(scope="module")

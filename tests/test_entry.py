@@ -13,4 +13,4 @@ def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 80
     assert set(catalog.REGISTRY) <= set(q)
-    assert set(catalog.REGISTRY) - set(o) == {"r5_r7_alerts"}
+    assert set(catalog.REGISTRY) <= set(o)  # every warehouse query has its SQL
