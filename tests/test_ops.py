@@ -105,3 +105,33 @@ def test_redact_map_column(spark):
                                "m map<string,string>")
     got = df.select(redaction.redact_map(F.col("m")).alias("m")).collect()[0].m
     assert got == {"Api_Key_Main": "0123***89ab", "x-api-key": "0123456789ab", "Authorization": "*" * 8, "page": "2"}
+
+
+def test_sliding_sums_equal_windows_of_single_rows(spark):
+    """Panes give what expanding every row to its windows gives, also on window borders."""
+    from pyspark.sql import functions as F
+    rnd = random.Random(12)
+    t0 = dt.datetime(2026, 3, 1, 23, 50)
+    at = lambda: t0 + dt.timedelta(minutes=rnd.randrange(0, 40), microseconds=rnd.choice((0, 1, 999_999)))
+    rows = [("hot" if i % 3 else f"t{i % 4}", at(), rnd.choice(("failed", "success"))) for i in range(900)]
+    runs = spark.createDataFrame(rows + [("none", None, "failed")], "task_name string, finished_at timestamp_ntz, status string")
+    for length, slide in (("15 minutes", "1 minute"), ("1 hour", "5 minutes"), ("5 minutes", "5 minutes")):
+        got = ops.sliding_sums(runs, "finished_at", length, slide, ["task_name"], F.count_if(F.col("status") == "failed"), "n")
+        want = runs.groupBy(F.window("finished_at", length, slide).alias("w"), "task_name") \
+            .agg(F.count_if(F.col("status") == "failed").alias("n"))
+        rows_of = lambda d: sorted((r.w.start, r.w.end, r.task_name, r.n) for r in d.collect())
+        assert rows_of(got) == rows_of(want)
+
+
+def test_hold_for_over_gaps_repeats_and_nulls(spark):
+    """A run over several segments keeps its start; a segment without minutes ends it."""
+    t0 = dt.datetime(2026, 3, 1, 22, 58)
+    minutes = [t0 + dt.timedelta(minutes=m) for m in [*range(0, 130), *range(260, 268)]]
+    rows = [("a", m, True) for m in minutes] * 2 + [("a", None, True), (None, t0, True), ("b", t0, False)]
+    sig = spark.createDataFrame(rows, "task string, minute timestamp_ntz, active boolean")
+    out = ops.hold_for(sig, ["task"], "minute", "active", 5, segment="hour")
+    got = sorted((r.task, r.firing_at, r.since) for r in out.collect())
+    assert got == [("a", m, t0 if m < minutes[130] else minutes[130]) for m in minutes
+                   if m >= t0 + dt.timedelta(minutes=5) and not minutes[130] <= m < minutes[135]]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # one scan: the signal is not read again for what is carried

@@ -89,6 +89,27 @@ def test_segmented_backward_steps_equal_plain_lag(spark):
     assert got == sorted(want)
 
 
+def test_backward_steps_of_a_busy_cursor(spark):
+    """One cursor with most rows, many of them in one second or at one instant, keys that are
+    null, and every choice of segments: the rows of an unsplit scan."""
+    rnd = random.Random(21)
+    rows, t0 = [], dt.datetime(2026, 1, 31, 23, 59, 59)
+    for i in range(400):
+        src = rnd.choice(["busy"] * 8 + ["calm", None])
+        up = t0 + dt.timedelta(microseconds=rnd.randrange(0, 40) * 50_000, seconds=rnd.choice((0, 0, 0, 7200, 10**7)))
+        rows.append((src, "acc", rnd.choice((None, t0 + dt.timedelta(seconds=rnd.randrange(0, 9)))), up))
+    rows += [("busy", "acc", t0, None)]
+    df = spark.createDataFrame(rows, "source string, account_id string, watermark_ts timestamp_ntz, updated_at timestamp_ntz")
+    want = []
+    for src in ("busy", "calm", None):
+        seq = sorted((u, w) for s, _, w, u in rows if s == src and w is not None and u is not None)
+        want += [(str(src), w, prev, u) for (_, prev), (u, w) in zip(seq, seq[1:]) if w < prev]
+    for segment in Q.SEGMENTS:
+        got = Q.watermark_backward_steps(df, segment).collect()
+        assert sorted((str(r.source), r.watermark_ts, r.previous_watermark, r.updated_at) for r in got) == sorted(want)
+    assert len(want) > 20
+
+
 def test_raise_if_failed(spark):
     import pytest
     ok = Q.raise_if_failed(Q.report(Q.summarize(frames(spark))))

@@ -2,10 +2,10 @@
 
 The reference exports counters to a monitoring system and alerts with range
 queries; here the same signals are windowed aggregates over ``sys_task_runs``
-and ``sys_watermarks``.  Sliding windows use Spark's ``window()`` (each row is
-expanded to the windows that contain it, then partially aggregated); exact
-percentiles use a per-value histogram with a range-partitioned running count,
-so no group's values are ever placed in one task.
+and ``sys_watermarks``.  Sliding windows are summed over panes (one step of the
+slide each): rows are counted by pane with map-side combine, and only the counts
+are expanded to the windows that contain them; exact percentiles select by value
+buckets, so no group's values are ever placed in one task.
 """
 
 from __future__ import annotations
@@ -26,10 +26,19 @@ def duration_seconds() -> Column:
     return F.greatest(d.cast("double") / 1e6, F.lit(0.0))
 
 
+def sliding_sums(rows: DataFrame, ts: str, length: str, slide: str, key: list[str], count: Column,
+                 out: str) -> DataFrame:
+    """(w, key, out): ``count`` (an aggregate that adds up) in sliding windows over ``ts``.
+
+    Every window is made of whole panes, since ``length`` must be a multiple of
+    ``slide``; a pane lies in the same windows as each of its rows."""
+    panes = rows.groupBy(F.window(ts, slide).start.alias("pane"), *key).agg(count.alias("in_pane"))
+    return panes.groupBy(F.window("pane", length, slide).alias("w"), *key).agg(F.sum("in_pane").alias(out))
+
+
 def failed_runs(runs: DataFrame, length: str = "15 minutes", slide: str = "1 minute") -> DataFrame:
     """O1: failed runs per task in sliding windows over ``finished_at``."""
-    w = runs.groupBy(F.window("finished_at", length, slide).alias("w"), "task_name").agg(
-        F.count_if(F.col("status") == "failed").alias("failed_runs"))
+    w = sliding_sums(runs, "finished_at", length, slide, ["task_name"], F.count_if(F.col("status") == "failed"), "failed_runs")
     return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "task_name", "failed_runs")
 
@@ -50,8 +59,7 @@ def empty_responses(runs: DataFrame, length: str = "1 hour", slide: str = "5 min
     """Runs that ingested nothing, counted per task in sliding hours;
     ``anomaly`` when more than 20."""
     e = runs.where(F.col("rows_ingested") == 0)
-    w = e.groupBy(F.window("finished_at", length, slide).alias("w"), "task_name").agg(
-        F.count(F.lit(1)).alias("empty_responses"))
+    w = sliding_sums(e, "finished_at", length, slide, ["task_name"], F.count(F.lit(1)), "empty_responses")
     return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "task_name",
                     "empty_responses", (F.col("empty_responses") > MAX_EMPTY_PER_HOUR).alias("anomaly"))
 
@@ -136,30 +144,38 @@ def hold_for(signal: DataFrame, key: list[str], ts: str, active: str, hold_minut
              step_minutes: int = 1, segment: str = "day") -> DataFrame:
     """Minutes at which a condition has been true for ``hold_minutes``.
 
-    ``signal`` has one row per key and evaluation minute.  A run of
-    consecutive active minutes starts where the previous active minute is more
-    than one step back; the alert fires from run start + hold onwards.  The
-    previous minute and the latest run start are found per (key, day segment)
-    and carried across segments from one-row-per-segment summaries, so no task
-    ever holds a key's whole history.
+    ``signal`` has one row per key and evaluation minute (repeated and null minutes
+    count once, or not at all).  A run of consecutive active minutes starts where the
+    previous active minute is more than one step back; the alert fires from run start +
+    hold onwards.  One scan: a key's active minutes become one sorted list per segment
+    (a day holds 1440 at most), a window over a key's segments carries the last minute
+    and the latest start forward, and the lists are cut into runs in place.
     """
     step = F.make_dt_interval(mins=F.lit(step_minutes))
-    a = signal.where(F.col(active)).select(*key, ts).withColumn("seg", F.date_trunc(segment, F.col(ts)))
-    in_seg = Window.partitionBy(*key, "seg").orderBy(ts)
     segs = Window.partitionBy(*key).orderBy("seg")
-    x = a.withColumn("prev_in_seg", F.lag(ts).over(in_seg))
-    last = a.groupBy(*key, "seg").agg(F.max(ts).alias("seg_last"))
-    last = last.withColumn("prev_seg_last", F.lag("seg_last").over(segs)).select(*key, "seg", "prev_seg_last")
-    x = x.join(last, [*key, "seg"])
-    prev = F.coalesce(F.col("prev_in_seg"), F.col("prev_seg_last"))
-    x = x.withColumn("start", F.when(prev.isNull() | (F.col(ts) - step > prev), F.col(ts)))
-    run_in_seg = F.max("start").over(in_seg.rowsBetween(Window.unboundedPreceding, 0))
-    starts = x.groupBy(*key, "seg").agg(F.max("start").alias("seg_start"))
-    carried = starts.withColumn("carry", F.max("seg_start").over(segs.rowsBetween(Window.unboundedPreceding, -1))) \
-        .select(*key, "seg", "carry")
-    y = x.withColumn("start_so_far", run_in_seg).join(carried, [*key, "seg"])
-    since = F.coalesce(F.col("start_so_far"), F.col("carry"))
-    return y.select(*key, F.col(ts).alias("firing_at"), since.alias("since")) \
+    x = signal.where(F.col(active) & F.col(ts).isNotNull()).groupBy(*key, F.date_trunc(segment, F.col(ts)).alias("seg")) \
+        .agg(F.sort_array(F.collect_set(ts)).alias("minutes"))
+    x = x.withColumn("last_before", F.lag(F.get("minutes", F.size("minutes") - 1)).over(segs))
+
+    def starts_run(m: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.col("last_before")).otherwise(F.get("minutes", i - 1))
+        return before.isNull() | (m - step > before)
+
+    at = F.transform("minutes", lambda m, i: F.when(starts_run(m, i), i))
+    x = x.withColumn("starts", F.filter(at, lambda i: i.isNotNull()))
+    newest = F.get("minutes", F.get("starts", F.size("starts") - 1))
+    x = x.withColumn("carry", F.max(newest).over(segs.rowsBetween(Window.unboundedPreceding, -1)))
+    # cut at every start, and at 0 where the segment goes on with the run that was carried
+    carried = F.coalesce(F.get("starts", F.lit(0)) > 0, F.lit(True))
+    x = x.withColumn("carried", carried).withColumn("cuts", F.when(F.col("carried"), F.concat(F.array(F.lit(0)), "starts")).otherwise(F.col("starts")))
+
+    def run(b: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("cuts", k + 1), F.size("minutes"))
+        since = F.when((k == 0) & F.col("carried"), F.col("carry")).otherwise(F.get("minutes", b))
+        return F.struct(since.alias("since"), F.slice("minutes", b + 1, end - b).alias("minutes"))
+
+    runs = x.select(*key, F.explode(F.transform("cuts", run)).alias("run"))
+    return runs.select(*key, F.explode("run.minutes").alias("firing_at"), F.col("run.since").alias("since")) \
         .where(F.col("firing_at") >= F.col("since") + F.make_dt_interval(mins=F.lit(hold_minutes)))
 
 

@@ -87,29 +87,47 @@ def stale_marts(task_runs: DataFrame, marts: dict[str, DataFrame], now: dt.datet
 
 # --------------------------------------------------------------------- C2
 
-def watermark_backward_steps(wm: DataFrame, segment: str = "day") -> DataFrame:
+# Calendar units, fine to coarse: an instant's second, the seconds of an hour, the hours of a
+# month and the months of a history are at most 10**6, 3600, 744 and a few hundred rows.
+SEGMENTS = ("second", "hour", "month")
+
+
+def previous_value(rows: DataFrame, key: Sequence[str], at: str, value: str, segments: Sequence[str], out: str) -> DataFrame:
+    """``rows`` (one row per key and instant) with ``out``, the value at the instant before.
+
+    The row before is looked up inside the instant's finest segment; a segment's first
+    row takes the last value of the segment before it, which is found in the same way
+    among the segments' last values, one unit coarser.  So a window group holds what
+    one unit can hold of the next finer one, however many rows a key has."""
+    if not segments:
+        return rows.withColumn(out, F.lag(value).over(Window.partitionBy(*key).orderBy(at)))
+    unit, coarser = segments[0], segments[1:]
+    seg, last, carried = (f"{name}_{unit}" for name in ("seg", "last", "carried"))
+    x = rows.withColumn(seg, F.date_trunc(unit, at).cast("timestamp_ntz"))
+    x = x.withColumn(out, F.lag(value).over(Window.partitionBy(*key, seg).orderBy(at)))
+    ends = x.groupBy(*key, seg).agg(F.max_by(value, at).alias(last))
+    ends = previous_value(ends, key, seg, last, coarser, carried).drop(last)
+    on = F.lit(True)
+    for k in (*key, seg):
+        on = on & F.col(f"x.`{k}`").eqNullSafe(F.col(f"e.`{k}`"))
+    j = x.alias("x").join(ends.alias("e"), on)
+    return j.select(*[F.col(f"x.`{c}`") for c in rows.columns], F.coalesce(F.col(f"x.`{out}`"), F.col(f"e.`{carried}`")).alias(out))
+
+
+def watermark_backward_steps(wm: DataFrame, segment: str = "second") -> DataFrame:
     """Rows whose cursor is below the previous one of (source, account),
-    ordered by updated_at (then value); NULL values are skipped.
+    ordered by updated_at (then value); rows without a value or a time are skipped.
 
-    A single (source, account) history may be huge, so the "previous row" is
-    computed per (source, account, time segment) and the first row of each
-    segment takes the last value of the previous non-empty segment from a
-    per-segment summary (one row per segment).  No task holds a whole history.
-    """
-    w = wm.where(F.col("watermark_ts").isNotNull()) \
-        .withColumn("seg", F.date_trunc(segment, "updated_at"))
+    Of the rows of one instant only the first, the lowest, can step back, and the row
+    after them is compared with the highest; so both are taken with a partial
+    aggregate, and instants are compared segment by segment (``segment`` is the finest
+    of ``SEGMENTS`` used).  A cursor with a third of all rows is spread by its seconds."""
     key = ["source", "account_id"]
-    in_seg = Window.partitionBy(*key, "seg").orderBy("updated_at", "watermark_ts")
-    rows = w.withColumn("prev_in_seg", F.lag("watermark_ts").over(in_seg))
-    seg_last = w.groupBy(*key, "seg").agg(
-        F.max_by("watermark_ts", F.struct("updated_at", "watermark_ts")).alias("seg_last"))
-    carry = seg_last.withColumn("prev_seg_last", F.lag("seg_last").over(Window.partitionBy(*key).orderBy("seg"))) \
-        .select(*key, "seg", "prev_seg_last")
-    j = rows.join(carry, on=[*key, "seg"], how="inner")
-    prev = F.coalesce(F.col("prev_in_seg"), F.col("prev_seg_last"))
-    bad = j.where(F.col("watermark_ts") < prev).select(*key, prev.alias("previous_watermark"),
-                                                        "watermark_ts", "updated_at")
-    return bad
+    instants = wm.where(F.col("watermark_ts").isNotNull() & F.col("updated_at").isNotNull()) \
+        .groupBy(*key, "updated_at").agg(F.min("watermark_ts").alias("watermark_ts"), F.max("watermark_ts").alias("highest"))
+    steps = previous_value(instants, key, "updated_at", "highest", SEGMENTS[SEGMENTS.index(segment):], "previous_watermark")
+    return steps.where(F.col("watermark_ts") < F.col("previous_watermark")) \
+        .select(*key, "previous_watermark", "watermark_ts", "updated_at")
 
 
 def watermark_monotonicity(wm: DataFrame) -> DataFrame:
