@@ -118,3 +118,54 @@ def test_w1_w2_starts_accounts_without_a_cursor(spark):
     got = rows(without)
     assert got == rows(back) and "acc3" in [r[0] for r in got]
     assert [r for r in got if r[0] != "acc3"] == [r for r in rows(whole) if r[0] != "acc3"]
+
+
+def test_cursor_rules(spark):
+    t, now = dt.datetime(2026, 3, 1, 10), dt.datetime(2026, 3, 2)
+    rows = spark.createDataFrame([(t,), (None,)], "at timestamp_ntz")
+    found = lambda df, rule: [r[0] for r in S.next_cursor(df, "at", rule, now).collect()]
+    assert [found(rows, r) for r in S.CURSOR_RULES] == [[t], [t], [now]]
+    assert [found(rows.limit(0), r) for r in S.CURSOR_RULES] == [[], [now], [now]]
+    try:
+        S.next_cursor(rows, "at", "newest", now)
+        raise AssertionError("an unknown rule must be refused")
+    except ValueError:
+        pass
+
+
+def test_backfill_goes_on_after_a_failure(spark, tmp_root):
+    """A chunk whose read fails leaves the finished ones and no cursor; the next run reads
+    only what is left, and the cursor becomes the greatest change time of all chunks."""
+    root, cursors = f"{tmp_root}/sales", f"{tmp_root}/cursors"
+    asked, broken = [], {dt.date(2026, 3, 5)}
+
+    def read(lo, hi):
+        asked.append((lo, hi))
+        if lo in broken:
+            raise OSError("feed is down")
+        days = [lo + dt.timedelta(days=d) for d in range(-1, (hi - lo).days + 2)]  # a feed that answers with too much
+        return spark.createDataFrame([(f"s{d}", d, dt.datetime(2026, 4, 30 - d.day)) for d in days if d.day != 3],
+                                     "srid string, sold date, changed timestamp_ntz")
+
+    def run():
+        return S.backfill(spark, "sales", read, lambda r: r, root, "sold", dt.date(2026, 3, 1), dt.date(2026, 3, 9), chunk_days=2,
+                          cursor=("sales", "a", "changed"), watermarks_root=cursors, now=dt.datetime(2026, 5, 1))
+    try:
+        run()
+        raise AssertionError("the failure must be seen")
+    except OSError:
+        pass
+    assert [lo.day for lo, _ in asked] == [1, 3, 5] and K.read_table(spark, cursors) is None
+    broken.clear()
+    asked.clear()
+    assert run() == 0 and [(lo.day, hi.day) for lo, hi in asked] == [(5, 6), (7, 8), (9, 9)]
+    assert run() == 0 and len(asked) == 3
+    assert sorted(r.sold.day for r in K.read_table(spark, root).collect()) == [1, 2, 4, 5, 6, 7, 8, 9]
+    assert [r.watermark_ts for r in K.read_table(spark, cursors).collect()] == [dt.datetime(2026, 4, 29)]
+
+
+def test_retried_batch_counts_its_stored_rows(spark, tmp_root):
+    rows = spark.createDataFrame([("a", dt.date(2026, 3, 1)), ("b", dt.date(2026, 3, 1))], "k string, day date")
+    assert K.append(spark, tmp_root, rows, batch_id=("s", 0)) == 2
+    assert K.append(spark, tmp_root, rows, batch_id=("s", 0)) == 0 and K.batch_rows(spark, tmp_root, ("s", 0)) == 2
+    assert K.batch_rows(spark, tmp_root, ("s", 1)) == 0 and not K.batch_done(spark, tmp_root, ("s", 1))

@@ -998,6 +998,156 @@ def w13(p: Stages) -> DataFrame:
     return S.read_update_table(p.spark, out, ["day", "marketplace", "account_id", "product_id", "warehouse_id"])
 
 
+@register("w12_stream_mrt_sales",
+          "SELECT CAST(event_ts AS DATE) AS day, 'wb' AS marketplace, account_id, CAST(nm_id AS VARCHAR) AS product_id, "
+          "CAST(SUM(CASE WHEN is_return = 1 THEN -quantity ELSE quantity END) AS BIGINT) AS qty, "
+          "CAST(SUM(CASE WHEN is_return = 0 THEN price_rub * quantity END) AS DOUBLE) AS revenue, "
+          "CAST(SUM(payout_rub) AS DOUBLE) AS payout, "
+          "CAST(SUM(CASE WHEN is_return = 1 THEN -quantity END) AS BIGINT) AS returns_qty FROM raw_wb_sales GROUP BY 1, 2, 3, 4")
+def w12_mart(p: Stages) -> DataFrame:
+    """W12 at M1's grain: the sales lines as a file stream, one row per day, account and product."""
+    from vitrine.streaming import ingest as S
+    lines = p.spark.readStream.schema(p.table("lineitem").schema).parquet(f"{p.sf_dir}/lineitem*.parquet")
+    qty = F.when(F.col("is_return") == 1, -F.col("quantity")).otherwise(F.col("quantity"))
+    stg = B.raw_wb_sales(lines).select("event_ts", F.lit("wb").alias("marketplace"), "account_id",
+                                       F.col("nm_id").cast("string").alias("product_id"), "is_return", qty.alias("qty"),
+                                       F.col("price_rub").alias("price_gross"), F.col("payout_rub").alias("payout"))
+    out, ck = _stream_dirs(p.spark, "w12-mart")
+    months = S.daily_sales_stream(stg).withColumn("month", F.to_date(F.date_trunc("month", "day")))  # years of days: fewer files
+    S.run_update_stream(months, out, ck, day_col="month").awaitTermination()
+    return S.read_update_table(p.spark, out, ["day", "marketplace", "account_id", "product_id"]).drop("month")
+
+
+# =============================================== W3–W8: cursors and re-reads
+
+_NOW = dt.datetime(2024, 1, 31, 6, 30)  # the runs' time
+_NOW_SQL = f"TIMESTAMP '{_NOW}'"
+
+
+def _landed_lines(spark: SparkSession, tag: str, lines: DataFrame) -> str:
+    """Pages landed as text files, for a file stream."""
+    files, _ = _stream_dirs(spark, tag)
+    lines.select("line").write.text(files)
+    return files
+
+
+@register("w3_postings_ingest",
+          f"SELECT 'posting' AS part, {_POSTING_NO} AS posting_number, CAST(NULL AS BIGINT) AS ozon_product_id, "
+          f"CAST(NULL AS INTEGER) AS quantity, {_LI_SHIFT} AS at FROM lineitem "
+          f"UNION ALL SELECT 'item', {_POSTING_NO}, l_partkey, GREATEST(1, CAST(l_quantity AS INTEGER)), NULL "
+          f"FROM lineitem WHERE l_linenumber <> 7 UNION ALL SELECT 'cursor', NULL, NULL, NULL, {_NOW_SQL}")
+def w3(p: Stages) -> DataFrame:
+    """Posting headers and their items from one read of each micro-batch; the cursor becomes the run's time."""
+    from vitrine.sources import tables as K
+    from vitrine.streaming import ingest as S
+    files = _landed_lines(p.spark, "w3-pages", landing.ozon_posting_pages(p.table("lineitem")))
+    out, ck = _stream_dirs(p.spark, "w3")
+    targets = {"postings": (lambda r: normalize.ozon_postings(r, _RUN, _ACC), f"{out}/postings", "ingested_at"),
+               "items": (lambda r: normalize.ozon_posting_items(r, _RUN, _ACC), f"{out}/items", "ingested_at")}
+    S.ingest(p.spark, files, targets, ck, "ozon_postings", cursor=("ozon_postings", _ACC, "created_at"),
+             watermarks_root=f"{out}/cursors", cursor_rule="now", now=_NOW).awaitTermination()
+    none = {"posting_number": "string", "ozon_product_id": "bigint", "quantity": "int", "at": "timestamp_ntz"}
+
+    def part(name: str, df: DataFrame, **given) -> DataFrame:
+        return df.select(F.lit(name).alias("part"), *[F.col(given[c]).alias(c) if c in given else F.lit(None).cast(t).alias(c)
+                                                      for c, t in none.items()])
+
+    cursors = K.read_cursor(K.read_table(p.spark, f"{out}/cursors"), _NOW)
+    return part("posting", K.read_table(p.spark, f"{out}/postings"), posting_number="posting_number", at="created_at") \
+        .unionByName(part("item", K.read_table(p.spark, f"{out}/items"), posting_number="posting_number",
+                          ozon_product_id="ozon_product_id", quantity="quantity")) \
+        .unionByName(part("cursor", cursors, at="cursor"))
+
+
+@register("w4_finance_cursors",
+          f"SELECT 'acc-ledger' AS account_id, count(*) AS rows, max(o_orderdate + INTERVAL 8430 DAY) AS cursor FROM orders "
+          f"UNION ALL SELECT 'acc-quiet', 0, {_NOW_SQL}")
+def w4(p: Stages) -> DataFrame:
+    """The ledgers of two accounts in one table; the cursor of the one with operations
+    becomes their greatest time, that of the one with an empty response the run's time."""
+    from vitrine.sources import tables as K
+    from vitrine.streaming import ingest as S
+    out, ck = _stream_dirs(p.spark, "w4")
+    full = landing.ozon_finance_pages(p.table("orders"))
+    empty = p.spark.range(1).select(F.lit('{"result":{"operations":[]}}').alias("line"))
+    for account, pages in (("acc-ledger", full), ("acc-quiet", empty)):
+        files = _landed_lines(p.spark, f"w4-{account}", pages)
+        target = (lambda r, a=account: normalize.ozon_finance(r, _RUN, a), f"{out}/ops", "ingested_at")
+        S.ingest(p.spark, files, {"ops": target}, f"{ck}-{account}", "ozon_finance",
+                 cursor=("ozon_finance", account, "operation_ts"), watermarks_root=f"{out}/cursors",
+                 cursor_rule="greatest_or_now", now=_NOW).awaitTermination()
+    rows = K.read_table(p.spark, f"{out}/ops").groupBy("account_id").agg(F.count(F.lit(1)).alias("rows"))
+    cursors = K.read_cursor(K.read_table(p.spark, f"{out}/cursors"), _NOW)
+    return cursors.join(rows, "account_id", "left").select("account_id", F.coalesce("rows", F.lit(0)).alias("rows"), "cursor")
+
+
+@register("w5_stock_snapshot",
+          f"SELECT {_NOW_SQL} AS snapshot_ts, {_META_SQL}, NULLIF(user_id, 0) AS nm_id, user_id AS chrt_id, "
+          f"'sku-' || CAST(user_id AS VARCHAR) AS sku, NULLIF(user_id % 3, 0) AS warehouse_id, "
+          f"CAST(FLOOR(value) AS INTEGER) AS amount FROM events WHERE user_id % 2 = 0")
+def w5(p: Stages) -> DataFrame:
+    """A snapshot job stamps its own time on every stock row and appends them."""
+    from vitrine.sources import tables as K
+    from vitrine.streaming import ingest as S
+    files = _landed_lines(p.spark, "w5-pages", landing.wb_stock_pages(p.table("events")))
+    out, ck = _stream_dirs(p.spark, "w5")
+    stamp = F.lit(_NOW).cast("timestamp_ntz")
+    S.ingest(p.spark, files, {"stocks": (lambda r: normalize.wb_stocks(r, _RUN, _ACC, stamp), out, "snapshot_ts")},
+             ck, "wb_stocks").awaitTermination()
+    return K.read_table(p.spark, out).drop("payload", "ingested_at", "day")
+
+
+@register("w6_funnel_reread",
+          f"SELECT {_META_SQL}, day, nm_id, open_card_count, add_to_cart_count, orders_count, buyouts_count, cancel_count "
+          f"FROM raw_wb_funnel_daily WHERE day BETWEEN {_sqld(_d(8))} AND {_sqld(AS_OF)}")
+def w6(p: Stages) -> DataFrame:
+    """The last seven days' funnel asked for on two days running, one job each; the
+    days that both have stored count once (L1)."""
+    from vitrine.operators.latest import latest_wins
+    from vitrine.sources import tables as K
+    from vitrine.streaming.ingest import in_range, last_days
+    out, _ = _stream_dirs(p.spark, "w6")
+    for run_day in (_d(1), AS_OF):
+        asked = in_range(p.raw("raw_wb_funnel_daily"), "day", *last_days(run_day))
+        K.append(p.spark, out, normalize.wb_funnel(_recs(landing.wb_funnel_pages(asked)), _RUN, _ACC))
+    now = latest_wins(K.read_table(p.spark, out), ["nm_id", "day"], ("ingested_at",))
+    return now.select("run_id", "account_id", "day", "nm_id", "open_card_count", "add_to_cart_count", "orders_count",
+                      "buyouts_count", "cancel_count")
+
+
+_BACKFILL = (AS_OF - dt.timedelta(days=feeds.clamp_backfill_days("sales", 365)), AS_OF)
+
+
+@register("w8_sales_backfill",
+          f"WITH s AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS srid, "
+          f"{_LI_SHIFT} AS at, l_partkey AS nm_id, CAST(l_quantity AS INTEGER) AS quantity FROM lineitem "
+          f"WHERE CAST({_LI_SHIFT} AS DATE) BETWEEN {_sqld(_BACKFILL[0])} AND {_sqld(_BACKFILL[1])}) "
+          f"SELECT 'sale' AS part, * FROM s UNION ALL SELECT 'cursor', NULL, max(s.at), NULL, NULL FROM s HAVING count(*) > 0")
+def w8(p: Stages) -> DataFrame:
+    """The last days' sales (the feed's most) in chunks of 30 days: a run that is ended
+    after two chunks, one that goes on behind them, one that finds nothing to do; then the
+    cursor stands at the greatest change time."""
+    from vitrine.sources import tables as K
+    from vitrine.streaming import ingest as S
+    out, _ = _stream_dirs(p.spark, "w8")
+
+    def read(lo: dt.date, hi: dt.date) -> DataFrame:
+        shift = dt.timedelta(days=B.SHIFT_DAYS)
+        days = p.table("lineitem").where(F.to_date("l_shipdate").between(F.lit(lo - shift), F.lit(hi - shift)))
+        return _recs(landing.wb_sales_pages(days))
+
+    for most in (2, None, None):
+        S.backfill(p.spark, "wb_sales", read, lambda r: normalize.wb_sales(r, _RUN, _ACC), f"{out}/sales", "event_ts",
+                   *_BACKFILL, chunk_days=30, cursor=("wb_sales", _ACC, "last_change_ts"), watermarks_root=f"{out}/cursors",
+                   now=_NOW, max_chunks=most)
+    sales = K.read_table(p.spark, f"{out}/sales").select(F.lit("sale").alias("part"), "srid", F.col("last_change_ts").alias("at"),
+                                                        "nm_id", "quantity")
+    cursors = K.read_table(p.spark, f"{out}/cursors").select(
+        F.lit("cursor").alias("part"), F.lit(None).cast("string").alias("srid"), F.col("watermark_ts").alias("at"),
+        F.lit(None).cast("bigint").alias("nm_id"), F.lit(None).cast("int").alias("quantity"))
+    return sales.unionByName(cursors)
+
+
 # ====================================================== K4/K5 on stored tables
 
 _K4_GONE = AS_OF - dt.timedelta(days=3)      # a day whose raw rows vanish before the second rebuild

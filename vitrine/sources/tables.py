@@ -118,6 +118,32 @@ def _write(df: DataFrame, root: str, parts: list[str], sort_by: tuple[str, ...]
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(root))
 
 
+def _epoch_name(batch_id: tuple[str, int]) -> str:
+    return f"s-{batch_id[0]}-{int(batch_id[1]):012d}"
+
+
+def _rows_of(spark: SparkSession, fs: _FS, name: str) -> int:
+    return spark.read.parquet(f"{fs.root}/{BATCH}={name}").count() if fs.names(f"{BATCH}={name}/*=*") else 0
+
+
+def batch_done(spark: SparkSession, root: str, batch_id: tuple[str, int]) -> bool:
+    """Whether an epoch is committed."""
+    return _FS(spark, root).exists(f"{BATCH}={_epoch_name(batch_id)}/{DONE}")
+
+
+def batch_rows(spark: SparkSession, root: str, batch_id: tuple[str, int]) -> int:
+    """The rows that an epoch has stored (a retried epoch's audit counts them, not zero)."""
+    return _rows_of(spark, _FS(spark, root), _epoch_name(batch_id))
+
+
+def read_stream_rows(spark: SparkSession, root: str, stream: str) -> DataFrame | None:
+    """The rows that one stream (or backfill) has appended; None where it stored none."""
+    fs = _FS(spark, root)
+    if not fs.names(f"{BATCH}=s-{stream}-????????????/*=*"):
+        return None
+    return spark.read.parquet(fs.root).where(F.col(BATCH).startswith(f"s-{stream}-")).drop(BATCH)
+
+
 def append(spark: SparkSession, root: str, df: DataFrame, day_col: str = "day",
            batch_id: tuple[str, int] | None = None) -> int:
     """K1: append rows (any day); returns the committed row count (from the file footers).
@@ -126,15 +152,13 @@ def append(spark: SparkSession, root: str, df: DataFrame, day_col: str = "day",
     than the stream's last one, is skipped; one whose first attempt died is
     written again over what is left of it."""
     fs = _FS(spark, root)
-    name = f"a-{uuid.uuid4().hex}"
+    name = f"a-{uuid.uuid4().hex}" if batch_id is None else _epoch_name(batch_id)
     if batch_id is not None:
-        stream, epoch = batch_id
-        name = f"s-{stream}-{int(epoch):012d}"
-        last = max(fs.names(f"{BATCH}=s-{stream}-????????????"), default="")
+        last = max(fs.names(f"{BATCH}=s-{batch_id[0]}-????????????"), default="")
         if f"{BATCH}={name}" < last or fs.exists(f"{BATCH}={name}/{DONE}"):
             return 0
     _write(df.withColumn(BATCH, F.lit(name)), fs.root, [BATCH, day_col])
-    count = spark.read.parquet(f"{fs.root}/{BATCH}={name}").count() if fs.names(f"{BATCH}={name}/*=*") else 0
+    count = _rows_of(spark, fs, name)
     if batch_id is not None:
         fs.touch(f"{BATCH}={name}/{DONE}")
     return count
