@@ -65,3 +65,13 @@ def test_time_filter_is_half_open_and_keeps_records_without_a_time(spark):
     assert ids(one_day) == [1, 3, 4, 5, 6]
     assert ids(feeds.in_time(df, ("lastChangeDate", "date"), since=dt.datetime(2024, 1, 1))) == [1, 2, 3, 4, 5, 6]
     assert one_day.columns == df.columns
+
+
+def test_each_page_is_parsed_once(spark):
+    """The envelope's paths share one parsed page, and no inferred filter parses it a second time."""
+    from pyspark.sql import functions as F
+    from vitrine.sources import feeds
+    lines = spark.range(3).select(F.concat(F.lit('{"result":[{"a":'), F.col("id").cast("string"), F.lit("}]}")).alias("line"))
+    got = feeds.unwrap(lines)
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert sorted(r.payload for r in got.collect()) == ['{"a":0}', '{"a":1}', '{"a":2}']

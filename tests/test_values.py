@@ -104,3 +104,25 @@ def test_time_without_a_date_is_no_timestamp(spark):
     df = spark.createDataFrame([("T10:00",), ("10:00:00",), ("2026-03-01T10:00",), ("20260301T101500Z",), ("",)], "s string")
     got = [r[0] for r in df.select(parse_text_ts(F.col("s"))).collect()]
     assert [x is None for x in got] == [True, True, False, False, True]
+
+
+def test_numbers_of_every_spelling_and_nested_paths(spark):
+    """Values are read from the text of a field: exponents, decimals, booleans, and paths that share a parent."""
+    from vitrine.functions.values import as_text, safe_float
+    docs = [{"a": {"x": 1e3, "y": True}, "b": "1e3"}, {"a": 12.345, "b": False}, {"a": {"y": {"z": 0}}, "b": 10**30}, {"a": [], "b": [1]}]
+    f = Fields()
+    cols = [safe_money(f.get("a.x")), safe_int(f.first(("a.y", "b"))), safe_money(f.get("a")), safe_float(f.get("b")),
+            as_text(f.get("a.y.z")), f.truthy("a")]
+    rows = [tuple(r) for r in f.stage(recs(spark, docs)).select(*cols).collect()]
+    assert [float(r[0]) for r in rows] == [1000.0, 0.0, 0.0, 0.0]
+    assert [r[1] for r in rows] == [1, 0, 0, 0]
+    assert [float(r[2]) for r in rows] == [0.0, 12.35, 0.0, 0.0]
+    assert [r[3] for r in rows] == [1000.0, 0.0, 1e30, 0.0]
+    assert [r[4] for r in rows] == [None, None, "0", None] and [r[5] for r in rows] == [True, True, True, False]
+
+
+def test_a_path_is_read_by_one_cast_of_its_record(spark):
+    f = Fields()
+    cols = [safe_int(f.get(k)) for k in ("a", "b", "c")]
+    plan = f.stage(recs(spark, [{"a": 1}])).select(*cols)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(a,VariantType") == 1 and plan.lower().count("parsejson") == 1

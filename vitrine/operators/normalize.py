@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.values import Fields, Typed, as_text, is_object, parse_ts, safe_float, safe_int, safe_money
+from vitrine.functions.values import Fields, as_text, is_object, parse_ts, safe_float, safe_int, safe_money
 from vitrine.schemas import MONEY
 
 # Field aliases in the order they are tried (first truthy wins).
@@ -27,7 +27,7 @@ WB_SALES_PAYOUT = ("ppvzForPay",)
 WB_SALES_PAYOUT_LEGACY = ("ppvzForPay", "incomeID")  # the reference's list; incomeID is an id (Q8)
 WB_ORDERS_PRICE = ("totalPrice", "priceWithDisc", "price")
 WB_STOCK_AMOUNT = ("quantity", "quantityFull", "inWayToClient")
-RETURN_MARKER = "возврат"
+RETURN_MARKER = "[Вв][Оо][Зз][Вв][Рр][Аа][Тт]"  # either case; lower() of Cyrillic text is slow
 WB_FUNNEL = (  # raw column, aliases, kind
     ("open_card_count", ("openCardCount", "views"), "int"),
     ("add_to_cart_count", ("addToCartCount", "addsToCart"), "int"),
@@ -77,18 +77,12 @@ def _measure(f: Fields, keys, kind: str) -> Column:
     return safe_float(x)
 
 
-def _one() -> Typed:
-    return Typed(F.parse_json(F.lit("1")), F.lit("BIGINT"))
-
-
 # ------------------------------------------------------------------- wb
 
 def wb_sales(recs: DataFrame, run_id: str, account_id: str, payout_aliases=WB_SALES_PAYOUT) -> DataFrame:
     """Returns by negative quantity or a return operation name; quantity stored absolute."""
     f = Fields()
-    q = f.first(WB_SALES_QTY)
-    qty_in = Typed(F.coalesce(q.v, _one().v), F.coalesce(q.t, _one().t))
-    op = F.lower(F.coalesce(as_text(f.get("supplierOperName")), F.lit("")))
+    op = F.coalesce(as_text(f.get("supplierOperName")), F.lit(""))
     exprs = [
         *_meta(run_id, account_id),
         _text_or(f, WB_SALES_SRID, "").alias("srid"),
@@ -96,10 +90,10 @@ def wb_sales(recs: DataFrame, run_id: str, account_id: str, payout_aliases=WB_SA
         parse_ts(f.get("date")).alias("_event"),
         safe_int(f.get("nmId")).alias("nm_id"), safe_int(f.get("chrtId")).alias("chrt_id"),
         as_text(f.get("barcode")).alias("barcode"),
-        safe_int(qty_in, 1).alias("_qty"),
+        safe_int(f.first(WB_SALES_QTY), 1).alias("_qty"),
         safe_money(f.first(WB_SALES_PRICE)).alias("price_rub"),
         safe_money(f.first(payout_aliases)).cast("decimal(18,4)").alias("payout_rub"),
-        op.contains(RETURN_MARKER).alias("_op_return"),
+        op.rlike(RETURN_MARKER).alias("_op_return"),
         F.col("payload")]
     x = f.stage(recs).select(*exprs)
     return x.select(
@@ -184,8 +178,8 @@ def ozon_posting_items(recs: DataFrame, run_id: str, account_id: str) -> DataFra
     h = Fields(prefix="_h")
     number = _text_or(h, ("posting_number",), "").alias("posting_number")
     prods = h.stage(recs).select(
-        "ingested_at", number,
-        F.explode(F.try_variant_get(F.col("rec"), "$.products", "array<variant>")).alias("p"))
+        "ingested_at", number, F.try_variant_get(F.col("rec"), "$.products", "array<variant>").alias("products"))
+    prods = prods.select("ingested_at", "posting_number", F.explode(F.when(F.col("products").isNotNull(), F.col("products"))).alias("p"))
     prods = prods.where(is_object(F.col("p")))
     f = Fields(rec="p")
     exprs = [

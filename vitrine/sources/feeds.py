@@ -78,6 +78,12 @@ def stored_rejects(spark: SparkSession, path: str, keep: str = "ingested_at time
     return _stored(spark, path, "reject", keep)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``value`` as a column behind a generator of one row: a filter on it compares the
+    computed value, where one behind a projection is pushed down as its whole expression."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def in_time(recs: DataFrame, keys: Sequence[str], since: dt.datetime | None = None,
             until: dt.datetime | None = None) -> DataFrame:
     """The request filters of the feeds: records whose time, by the first of ``keys``
@@ -91,7 +97,7 @@ def in_time(recs: DataFrame, keys: Sequence[str], since: dt.datetime | None = No
         keep = keep & (at >= F.lit(since).cast("timestamp_ntz"))
     if until is not None:
         keep = keep & (at < F.lit(until).cast("timestamp_ntz"))
-    return f.drop(f.stage(recs).where(F.coalesce(keep, F.lit(True))))
+    return f.drop(_once(f.stage(recs), "_tkeep", F.coalesce(keep, F.lit(True))).where("_tkeep"))
 
 
 def envelope_records(doc: Column) -> Column:
@@ -105,8 +111,11 @@ def unwrap(lines: DataFrame, line_col: str = "line", keep: Sequence[str] = ()) -
     """One row per object record — ``rec`` (VARIANT), ``payload`` (its JSON
     text) and ``pos`` (position in the page); unparseable lines and non-object
     elements are dropped."""
-    doc = F.try_parse_json(F.col(line_col))
-    x = lines.select(*keep, F.posexplode(envelope_records(doc)).alias("pos", "rec"))
+    pages = lines.select(*keep, F.try_parse_json(F.col(line_col)).alias("_doc"))  # parsed once, not once a path
+    # the list is found in a (compiled) projection; the generator only reads it, by an expression, since
+    # Spark filters a plain column on its size first and pushes that down as a second parse of the page
+    pages = pages.select(*keep, envelope_records(F.col("_doc")).alias("_recs"))
+    x = pages.select(*keep, F.posexplode(F.when(F.col("_recs").isNotNull(), F.col("_recs"))).alias("pos", "rec"))
     return x.where(is_object(F.col("rec"))).select(*keep, "pos", "rec", F.to_json("rec").alias("payload"))
 
 
