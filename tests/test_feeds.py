@@ -75,3 +75,17 @@ def test_each_page_is_parsed_once(spark):
     got = feeds.unwrap(lines)
     assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
     assert sorted(r.payload for r in got.collect()) == ['{"a":0}', '{"a":1}', '{"a":2}']
+
+
+def test_merge_schemas_keeps_every_record_without_a_number_in_one_pass(spark):
+    from pyspark.sql import functions as F
+    from vitrine.sources import feeds
+    def recs(docs):
+        return spark.createDataFrame([(d, 0) for d in docs], "payload string, pos int").withColumn("rec", F.parse_json("payload"))
+    fbs = recs(['{"posting_number":"p"}', '{"status":"x"}', '{"status":"x"}', '{"order_id":7}'])
+    fbo = recs(['{"postingNumber":"p"}', '{}'])
+    merged = feeds.merge_schemas([("fbs", fbs), ("fbo", fbo)])
+    rows = sorted((r.posting_key or "", r.schema) for r in merged.collect())
+    assert rows == [("", "fbo"), ("", "fbs"), ("", "fbs"), ("7", "fbs"), ("p", "fbo")]
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2  # each input is read once, not again for the records without a number

@@ -135,12 +135,13 @@ def merge_schemas(by_schema: Sequence[tuple[str, DataFrame]], order_cols: Sequen
         parts = d if parts is None else parts.unionByName(d, allowMissingColumns=True)
     f = Fields(prefix="_k")
     key = as_text(f.first(POSTING_KEY))
-    keyed = f.drop(f.stage(parts).withColumn("posting_key", key))
-    w = Window.partitionBy("posting_key").orderBy(F.col("schema_rank").desc(),
-                                                  *[F.col(c).desc() for c in order_cols])
-    with_key = keyed.where(F.col("posting_key").isNotNull()) \
-        .withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
-    return with_key.unionByName(keyed.where(F.col("posting_key").isNull()))
+    keyed = f.drop(_once(f.stage(parts), "posting_key", key))
+    # one pass over the records: those without a number are spread by their order columns
+    spread = F.when(F.col("posting_key").isNull(), F.xxhash64(*order_cols))
+    w = Window.partitionBy("posting_key", spread).orderBy(F.col("schema_rank").desc(),
+                                                          *[F.col(c).desc() for c in order_cols])
+    return keyed.withColumn("_krn", F.row_number().over(w)) \
+        .where((F.col("_krn") == 1) | F.col("posting_key").isNull()).drop("_krn")
 
 
 # --------------------------------------------------- parameter contracts (§2.14)
