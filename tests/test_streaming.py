@@ -169,3 +169,12 @@ def test_retried_batch_counts_its_stored_rows(spark, tmp_root):
     assert K.append(spark, tmp_root, rows, batch_id=("s", 0)) == 2
     assert K.append(spark, tmp_root, rows, batch_id=("s", 0)) == 0 and K.batch_rows(spark, tmp_root, ("s", 0)) == 2
     assert K.batch_rows(spark, tmp_root, ("s", 1)) == 0 and not K.batch_done(spark, tmp_root, ("s", 1))
+
+
+def test_w1_w2_never_broadcasts_the_sales(spark):
+    """The cursors are the side that goes to every task, whatever sizes Spark estimates for the parsed sales."""
+    from vitrine.plans import catalog
+    from vitrine.plans.stages import Stages
+    plan = catalog.w1_w2(Stages(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().sparkPlan().toString()
+    join = next(line for line in plan.splitlines() if "BroadcastHashJoin" in line and "cursor" in line)
+    assert "BuildRight" in join

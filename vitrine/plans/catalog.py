@@ -920,8 +920,10 @@ def w1_w2(p: Stages) -> DataFrame:
     sales = normalize.wb_sales(_recs(landing.wb_sales_pages(li)), _RUN, _ACC)
     # the landed pages carry no account; it is the binding's rule on the order key in srid
     acct = F.concat(F.lit("acc"), (F.split("srid", "-").getItem(0).cast("bigint") % 5).cast("string"))
-    s = sales.select(acct.alias("account_id"), "last_change_ts")
-    j = s.join(cur, "account_id").where(F.col("last_change_ts") > F.col("cursor"))
+    # a generated row each: the join's conditions compare the values, not their whole expressions again
+    s = sales.select(F.inline(F.array(F.struct(acct.alias("account_id"), "last_change_ts"))))
+    # Spark takes the parsed sales for the smaller side; the cursors are, one row an account
+    j = s.join(F.broadcast(cur), "account_id").where(F.col("last_change_ts") > F.col("cursor"))
     return j.groupBy("account_id").agg(F.count(F.lit(1)).alias("rows"), F.max("last_change_ts").alias("new_cursor"))
 
 
