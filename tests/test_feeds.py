@@ -89,3 +89,14 @@ def test_merge_schemas_keeps_every_record_without_a_number_in_one_pass(spark):
     assert rows == [("", "fbo"), ("", "fbs"), ("", "fbs"), ("7", "fbs"), ("p", "fbo")]
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 2  # each input is read once, not again for the records without a number
+
+
+def test_landed_pages_are_kept_compressed(spark, monkeypatch):
+    from pathlib import Path
+    from vitrine.plans import catalog
+    from vitrine.plans.stages import Stages
+    dirs, plain = [], catalog._stream_dirs
+    monkeypatch.setattr(catalog, "_stream_dirs", lambda s, tag: dirs.append(plain(s, tag)) or dirs[-1])
+    catalog._landed(Stages(spark, "/root/testdata/sf0.001"))
+    files = [x.name for x in Path(dirs[0][0].removeprefix("file:")).glob("part-*")]
+    assert files and all(x.endswith(".lz4") for x in files)

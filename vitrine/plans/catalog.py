@@ -935,7 +935,7 @@ _SINCE, _UNTIL = dt.datetime(2020, 3, 1), dt.datetime(2023, 9, 1)  # the changes
 def _landed(p: Stages) -> str:
     """Sales landed as text files of several records a page, read back and stored with their rejects."""
     files, _ = _stream_dirs(p.spark, "landed")
-    landing.wb_sales_order_pages(p.table("lineitem")).write.text(files)
+    landing.wb_sales_order_pages(p.table("lineitem")).write.option("compression", "lz4").text(files)
     stored, _ = _stream_dirs(p.spark, "landed-records")
     feeds.store_pages(feeds.parse_pages(feeds.read_lines(p.spark, files), keep=["ingested_at"]), stored)
     return stored
