@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from vitrine.llm import packing, token_files
@@ -113,3 +114,29 @@ def test_added_tokens_as_from_the_library(encoder, file):
     hard = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y<|endoftext|>", "A <|ENDOFTEXT|>\n <|end oftext|>", "a <|", "é <|endoftext|>\n\n漢"]
     for t in hard + fuzz(3000):
         assert np.frombuffer(encoder.encode(t), encoder.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("encoder", [WordEncoder(WORD), ByteEncoder(BYTE, P.PATTERN)])
+def test_every_low_character_in_a_word_and_after_one(encoder):
+    """New pieces take short ways by their characters; each equals the whole-text call."""
+    for c in map(chr, range(0x590)):
+        for t in (c, f"a {c} b", f"a{c}b", f"x A{c}. y", f"x {c}{c}, y\nQ{c}? z"):
+            assert encoder.encode(t) == encoder.direct(t), repr(t)
+
+
+@pytest.mark.parametrize("kind, args", [(WordEncoder, (WORD,)), (ByteEncoder, (BYTE, P.PATTERN))])
+def test_words_need_the_model_alone(kind, args):
+    """Words, alone or before a sign, are no calls of the whole tokenizer, and few of its model."""
+    encoder, seen = kind(*args), []
+    text = "the wörd, the wörd. The wörd\nwörd wörd"
+    want, word = encoder.direct(text), encoder.word
+    encoder.word = encoder.words.encode = lambda w: seen.append(w) or word(w)
+    encoder.tokenizer = None
+    assert encoder.encode(text) == want and len(seen) <= 8
+
+
+def test_packing_takes_few_rows_at_once():
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1203))})
+    parts = list(packing.slices(batch, packing.ROWS))
+    assert max(p.num_rows for p in parts) <= 500
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(1203))

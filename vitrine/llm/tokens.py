@@ -20,7 +20,10 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+BIG_ENDIAN = sys.byteorder == "big"
+SIGNS = ".,;:!?"  # after a word, each is looked up for itself
 CACHE = 300_000  # pieces of a generation
+FIRST = "\x00"   # before the first piece of a line, which has no space before it
 # Fixed value: the words of the lower-case tokenizer, as its file states them.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -43,21 +46,17 @@ class Pieces(dict):
         return ids
 
 
-    def learn(self, pieces, encode_all) -> None:
-        """Encodes new pieces together; those of the generation before come along."""
-        new = []
-        for p in pieces:
-            ids = self.old.get(p)
-            if ids is None:
-                new.append(p)
-            else:
-                self[p] = ids
-        if new:
-            self.update(zip(new, encode_all(new)))
-        if len(self) >= self.room:
-            self.old = dict(self)
-            self.clear()
-            self.update((p, self.old[p]) for p in pieces)
+
+class Letters(dict):
+    """Code point -> its UTF-8 bytes in the byte alphabet, for ``str.translate``."""
+
+    def __init__(self):
+        super().__init__()
+        self.alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, point):
+        self[point] = letters = self.alphabet.pre_tokenize_str(chr(point))[0][0]
+        return letters
 
 
 class Encoder:
@@ -72,19 +71,19 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.code = next(c for c in "HIL" if array(c).itemsize == self.width)
-        self.model, self.alphabet = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model, self.letters = self.tokenizer.model, Letters()
 
     def word(self, word: str) -> bytes:
         """One normalised pre-token, by the tokenizer's model alone (a fifth of the cost of a call for a text)."""
         if word.isascii() and word.isprintable():
             letters = word.replace(" ", "Ġ")  # of the byte alphabet, only the space differs
         else:
-            letters = self.alphabet.pre_tokenize_str(word)[0][0]
+            letters = word.translate(self.letters)
         return self.packed([t.id for t in self.model.tokenize(letters)])
 
     def packed(self, ids: list[int]) -> bytes:
         out = array(self.code, ids)
-        if sys.byteorder == "big":
+        if BIG_ENDIAN:
             out.byteswap()
         return out.tobytes()
 
@@ -122,17 +121,19 @@ class WordEncoder(Encoder):
         self.pieces[""] = b""
 
     def _cut(self, piece: str) -> bytes:
+        if piece.isascii() or max(piece) < "\u0100":  # normalised but for its case
+            if piece.isalpha():
+                return self.word(piece.lower())
+            if piece[:-1].isalpha() and piece[-1] in SIGNS:
+                return self.pieces[piece[:-1]] + self.words[piece[-1]]
         if not plain(piece):
             return self.direct(piece)
         words = self.words
         piece = piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
-        if piece.isascii() and piece.isalpha():  # one word
-            return words[piece]
         return b"".join([words[w] for w in self.pattern.findall(piece)])
 
     def by_pieces(self, text: str) -> bytes:
-        pieces = self.pieces
-        return b"".join([pieces[p] for p in text.replace("\n", " ").split(" ")])
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 class _Uneven(Exception):
@@ -151,47 +152,44 @@ class ByteEncoder(Encoder):
         super().__init__(path)
         self.pattern = regex.compile(pattern)
         self.words = Pieces(self.word)
-        self.first = Pieces(self._cut)
-        self.later = Pieces(lambda p: self._cut(" " + p) if p else self._cut(p))
+        self.pieces = Pieces(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece:
+            raise _Uneven
+        if piece[0] == FIRST:
+            return self._cut(piece[1:])
+        if plain(piece):
+            if piece.isalpha():  # letters after a space are one pre-token
+                return self.word(" " + piece)
+            if piece[-1] in SIGNS and piece[:-1].isalpha():
+                return self.pieces[piece[:-1]] + self.words[piece[-1]]
+        elif piece == "\n":
+            return self.word(piece)
+        return self._cut(" " + piece)
 
     def _cut(self, piece: str) -> bytes:
         if not piece or piece[-1].isspace() or piece[0] != " " and piece[0].isspace() or piece[1:2].isspace():
             raise _Uneven
         if not plain(piece):
             return self.direct(piece)
-        if (piece[1:] if piece[0] == " " else piece).isalpha():  # letters alone are one pre-token
+        if piece.isalpha():
             return self.word(piece)
         words = self.words
         return b"".join([words[w] for w in self.pattern.findall(piece)])
 
-    def letters(self, words: list[str]) -> list[bytes]:
-        """Words of plain letters alone, each after a space, in one call: each is one pre-token."""
-        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, self.dtype)
-        cut = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64), prepend=-1))
-        if len(cut) != len(words):
-            raise ValueError("a word of letters is not one pre-token of this tokenizer")
-        raw, at = ids.tobytes(), [*(cut * self.width).tolist(), len(ids) * self.width]
-        return [raw[a:b] for a, b in zip(at, at[1:])]
-
     def by_pieces(self, text: str) -> bytes:
         if not text:
             return b""
-        words = self.words
+        if FIRST in text:
+            return self.direct(text)
         try:
-            first, later, end, out = self.first, self.later, words["\n"], []
-            lines = [line.split(" ") for line in text.split("\n")]
-            new = [p for p in set().union(*lines) if p not in later and p.isalpha() and plain(p)]
-            if new:
-                later.learn(new, self.letters)
-            for head, *rest in lines:
-                out.append(end)
-                out.append(first[head])
-                out += [later[p] for p in rest]
-            return b"".join(out[1:])
+            pieces = (FIRST + text.replace("\n", " \n " + FIRST)).split(" ")
+            return b"".join(map(self.pieces.__getitem__, pieces))
         except _Uneven:
             if max(text) >= "\u0590":
                 return self.direct(text)
+            words = self.words
             return b"".join([words[w] for w in self.pattern.findall(text)])
 
 
