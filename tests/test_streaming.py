@@ -178,3 +178,23 @@ def test_w1_w2_never_broadcasts_the_sales(spark):
     plan = catalog.w1_w2(Stages(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().sparkPlan().toString()
     join = next(line for line in plan.splitlines() if "BroadcastHashJoin" in line and "cursor" in line)
     assert "BuildRight" in join
+
+
+def test_ingest_keeps_no_records_and_takes_the_cursor_from_what_is_stored(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="vitrine-two-")
+    land, ck, wm = (os.path.join(base, x) for x in ("land", "ck", "wm"))
+    os.makedirs(land)
+    _land(land, "p.json", [[{"posting_number": f"n{i}", "created_at": f"2026-03-0{i}T10:00:00Z",
+                             "products": [{"product_id": i}] * i} for i in (1, 2)], {"error": "none"}])
+    targets = {"postings": (lambda r: N.ozon_postings(r, "s", "a"), f"{base}/postings", "ingested_at"),
+               "items": (lambda r: N.ozon_posting_items(r, "s", "a"), f"{base}/items", "ingested_at")}
+    kept = []
+    frame = type(spark.range(1))
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *a: kept.append(self) or persist(self, *a))
+    S.ingest(spark, land, targets, ck, "ozon_postings", cursor=("ozon_postings", "a", "created_at"),
+             watermarks_root=wm).awaitTermination()
+    assert not kept
+    assert K.read_table(spark, f"{base}/postings").count() == 2 and K.read_table(spark, f"{base}/items").count() == 3
+    assert [r.watermark_ts for r in K.read_table(spark, wm).collect()] == [dt.datetime(2026, 3, 2, 10)]
+    assert K.read_batch(spark, f"{base}/items", ("no-such", 0), "x int").count() == 0
