@@ -22,3 +22,16 @@ def test_latest_wins_limits_before_the_shuffle(spark):
     plan = catalog.run(spark, SF, "l1_latest_wb_sales")._jdf.queryExecution().executedPlan().toString()
     # a partial WindowGroupLimit sits below the exchange that feeds the final one
     assert plan.count("WindowGroupLimit") >= 2 and "Exchange" in plan
+
+
+def test_shared_stages_are_stored_by_column(spark):
+    """Stages that several checks read are files of columns, each computed once."""
+    from vitrine.plans import catalog
+    from vitrine.plans.stages import Stages
+    p = Stages(spark, "/root/testdata/sf0.001")
+    want = sorted(map(str, p.stg_funnel.collect()))
+    p.materialize(catalog._CHECK_SHARED)
+    for name in ("stg_stocks", "stg_funnel", "stg_ads", "mrt_sales"):
+        files = getattr(p, name).inputFiles()
+        assert files and all(f"/{name}/" in f for f in files), name
+    assert sorted(map(str, p.stg_funnel.collect())) == want

@@ -448,8 +448,8 @@ def _dup_tables(p: Stages):
     return t
 
 
-# frames read by three or more checks: computed once (checkpoint), then scanned
-_CHECK_SHARED = ("stg_sales", "mrt_sales", "mrt_stock", "mrt_funnel", "mrt_ads")
+# frames read by several checks, or by a check and a mart: computed once, then scanned
+_CHECK_SHARED = ("stg_sales", "stg_stocks", "stg_funnel", "stg_ads", "mrt_sales", "mrt_stock", "mrt_funnel", "mrt_ads")
 
 
 def _violations(p: Stages) -> DataFrame:

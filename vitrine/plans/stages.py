@@ -10,6 +10,7 @@ marts through ``vitrine.sources.tables.windowed_replace`` instead.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,12 +41,14 @@ class Stages:
 
     def materialize(self, names=SHARED) -> "Stages":
         """Compute the shared staging and mart frames once for a query that reads
-        each of them many times (the quality report): reliable checkpoints in the
-        cluster's shared ``spark.checkpoint.dir`` cut the lineage, so every consumer
-        scans the stored result and a lost executor does not recompute from raw."""
-        checkpoint_dir(self.spark)
+        each of them many times (the quality report): Parquet in the cluster's shared
+        ``spark.checkpoint.dir`` cuts the lineage, so every consumer scans only its
+        columns of the stored result and a lost executor does not recompute from raw."""
+        base = f"{checkpoint_dir(self.spark).rstrip('/')}/stages-{uuid.uuid4().hex}"
         for name in names:  # staging first: the marts are then built from the stored staging
-            self.__dict__[name] = getattr(self, name).checkpoint(eager=True)
+            df = getattr(self, name)
+            df.write.parquet(f"{base}/{name}")
+            self.__dict__[name] = self.spark.read.schema(df.schema).parquet(f"{base}/{name}")
         return self
 
     def table(self, name: str) -> DataFrame:
