@@ -35,3 +35,13 @@ def test_shared_stages_are_stored_by_column(spark):
         files = getattr(p, name).inputFiles()
         assert files and all(f"/{name}/" in f for f in files), name
     assert sorted(map(str, p.stg_funnel.collect())) == want
+
+
+def test_products_are_computed_once_for_the_upserts(spark, monkeypatch):
+    from vitrine.plans import catalog
+    from vitrine.plans.stages import Stages
+    from vitrine.sources import tables
+    read, upsert = [], tables.upsert
+    monkeypatch.setattr(tables, "upsert", lambda s, root, rows, *a, **k: read.extend(rows.inputFiles()) or upsert(s, root, rows, *a, **k))
+    rows = catalog.k7(Stages(spark, "/root/testdata/sf0.001")).count()
+    assert rows and read and all("/dim_product/" in f for f in read)

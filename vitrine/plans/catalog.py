@@ -1243,7 +1243,7 @@ def k7(p: Stages) -> DataFrame:
     from vitrine.plans import rebuild
     from vitrine.sources import tables as K
     root, _ = _stream_dirs(p.spark, "k7")
-    now, key = p.dim_product, rebuild.DIM_KEY
+    now, key = p.materialize(("dim_product",)).dim_product, rebuild.DIM_KEY  # read four times below
     old = now.withColumns({"title": F.lit("before"), "updated_at": F.col("updated_at") - F.expr("INTERVAL 1 DAY")})
     K.upsert(p.spark, root, old.unionByName(old.withColumn("product_id", F.concat("product_id", F.lit("-gone")))), key, "updated_at")
     K.upsert(p.spark, root, now.where(_DIM_NEW), key, "updated_at")
