@@ -198,3 +198,23 @@ def test_ingest_keeps_no_records_and_takes_the_cursor_from_what_is_stored(spark,
     assert K.read_table(spark, f"{base}/postings").count() == 2 and K.read_table(spark, f"{base}/items").count() == 3
     assert [r.watermark_ts for r in K.read_table(spark, wm).collect()] == [dt.datetime(2026, 3, 2, 10)]
     assert K.read_batch(spark, f"{base}/items", ("no-such", 0), "x int").count() == 0
+
+
+def test_update_table_of_one_epoch_is_read_without_a_shuffle(spark, tmp_path):
+    """Rows of one epoch are the result; with a second one the latest row of each key is."""
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    schema = "ts timestamp, event_type string, value double"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        S.run_update_stream(S.event_counts_stream(spark.readStream.schema(schema).parquet(src)), out, ck).awaitTermination()
+        return S.read_update_table(spark, out, ["day", "event_type"])
+
+    def found(df):
+        return sorted(((str(r.day), r.event_type, r.events, float(r.value)) for r in df.collect()), key=str)
+
+    day = dt.datetime(2024, 1, 5, 3)
+    one = run([(day, "a", 1.0), (day, "a", 2.0), (day, None, 4.0)])
+    assert found(one) == [("2024-01-05", "a", 2, 3.0), ("2024-01-05", None, 1, 4.0)]
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    assert found(run([(day, "a", 5.0)])) == [("2024-01-05", "a", 3, 8.0), ("2024-01-05", None, 1, 4.0)]
