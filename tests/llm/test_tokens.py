@@ -140,3 +140,22 @@ def test_packing_takes_few_rows_at_once():
     parts = list(packing.slices(batch, packing.ROWS))
     assert max(p.num_rows for p in parts) <= 500
     assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(1203))
+
+
+@pytest.mark.parametrize("encoder", [WordEncoder(WORD), ByteEncoder(BYTE, P.PATTERN)])
+def test_many_texts_are_looked_up_together(encoder, monkeypatch):
+    """Each distinct piece of many texts is looked up once, whatever stands between them."""
+    from vitrine.llm import tokens
+    texts = ["the word the word"] * 50 + [None, "", "a  b", "漢 <|endoftext|> x", "the\n\nword", "x\x00y", "Word, the. word\nthe 12"] + fuzz(400)
+    want = [encoder.direct(t or "") for t in texts]
+    assert [x.tobytes() for x in encoder.encode_all(texts)] == want
+    monkeypatch.setattr(tokens, "GROUP_CHARS", 30)
+    assert [x.tobytes() for x in encoder.encode_all(texts)] == want
+    assert list(encoder.encode_all([])) == []
+    monkeypatch.undo()
+    looked = []
+    encoder.pieces.encode = lambda p, plain=encoder.pieces.encode: looked.append(p) or plain(p)
+    encoder.pieces.clear()
+    encoder.pieces.old.clear()
+    list(encoder.encode_all(["the word the word"] * 50))
+    assert len(looked) <= 3

@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import id_text
-from vitrine.llm.tokens import ByteEncoder, worker_encoder
+from vitrine.llm.tokens import ROWS, ByteEncoder, slices, worker_encoder
 
 CAPACITY = 2048
 GROUP = 1024  # documents of a group, on average
-ROWS = 500    # documents whose texts and ids a task holds at once
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
@@ -65,12 +64,6 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int,
     return out
 
 
-def slices(batch: pa.RecordBatch, rows: int):
-    """A batch in parts of at most ``rows`` rows, without copying it."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def pack(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 1, capacity: int = CAPACITY,
          group: int = GROUP) -> DataFrame:
     """One row per piece: its place in its document and sequence, and its ids (unsigned 32-bit, little-endian).
@@ -88,8 +81,8 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 1, capacit
         seen: dict = defaultdict(int)  # copies of a row get groups of their own
         for b in (part for batch in batches for part in slices(batch, ROWS)):
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist())):
+                ids = ids.tobytes() + end
                 n = len(ids) // encoder.width
                 key = xxhash.xxh64_intdigest(f"{doc_id}:{xxhash.xxh64_hexdigest(ids)}")
                 seen[key] += 1

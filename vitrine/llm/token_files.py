@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import id_text, saved
-from vitrine.llm.tokens import WordEncoder, worker_encoder
+from vitrine.llm.tokens import ROWS, WordEncoder, slices, worker_encoder
 
 NO_ID = -(1 << 63)
 READ_DOCS = 10_000  # documents of a batch that the reader returns
@@ -49,12 +49,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> list[dic
         end = np.array([end_id], encoder.dtype).tobytes()
         store, path = fs.FileSystem.from_uri(folder)
         name, out, offsets, ids, first = uuid.uuid4().hex, None, [0], [], None
-        for b in batches:
-            for doc_id, text, h, row in zip(*(c.to_pylist() for c in b.columns)):
+        for b in (part for batch in batches for part in slices(batch, ROWS)):
+            texts = encoder.encode_all(b.column(1).to_pylist())
+            for doc_id, ids_, h, row in zip(b.column(0).to_pylist(), texts, *(c.to_pylist() for c in b.columns[2:])):
                 if out is None:
                     store.create_dir(path, recursive=True)
                     out, first = store.open_output_stream(f"{path}/{name}.bin"), (doc_id, h, row)
-                data = encoder.encode(text or "") + end
+                data = ids_.tobytes() + end
                 out.write(data)
                 offsets.append(offsets[-1] + len(data) // encoder.width)
                 ids.append(NO_ID if doc_id is None else doc_id)
