@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm import decontaminate, jaccard_join, packing, quality, secret_scan
 from vitrine.llm.common import saved
+from vitrine.session import bounded_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +44,21 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def _bounded(stage):
+    """The stage with small batches between Spark and its Python workers, also where it runs by itself."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
 STAGES = [
-    ("quality_rules", quality_stage),
-    ("ngram_jaccard_join", jaccard_stage),
-    ("benchmark_decontamination", benchmark_stage),
-    ("secret_scans", secret_stage),
-    ("packing", packing_stage),
+    ("quality_rules", _bounded(quality_stage)),
+    ("ngram_jaccard_join", _bounded(jaccard_stage)),
+    ("benchmark_decontamination", _bounded(benchmark_stage)),
+    ("secret_scans", _bounded(secret_stage)),
+    ("packing", _bounded(packing_stage)),
 ]
 
 # The learnt formats and the tokenizer have no SQL form; tests/llm/test_pipeline.py

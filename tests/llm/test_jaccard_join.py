@@ -93,3 +93,31 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     assert got == {i: find(i) for e in edges for i in e if e[0] != e[1] or i in got}
+
+
+def test_segments_room_does_not_grow_with_the_fragments():
+    """Many small sets cut into many fragments take room for their shingles, not for sets times fragments."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = [f"text number {i}" for i in range(20_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    whole, jaccard_join.id_text = jaccard_join.id_text, lambda docs: docs
+    try:
+        run = jaccard_join.segments(Rows(), 2000)
+        tracemalloc.start()
+        out = list(run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        jaccard_join.id_text = whole
+    assert sum(len(x) // 8 for b in out for x in b.column("hashes").to_pylist()) == len(texts)
+    assert peak < 200e6

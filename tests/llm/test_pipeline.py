@@ -136,3 +136,17 @@ def test_quality_measures_are_computed_once(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     plan = quality.clean(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("xxhash64") == 1
+
+
+def test_stages_bound_the_batches_of_their_workers(spark, tmp_path):
+    """A stage that runs by itself hands at most some 8 MB of text to a worker at once."""
+    import pyarrow as pa
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "64m")
+    docs = spark.range(0, 30, 1, 1).selectExpr("id AS doc_id", "repeat('ab cd. ', 150000) AS text")
+    for _, stage in corpus_pipeline.STAGES[3:]:
+        stage(spark, docs.limit(0), str(tmp_path))
+        sizes = docs.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+        assert sum(r.n for r in sizes) == 30 and max(r.n for r in sizes) <= 10
+        spark.conf.set(key, "64m")
+    spark.conf.set(key, "8m")

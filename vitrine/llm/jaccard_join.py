@@ -79,19 +79,20 @@ def segments(docs: DataFrame, fragments: int, words: int = WORDS) -> DataFrame:
     def packed(held):
         nodes = np.array([x[0] for x in held], np.int64)
         sizes = np.array([len(x[1]) for x in held], np.uint32)
-        ends = np.empty((len(held), fragments + 1), np.int64)
-        cuts = np.array([-(-(f << 32) // fragments) << 32 for f in range(fragments)], np.uint64)
-        for i, (_, h) in enumerate(held):
-            ends[i, :-1] = np.searchsorted(h, cuts)
-            ends[i, -1] = len(h)
-        lens = np.diff(ends, axis=1)
+        flat = np.concatenate([x[1] for x in held])
+        frag = fragment_of(flat, fragments).astype(np.uint32)
+        order = np.argsort(frag, kind="stable")      # within a fragment by set, within a set by hash
+        of = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)[order]
+        flat, frag = flat[order], frag[order]
+        del order
+        at = np.flatnonzero(np.concatenate([[True], (frag[1:] != frag[:-1]) | (of[1:] != of[:-1])]))  # a segment each
+        lens, owner = np.diff(np.append(at, len(flat))).astype(np.uint32), of[at]
+        found, first = np.unique(frag[at], return_index=True)
         rows = []
-        for f in range(fragments):
-            has = np.flatnonzero(lens[:, f])
-            if len(has):
-                flat = np.concatenate([held[i][1][ends[i, f]:ends[i, f + 1]] for i in has])
-                rows.append((f, nodes[has].tobytes(), sizes[has].tobytes(),
-                             lens[has, f].astype(np.uint32).tobytes(), flat.tobytes()))
+        for f, lo, hi in zip(found.tolist(), first, np.append(first[1:], len(at))):
+            end = at[hi] if hi < len(at) else len(flat)
+            rows.append((f, nodes[owner[lo:hi]].tobytes(), sizes[owner[lo:hi]].tobytes(), lens[lo:hi].tobytes(),
+                         flat[at[lo]:end].tobytes()))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5)],
             ["frag", "nodes", "sizes", "lens", "hashes"])
@@ -118,7 +119,7 @@ def segments(docs: DataFrame, fragments: int, words: int = WORDS) -> DataFrame:
 
 
 def _flat(column, dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, dtype) for x in column.to_pylist()]
+    parts = [np.frombuffer(x.as_buffer(), dtype) for x in column]  # views; the values are not copied one by one
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
@@ -127,16 +128,17 @@ def shared_shingles(parts: DataFrame, buckets: int) -> DataFrame:
     schema = "bucket int, nodes binary, sizes binary, hashes binary, counts binary"
 
     def run(t: pa.Table) -> pa.Table:
-        lens = _flat(t.column("lens"), np.uint32)
-        node = np.repeat(_flat(t.column("nodes"), np.int64), lens)
-        size = np.repeat(_flat(t.column("sizes"), np.uint32), lens)
         h = _flat(t.column("hashes"), np.uint64)
         order = np.argsort(h, kind="stable")
         g = h[order]
         same = np.zeros(len(g) + 1, bool)
         same[1:-1] = g[1:] == g[:-1]
+        del g
         order = order[same[1:] | same[:-1]]          # only shingles at two places or more
-        h, node, size = h[order], node[order], size[order]
+        h = h[order]
+        of = np.searchsorted(np.cumsum(_flat(t.column("lens"), np.uint32), dtype=np.int64), order, "right")
+        node, size = _flat(t.column("nodes"), np.int64)[of], _flat(t.column("sizes"), np.uint32)[of]
+        del of, same
         order = np.lexsort((node, h))
         h, node, size = h[order], node[order], size[order]
         new = np.ones(len(h), bool)                  # the same set from two tasks counts once
