@@ -218,3 +218,54 @@ def test_update_table_of_one_epoch_is_read_without_a_shuffle(spark, tmp_path):
     assert found(one) == [("2024-01-05", "a", 2, 3.0), ("2024-01-05", None, 1, 4.0)]
     assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
     assert found(run([(day, "a", 5.0)])) == [("2024-01-05", "a", 3, 8.0), ("2024-01-05", None, 1, 4.0)]
+
+
+def _shuffle_files(spark):
+    """The files that shuffles have on the session's disks."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_landed_rows_go_to_their_table_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Rows dated by their file are written by the task that reads them, for any number of days: a
+    repeated key, a null one and a page without records included; the conf of the write is put back."""
+    monkeypatch.setattr(K, "_rows_of", lambda *a: 7)  # a count shuffles a number a task
+    land, ck = str(tmp_path / "land"), str(tmp_path / "ck")
+    os.makedirs(land)
+    days = [dt.date(2026, 3, d) for d in (1, 2, 3, 5)]  # more than a task keeps open
+    for n, day in enumerate(days):
+        _land(land, f"p{n}.json", [[{"posting_number": None if i == 0 else f"n{i % 3}", "products": [{"product_id": i}] * (i % 3)}
+                                    for i in range(7)], {"error": "none"}])
+        at = dt.datetime.combine(day, dt.time(12), dt.UTC).timestamp()
+        os.utime(os.path.join(land, f"p{n}.json"), (at, at))
+    targets = {"postings": (lambda r: N.ozon_postings(r, "s", "a"), str(tmp_path / "postings"), "ingested_at"),
+               "items": (lambda r: N.ozon_posting_items(r, "s", "a"), str(tmp_path / "items"), "ingested_at")}
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    conf, before = spark.conf.get(key), _shuffle_files(spark)
+    spark.conf.set("spark.sql.files.minPartitionNum", 1)  # one task reads all days
+    try:
+        for _ in range(2):  # the second run finds nothing new
+            S.ingest(spark, land, targets, ck, "ozon_postings").awaitTermination()
+            assert not _shuffle_files(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert spark.conf.get(key) == conf
+    assert len(list((tmp_path / "postings").rglob("*.parquet"))) == len(days)
+    rows = {n: K.read_table(spark, root) for n, (_, root, _) in targets.items()}
+    found = sorted((r.day, r.posting_number) for r in rows["postings"].collect())
+    assert found == sorted((d, "" if i == 0 else f"n{i % 3}") for d in days for i in range(7))
+    items = sorted((r.day, r.posting_number, r.ozon_product_id) for r in rows["items"].collect())
+    assert items == sorted((d, f"n{i % 3}", i) for d in days for i in range(7) for _ in range(i % 3))
+
+
+def test_landed_lines_are_compressed_in_files_of_some_pages(spark, monkeypatch, tmp_path):
+    """A compressed file is read by one task: many lines are cut into several files, all of them read back."""
+    from vitrine.plans import catalog
+    monkeypatch.setattr(catalog, "_stream_dirs", lambda s, tag: (str(tmp_path / tag), ""))
+    lines = spark.range(0, 120_001, 1, 1).select(F.format_string('[{"id":%d}]', "id").alias("line")) \
+        .unionByName(spark.sql("SELECT '' AS line"))
+    files = catalog._landed_lines(spark, "pages", lines)
+    names = [x for x in os.listdir(files) if x.startswith("part-")]
+    assert len(names) >= 3 and all(x.endswith(".gz") for x in names)
+    back = spark.read.text(files)
+    assert back.exceptAll(lines).count() == 0 and back.count() == 120_002
